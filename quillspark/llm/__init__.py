@@ -8,9 +8,9 @@ _MODULES = (
     #"html_extract",
     #"near_dedup",
     #"substring_dedup",
-    #"token_output",
+    "token_output",
     #"toxicity",
-    #"packing",
+    "packing",
     #"warc",
     #"decontaminate",
 )
