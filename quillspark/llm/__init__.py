@@ -12,7 +12,7 @@ _MODULES = (
     #"toxicity",
     "packing",
     #"warc",
-    #"decontaminate",
+    "decontaminate",
 )
 
 

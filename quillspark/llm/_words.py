@@ -82,6 +82,15 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def windows_at(hashes: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
+    """The hashes of the runs of k words that begin there."""
+    out = hashes[begin]
+    for j in range(1, k):
+        out *= _STEP
+        out += hashes[begin + j]
+    return mix(out)
+
+
 def within(at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the windows of k words that lie in one text, and the text of each."""
     n = np.maximum(np.diff(at) - k + 1, 0)
