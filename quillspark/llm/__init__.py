@@ -11,7 +11,7 @@ _MODULES = (
     "token_output",
     #"toxicity",
     "packing",
-    #"warc",
+    "warc",
     "decontaminate",
 )
 

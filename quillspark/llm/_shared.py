@@ -31,7 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     _written.append(path)
     return path
 
@@ -89,3 +90,24 @@ def slices(at: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
 
 def id_sql(id_col: str) -> str:
     return f"crc32(cast(`{id_col}` as string))"
+
+
+def _place(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+
+
+def open_file(path: str, write: bool = False):
+    """A stream of a file in any store that pyarrow knows by its address."""
+    store, at = _place(path)
+    if write:
+        store.create_dir(at.rpartition("/")[0], recursive=True)
+        return store.open_output_stream(at, compression=None)
+    return store.open_input_stream(at, compression=None, buffer_size=1 << 20)
+
+
+def open_random(path: str):
+    """A file that can be read at any place."""
+    store, at = _place(path)
+    return store.open_input_file(at)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import scratch, slices, small_batches, text_bytes, written
+from ._shared import open_file, scratch, slices, small_batches, text_bytes, written
 from ._tokens import encoder
 
 MAGIC = b"QRB1"
@@ -103,17 +103,6 @@ def read_blocks(source) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
         yield [int(x) if v else None for x, v in zip(names, valid)], sizes, flat
 
 
-def open_file(path: str, write: bool = False):
-    """A stream of a file in any store that pyarrow knows by its address."""
-    from pyarrow import fs
-
-    store, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
-    if write:
-        store.create_dir(at.rpartition("/")[0], recursive=True)
-        return store.open_output_stream(at)
-    return store.open_input_stream(at, buffer_size=1 << 20)
-
-
 def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
     """Write files in ascending order of id; one row per file: part, path, n_docs, n_ids.
 
