@@ -20,7 +20,7 @@ import numpy as np
 SIGNS = r""".,;:!?*#$%&|()"+\-/=<>@\[\]\\^`{}~"""
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Pieces kept; beyond, the later half is forgotten.
-KEPT = 700_000
+KEPT = 1_000_000
 
 _ready: dict = {}
 
@@ -32,6 +32,18 @@ def _byte_signs() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """The ids of pieces; what is missing is learnt."""
+
+    def __init__(self, learn, items=()):
+        super().__init__(items)
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.learn(piece)
+        return ids
+
+
 class Encoder:
     """encode(texts) gives an array of ids for each text, without special tokens; their strings in a text are ordinary text."""
 
@@ -43,7 +55,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.type = np.uint16 if self.tokenizer.get_vocab_size(True) <= 1 << 16 else np.uint32
-        self.kept, self.cache = kept, {}
+        self.kept, self.cache = kept, _Pieces(self._learn)
         self.signs = _byte_signs()
         spec = json.loads(open(path, encoding="utf-8").read())
         normal = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
@@ -56,6 +68,7 @@ class Encoder:
             self.kind = "bytes"
             self.cut = re.compile(rf"[ \t\r\n]*[^ \t\r\n]*?[{LETTERS}](?=[{SIGNS}])|[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
             self.odd = re.compile(r"[^\S \t\r\n]")
+            self.odd_ascii = "\x0b\x0c\x1c\x1d\x1e\x1f"
         else:
             self.kind = "whole"
 
@@ -65,36 +78,26 @@ class Encoder:
             if text.isascii() or unicodedata.is_normalized("NFC", text) and "Σ" not in text and "İ" not in text:
                 return self.cut.sub(" ", text.lower()).replace("\n", " ").split(" ")
             return None
-        if self.kind == "bytes" and not self.odd.search(text):
+        if self.kind == "bytes" and not (any(c in text for c in self.odd_ascii) if text.isascii() else self.odd.search(text)):
             return self.cut.findall(text)
         return None
 
-    def _learn(self, new: set[str]) -> None:
-        rest, cache, tokenize, kind = [], self.cache, self.model.tokenize, self.type
-        gap = self.signs[32] if self.kind == "bytes" else None
-        for w in new:
-            word, lead = (w[1:], gap) if gap and w[:1] == " " else (w, "")
-            if word.isalpha() and max(word) < "ɐ":
-                if not word.isascii():
-                    word = "".join(map(self.signs.__getitem__, word.encode()))
-                cache[w] = np.array([t.id for t in tokenize(lead + word)], kind).tobytes()
-            else:
-                rest.append(w)
-        for i in range(0, len(rest), 1000):
-            part = rest[i : i + 1000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[w] = np.array(e.ids, kind).tobytes()
+    def _learn(self, piece: str) -> bytes:
+        word, lead = (piece[1:], self.signs[32]) if piece[:1] == " " and self.kind == "bytes" else (piece, "")
+        if word.isalpha() and max(word) < "ɐ":
+            if not word.isascii():
+                word = "".join(map(self.signs.__getitem__, word.encode()))
+            return np.array([t.id for t in self.model.tokenize(lead + word)], self.type).tobytes()
+        return self._whole(piece)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.pieces(t) for t in texts]
         if len(self.cache) > self.kept:
-            self.cache = dict(islice(self.cache.items(), self.kept // 2))
-        self._learn(set().union(*(p for p in cut if p)).difference(self.cache))
+            self.cache = _Pieces(self._learn, islice(self.cache.items(), self.kept // 2))
         get = self.cache.__getitem__
-        return [
-            np.frombuffer(b"".join(map(get, p)), self.type) if p is not None else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, self.type)
-            for p, t in zip(cut, texts)
-        ]
+        return [np.frombuffer(self._whole(t) if (p := self.pieces(t)) is None else b"".join(map(get, p)), self.type) for t in texts]
 
 
 def encoder(path: str) -> Encoder:
