@@ -53,7 +53,9 @@ def exact_dedup(
     rows = cut.select("id", "n", "sha", F.transform("parts", lambda c: identify(c)).alias("recipe"))
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("none"), F.col("id").alias("id")))
     groups = rows.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("size"))
-    return rows.join(groups, "recipe").select(
+    # with the hash as a further key, the join has exchanges of its own, of which a large group's can be split
+    keyed = F.xxhash64("recipe").alias("key")
+    return rows.select("*", keyed).join(groups.select("*", keyed), ["key", "recipe"]).select(
         F.col("id").alias(id_col),
         F.col("best.id").alias("keep_id"),
         F.col("size").alias("group_size"),
