@@ -9,7 +9,7 @@ _MODULES = (
     #"near_dedup",
     #"substring_dedup",
     "token_output",
-    #"toxicity",
+    "toxicity",
     "packing",
     "warc",
     "decontaminate",
