@@ -4,7 +4,7 @@ from importlib import import_module
 
 _MODULES = (
     "exact_dedup",
-    #"language_id",
+    "language_id",
     #"html_extract",
     #"near_dedup",
     #"substring_dedup",
