@@ -7,7 +7,7 @@ _MODULES = (
     "language_id",
     #"html_extract",
     #"near_dedup",
-    #"substring_dedup",
+    "substring_dedup",
     "token_output",
     "toxicity",
     "packing",

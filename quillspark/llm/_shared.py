@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,7 +43,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def unwrite(*tables: DataFrame) -> None:
+    """Remove tables that written() gave and nothing reads any more, and the shuffle files of steps that are done."""
+    for t in tables:
+        delete(t.sparkSession, t._scratch)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def delete(spark: SparkSession, *paths: str) -> None:
