@@ -6,7 +6,7 @@ _MODULES = (
     "exact_dedup",
     "language_id",
     #"html_extract",
-    #"near_dedup",
+    "near_dedup",
     "substring_dedup",
     "token_output",
     "toxicity",
