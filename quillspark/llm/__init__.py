@@ -5,7 +5,7 @@ from importlib import import_module
 _MODULES = (
     "exact_dedup",
     "language_id",
-    #"html_extract",
+    "html_extract",
     "near_dedup",
     "substring_dedup",
     "token_output",

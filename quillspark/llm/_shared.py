@@ -63,7 +63,12 @@ def delete(spark: SparkSession, *paths: str) -> None:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
         if p in _written:
-            _written.remove(p)
+            keep(p)
+
+
+def keep(path: str) -> None:
+    """Leave a scratch folder out of what release() removes."""
+    _written.remove(path)
 
 
 def release(spark: SparkSession) -> None:
