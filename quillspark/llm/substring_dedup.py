@@ -2,7 +2,8 @@
 
 A window is 13 consecutive words of one document. Every window has an anchor, the four words in it of the
 smallest hash; equal windows have equal anchors. So only stretches around anchors that stand in several documents can
-repeat. A stretch is the run of windows with one occurrence of an anchor; equal stretches are counted once.
+repeat. A stretch is the run of windows with one occurrence of an anchor; equal stretches are counted once. Whole copies of a text
+are settled by themselves, and count as one document where anchors are looked for.
 
 Anchors with one stretch are settled by it. For the others, the windows of their stretches are counted, and those that occur
 in several documents are the passages to find. They are dealt by anchor into shards, an automaton is compiled for
@@ -101,6 +102,14 @@ def _filter(repeated: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def _copies(base: DataFrame) -> DataFrame:
+    """id, tk: the rows whose whole text is also that of a smaller id."""
+    slim = base.select("id", "tk", F.sha2("text", 256).alias("sha"))
+    groups = slim.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
+    keyed = F.xxhash64("sha").alias("key")
+    return slim.select("*", keyed).join(groups.select("*", keyed), ["key", "sha"]).filter("id > first").select("id", "tk")
+
+
 def _freed(spark: SparkSession) -> None:
     """Shuffle files of steps that are done go when the driver's garbage does."""
     gc.collect()
@@ -121,11 +130,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def mark(batches):
         for batch, i, j, _, _, (fp, owner, _, _) in _parts(batches, window, anchor):
-            ids = np.asarray(batch.column(1).slice(i, j - i))
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ids[owner])], ["fp", "id"])
+            keys = np.asarray(batch.column(2).slice(i, j - i))
+            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(keys[owner])], ["fp", "tk"])
 
-    marks = base.mapInArrow(mark, "fp long, id long")
-    repeated = marks.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("fp")
+    copies = _copies(base)
+    marks = base.mapInArrow(mark, "fp long, tk long")
+    repeated = marks.groupBy("fp").agg(F.min("tk").alias("lo"), F.max("tk").alias("hi")).filter("lo < hi").select("fp")
     shared = spark.sparkContext.broadcast(_filter(repeated, filter_bits))
     shift = np.uint64(64 - filter_bits)
 
@@ -221,7 +231,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = F.when(F.col("lo") < F.col("id"), F.array(F.struct(F.col("start").alias("s"), F.col("n").alias("n"))))
     each = F.transform(F.filter(F.arrays_zip("offs", "owners"), lambda x: x["owners"] < F.col("id")), lambda x: F.struct((F.col("start") + x["offs"]).alias("s"), F.lit(1).alias("n")))
     spans = stretches(False).join(places, ["fp", "sh"]).select("id", "tk", F.when(F.col("lo").isNotNull(), whole).otherwise(each).alias("spans"))
-    spans = spans.filter(F.size("spans") > 0).groupBy("id", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    whole_texts = copies.select("id", "tk", F.array(F.struct(F.lit(0).alias("s"), F.lit(-1).alias("n"))).alias("spans"))
+    spans = spans.filter(F.size("spans") > 0).unionByName(whole_texts).groupBy("id", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     spans = written(spans, "spans")
     unwrite(places)
 
@@ -233,7 +244,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for k, s in enumerate(batch.column(2).slice(i, j - i).to_pylist()):
                     a, b = words.at[k], words.at[k + 1]
                     keep = np.ones(b - a, bool)
-                    if s:
+                    if s and any(x["n"] < 0 for x in s):
+                        keep[:] = b - a < window
+                    elif s:
                         edge = np.zeros(b - a + 1, np.int64)
                         at0 = np.array([x["s"] for x in s])
                         np.add.at(edge, at0, 1)
