@@ -1,4 +1,16 @@
 """Every query by name, with the SQL that it is compared with."""
 
+from __future__ import annotations
+
+from importlib import import_module
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+for _name in ("paragraph_queries", "sentence_queries", "vector_queries", "output_queries"):
+    try:
+        _m = import_module(f"{__package__}.{_name}")
+    except ModuleNotFoundError:
+        continue
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
