@@ -29,7 +29,7 @@ def _spread(lengths: Column) -> Column:
 
 def similarity(par: DataFrame, pack: Pack, most: int = 100) -> DataFrame:
     """Adds paragraph_similarity: the cosine of the TF-IDF vectors of text and prev, over their most frequent terms (ties by term)."""
-    a = par.select("*", F.array_sort(tokens(F.col("text"), pack)).alias("_a"), F.array_sort(tokens(F.col("prev"), pack)).alias("_b"))
+    a = par.select("*", F.sort_array(tokens(F.col("text"), pack)).alias("_a"), F.sort_array(tokens(F.col("prev"), pack)).alias("_b"))
     b = a.select("*", run_starts(F.col("_a")).alias("_as"), run_starts(F.col("_b")).alias("_bs"))
     term = lambda s, k: F.transform(k, lambda i: F.element_at(F.col(s), i))
     c = b.select(
@@ -39,7 +39,7 @@ def similarity(par: DataFrame, pack: Pack, most: int = 100) -> DataFrame:
     )
     tf = lambda m, t: F.coalesce(F.try_element_at(F.col(m), t), F.lit(0))
     every = F.transform(F.array_union(F.map_keys("_am"), F.map_keys("_bm")), lambda t: F.struct((-(tf("_am", t) + tf("_bm", t))).alias("n"), t.alias("t")))
-    d = c.select("*", F.slice(F.array_sort(every), 1, most).alias("_u"))
+    d = c.select("*", F.slice(F.sort_array(every), 1, most).alias("_u"))
     rare = 1 + F.log(F.lit(1.5))
 
     def add(s, u):
@@ -60,15 +60,15 @@ def dimensions(par: DataFrame, pack: Pack, compare: bool = True) -> DataFrame:
         "doc_id", "p_idx", "text", "paragraph_similarity",
         F.transform(sentence_array(text, pack), lambda s: F.length(s).cast("double")).alias("lengths"),
         tokens(text, pack).alias("tokens"),
-        F.array_sort(characters(F.translate(text, " \n", ""))).alias("chars"),
-        F.array_sort(characters(F.regexp_replace(text, _NO_SIGN, ""))).alias("signs"),
+        F.sort_array(characters(F.translate(text, " \n", ""))).alias("chars"),
+        F.sort_array(characters(F.regexp_replace(text, _NO_SIGN, ""))).alias("signs"),
     )
     b = a.withColumn("long", F.filter("tokens", lambda t: F.length(t) >= 2))
-    c = b.withColumns({"ordered": F.array_sort("long"), "g2": F.array_sort(grams(F.col("long"), 2)), "g3": F.array_sort(grams(F.col("long"), 3))})
+    c = b.withColumns({"ordered": F.sort_array("long"), "g2": F.sort_array(grams(F.col("long"), 2)), "g3": F.sort_array(grams(F.col("long"), 3))})
     arrays = ["chars", "signs", "ordered", "g2", "g3"]
     d = c.withColumns({f"{k}_s": run_starts(F.col(k)) for k in arrays})
     e = d.withColumns({f"{k}_n": run_lengths(F.col(f"{k}_s"), F.size(k)) for k in arrays})
-    f = e.withColumn("ranked", F.reverse(F.array_sort("ordered_n")))
+    f = e.withColumn("ranked", F.reverse(F.sort_array("ordered_n")))
 
     def again(k: str, order: int) -> Column:
         many = F.size(F.filter(f"{k}_n", lambda x: x > 1))
