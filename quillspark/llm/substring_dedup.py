@@ -46,12 +46,13 @@ def anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndar
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none
     marks = windows(words.hash, anchor)
-    best, place = marks[first], first.copy()
+    n = len(words.hash) - window + 1
+    best, off = marks[:n].copy(), np.zeros(n, np.uint8)
     for j in range(1, window - anchor + 1):
-        other = marks[first + j]
-        less = other < best
-        best[less] = other[less]
-        place[less] = first[less] + j
+        less = marks[j : j + n] < best
+        np.copyto(best, marks[j : j + n], where=less)
+        off[less] = j
+    best, place = best[first], first + off[first]
     new = np.ones(len(first), bool)
     new[1:] = (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])
     begin = np.flatnonzero(new)
@@ -68,14 +69,16 @@ def _parts(batches, window: int, anchor: int):
             yield batch, i, j, own, words, anchors(words, window, anchor)
 
 
-def stretch_text(raw: np.ndarray, words: Words, first: int, n: int) -> str:
-    """n words, with a space before, between and after."""
-    s, e = words.starts[first : first + n], words.ends[first : first + n]
-    if e[-1] - s[0] == (e - s).sum() + n - 1:
-        text = _SPACES[raw[s[0] : e[-1]]].tobytes()
-    else:
-        text = b" ".join(raw[a:b].tobytes() for a, b in zip(s.tolist(), e.tolist()))
-    return f" {text.decode('utf-8', 'replace')} "
+def run_texts(raw: np.ndarray, words: Words, first: np.ndarray, n: np.ndarray) -> list[str]:
+    """The texts of runs of n words each (at least one), with one space between words."""
+    plain = _SPACES[raw].tobytes()
+    wide = np.concatenate([[0], np.cumsum(words.starts[1:] - words.ends[:-1] != 1)]) if len(words.starts) else np.zeros(1, int)
+    last = first + n - 1
+    even = wide[last] == wide[first]
+    out = [plain[a:b].decode("utf-8", "replace") for a, b in zip(words.starts[first].tolist(), words.ends[last].tolist())]
+    for k in np.flatnonzero(~even).tolist():
+        out[k] = " ".join(x for x in out[k].split(" ") if x)
+    return out
 
 
 def window_texts(stretch: str, window: int) -> list[str]:
@@ -86,9 +89,7 @@ def window_texts(stretch: str, window: int) -> list[str]:
 
 def find(automata: list, stretch: str, window: int) -> dict[int, int]:
     """The smallest document of each window of the stretch that is a passage, by the window's number."""
-    at = [k for k, c in enumerate(stretch) if c == " "]
-    number = {p: k for k, p in enumerate(at)}
-    return {number[end] - window: owner for a in automata for end, owner in a.iter(stretch)}
+    return {stretch.count(" ", 0, end) - window: owner for a in automata for end, owner in a.iter(stretch)}
 
 
 def _filter(repeated: DataFrame, bits: int) -> np.ndarray:
@@ -158,7 +159,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 ids = np.asarray(batch.column(1).slice(i, j - i))[owner]
                 out = [pa.array(fp.view(np.int64)), pa.array(h.view(np.int64)), pa.array(ids)]
                 if with_text:
-                    out.append(pa.array([stretch_text(raw, words, a, b) for a, b in zip(first.tolist(), n.tolist())]))
+                    out.append(pa.array([f" {x} " for x in run_texts(raw, words, first, n)], pa.string()))
                     yield pa.RecordBatch.from_arrays(out, ["fp", "sh", "id", "stretch"])
                 else:
                     tk = np.asarray(batch.column(2).slice(i, j - i))[owner]
@@ -240,21 +241,28 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             texts, ids = batch.column(0), batch.column(1)
             for i, j, raw, words in ((i, j, raw[at[i] : at[j]], Words(raw[at[i] : at[j]], at[i : j + 1] - at[i], WHITE)) for raw, at in [text_bytes(texts)] for i, j in slices(at)):
-                kept, gone = [], []
+                keep = np.ones(len(words.starts) + 1, bool)
                 for k, s in enumerate(batch.column(2).slice(i, j - i).to_pylist()):
                     a, b = words.at[k], words.at[k + 1]
-                    keep = np.ones(b - a, bool)
                     if s and any(x["n"] < 0 for x in s):
-                        keep[:] = b - a < window
+                        keep[a:b] = b - a < window
                     elif s:
                         edge = np.zeros(b - a + 1, np.int64)
                         at0 = np.array([x["s"] for x in s])
                         np.add.at(edge, at0, 1)
                         np.add.at(edge, at0 + np.array([x["n"] for x in s]) + window - 1, -1)
-                        keep = np.cumsum(edge[:-1]) <= 0
-                    where = np.flatnonzero(keep) + a
-                    gone.append(int(b - a - len(where)))
-                    kept.append(" ".join(raw[x:y].tobytes().decode("utf-8", "replace") for x, y in zip(words.starts[where].tolist(), words.ends[where].tolist())) if s else (stretch_text(raw, words, a, b - a)[1:-1] if b > a else ""))
+                        keep[a:b] = np.cumsum(edge[:-1]) <= 0
+                keep[-1] = False
+                # runs of kept words, none over the end of a text
+                begin = keep.copy()
+                begin[1:] &= ~keep[:-1]
+                begin[words.at[:-1]] = keep[words.at[:-1]]
+                begin = np.flatnonzero(begin)
+                total = np.concatenate([[0], np.cumsum(keep)])
+                size = np.diff(np.append(total[begin], total[-1]))
+                runs, cuts = run_texts(raw, words, begin, size), np.searchsorted(begin, words.at)
+                kept = [" ".join(runs[x:y]) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+                gone = words.counts() - np.diff(total[words.at])
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(words.counts()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "kept_text"])
 
     tagged = base.join(spans, ["id", "tk"], "left").select("text", "id", "spans")
