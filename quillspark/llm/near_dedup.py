@@ -36,10 +36,10 @@ BATCH = 16
 MISS = 1e-6
 #: Classes in a bucket of which all pairs are verified.
 FEW = 6
-#: Rounds of pairing with heads.
-ROUNDS = 3
+#: Rounds of pairing with heads at most; after the first, only while a full comparison would take more than so many pairs.
+ROUNDS, MUCH = 5, 100_000_000
 #: Classes of a bucket that share a head, and those in a block of a full comparison.
-UNDER_HEAD, BLOCK = 5000, 256
+UNDER_HEAD, BLOCK = 5000, 512
 #: Bits of the filter of candidate ids, whose size is fixed.
 FILTER_BITS = 27
 
@@ -131,14 +131,32 @@ def _signed(base: DataFrame) -> DataFrame:
     return base.mapInArrow(run, "id long, n long, k1 long, k2 long, sig binary")
 
 
+def bands(sig: np.ndarray) -> np.ndarray:
+    """[texts, BANDS] keys of signatures, a row each."""
+    sig = sig.reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), sig.shape[:2]).copy()
+    for r in range(ROWS):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
+    return key
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two ascending sets are similar enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < PERCENT * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    same = int((y[at] == x).sum())
+    return 100 * same >= PERCENT * (len(x) + len(y) - same)
+
+
 def _banded(reps: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = np.asarray(batch.column(0))
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(len(ids), BANDS, ROWS)
-            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(ids), BANDS)).copy()
-            for r in range(ROWS):
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
+            key = bands(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32))
             yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(ids, BANDS))], ["bucket", "id"])
 
     return reps.select("id", "sig").mapInArrow(run, "bucket long, id long")
@@ -197,13 +215,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for batch in batches:
             us, vs = [], []
             for u, v, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                same = int((y[at] == x).sum())
-                if 100 * same >= PERCENT * (len(x) + len(y) - same):
+                if linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)):
                     us.append(u)
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
@@ -220,48 +232,60 @@ def _labelled(buckets: DataFrame, stars: DataFrame) -> DataFrame:
 
 
 def _headed(buckets: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each class with the head of its part of the bucket, but those of one component."""
+    """Pairs (a, b) of each class with the head of its part of the bucket, but those of one component."""
     draw = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0).cast("long"), F.col("id"), F.col("c"))
-    sized = _split(buckets, buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket")
-    parted = sized.withColumn("part", F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / UNDER_HEAD))).drop("size")
-    heads = parted.groupBy("bucket", "part").agg(F.min(draw).alias("h"))
-    heads = heads.select("bucket", "part", F.col("h.id").alias("head"), F.col("h.c").alias("hc"))
+    part = F.pmod(F.xxhash64("id", F.lit(turn)), F.ceil(F.col("size") / UNDER_HEAD))
     keyed = F.xxhash64("bucket", "part").alias("xkey")
-    met = parted.select("*", keyed).join(heads.select("*", keyed), ["xkey", "bucket", "part"])
-    top = heads.groupBy("bucket").agg(F.min(F.struct("head", "hc")).alias("t"))
-    over = _split(heads, top, "bucket").select(F.col("head").alias("id"), F.col("hc").alias("c"), F.col("t.head").alias("head"), F.col("t.hc").alias("hc"))
-    found = met.select("id", "c", "head", "hc").unionByName(over).filter("c <> hc")
-    return found.select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b")).distinct()
+    parted = buckets.withColumn("part", part)
+    heads = parted.groupBy("bucket", "part").agg(F.min(draw).alias("h"))
+    met = parted.select("*", keyed).join(heads.select("*", keyed), ["xkey", "bucket", "part"]).filter("c <> h.c")
+    return met.select(F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"))
 
 
-def _apart(buckets: DataFrame, reps: DataFrame) -> DataFrame:
-    """All plausible pairs of different components in the buckets: classes outside a bucket's largest component against all, block by block."""
+def _outer(buckets: DataFrame) -> DataFrame:
+    """Of each bucket: its largest component, its size, and how many classes are not in that."""
     counts = buckets.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("size"))
-    main = main.select("bucket", F.col("m.c").alias("main"), (F.col("size") - F.col("m.n")).alias("outer"), "size")
-    tagged = _split(_split(buckets, reps.select("id", F.col("n").alias("set_size"), "sig"), "id"), main, "bucket")
-    rows, cols = F.ceil(F.col("outer") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
+    main = counts.groupBy("bucket").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("all"))
+    return main.select("bucket", F.col("m.c").alias("main"), (F.col("all") - F.col("m.n")).alias("outer"), "all")
+
+
+def _apart(buckets: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links between different components of a bucket, as (u, v).
+
+    Classes outside the largest component meet all, block by block. A pair that meets in several buckets is judged in the one
+    of the first band on which it agrees: that bucket is not of one component either, or has had all its pairs verified.
+    """
+    full = _split(reps.select("id", "sig"), sets, "id")
+    tagged = _split(_split(buckets.select("bucket", "id", "c"), full, "id"), _outer(buckets), "bucket")
+    rows, cols = F.ceil(F.col("outer") / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
     place = lambda n, s: F.pmod(F.xxhash64("id", F.lit(s)), n).cast("int")
-    columns = ["bucket", "r", "k", "side", "id", "c", "set_size", "sig"]
+    columns = ["bucket", "r", "k", "side", "id", "c", "sig", "set"]
     outer = tagged.filter("c <> main").withColumns({"r": place(rows, 1), "k": F.explode(F.sequence(F.lit(0), cols - 1)), "side": F.lit(0)}).select(columns)
     every = tagged.withColumns({"k": place(cols, 2), "r": F.explode(F.sequence(F.lit(0), rows - 1)), "side": F.lit(1)}).select(columns)
 
     def compare(table: pa.Table) -> pa.Table:
-        side, ids, c, n = (np.asarray(table.column(x)) for x in ("side", "id", "c", "set_size"))
+        side, ids, c = (np.asarray(table.column(x)) for x in ("side", "id", "c"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
+        n = np.array([len(x) for x in sets])
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+        own = bands(sig)
+        band = int((own[0] == np.uint64(table.column("bucket")[0].as_py() % (1 << 64))).argmax())
         ours, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         us, vs = [], []
         for x in ours:
             y = theirs[(c[theirs] != c[x]) & (100 * np.minimum(n[theirs], n[x]) >= PERCENT * np.maximum(n[theirs], n[x]))]
+            y = y[~(own[y, :band] == own[x, :band]).any(1)]
             y = y[plausible(np.broadcast_to(sig[x], (len(y), sig.shape[1])), sig[y])]
-            us += [min(ids[x], i) for i in ids[y]]
-            vs += [max(ids[x], i) for i in ids[y]]
-        return pa.table({"a": pa.array(us, pa.int64()), "b": pa.array(vs, pa.int64())})
+            for k in y:
+                if linked(sets[x], sets[k]):
+                    us.append(max(ids[x], ids[k]))
+                    vs.append(min(ids[x], ids[k]))
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
-    return outer.unionByName(every).groupBy("bucket", "r", "k").applyInArrow(compare, "a long, b long").distinct()
+    return outer.unionByName(every).groupBy("bucket", "r", "k").applyInArrow(compare, "u long, v long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few_most: int = FEW, rounds: int = ROUNDS) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few_most: int = FEW, rounds: int = ROUNDS, much: int = MUCH) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
     Words are runs without white space, A-Z in lower case. A document's set has its distinct runs of five words, or all its words as one
@@ -288,25 +312,28 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     banded = _banded(reps).distinct()
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = written(_split(banded, shared, "bucket"), "buckets")
-    few, many = buckets.filter(F.col("size") <= few_most), buckets.filter(F.col("size") > few_most).drop("size")
+    few, many = buckets.filter(F.col("size") <= few_most), buckets.filter(F.col("size") > few_most)
     sets = written(_sets(base, buckets.select("id").distinct()), "sets")
 
-    def add(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
-        found = written(_confirmed(pairs, sets), "links")
-        unwrite(pairs)
-        return links.unionByName(found)
-
-    pairs = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").filter("a < b")
-    links = add(_kept(pairs.select("a", "b").distinct(), reps))
-    stars = components(links)
-    for turn in range(rounds + 1):
+    def joined(found: DataFrame, stars: DataFrame) -> DataFrame:
+        """The components with these links too."""
+        found = written(found.unionByName(stars), "links")
+        out = components(found)
+        unwrite(found, stars)
+        return out
+
+    pairs = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").filter("a < b").select("a", "b")
+    pairs = pairs.unionByName(_headed(many.withColumn("c", F.col("id")), 0))
+    stars = joined(_confirmed(written(_kept(pairs.distinct(), reps), "pairs"), sets), links)
+    for turn in range(1, rounds + 1):
         left = written(_labelled(many, stars), "apart")
         if left.isEmpty():
             break
-        links = add(_kept(_headed(left, turn), reps) if turn < rounds else _apart(left, reps))
-        unwrite(stars, left)
-        stars = components(links)
+        last = turn == rounds or _outer(left).agg(F.sum(F.col("outer") * F.col("all")).alias("n")).first().n <= much
+        stars = joined(_apart(left, reps, sets) if last else _confirmed(written(_kept(_headed(left, turn).distinct(), reps), "pairs"), sets), stars)
+        unwrite(left)
+        if last:
+            break
     unwrite(buckets, sets, reps)
     label = stars.select(F.col("u").alias("rep"), F.col("v").alias("root"))
     found = member.join(label, "rep", "left").select("id", F.coalesce("root", "rep").alias("root")).groupBy("id").agg(F.min("root").alias("root"))

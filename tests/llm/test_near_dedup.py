@@ -57,7 +57,7 @@ def texts():
     return rows
 
 
-@pytest.mark.parametrize("more", [{}, {"few_most": 1, "rounds": 1}, {"few_most": 1, "rounds": 0}])
+@pytest.mark.parametrize("more", [{}, {"few_most": 1, "rounds": 4, "much": 0}, {"few_most": 2, "rounds": 1}])
 def test_brute_force(spark, more, monkeypatch):
     rows = texts()
     if more:
