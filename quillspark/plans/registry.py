@@ -2,15 +2,8 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from . import output_queries, paragraph_queries, sentence_queries, vector_queries
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-for _name in ("paragraph_queries", "sentence_queries", "vector_queries", "output_queries"):
-    try:
-        _m = import_module(f"{__package__}.{_name}")
-    except ModuleNotFoundError:
-        continue
-    QUERIES |= _m.QUERIES
-    ORACLES |= _m.ORACLES
+_MODULES = (paragraph_queries, sentence_queries, vector_queries, output_queries)
+QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
