@@ -178,7 +178,7 @@ def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
 
 
 def _sets(base: DataFrame, candidates: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """id, set: full shingle sets of the candidates, and of a few more ids that the filter lets pass."""
+    """id, sig, low, set of the candidates, and of a few more ids that the filter lets pass: signature, the upper halves of the shingle hashes, and the full hashes."""
     shared = base.sparkSession.sparkContext.broadcast(_bitmap(candidates, bits))
 
     def run(batches):
@@ -186,9 +186,14 @@ def _sets(base: DataFrame, candidates: DataFrame, bits: int = FILTER_BITS) -> Da
             place = np.asarray(batch.column(2)).view(np.uint64) >> np.uint64(64 - bits)
             own = np.flatnonzero(shared.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
             for ids, hashes, at in _texts([batch.take(pa.array(own))] if len(own) else []):
-                yield pa.RecordBatch.from_arrays([ids, pa.array([hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], ["id", "set"])
+                ids = ids.filter(pa.array(np.diff(at) > 0))
+                cut = [hashes[a:b] for a, b in zip(at[:-1], at[1:]) if b > a]
+                if not cut:
+                    continue
+                columns = [[s.tobytes() for s in signatures(hashes, at)], [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in cut], [x.tobytes() for x in cut]]
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.binary()) for c in columns)], ["id", "sig", "low", "set"])
 
-    return base.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "id long, set binary")
+    return base.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "id long, sig binary, low binary, set binary")
 
 
 def _kept(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -249,27 +254,28 @@ def _outer(buckets: DataFrame) -> DataFrame:
     return main.select("bucket", F.col("m.c").alias("main"), (F.col("all") - F.col("m.n")).alias("outer"), "all")
 
 
-def _apart(buckets: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links between different components of a bucket, as (u, v).
+def _apart(buckets: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components of a bucket that signatures and halved hashes leave as possible links.
 
     Classes outside the largest component meet all, block by block. A pair that meets in several buckets is judged in the one
     of the first band on which it agrees: that bucket is not of one component either, or has had all its pairs verified.
+    Intersections of halved hashes are never too small, so none that is a link gets lost.
     """
-    full = _split(reps.select("id", "sig"), sets, "id")
-    tagged = _split(_split(buckets.select("bucket", "id", "c"), full, "id"), _outer(buckets), "bucket")
+    tagged = _split(buckets.select("bucket", "id", "c"), _outer(buckets), "bucket")
     rows, cols = F.ceil(F.col("outer") / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
     place = lambda n, s: F.pmod(F.xxhash64("id", F.lit(s)), n).cast("int")
-    columns = ["bucket", "r", "k", "side", "id", "c", "sig", "set"]
+    columns = ["bucket", "r", "k", "side", "id", "c"]
     outer = tagged.filter("c <> main").withColumns({"r": place(rows, 1), "k": F.explode(F.sequence(F.lit(0), cols - 1)), "side": F.lit(0)}).select(columns)
     every = tagged.withColumns({"k": place(cols, 2), "r": F.explode(F.sequence(F.lit(0), rows - 1)), "side": F.lit(1)}).select(columns)
+    dealt = _split(outer.unionByName(every), sets.select("id", "sig", "low"), "id")
 
     def compare(table: pa.Table) -> pa.Table:
         side, ids, c = (np.asarray(table.column(x)) for x in ("side", "id", "c"))
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
-        n = np.array([len(x) for x in sets])
+        low = [np.frombuffer(x, np.uint32) for x in table.column("low").to_pylist()]
+        n = np.array([len(x) for x in low])
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
         own = bands(sig)
-        band = int((own[0] == np.uint64(table.column("bucket")[0].as_py() % (1 << 64))).argmax())
+        band = int((own == np.uint64(table.column("bucket")[0].as_py() % (1 << 64))).any(0).argmax())
         ours, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         us, vs = [], []
         for x in ours:
@@ -277,12 +283,12 @@ def _apart(buckets: DataFrame, reps: DataFrame, sets: DataFrame) -> DataFrame:
             y = y[~(own[y, :band] == own[x, :band]).any(1)]
             y = y[plausible(np.broadcast_to(sig[x], (len(y), sig.shape[1])), sig[y])]
             for k in y:
-                if linked(sets[x], sets[k]):
-                    us.append(max(ids[x], ids[k]))
-                    vs.append(min(ids[x], ids[k]))
-        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+                if linked(low[x], low[k]):
+                    us.append(min(ids[x], ids[k]))
+                    vs.append(max(ids[x], ids[k]))
+        return pa.table({"a": pa.array(us, pa.int64()), "b": pa.array(vs, pa.int64())})
 
-    return outer.unionByName(every).groupBy("bucket", "r", "k").applyInArrow(compare, "u long, v long")
+    return dealt.groupBy("bucket", "r", "k").applyInArrow(compare, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few_most: int = FEW, rounds: int = ROUNDS, much: int = MUCH) -> DataFrame:
@@ -330,7 +336,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if left.isEmpty():
             break
         last = turn == rounds or _outer(left).agg(F.sum(F.col("outer") * F.col("all")).alias("n")).first().n <= much
-        stars = joined(_apart(left, reps, sets) if last else _confirmed(written(_kept(_headed(left, turn).distinct(), reps), "pairs"), sets), stars)
+        pairs = _apart(left, sets) if last else _kept(_headed(left, turn).distinct(), reps)
+        stars = joined(_confirmed(written(pairs.distinct(), "pairs"), sets), stars)
         unwrite(left)
         if last:
             break
