@@ -38,14 +38,15 @@ def similarity(par: DataFrame, pack: Pack, most: int = 100) -> DataFrame:
         F.map_from_arrays(term("_b", "_bs"), run_lengths(F.col("_bs"), F.size("_b"))).alias("_bm"),
     )
     tf = lambda m, t: F.coalesce(F.try_element_at(F.col(m), t), F.lit(0))
-    every = F.transform(F.array_union(F.map_keys("_am"), F.map_keys("_bm")), lambda t: F.struct((-(tf("_am", t) + tf("_bm", t))).alias("n"), t.alias("t")))
+    # each term is looked up once in either text; what follows works on the counts found
+    met = F.transform(F.array_union(F.map_keys("_am"), F.map_keys("_bm")), lambda t: F.struct(t.alias("t"), tf("_am", t).alias("x"), tf("_bm", t).alias("y")))
+    every = F.transform(met, lambda s: F.struct((-(s.x + s.y)).alias("n"), s.t.alias("t"), s.x.cast("double").alias("x"), s.y.cast("double").alias("y")))
     d = c.select("*", F.slice(F.sort_array(every), 1, most).alias("_u"))
-    rare = 1 + F.log(F.lit(1.5))
+    rare = F.pow(1 + F.log(F.lit(1.5)), F.lit(2.0))
 
     def add(s, u):
-        x, y = tf("_am", u.t), tf("_bm", u.t)
-        w = F.when((x > 0) & (y > 0), F.lit(1.0)).otherwise(rare)
-        return F.struct((s.xy + x * y * w * w).alias("xy"), (s.xx + x * x * w * w).alias("xx"), (s.yy + y * y * w * w).alias("yy"))
+        w = F.when((u.x > 0) & (u.y > 0), F.lit(1.0)).otherwise(rare)
+        return F.struct((s.xy + u.x * u.y).alias("xy"), (s.xx + u.x * u.x * w).alias("xx"), (s.yy + u.y * u.y * w).alias("yy"))
 
     zero = F.struct(*(F.lit(0.0).alias(k) for k in ("xy", "xx", "yy")))
     cosine = F.aggregate("_u", zero, add, lambda s: F.when((s.xx > 0) & (s.yy > 0), s.xy / F.sqrt(s.xx * s.yy)).otherwise(0.0))
