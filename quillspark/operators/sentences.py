@@ -133,12 +133,12 @@ def stats_signal() -> Column:
     return F.when(F.col("chars") >= 15, parts).otherwise(0.0)
 
 
-def zones_raw(par: DataFrame, pack: Pack, extra: DataFrame | None = None) -> DataFrame:
+def zones_raw(par: DataFrame, pack: Pack, extra: DataFrame | None = None, char_sim: DataFrame | None = None) -> DataFrame:
     """doc_id, p_idx, s_idx, sentence, chars, score, zone, signals: each sentence by itself; score not rounded.
 
     The paragraph's level is that of a paragraph with none before it. Sentences under five characters go; in a list of references all are green
     at 0. `extra` may bring further signals of paragraphs (doc_id, p_idx, bigram, own, human, uniform), which default to none; those of bigram
-    and own count where their sum is above 0.
+    and own count where their sum is above 0. `char_sim` (doc_id, p_idx, s_idx, similarity) brings the likeness of sentences to known texts.
     """
     levels = classified(dimensions(par, pack, compare=False)).select("doc_id", "p_idx", "level")
     shared = reference_latch(paragraph_signals(par, pack), pack).join(levels, ["doc_id", "p_idx"])
@@ -149,11 +149,14 @@ def zones_raw(par: DataFrame, pack: Pack, extra: DataFrame | None = None) -> Dat
     keep = ["doc_id", "p_idx", "template", "parallel", "even", "level", "in_references", "bigram", "own", "human", "uniform"]
     rows = shared.select(*keep, F.size("sents").alias("n_sents"), F.posexplode("sents").alias("s_idx", "sentence")).withColumn("chars", F.length("sentence")).filter("chars >= 5")
     rows = sentence_stats(rows, pack)
+    if char_sim is not None:
+        rows = rows.join(char_sim.select("doc_id", "p_idx", "s_idx", F.col("similarity").alias("_like")), ["doc_id", "p_idx", "s_idx"], "left")
     s = F.col("sentence")
     told = F.col("bigram") + F.col("own")
     signals = {
         "stats": stats_signal(),
         "uniform": F.col("uniform"),
+        "likeness": char_signal(F.coalesce("_like", F.lit(0.0))) if char_sim is not None else F.lit(0.0),
         "connector": connector_signal(s, pack),
         "slop": F.when(hits(s, pack.all_slop) >= 1, 0.28).otherwise(0.0),
         "template": F.col("template") * 0.4,

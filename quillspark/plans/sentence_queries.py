@@ -72,17 +72,17 @@ def connector_sql(x: str, pack) -> str:
     return f"CASE WHEN {h} >= 2 THEN 0.3 WHEN {h} = 1 THEN 0.18 WHEN {m} >= 2 THEN 0.22 WHEN {m} = 1 THEN 0.1 WHEN {lo} >= 2 THEN 0.08 WHEN {lo} = 1 THEN 0.04 ELSE 0 END::DOUBLE"
 
 
-def zones_sql(pack) -> str:
-    """zr: raw zones."""
-    return f"""{sent_sql(pack)}, {S.dims(pack, False)}, {S.classified()}, {stats_sql(pack)}, {shared_sql(pack)},
-zs AS (SELECT st.doc_id, st.p_idx, s_idx, sentence, chars, CASE WHEN in_references THEN 0.0::DOUBLE ELSE
+def zones_sql(pack, more: str = "0.0::DOUBLE", joins: str = "", before: str = "") -> str:
+    """zr: raw zones. more: a further sum of signals, from what `before` defines and `joins` brings in."""
+    return f"""{sent_sql(pack)}, {before} {S.dims(pack, False)}, {S.classified()}, {stats_sql(pack)}, {shared_sql(pack)},
+zs AS (SELECT st.doc_id, st.p_idx, st.s_idx, sentence, chars, CASE WHEN in_references THEN 0.0::DOUBLE ELSE
   CASE WHEN chars >= 15 THEN (CASE WHEN lexical_diversity < 0.55 THEN 0.1 WHEN lexical_diversity < 0.68 THEN 0.05 ELSE 0 END + CASE WHEN char_entropy < 3 THEN 0.07 WHEN char_entropy < 3.8 THEN 0.03 ELSE 0 END
     + CASE WHEN word_repetition >= 3 THEN 0.1 WHEN word_repetition >= 2 THEN 0.05 ELSE 0 END + CASE WHEN unique_char_ratio < 0.5 THEN 0.07 WHEN unique_char_ratio < 0.62 THEN 0.03 ELSE 0 END)::DOUBLE ELSE 0.0::DOUBLE END
   + {connector_sql("sentence", pack)} + CASE WHEN {S.hits("sentence", pack.all_slop)} >= 1 THEN 0.28 ELSE 0 END::DOUBLE + template * 0.4::DOUBLE
   + CASE WHEN parallel > 0 AND {starter_sql("sentence", pack)} IS NOT NULL THEN parallel ELSE 0.0::DOUBLE END + {formula_sql("sentence", pack)}
-  + CASE WHEN chars >= 10 THEN even ELSE 0.0::DOUBLE END + CASE WHEN chars BETWEEN 15 AND 25 THEN 0.03 ELSE 0 END::DOUBLE + CASE WHEN s_idx = 0 THEN 0.04 ELSE 0 END::DOUBLE
-  + CASE WHEN s_idx = n_sents - 1 AND n_sents > 1 THEN 0.03 ELSE 0 END::DOUBLE + CASE WHEN level IN ('red', 'deep_red') THEN 0.18 WHEN level = 'yellow' THEN 0.1 ELSE 0 END::DOUBLE + 0.03::DOUBLE END AS raw
-  FROM st JOIN psig USING (doc_id, p_idx) JOIN cls USING (doc_id, p_idx) WHERE chars >= 5),
+  + CASE WHEN chars >= 10 THEN even ELSE 0.0::DOUBLE END + CASE WHEN chars BETWEEN 15 AND 25 THEN 0.03 ELSE 0 END::DOUBLE + CASE WHEN st.s_idx = 0 THEN 0.04 ELSE 0 END::DOUBLE
+  + CASE WHEN st.s_idx = n_sents - 1 AND n_sents > 1 THEN 0.03 ELSE 0 END::DOUBLE + CASE WHEN level IN ('red', 'deep_red') THEN 0.18 WHEN level = 'yellow' THEN 0.1 ELSE 0 END::DOUBLE + 0.03::DOUBLE + {more} END AS raw
+  FROM st JOIN psig USING (doc_id, p_idx) JOIN cls USING (doc_id, p_idx) {joins} WHERE chars >= 5),
 zr AS (SELECT doc_id, p_idx, s_idx, sentence, chars, least(raw, 1.0::DOUBLE) AS score,
   CASE WHEN round(raw, 6) >= 0.26 THEN 'red' WHEN round(raw, 6) >= 0.2 THEN 'orange' WHEN round(raw, 6) >= 0.1 THEN 'yellow' ELSE 'green' END AS zone FROM zs)"""
 
@@ -199,3 +199,35 @@ def _(spark, d):
     vocabulary, weights = M.char_model(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id")
     rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text")
     return M.best_match(rows, ["conv_id", "turn"], vocabulary, weights).select("conv_id", "turn", *rounded("similarity"))
+
+
+_ALL_SIGNALS = zones_sql(
+    LATIN,
+    more="CASE WHEN sg.b + sg.o > 0 THEN sg.b + sg.o ELSE 0 END::DOUBLE + CASE WHEN coalesce(ck.c, 0) > 0.5 THEN 0.4 WHEN coalesce(ck.c, 0) > 0.3 THEN 0.22 ELSE 0 END::DOUBLE",
+    joins="JOIN sg ON sg.doc_id = st.doc_id AND sg.p_idx = st.p_idx LEFT JOIN ck ON ck.doc_id = st.doc_id AND ck.p_idx = st.p_idx AND ck.s_idx = st.s_idx",
+    before=f"""{_LM}, {_TFIDF}, pt AS (SELECT doc_id, p_idx, {S.tokens("text", LATIN)} AS t FROM par),
+pb AS (SELECT doc_id, p_idx, t[i] AS w1, t[i + 1] AS w2 FROM (SELECT *, unnest(range(1, len(t))) AS i FROM pt WHERE len(t) >= 4)),
+mt AS (SELECT doc_id, p_idx, count(*) AS n, avg(p) AS a FROM pb JOIN lm USING (w1, w2) GROUP BY ALL),
+{_SELF.partition("t AS (")[2].join(["t AS (", ""])},
+sg AS (SELECT par.doc_id, par.p_idx, CASE WHEN coalesce(n, 0) < 3 THEN -1.0 WHEN a > 0.25 THEN 0.1 WHEN a > 0.12 THEN 0.06 WHEN a > 0.05 THEN 0.02 ELSE 0 END::DOUBLE AS b,
+  CASE WHEN self_ppl < 0 THEN -1.0 ELSE CASE WHEN self_ppl < 6 THEN 0.1 WHEN self_ppl < 12 THEN 0.05 ELSE 0 END + CASE WHEN new_word_ratio < 0.25 THEN 0.05 WHEN new_word_ratio < 0.4 THEN 0.02 ELSE 0 END END::DOUBLE AS o
+  FROM par LEFT JOIN mt USING (doc_id, p_idx) LEFT JOIN sp USING (doc_id, p_idx)),
+xg AS (SELECT doc_id, p_idx, s_idx, unnest({_GRAMS.format(x="sentence")}) AS g FROM sent WHERE len(sentence) >= 10),
+x0 AS (SELECT doc_id, p_idx, s_idx, g, count(*) * any_value(idf) AS w FROM xg JOIN vi USING (g) GROUP BY ALL),
+xw AS (SELECT doc_id, p_idx, s_idx, g, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, p_idx, s_idx)) AS w FROM x0),
+xm AS (SELECT doc_id, p_idx, s_idx, item_id, sum(xw.w * rw.w) AS c FROM xw JOIN rw USING (g) GROUP BY ALL),
+ck AS (SELECT doc_id, p_idx, s_idx, max(c) AS c FROM xm GROUP BY ALL),""",
+)
+
+
+@query("sentence_zones_all_signals", f"WITH {TALK}, {_ALL_SIGNALS}, {SPREAD} SELECT doc_id, p_idx, s_idx, round(score, 4) AS score, zone FROM zp")
+def _(spark, d):
+    """Conversations with every signal that needs no vectors: the models come from the benchmark's texts."""
+    rows, refs = talk(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")
+    avg = M.average_probability(rows, M.bigram_model(refs, LATIN), LATIN)
+    own = T.self_perplexity(rows, LATIN)
+    extra = avg.join(own, ["doc_id", "p_idx"]).select("doc_id", "p_idx", T.bigram_signal(F.col("avg_prob")).alias("bigram"), T.self_signal(F.col("self_ppl"), F.col("new_word_ratio")).alias("own"))
+    keys = ["doc_id", "p_idx", "s_idx"]
+    like = M.best_match(P.sentences(rows, LATIN).select(*keys, F.col("sentence").alias("text")), keys, *M.char_model(refs, "item_id"))
+    zones = T.propagated(T.zones_raw(rows, LATIN, extra, like))
+    return zones.select(*keys, F.round("score", 4).alias("score"), "zone")
