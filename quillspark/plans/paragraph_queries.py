@@ -9,6 +9,7 @@ from ..functions.packs import LATIN, ZH
 from ..functions.thresholds import RULE_DIMENSIONS
 from ..operators import dimensions as D
 from ..operators import parse as P
+from ..sources.readers import spread
 from . import sql as S
 
 #: Made-up Chinese paragraphs, which bring the Chinese pack's expressions to bear.
@@ -28,7 +29,7 @@ def zh_docs(spark: SparkSession) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def par(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def par(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def talk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.ordered_paragraphs(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn")
+    return P.ordered_paragraphs(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")), "conv_id", "turn")
 
 
 PAR, ZPAR, TALK = S.paragraphs(LATIN), ZH_SQL + "," + S.paragraphs(ZH, "zh"), S.turns()

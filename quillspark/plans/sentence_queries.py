@@ -8,6 +8,7 @@ from ..functions.packs import LATIN, ZH
 from ..operators import models as M
 from ..operators import parse as P
 from ..operators import sentences as T
+from ..sources.readers import spread
 from . import sql as S
 from .paragraph_queries import PAR, TALK, ZPAR, par, rounded, talk, zh_docs
 
@@ -197,7 +198,7 @@ sm AS (SELECT conv_id, turn, item_id, sum(sw.w * rw.w) AS c FROM sw JOIN rw USIN
 SELECT conv_id, turn, round(coalesce(max(c), 0.0::DOUBLE), 6) AS similarity FROM conversations LEFT JOIN sm USING (conv_id, turn) GROUP BY ALL""")
 def _(spark, d):
     vocabulary, weights = M.char_model(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id")
-    rows = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text")
+    rows = spread(spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "text"))
     return M.best_match(rows, ["conv_id", "turn"], vocabulary, weights).select("conv_id", "turn", *rounded("similarity"))
 
 

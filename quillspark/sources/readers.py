@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over as many partitions as there are cores, if the scan gives fewer: a small file of one row group is one task. A large table stays as it is scanned."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """path, text: each file whole, in UTF-8."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

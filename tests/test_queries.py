@@ -3,6 +3,9 @@
 import oracle
 import pytest
 
+from quillspark.functions.packs import LATIN
+from quillspark.operators import dimensions as D
+from quillspark.operators import parse as P
 from quillspark.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -30,7 +33,8 @@ def test_native_plans(spark):
 
 
 def test_statistics_move_no_rows(spark):
-    plan = registry.QUERIES["dims_wide"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = D.classified(D.dimensions(P.paragraphs(docs, LATIN), LATIN))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
 
 
