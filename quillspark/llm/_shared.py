@@ -104,10 +104,6 @@ def slices(at: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
         i = min(j, n)
 
 
-def id_sql(id_col: str) -> str:
-    return f"crc32(cast(`{id_col}` as string))"
-
-
 def _place(path: str):
     from pyarrow import fs
 
