@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions.packs import LATIN, ZH
 from ..operators import dimensions as D
 from ..operators import fusion as U
-from ..operators import parse as P
 from ..operators import scoring as C
 from ..operators import semantic as V
 from ..operators import sentences as T
