@@ -15,15 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import small_batches, slices, text_bytes, written
-from ._words import LOWER, NOT_ALNUM, Words
-
-#: Words in the vocabulary: the most frequent of the labelled rows.
-VOCABULARY = 1 << 17
-#: Bigrams kept, the most frequent first.
-BIGRAMS = 1 << 18
-#: Words and bigrams seen less often are left to the shared counts,
-LEAST = 5
-#: and so are those whose counts in the two classes differ less than by this likelihood-ratio statistic (G squared).
+from ._words import LOWER, NOT_ALNUM, Words, windows
+
+#: Words and bigrams are left to the shared counts where their counts in the two classes differ less than by this likelihood-ratio statistic (G squared).
 CREDIBLE = 60.0
 #: Labelled rows on which the curve is fitted, about.
 CURVE_ROWS = 6000
@@ -32,6 +26,10 @@ BROADCAST_LABELS = 1_000_000
 DISCOUNT = 0.75
 THRESHOLD = 0.7
 COUNT_BYTES = 16 << 20
+#: Rows of counts in an Arrow batch.
+OUT_ROWS = 1 << 17
+#: The folds that a model learns from.
+MODELS = ((0,), (1,), (0, 1))
 
 
 def credible(counts: np.ndarray, expected: np.ndarray) -> np.ndarray:
@@ -41,41 +39,64 @@ def credible(counts: np.ndarray, expected: np.ndarray) -> np.ndarray:
     return g >= CREDIBLE
 
 
+def telling(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Which words, by counts [2, words], one class has credibly more often."""
+    share = np.maximum(totals, 1.0) / np.maximum(totals, 1.0).sum()
+    return credible(counts, counts.sum(0) * share[:, None])
+
+
+def telling_pairs(pair_counts: np.ndarray, second: np.ndarray, counts: np.ndarray, told: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Which pairs tell more than their second word does. second: its place among counts and told, -1 for a word that is not there and so tells nothing."""
+    share = np.maximum(totals, 1.0) / np.maximum(totals, 1.0).sum()
+    # what a word's own counts would tell of the pair is expected of it
+    mixed = np.repeat(share[:, None], len(second), 1)
+    known = np.flatnonzero(second >= 0)
+    known = known[told[second[known]]]
+    part = counts[:, second[known]]
+    mixed[:, known] = part / np.maximum(part.sum(0), 1)
+    return credible(pair_counts, np.maximum(pair_counts.sum(0) * mixed, 1e-9))
+
+
+def find(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each among ascending hashes, -1 for those that are not there."""
+    if not len(hashes):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+    return np.where(hashes[at] == wanted, at, -1)
+
+
 class Model:
-    """Arrays for the two classes; ratio() scores texts. counts: [2, words]; pairs: first * words + second, ascending, with counts [2, pairs]."""
+    """Arrays for the two classes; ratio() scores texts. counts: [2, words]; pairs: first * words + second, ascending, with counts [2, pairs].
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, totals: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, contexts: np.ndarray):
+    Words that tell nothing and are in no telling pair score 0, so they can be left out; `whole` then has, of all
+    words, how many each class has, how many there are and the sum of their contexts.
+    """
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, totals: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, contexts: np.ndarray, whole: tuple | None = None):
         n = len(hashes)
-        share = np.maximum(totals, 1.0) / np.maximum(totals, 1.0).sum()
-        told = credible(counts, counts.sum(0) * share[:, None])
-        # what a word's own counts would tell of the pair is expected of it
-        part = counts / np.maximum(counts.sum(0), 1) if n else counts
-        second = pairs % max(n, 1)
-        mixed = np.where(told[second], part[:, second], share[:, None]) if len(pairs) else pair_counts
-        own = credible(pair_counts, np.maximum(pair_counts.sum(0) * mixed, 1e-9))
+        has, size, standing = whole or (np.count_nonzero(counts, axis=1), n, contexts.sum())
+        told = telling(counts, totals)
+        own = telling_pairs(pair_counts, pairs % max(n, 1), counts, told, totals)
         pairs, pair_counts = pairs[own], pair_counts[:, own]
         self.hashes, self.told = hashes, told
-        shared = (contexts + 1.0) / (contexts.sum() + n + 1.0)
+        shared = (contexts + 1.0) / (standing + size + 1.0)
         self.word = np.empty((2, n))
         self.rest = np.ones((2, n))
         self.pairs, self.pair = pairs, np.zeros((2, len(pairs)))
         first = pairs // max(n, 1)
         for c in (0, 1):
             total = max(float(totals[c]), 1.0)
-            left = DISCOUNT * (np.count_nonzero(counts[c]) + 1) / total
+            left = DISCOUNT * (has[c] + 1) / total
             self.word[c] = np.where(told, np.maximum(counts[c] - DISCOUNT, 0) / total + min(left, 1.0) * shared, shared)
             seen = np.bincount(first, pair_counts[c], n) if len(pairs) else np.zeros(n)
             kinds = np.bincount(first, pair_counts[c] > 0, n) if len(pairs) else np.zeros(n)
-            has = seen > 0
-            self.rest[c][has] = DISCOUNT * kinds[has] / seen[has]
+            some = seen > 0
+            self.rest[c][some] = DISCOUNT * kinds[some] / seen[some]
             self.pair[c] = np.maximum(pair_counts[c] - DISCOUNT, 0) / np.maximum(seen[first], 1)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, -1 for those outside the vocabulary."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, at, -1)
+        return find(self.hashes, hashes)
 
     def ratio(self, words: Words) -> np.ndarray:
         """The mean log-likelihood of toxic over ordinary per word of each text; 0 without words."""
@@ -109,27 +130,51 @@ def _passes(batches, column: int, most: int):
             yield batch, i, j, Words(LOWER[raw[at[i] : at[j]]], at[i : j + 1] - at[i], NOT_ALNUM)
 
 
-def _counted(rows: DataFrame, key) -> DataFrame:
-    """key(words) gives a 64-bit key per word, and which words count; the rows of a key, fold and class are added up."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """first, second, n0 to n3: how often each fold and class has each word (first; second is null) and each two words in a row. All are counted."""
 
     def run(batches):
         for batch, i, j, words in _passes(batches, 2, COUNT_BYTES):
             fold, label = (np.asarray(batch.column(k).slice(i, j - i)) for k in (0, 1))
-            group = np.repeat(fold * 2 + label, words.counts())
-            keys, use = key(words)
+            group, h = np.repeat(fold * 2 + label, words.counts()), words.hash
+            begin = words.at[(words.at > 0) & (words.at < len(h))]
+            row = np.ones(max(len(h) - 1, 0), bool)
+            row[begin - 1] = False
+            pair = windows(h, 2)
             for g in range(4):
-                found, n = np.unique(keys[use & (group == g)], return_counts=True)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(len(found), g, np.int32)), pa.array(n, pa.int64())], ["key", "g", "n"])
+                one, n1 = np.unique(h[group == g], return_counts=True)
+                here = np.flatnonzero(row & (group[1:] == g))
+                _, at, n2 = np.unique(pair[here], return_index=True, return_counts=True)
+                here = here[at]
+                for first, second, n in ((one, None, n1), (h[here], h[here + 1], n2)):
+                    for k in range(0, len(first), OUT_ROWS):
+                        part = slice(k, k + OUT_ROWS)
+                        a = pa.array(first[part].view(np.int64))
+                        b = pa.nulls(len(a), pa.int64()) if second is None else pa.array(second[part].view(np.int64))
+                        yield pa.RecordBatch.from_arrays([a, b, pa.array(np.full(len(a), g, np.int32)), pa.array(n[part], pa.int64())], ["first", "second", "g", "n"])
 
     per = [F.sum(F.when(F.col("g") == g, F.col("n")).otherwise(0)).alias(f"n{g}") for g in range(4)]
-    return rows.mapInArrow(run, "key long, g int, n long").groupBy("key").agg(*per).withColumn("n", F.expr("n0 + n1 + n2 + n3"))
+    return rows.mapInArrow(run, "first long, second long, g int, n long").groupBy("first", "second").agg(*per)
+
 
+def _table(found: pa.Table) -> np.ndarray:
+    """[columns, rows] of whole numbers."""
+    return np.stack([np.asarray(c, dtype=np.int64) for c in found.columns]) if found.num_rows else np.zeros((found.num_columns, 0), np.int64)
 
-def _top(df: DataFrame, most: int) -> np.ndarray:
-    """At most so many rows, the most frequent first: [rows, key and four counts], by key."""
-    found = df.filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "key").limit(most).select("key", "n0", "n1", "n2", "n3").toArrow()
-    return np.stack([np.asarray(c, dtype=np.int64) for c in found.columns], 1) if found.num_rows else np.zeros((0, 5), np.int64)
+
+def _filtered(df: DataFrame, choose) -> DataFrame:
+    """The rows of whole numbers that choose([columns, rows]) marks."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(choose(_table(pa.Table.from_batches([batch])))))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _added(n: np.ndarray, folds: tuple[int, ...]) -> np.ndarray:
+    """Counts [2, rows] of the classes, from those of folds and classes."""
+    return np.stack([sum(n[2 * f + c] for f in folds) for c in (0, 1)]).astype(float)
 
 
 class Scorer:
@@ -177,42 +222,47 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("fold", "label", "text")
     rows = rows.filter("text IS NOT NULL").dropDuplicates()  # copies of a text would make all its words tell
 
-    words = written(_counted(rows, lambda w: (w.hash, np.ones(len(w.hash), bool))), "word-counts")
-    t = words.agg(*(F.coalesce(F.sum(f"n{g}"), F.lit(0)).alias(f"n{g}") for g in range(4))).first()
-    totals = np.array([[t.n0, t.n1], [t.n2, t.n3]])
+    counts = written(_counted(rows), "counts")
+    words, pairs, four = counts.filter("second IS NULL").drop("second"), counts.filter("second IS NOT NULL"), ["n0", "n1", "n2", "n3"]
+    sums = [f"coalesce(sum(n{g}), 0)" for g in range(4)] + ["count(*)"] + [f"count_if({' + '.join(f'n{2 * f + c}' for f in folds)} > 0)" for folds in MODELS for c in (0, 1)]
+    t = np.array(words.agg(*(F.expr(e).alias(str(k)) for k, e in enumerate(sums))).first())
+    totals, size, has = t[:4].reshape(2, 2), t[4], dict(zip(MODELS, t[5:].reshape(-1, 2)))
     if not totals.sum(0).all():
         return Scorer(None)
-    top = _top(words, VOCABULARY)
-    order = np.argsort(top[:, 0].view(np.uint64))
-    top = top[order]
-    hashes = np.ascontiguousarray(top[:, 0]).view(np.uint64)
-    n = len(hashes)
-    shared = spark.sparkContext.broadcast(Model(hashes, np.zeros((2, n)), np.ones(2), np.zeros(0, np.int64), np.zeros((2, 0)), np.zeros(n)))
-
-    def pair(w: Words):
-        ids = shared.value.find(w.hash)
-        before = np.full(len(ids), -1)
-        before[1:] = ids[:-1]
-        before[w.at[:-1][w.at[:-1] < len(ids)]] = -1
-        return before * n + ids, (ids >= 0) & (before >= 0)
-
-    pairs = written(_counted(rows, pair), "pair-counts")
-    contexts = np.zeros(n)
-    found = pairs.groupBy(F.pmod("key", F.lit(max(n, 1))).alias("w")).count().toArrow()
-    contexts[np.asarray(found["w"])] = np.asarray(found["count"])
-    kept = _top(pairs, BIGRAMS)
-    kept = kept[np.argsort(kept[:, 0])]
-
-    def model(folds: list[int]) -> Model:
-        add = lambda a: np.stack([sum(a[:, 1 + 2 * f + c] for f in folds) for c in (0, 1)])
-        return Model(hashes, add(top).astype(float), totals[folds].sum(0), kept[:, 0], add(kept).astype(float), contexts)
+    total = {folds: totals[list(folds)].sum(0) for folds in MODELS}
+
+    # whatever tells something to any of the models, however much that is
+    told = _table(_filtered(words, lambda x: np.any([telling(_added(x[1:], m), total[m]) for m in MODELS], 0)).toArrow())
+    told = told[:, np.argsort(told[0].view(np.uint64))]
+    shared = spark.sparkContext.broadcast((told[0].view(np.uint64), [(m, c, telling(c, total[m]), total[m]) for m in MODELS for c in [_added(told[1:], m)]]))
+
+    def own(x: np.ndarray) -> np.ndarray:
+        known, models = shared.value
+        second = find(known, x[1].view(np.uint64))
+        return np.any([telling_pairs(_added(x[2:], m), second, c, tells, n) for m, c, tells, n in models], 0)
+
+    kept = _table(_filtered(pairs, own).toArrow())
+    hashes = np.unique(np.concatenate([told[0], kept[0], kept[1]]).view(np.uint64))
+    n, wanted = len(hashes), spark.sparkContext.broadcast(hashes)
+    among = lambda x: find(wanted.value, x[0].view(np.uint64)) >= 0
+    found, number = _table(_filtered(words, among).select("first", *four).toArrow()), np.zeros((4, n), np.int64)
+    number[:, find(hashes, found[0].view(np.uint64))] = found[1:]
+    contexts, stand = np.zeros(n), _table(_filtered(pairs.select("second"), among).groupBy("second").count().toArrow())
+    contexts[find(hashes, stand[0].view(np.uint64))] = stand[1]
+    standing = pairs.count()
+    keys = find(hashes, kept[0].view(np.uint64)) * n + find(hashes, kept[1].view(np.uint64))
+    order = np.argsort(keys)
+    keys, kept = keys[order], kept[2:, order]
+
+    def model(folds: tuple[int, ...]) -> Model:
+        return Model(hashes, _added(number, folds), total[folds], keys, _added(kept, folds), contexts, (has[folds], size, standing))
 
     # the curve: models of one fold score a part of the other
     x, y = [], []
     for own, other in ((0, 1), (1, 0)):
         if not totals[own].all():
             continue
-        half = spark.sparkContext.broadcast(model([own]))
+        half = spark.sparkContext.broadcast(model((own,)))
         n_other = sum(v for (f, _), v in sizes.items() if f == other)
         part = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").filter(F.col("fold") == other)
         share = int(min(1.0, CURVE_ROWS / 2 / max(n_other, 1)) * (1 << 20))
@@ -227,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             y.append(r.label)
     if not 0 < sum(y) < len(y):
         return Scorer(None)
-    return Scorer(model([0, 1]), *curve(np.array(x), np.array(y)))
+    return Scorer(model((0, 1)), *curve(np.array(x), np.array(y)))
 
 
 def scored(docs: DataFrame, scorer: Scorer, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -87,3 +87,17 @@ def test_curve_rises():
     x = np.array([0.0, 0.1, 0.2, 1.0, 1.1])
     a, b = t.curve(x, np.array([0, 0, 0, 1, 1]))
     assert a > 0 and 1 / (1 + np.exp(-(a * 1.1 + b))) > 0.6 > 1 / (1 + np.exp(-b))
+
+
+def test_rare_words_of_a_large_vocabulary_are_learnt(spark):
+    # 140000 ordinary words, each in more texts than the one that tells
+    rng, base, docs = random.Random(5), [f"w{k}" for k in range(140_000)], []
+    for k in range(30):
+        rng.shuffle(base)
+        docs.append((k, " ".join(base), 0))
+    docs += [(100 + k, f"oaf t{k}", 1) for k in range(18)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    scorer = t.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    at = int(scorer.model.find(words_of(["oaf"]).hash)[0])
+    assert at >= 0 and scorer.model.told[at]
+    assert scorer.scores(words_of(["oaf oaf"]))[0] > 0.5 > scorer.scores(words_of(["w1 w2 w3"]))[0]
