@@ -9,6 +9,9 @@ is put to a probability by a logistic curve, fitted on rows that the models it s
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +22,7 @@ from ._words import LOWER, NOT_ALNUM, Words, windows
 
 #: Words and bigrams are left to the shared counts where their counts in the two classes differ less than by this likelihood-ratio statistic (G squared).
 CREDIBLE = 60.0
-#: Labelled rows on which the curve is fitted, about.
+#: Labelled rows on which the curve is fitted, about, half of them of each class.
 CURVE_ROWS = 6000
 #: Labels sent to every executor; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
@@ -189,16 +192,17 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.model.ratio(words) + self.level, -500, 500)))
 
 
-def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope, at least 0, and level of a logistic curve, with targets drawn in a little from 0 and 1."""
+def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float]:
+    """Slope, at least 0, and level of a logistic curve, with targets drawn in a little from 0 and 1. weight: how many rows each stands for."""
     pos = float(y.sum())
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (len(y) - pos + 2))
+    many = np.ones(len(x)) if weight is None else weight / weight.mean()
     mid, scale = float(x.mean()), float(x.std()) or 1.0
     z = np.stack([(x - mid) / scale, np.ones(len(x))])
     w = np.zeros(2)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(w @ z, -50, 50)))
-        step = np.linalg.solve((z * (p * (1 - p))) @ z.T + 1e-4 * np.eye(2), z @ (p - target) + 1e-4 * w)
+        step = np.linalg.solve((z * (many * p * (1 - p))) @ z.T + 1e-4 * np.eye(2), z @ (many * (p - target)) + 1e-4 * w)
         w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -257,27 +261,35 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def model(folds: tuple[int, ...]) -> Model:
         return Model(hashes, _added(number, folds), total[folds], keys, _added(kept, folds), contexts, (has[folds], size, standing))
 
-    # the curve: models of one fold score a part of the other
-    x, y = [], []
-    for own, other in ((0, 1), (1, 0)):
-        if not totals[own].all():
-            continue
-        half = spark.sparkContext.broadcast(model((own,)))
-        n_other = sum(v for (f, _), v in sizes.items() if f == other)
-        part = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").filter(F.col("fold") == other)
-        share = int(min(1.0, CURVE_ROWS / 2 / max(n_other, 1)) * (1 << 20))
-        part = part.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share).select("label", "text")
-
-        def ratios(batches, half=half):
-            for batch, i, j, w in _passes(batches, 1, COUNT_BYTES):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(half.value.ratio(w))], ["label", "x"])
+    # the curve: models of one fold score a part of the other, drawn from each class by itself
+    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    there = {(r.fold, r.label): r["count"] for r in joined.groupBy("fold", "label").count().collect()}
+    parts = 1 << 40
+
+    def sample(own: tuple[int, ...], others: tuple[int, ...]) -> tuple[list, list, list]:
+        """Ratios by the model of some folds, labels and weights of rows of others."""
+        one, x, y, weight = spark.sparkContext.broadcast(model(own)), [], [], []
 
-        for r in part.mapInArrow(ratios, "label int, x double").collect():
-            x.append(r.x)
-            y.append(r.label)
+        def ratios(batches):
+            for batch, i, j, w in _passes(batches, 1, COUNT_BYTES):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(one.value.ratio(w))], ["label", "x"])
+
+        shares = {(f, c): min(1.0, CURVE_ROWS / 4 / n) for (f, c), n in there.items() if f in others}
+        here = F.pmod(F.xxhash64("id"), F.lit(parts))
+        drawn = [(F.col("fold") == f) & (F.col("label") == c) & (here < int(share * parts)) for (f, c), share in shares.items()]
+        if drawn:
+            for r in joined.filter(reduce(or_, drawn)).select((F.col("fold") * 2 + F.col("label")).alias("g"), "text").mapInArrow(ratios, "label int, x double").collect():
+                x.append(r.x)
+                y.append(r.label % 2)
+                weight.append(1 / shares[divmod(r.label, 2)])
+        return x, y, weight
+
+    found = [sample((own,), (other,)) for own, other in ((0, 1), (1, 0)) if totals[own].all()]
+    x, y, weight = (sum(part, []) for part in zip(*found)) if found else ([], [], [])
     if not 0 < sum(y) < len(y):
-        return Scorer(None)
-    return Scorer(model((0, 1)), *curve(np.array(x), np.array(y)))
+        # one fold alone has all rows of a class: no model has unseen rows of both
+        x, y, weight = sample((0, 1), (0, 1))
+    return Scorer(model((0, 1)), *curve(np.array(x), np.array(y), np.array(weight)))
 
 
 def scored(docs: DataFrame, scorer: Scorer, text_col: str = "text", score_col: str = "score") -> DataFrame:

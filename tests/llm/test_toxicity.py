@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -101,3 +102,28 @@ def test_rare_words_of_a_large_vocabulary_are_learnt(spark):
     at = int(scorer.model.find(words_of(["oaf"]).hash)[0])
     assert at >= 0 and scorer.model.told[at]
     assert scorer.scores(words_of(["oaf oaf"]))[0] > 0.5 > scorer.scores(words_of(["w1 w2 w3"]))[0]
+
+
+def test_curve_has_rows_of_a_rare_class(spark, monkeypatch):
+    monkeypatch.setattr(t, "CURVE_ROWS", 8)
+    docs = [(k, f"the red w{k % 97} house w{k % 89} stood", int(k % 200 == 0)) for k in range(8000)]
+    docs = [(k, text + " oaf twit dolt" * toxic, toxic) for k, text, toxic in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    scorer = t.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert scorer.model is not None
+    got = scorer.scores(words_of(["the oaf twit dolt", "the red house stood"]))
+    assert got[0] > 0.5 > got[1]
+
+
+def test_toxic_rows_of_one_fold_alone(spark):
+    fold = [k for k in range(400) if zlib.crc32(str(k).encode()) % 3 == 2][:40]
+    docs = [(k, f"the red w{k % 97} house" + " oaf twit dolt" * (k in fold), int(k in fold)) for k in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    got = t.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic")).scores(words_of(["the oaf twit dolt", "the red house"]))
+    assert got[0] > 0.5 > got[1]
+
+
+def test_weights_stand_for_rows():
+    x, y = np.array([0.0, 0.2, 0.4, 0.3, 1.0]), np.array([0, 0, 0, 1, 1])
+    a, b = t.curve(x, y, np.array([1000.0] * 3 + [1.0] * 2))
+    assert a > 0 and 1 / (1 + np.exp(-(a * 0.3 + b))) < 0.5
