@@ -1,7 +1,7 @@
 """WARC archives: a writer with revisit records, and a reader that salvages what damage has left.
 
-Each record is a gzip member of its own. The reader takes member after member (or, in
-a file that is not compressed, record after record) and checks each: the gzip checksum, the version line, the length
+Each record is a gzip member of its own. The reader takes member after member (or, where
+bytes are not compressed, record after record) and checks each: the gzip checksum, the version line, the length
 and the digest of the block. After a failed check it looks for the next member or version line that passes, goes on from
 there and reports the bytes between as a gap.
 """
@@ -153,54 +153,47 @@ def _record(f: _File, at: int) -> tuple[dict[str, str], bytes, int]:
             n *= 4
 
 
-def _plain(f: _File) -> Iterator[tuple]:
-    """As _within, for a file that is not compressed; it holds one record at a time."""
-    at = 0
-    while at < f.size:
-        try:
-            head, block, n = _record(f, at)
-            yield head, block
-            at += n
-        except ValueError as e:
-            begin, reason = at, str(e)
-            while (at := f.find(b"WARC/1.", at + 1)) >= 0:
-                try:
-                    _record(f, at)
-                    break
-                except ValueError:
-                    pass
-            at = f.size if at < 0 else at
-            yield begin, at, reason
+def _sound(f: _File, at: int) -> tuple[Iterator[tuple], int]:
+    """What stands there and where it ends: the one record of plain bytes, or the records and gaps of a gzip member. ValueError: neither."""
+    if f.at(at, 3) == GZIP:
+        data, end = _member(f, at)
+        if not VERSION.search(data):
+            raise ValueError("no version line")
+        return _within(data), end
+    head, block, n = _record(f, at)
+    return iter([(head, block)]), at + n
 
 
 def salvage(source) -> Iterator[tuple]:
-    """All sound records of an open file, as ("record", headers, block), and the bytes between them, as ("gap", begin, end, reason)."""
+    """All sound records of an open file, as ("record", headers, block), and the bytes between them, as ("gap", begin, end, reason).
+
+    Gzip members and plain records may follow each other in any order.
+    """
     f = _File(source)
-    if f.size and f.at(0, 3) != GZIP and VERSION.match(f.at(0, 10)):
-        for x in _plain(f):
-            yield ("record", *x) if isinstance(x[0], dict) else ("gap", *x)
-        return
+    places = {GZIP: 0, b"WARC/1.": 0}  # the next of each; none before it is sought again
     at = 0
     while at < f.size:
         try:
-            if f.at(at, 3) != GZIP:
-                raise ValueError("no gzip member")
-            data, end = _member(f, at)
-            if not VERSION.search(data):
-                raise ValueError("no version line")
+            found, end = _sound(f, at)
         except ValueError as e:
             begin, reason = at, str(e)
-            while (at := f.find(GZIP, at + 1)) >= 0:
+            while True:
+                for what, k in places.items():
+                    if k <= at:
+                        k = f.find(what, at + 1)
+                        places[what] = f.size if k < 0 else k
+                at = min(places.values())
+                if at == f.size:
+                    break
                 try:
-                    if VERSION.search(_member(f, at)[0]):
-                        break
+                    _sound(f, at)
+                    break
                 except ValueError:
                     pass
-            at = f.size if at < 0 else at
             yield "gap", begin, at, reason
             continue
         bad = False
-        for x in _within(data):
+        for x in found:
             if isinstance(x[0], dict):
                 yield ("record", *x)
             else:

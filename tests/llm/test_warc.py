@@ -61,6 +61,31 @@ def test_damage_costs_only_the_damaged_record(packed, harm):
         assert reason and begin <= a < b <= begin + len(parts[k])
 
 
+def pages_of(got):
+    return [int(x[1]["x-page-id"]) for x in got if x[0] == "record"]
+
+
+@pytest.mark.parametrize("packed", [True, False])
+@pytest.mark.parametrize("harm", ["head", "junk"])
+def test_damage_at_the_start_costs_only_the_first_record(packed, harm):
+    parts = made(packed=packed)
+    first = parts[0]
+    parts[0] = b"\0" * 12 + first[12:] if harm == "head" else b"junk \x1f\x8b\x08 WARC/1.1\r\n" + first
+    got = read(b"".join(parts))
+    lost = {0} if harm == "head" else set()
+    assert pages_of(got) == [k for k in range(8) if k not in lost]
+    assert [x[1] for x in got if x[0] == "gap"] == [0]
+
+
+@pytest.mark.parametrize("first", [0, 1])
+@pytest.mark.parametrize("between", [b"", b"junk" * 50])
+def test_mixed_files(first, between):
+    packed, plain = made(), made(packed=False)
+    got = read(between.join((packed if k % 2 == first else plain)[k] for k in range(8)))
+    assert pages_of(got) == list(range(8))
+    assert len([x for x in got if x[0] == "gap"]) == (7 if between else 0)
+
+
 def test_empty_and_strange_files():
     assert read(b"") == []
     assert [x[0] for x in read(b"no archive at all" * 1000)] == ["gap"]
