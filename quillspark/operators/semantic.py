@@ -15,8 +15,10 @@ from .parse import boundary_sentences, tokens
 
 #: Entries of a lexical vector.
 BUCKETS = 32
-#: Vectors in a reference pool at most.
+#: Vectors in the pool of the query vec_pool_max.
 POOL = 100
+#: Vectors of a pool that go to every task at once, about.
+POOL_BLOCK = 500
 
 
 def lexical_vector(text: Column, pack: Pack) -> Column:
@@ -48,9 +50,15 @@ def intra_similarity(rows: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def pool_similarity(rows: DataFrame, pool: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
-    """keys, similarity: the largest product with any vector of the pool, which has POOL vectors at most and goes to every task."""
-    own = F.broadcast(pool.limit(POOL).agg(F.collect_list("ref").alias("refs")))
-    return rows.crossJoin(own).select(*keys, F.array_max(F.transform("refs", lambda r: dot(F.col(vec), r))).alias("similarity"))
+    """keys, similarity: the largest product with any vector of the pool, of any size; blocks of about POOL_BLOCK of them go to every task in turn."""
+    blocks = max(1, -(-pool.count() // POOL_BLOCK))
+    out = rows.select(*keys, vec, F.lit(None).cast("double").alias("similarity"))
+    for k in range(blocks):
+        # by value, so that equal vectors meet, of which one is enough
+        own = F.broadcast(pool.filter(F.pmod(F.xxhash64("ref"), F.lit(blocks)) == k).agg(F.collect_set("ref").alias("refs")))
+        best = F.array_max(F.transform("refs", lambda r: dot(F.col(vec), r)))
+        out = out.crossJoin(own).select(*keys, vec, F.greatest("similarity", best).alias("similarity"))
+    return out.select(*keys, "similarity")
 
 
 def backtrack(par: DataFrame, pack: Pack) -> DataFrame:

@@ -151,3 +151,16 @@ def test_entropy_by_counting(spark):
         c = Counter(r.text.replace(" ", "").replace("\n", ""))
         n = sum(c.values())
         assert abs(r.overall_entropy + sum(v / n * math.log2(v / n) for v in c.values())) < 1e-9
+
+
+def test_pool_of_any_size(spark):
+    from quillspark.operators import semantic as V
+
+    rng = random.Random(4)
+    refs = [[rng.random() for _ in range(4)] for _ in range(1203)]
+    own = [[rng.random() for _ in range(4)] for _ in range(20)]
+    rows = spark.createDataFrame([(k % 15, v) for k, v in enumerate(own)], "k int, vec array<double>")
+    got = V.pool_similarity(rows, spark.createDataFrame([(r,) for r in refs], "ref array<double>"), ["k"])
+    want = [(k % 15, max(sum(a * b for a, b in zip(v, r)) for r in refs)) for k, v in enumerate(own)]
+    assert sorted((r.k, round(r.similarity, 9)) for r in got.collect()) == sorted((k, round(x, 9)) for k, x in want)
+    assert {r.similarity for r in V.pool_similarity(rows, spark.createDataFrame([], "ref array<double>"), ["k"]).collect()} == {None}
