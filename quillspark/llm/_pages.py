@@ -14,6 +14,16 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed frame hr img input keygen link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
 HIDDEN = frozenset("script style template noscript title head iframe object svg canvas math datalist audio video".split())
+#: Elements whose content is drawn by rules of its own, in which a tag may close itself;
+FOREIGN = frozenset("svg math".split())
+#: their parts that hold HTML again,
+_HTML_AGAIN = frozenset("foreignobject desc mi mo mn ms mtext annotation-xml".split())
+#: and elements whose start ends them elsewhere.
+_LEAVES = frozenset(
+    "article aside b big blockquote body br center code dd div dl dt em embed footer h1 h2 h3 h4 h5 h6 head header hr i img li listing main menu meta nav nobr ol p pre ruby s section small span strong strike sub sup table tt u ul var".split()
+)
+#: Elements that may stand in the head; any other ends it.
+_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: What the start of one element closes: itself and its kin, up to the holder.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -41,7 +51,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
     out: list = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
-    links = hidden = depth_a = at = 0
+    links = hidden = depth_a = foreign = at = 0
 
     def close_block() -> None:
         nonlocal links
@@ -53,14 +63,17 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         links = 0
 
     def pop_to(n: int) -> None:
-        nonlocal hidden, depth_a
+        nonlocal hidden, depth_a, foreign
         for name, _ in stack[n:]:
             hidden -= name in HIDDEN
             depth_a -= name == "a"
+            foreign -= name in FOREIGN
         del stack[n:]
 
     def put(text: str) -> None:
         nonlocal links
+        if stack and stack[-1][0] == "head" and text.strip():
+            pop_to(len(stack) - 1)
         if text and not hidden:
             parts.append(text)
             if depth_a:
@@ -86,10 +99,18 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 if stack[k][0] == name:
                     pop_to(k)
                     break
-                if not block and stack[k][0] not in INLINE:
+                if not block and name != "svg" and stack[k][0] not in INLINE:
                     break
             continue
-        if name in VOID or m[3].endswith("/") and name == "path":
+        if stack and stack[-1][0] == "head" and name not in _HEAD:
+            pop_to(len(stack) - 1)
+        if foreign and name in _LEAVES:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in _HTML_AGAIN:
+                    break
+                if stack[k][0] in FOREIGN:
+                    pop_to(k)
+        if name in VOID or m[3].endswith("/") and (foreign or name in FOREIGN or name == "path"):
             continue
         if name in _RAW:
             end = _RAW[name].search(page, at)
@@ -115,6 +136,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         stack.append((name, tuple(names)))
         hidden += name in HIDDEN
         depth_a += name == "a"
+        foreign += name in FOREIGN
         if len(stack) > 400:
             pop_to(200)
     close_block()

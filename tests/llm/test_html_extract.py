@@ -28,6 +28,23 @@ def test_damaged_pages_do_not_fail(page):
         assert t == " ".join(t.split()) and t and 0 <= n <= len(t)
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><svg><use/></svg><p>one</p><p>two</p></article>",
+        "<article><svg><g><circle r='1'><rect/></g></svg><p>one</p><svg/><p>two</p></article>",
+        "<article><svg><svg><line></svg>x</svg><p>one</p><math><mi>x<mspace/></math><p>two</p></article>",
+        "<article><svg><circle><p>one</p><p>two</p></article>",
+        "<article><svg><foreignObject><div>no</div></foreignObject></svg><p>one</p><p>two</p></article>",
+        "<html><head><title>No</title><meta charset=utf-8><p>one</p><p>two</p>",
+        "<head><link href=x><script>x()</script>one<div>two</div>",
+        "<head><style>a{}</style><a href=x>one</a><p>two",
+    ],
+)
+def test_hidden_elements_end_where_they_do(page):
+    assert texts(page) == ["one", "two"]
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     m = h.Labeller(3, size=h.SIZE, hidden=4)
