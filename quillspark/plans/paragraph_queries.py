@@ -116,7 +116,7 @@ def _(spark, d):
 
 @query("dims_long", f"WITH {PAR}, {S.dims(LATIN, False)}, {S.unpivoted()} SELECT doc_id, p_idx, dim, dim_ord, round(value, 6) AS value, zone, round(gap, 6) AS gap, weight FROM lng")
 def _(spark, d):
-    return D.unpivoted(D.dimensions(par(spark, d), LATIN, False)).withColumns({"value": F.round("value", 6), "gap": F.round("gap", 6)})
+    return D.unpivoted(D.dimensions(par(spark, d), LATIN)).withColumns({"value": F.round("value", 6), "gap": F.round("gap", 6)})
 
 
 @query("paragraph_levels", f"WITH {PAR}, {S.dims(LATIN)}, {S.classified()} SELECT doc_id, p_idx, ai_count, gray_count, human_count, round(comprehensive_score, 6) AS comprehensive_score, level FROM cls")
@@ -126,7 +126,7 @@ def _(spark, d):
 
 @query("ranked_gaps", f"""WITH {PAR}, {S.dims(LATIN, False)}, {S.unpivoted()} SELECT doc_id, p_idx, dim, round(gap, 6) AS gap, CAST(row_number() OVER (PARTITION BY doc_id, p_idx ORDER BY gap DESC, dim_ord) AS INTEGER) AS rank FROM lng WHERE zone = 'ai'""")
 def _(spark, d):
-    return D.ranked_gaps(D.unpivoted(D.dimensions(par(spark, d), LATIN, False))).select("doc_id", "p_idx", "dim", *rounded("gap"), "rank")
+    return D.ranked_gaps(D.unpivoted(D.dimensions(par(spark, d), LATIN))).select("doc_id", "p_idx", "dim", *rounded("gap"), "rank")
 
 
 @query("level_overview", f"WITH {PAR}, {S.dims(LATIN)}, {S.classified()} SELECT level, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM cls GROUP BY level")
@@ -141,7 +141,7 @@ def _(spark, d):
 FROM cls JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, source)""")
 def _(spark, d):
     full = spark.read.parquet(f"{d}/documents.parquet")
-    rows = D.classified(D.dimensions(P.paragraphs(documents(spark, d), LATIN), LATIN, False)).join(full.select("doc_id", "lang", "source"), "doc_id")
+    rows = D.classified(D.dimensions(P.paragraphs(documents(spark, d), LATIN), LATIN)).join(full.select("doc_id", "lang", "source"), "doc_id")
     high = F.count_if(F.col("level").isin("red", "deep_red"))
     return rows.rollup("lang", "source").agg(F.count(F.lit(1)).alias("paragraphs"), high.alias("high_risk"), F.round(F.avg("comprehensive_score"), 6).alias("mean_score"))
 

@@ -164,3 +164,19 @@ def test_pool_of_any_size(spark):
     want = [(k % 15, max(sum(a * b for a, b in zip(v, r)) for r in refs)) for k, v in enumerate(own)]
     assert sorted((r.k, round(r.similarity, 9)) for r in got.collect()) == sorted((k, round(x, 9)) for k, x in want)
     assert {r.similarity for r in V.pool_similarity(rows, spark.createDataFrame([], "ref array<double>"), ["k"]).collect()} == {None}
+
+
+def test_gaps_and_levels_have_all_statistics(spark, tmp_path):
+    from quillspark.plans import registry
+
+    words = "old house near river stood empty years before family came back again with winter stores".split()
+    text = "\n\n".join("The " + " ".join(words[: 15 - k] + [w + str(k) for w in words[:k]]) + "." for k in range(5))
+    spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    wide = {r.p_idx: r.paragraph_similarity for r in run("dims_wide")}
+    long = {r.p_idx: r for r in run("dims_long") if r.dim == "paragraph_similarity"}
+    assert {k: r.value for k, r in long.items()} == wide and max(wide.values()) > 0.5
+    assert {r.p_idx for r in run("ranked_gaps") if r.dim == "paragraph_similarity"} == {k for k, r in long.items() if r.zone == "ai"} != set()
+    levels = run("paragraph_levels")
+    whole = next(r for r in run("levels_rollup") if r.lang is None and r.source is None)
+    assert whole.mean_score == pytest.approx(sum(r.comprehensive_score for r in levels) / len(levels), abs=1e-5)
