@@ -1,18 +1,25 @@
 """Words of many texts at once: where they are, and 64-bit hashes of words and word windows.
 
-The bytes of a batch are hashed by one running polynomial modulo 2^64; the
-hash of a word is a difference of two of its values, put to a common
-power and mixed.
+A word is a polynomial over its chunks of seven bytes, modulo the prime 2^61 - 1, at a secret place. For any
+two different words of up to n chunks the chance that they agree is at most (n + 1) / 2^61, whatever the words are, as long as the place
+was drawn after them: operators whose results hang on hashes draw it anew for each run.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15
-_BACK = pow(_BASE, -1, 1 << 64)
+_PRIME = (1 << 61) - 1
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Where the polynomial is taken when nothing hangs on collisions.
+FIXED = 0x0E3779B97F4A7C15 % _PRIME
+_CHUNK = 7
+#: Words of more chunks are hashed one by one.
+_LONG = 64
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(_CHUNK + 1)], np.uint64)
 
 #: Bytes between words.
 WHITE = np.zeros(256, bool)
@@ -25,18 +32,47 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for k, base in enumerate((_BASE, _BACK)):
-            out = np.empty(size, np.uint64)
-            out[0], done = 1, 1
-            while done < size:
-                step = min(done, size - done)
-                np.multiply(out[:step], np.uint64(pow(base, done, 1 << 64)), out=out[done : done + step])
-                done += step
-            _powers[k] = out
-    return _powers[0][:n], _powers[1]
+def draw() -> int:
+    """A place for one run."""
+    return secrets.randbelow(_PRIME - (1 << 32)) + (1 << 32)
+
+
+def _times(a: np.ndarray, place: int) -> np.ndarray:
+    """a * place modulo 2^61 - 1, not fully reduced: below 2^61 + 8. a below 2^62."""
+    low, top = np.uint64(place & 0x7FFFFFFF), np.uint64(place >> 31)
+    m, n, half = np.uint64(0x7FFFFFFF), np.uint64(31), np.uint64(30)
+    a1, a0 = a >> n, a & m
+    mid = a1 * low + a0 * top
+    out = ((a1 * top) << np.uint64(1)) + a0 * low
+    out = (out & np.uint64(_PRIME)) + (out >> np.uint64(61))
+    out += (mid >> half) + ((mid & np.uint64(0x3FFFFFFF)) << n)
+    return (out & np.uint64(_PRIME)) + (out >> np.uint64(61))
+
+
+def _hashed(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, place: int) -> np.ndarray:
+    size = ends - starts
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    eight = np.ndarray((len(raw) + 1,), np.dtype("<u8"), padded, strides=(1,))
+    h = size.astype(np.uint64)  # the leading coefficient
+    h = _times(h, place) + (eight[starts] & _MASKS[np.minimum(size, _CHUNK)])
+    live = np.flatnonzero(size > _CHUNK)
+    k = 1
+    while len(live):
+        far = size[live] > _LONG * _CHUNK
+        if k == 1 and far.any():
+            key = place.to_bytes(8, "little")
+            for w in live[far].tolist():
+                h[w] = int.from_bytes(hashlib.blake2b(raw[starts[w] : ends[w]].tobytes(), digest_size=8, key=key).digest(), "little") % _PRIME
+            live = live[~far]
+            continue
+        left = size[live] - k * _CHUNK
+        h[live] = _times(h[live], place) + (eight[starts[live] + k * _CHUNK] & _MASKS[np.minimum(left, _CHUNK)])
+        live = live[left > _CHUNK]
+        k += 1
+    h = _times(h, place)
+    h[h >= np.uint64(_PRIME)] -= np.uint64(_PRIME)
+    return mix(h ^ np.uint64(0x5851F42D4C957F2D))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,21 +85,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """starts, ends: byte ranges of words; hash: of each word; at: the first word of each text, and the end."""
 
-    def __init__(self, raw: np.ndarray, at: np.ndarray, between: np.ndarray):
+    def __init__(self, raw: np.ndarray, at: np.ndarray, between: np.ndarray, place: int | None = FIXED):
+        """place: that of the hashes; None for none."""
         n = len(raw)
-        inside = ~between[raw]
-        first = np.zeros(n + 1, bool)
-        first[at] = True
-        begin = inside.copy()
-        begin[1:] &= ~inside[:-1] | first[1:n]
-        end = inside.copy()
-        end[:-1] &= ~inside[1:] | first[1:n]
-        self.starts = np.flatnonzero(begin)
-        self.ends = np.flatnonzero(end) + 1
-        forth, back = _table(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * forth[:n], out=sums[1:])
-        self.hash = mix((sums[self.ends] - sums[self.starts]) * back[self.starts])
+        # a byte of no word before and after all, and between texts
+        inside = np.zeros(n + 2, bool)
+        np.logical_not(between[raw], out=inside[1:-1])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edge[::2], edge[1::2]
+        cuts = np.unique(at[1:-1])
+        cuts = cuts[(cuts > 0) & (cuts < n)]
+        cuts = cuts[inside[cuts] & inside[cuts + 1]]  # inside a run of word bytes
+        if len(cuts):
+            starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+        self.starts, self.ends = starts, ends
+        if place is not None:
+            self.hash = _hashed(raw, starts, ends, place)
         self.at = np.searchsorted(self.starts, at)
 
     def counts(self) -> np.ndarray:

@@ -48,11 +48,37 @@ def test_brute_force(spark):
     rows = texts()
     docs = spark.createDataFrame([(*r, "q") for r in rows], "doc_id long, text string, n_words string").repartition(5)
     want = brute(rows)
-    for more in ({}, {"filter_bits": 8, "shard": 50, "spread": 3}):
+    for more in ({}, {"spread": 3, "shard": 50}, {"filter_bits": 8, "shard": 50, "spread": 3}):
         assert sorted(map(tuple, s.substring_dedup(docs, **more).collect()), key=repr) == want
     assert s.substring_dedup(docs.limit(0)).count() == 0
     assert s.substring_dedup(docs.filter("doc_id = 702")).collect()[0].n_removed == 0
 
 
+def signs(n):
+    """Two words of 2^n signs whose polynomials agree modulo 2^64 at every odd place."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_of_equal_hash(spark):
+    a, b = signs(10)
+    words = lambda x: " ".join(f"{x}{k}" for k in range(13))
+    rows = [(1, words(a)), (2, words(b)), (3, words(a) + " x")]
+    got = {r.doc_id: r.n_removed for r in s.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_passages_are_found_by_words():
+    import numpy as np
+    import pyarrow as pa
+
+    # one group whose rows share a hash but no window: nothing is found
+    text = [" ".join(f"{c}{k}" for k in range(14)) for c in "xyx"]
+    at, off, n, second = s.locate(np.zeros(3, int), np.zeros(3, bool), np.array([1, 2, 3]), np.zeros(3, bool), pa.array(text), 13)
+    assert (at.tolist(), off.tolist(), n.tolist(), second) == ([2], [0], [14], [])
+
+
 def test_oracle(spark, sf):
     oracle.same(s.op5_substring_dedup(spark, sf), s.ORACLES["op5_substring_dedup"], oracle.connect(sf))
