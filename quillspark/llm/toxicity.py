@@ -1,10 +1,14 @@
 """Toxicity by two Kneser-Ney models, one of toxic and one of ordinary texts.
 
-Both are bigram models over a common vocabulary. They back off to words of their own class, and from there to one
-shared distribution: in how many contexts a word stands, in either class. Rare
-expressions thus get nearly the same probability from both, and only what
-one class has markedly more often speaks for it. The mean over a text's words of the difference of log-likelihoods
-is put to a probability by a logistic curve, fitted on rows that the models it scores have not seen.
+Both are interpolated bigram models on counts of texts: how many distinct texts of a class have a pair of words. A pair backs off to its
+word, by the number of contexts the word has in the class (continuation counts), and a word to one shared distribution:
+how many texts of either class have it. The discount of a count is not fixed: the less the evidence that the two classes differ in a
+word (or in a pair, beyond its word), the more of its count goes to the shared back-off. So rare expressions get the same
+probability from both classes, and what one class has markedly more often speaks for it. The evidence is the posterior probability
+that the word's share of toxic texts is one of its own, where a priori one word in all kinds is like that.
+
+The mean over a text's words of the difference of log-likelihoods is put to a probability by a logistic curve, fitted on rows that the
+models it scores have not seen.
 """
 
 from __future__ import annotations
@@ -17,47 +21,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import small_batches, slices, text_bytes, written
+from ._shared import small_batches, slices, text_bytes, unwrite, written
 from ._words import LOWER, NOT_ALNUM, Words, windows
 
-#: Words and bigrams are left to the shared counts where their counts in the two classes differ less than by this likelihood-ratio statistic (G squared).
-CREDIBLE = 60.0
 #: Labelled rows on which the curve is fitted, about, half of them of each class.
 CURVE_ROWS = 6000
 #: Labels sent to every executor; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
+#: What a count loses at least.
 DISCOUNT = 0.75
+#: A word or pair of which the evidence is below this counts as one without any.
+NEGLIGIBLE = 1e-3
 THRESHOLD = 0.7
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 2 << 20
 #: Rows of counts in an Arrow batch.
 OUT_ROWS = 1 << 17
 #: The folds that a model learns from.
 MODELS = ((0,), (1,), (0, 1))
+#: The context of a text's first word.
+BEGIN = np.uint64(0x5EED5EED5EED5EED)
 
 
-def credible(counts: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    """Whether the counts [2, n] of the two classes are unlike those expected."""
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * np.where(counts > 0, counts * np.log(counts / expected), 0).sum(0)
-    return g >= CREDIBLE
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of numbers of 1 and more."""
+    low = np.where(x < 8, np.log(np.prod([np.where(x < 8, x + k, 1.0) for k in range(8)], 0)), 0.0)
+    y = np.where(x < 8, x + 8, x)
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) - low
 
 
-def telling(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """Which words, by counts [2, words], one class has credibly more often."""
-    share = np.maximum(totals, 1.0) / np.maximum(totals, 1.0).sum()
-    return credible(counts, counts.sum(0) * share[:, None])
+def evidence(counts: np.ndarray, share: np.ndarray | float, kinds: float) -> np.ndarray:
+    """The posterior probability that a word's share of toxic is its own and not `share`, by counts [2, words] of both classes.
 
-
-def telling_pairs(pair_counts: np.ndarray, second: np.ndarray, counts: np.ndarray, told: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """Which pairs tell more than their second word does. second: its place among counts and told, -1 for a word that is not there and so tells nothing."""
-    share = np.maximum(totals, 1.0) / np.maximum(totals, 1.0).sum()
-    # what a word's own counts would tell of the pair is expected of it
-    mixed = np.repeat(share[:, None], len(second), 1)
-    known = np.flatnonzero(second >= 0)
-    known = known[told[second[known]]]
-    part = counts[:, second[known]]
-    mixed[:, known] = part / np.maximum(part.sum(0), 1)
-    return credible(pair_counts, np.maximum(pair_counts.sum(0) * mixed, 1e-9))
+    A share of its own is anywhere between 0 and 1, and a priori one word of all kinds has it.
+    """
+    k0, k1 = counts
+    for_own = _log_gamma(k1 + 1) + _log_gamma(k0 + 1) - _log_gamma(k0 + k1 + 2)
+    odds = for_own - k1 * np.log(share) - k0 * np.log1p(-share) - np.log(max(kinds, 1.0))
+    return np.where(k0 + k1 > 0, 1 / (1 + np.exp(-np.clip(odds, -50, 50))), 0.0)
 
 
 def find(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -68,61 +68,55 @@ def find(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(hashes[at] == wanted, at, -1)
 
 
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return windows(np.stack([first, second], 1).reshape(-1), 2)[::2]
+
+
 class Model:
-    """Arrays for the two classes; ratio() scores texts. counts: [2, words]; pairs: first * words + second, ascending, with counts [2, pairs].
+    """Arrays for the two classes; ratio() scores texts.
 
-    Words that tell nothing and are in no telling pair score 0, so they can be left out; `whole` then has, of all
-    words, how many each class has, how many there are and the sum of their contexts.
+    Words and pairs without evidence need no entry: of those all that is needed is in the sums. hashes: words with evidence, ascending, with
+    that, their contexts [2, words] in each class and their shared probability; in_class: contexts [2] of all words. pairs: hashes of pairs with evidence, ascending, with their
+    first and second words, evidence, counts [2, pairs], totals [2, pairs] of their first words and the shared probability of their second.
     """
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, totals: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, contexts: np.ndarray, whole: tuple | None = None):
-        n = len(hashes)
-        has, size, standing = whole or (np.count_nonzero(counts, axis=1), n, contexts.sum())
-        told = telling(counts, totals)
-        own = telling_pairs(pair_counts, pairs % max(n, 1), counts, told, totals)
-        pairs, pair_counts = pairs[own], pair_counts[:, own]
-        self.hashes, self.told = hashes, told
-        shared = (contexts + 1.0) / (standing + size + 1.0)
-        self.word = np.empty((2, n))
-        self.rest = np.ones((2, n))
-        self.pairs, self.pair = pairs, np.zeros((2, len(pairs)))
-        first = pairs // max(n, 1)
+    def __init__(self, hashes, weight, contexts, shared, in_class, pairs, first, pair_weight, pair_counts, totals, pair_shared):
+        self.hashes, self.word, self.rest_word = hashes, np.empty((2, len(hashes))), np.empty(2)
+        rest = max(1.0 - float((weight * shared).sum()), 1e-9)
         for c in (0, 1):
-            total = max(float(totals[c]), 1.0)
-            left = DISCOUNT * (has[c] + 1) / total
-            self.word[c] = np.where(told, np.maximum(counts[c] - DISCOUNT, 0) / total + min(left, 1.0) * shared, shared)
-            seen = np.bincount(first, pair_counts[c], n) if len(pairs) else np.zeros(n)
-            kinds = np.bincount(first, pair_counts[c] > 0, n) if len(pairs) else np.zeros(n)
-            some = seen > 0
-            self.rest[c][some] = DISCOUNT * kinds[some] / seen[some]
-            self.pair[c] = np.maximum(pair_counts[c] - DISCOUNT, 0) / np.maximum(seen[first], 1)
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The number of each word, -1 for those outside the vocabulary."""
-        return find(self.hashes, hashes)
+            off, every = np.minimum(contexts[c], DISCOUNT), float(in_class[c]) + DISCOUNT
+            untold = (float(in_class[c]) - float((weight * contexts[c]).sum())) / every
+            given = (float((weight * off).sum()) + DISCOUNT) / every
+            self.word[c] = weight * (contexts[c] - off) / every + untold * (1 - weight) * shared / rest + given * shared
+            self.rest_word[c] = untold / rest + given  # of a word without evidence, times its shared probability
+        self.pairs, self.pair, self.pair_shared = pairs, pair_weight * np.maximum(pair_counts - DISCOUNT, 0) / np.maximum(totals, 1), pair_shared
+        self.contexts, at = np.unique(first, return_inverse=True)
+        self.left = np.stack([1 - np.bincount(at, x, len(self.contexts)) for x in self.pair]) if len(pairs) else np.ones((2, 0))
 
     def ratio(self, words: Words) -> np.ndarray:
-        """The mean log-likelihood of toxic over ordinary per word of each text; 0 without words."""
-        ids = self.find(words.hash)
-        known = ids >= 0
-        before = np.full(len(ids), -1)
-        before[1:] = ids[:-1]
-        inner = words.at[:-1][words.at[:-1] < len(ids)]
-        before[inner] = -1
-        out = np.zeros(len(ids))
-        w, v = ids[known], before[known]
-        after = v >= 0
-        p = self.word[:, w]
-        if after.any() and len(self.pairs):
-            key = v[after] * len(self.hashes) + w[after]
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            own = self.pairs[at] == key
-            where = np.flatnonzero(after)[own]
-            p[:, where] = self.pair[:, at[own]] + self.rest[:, v[where]] * p[:, where]
-        out[known] = np.log(p[1]) - np.log(p[0])
+        """The mean log-likelihood of toxic over ordinary per word of each text; that of a word without evidence for a text without words."""
+        h = words.hash
+        base = float(np.log(self.rest_word[1]) - np.log(self.rest_word[0]))
+        out, at = np.full(len(h), base), find(self.hashes, h)
+        told = at >= 0
+        out[told] = np.log(self.word[1, at[told]]) - np.log(self.word[0, at[told]])
+        if len(self.pairs) and len(h):
+            before = np.empty(len(h), np.uint64)
+            before[0], before[1:] = BEGIN, h[:-1]
+            before[words.at[:-1][words.at[:-1] < len(h)]] = BEGIN
+            context = find(self.contexts, before)
+            use = np.flatnonzero(context >= 0)
+            pair, w, v = find(self.pairs, pair_hash(before[use], h[use])), at[use], context[use]
+            known, own = pair >= 0, w >= 0
+            # the shared probability of a word without evidence cancels where its pair has none either
+            p = [np.where(known, self.pair_shared[pair], 1.0) * self.rest_word[c] for c in (0, 1)]
+            for c in (0, 1):
+                p[c][own] = self.word[c, w[own]]
+                p[c] = self.left[c, v] * p[c] + np.where(known, self.pair[c, pair], 0)
+            out[use] = np.log(p[1]) - np.log(p[0])
         sums = np.concatenate([[0], np.cumsum(out)])
         n = words.counts()
-        return (sums[words.at[1:]] - sums[words.at[:-1]]) / np.maximum(n, 1)
+        return np.where(n > 0, (sums[words.at[1:]] - sums[words.at[:-1]]) / np.maximum(n, 1), base)
 
 
 def _passes(batches, column: int, most: int):
@@ -133,31 +127,50 @@ def _passes(batches, column: int, most: int):
             yield batch, i, j, Words(LOWER[raw[at[i] : at[j]]], at[i : j + 1] - at[i], NOT_ALNUM)
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """first, second, n0 to n3: how often each fold and class has each word (first; second is null) and each two words in a row. All are counted."""
+def _distinct(owner: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Where each key of an owner is for the first time."""
+    order = np.lexsort((*keys, owner))
+    new = np.ones(len(order), bool)
+    new[1:] = reduce(or_, ((x[order][1:] != x[order][:-1]) for x in (owner, *keys)))
+    return order[new]
+
+
+def _texts_with(rows: DataFrame, pairs: bool) -> DataFrame:
+    """How many texts of each fold and class have each word (word, n0 to n3, and t0 to t3: pairs that begin with it, once a text), or each pair (first, second, n0 to n3)."""
 
     def run(batches):
         for batch, i, j, words in _passes(batches, 2, COUNT_BYTES):
             fold, label = (np.asarray(batch.column(k).slice(i, j - i)) for k in (0, 1))
-            group, h = np.repeat(fold * 2 + label, words.counts()), words.hash
-            begin = words.at[(words.at > 0) & (words.at < len(h))]
-            row = np.ones(max(len(h) - 1, 0), bool)
-            row[begin - 1] = False
-            pair = windows(h, 2)
-            for g in range(4):
-                one, n1 = np.unique(h[group == g], return_counts=True)
-                here = np.flatnonzero(row & (group[1:] == g))
-                _, at, n2 = np.unique(pair[here], return_index=True, return_counts=True)
-                here = here[at]
-                for first, second, n in ((one, None, n1), (h[here], h[here + 1], n2)):
-                    for k in range(0, len(first), OUT_ROWS):
-                        part = slice(k, k + OUT_ROWS)
-                        a = pa.array(first[part].view(np.int64))
-                        b = pa.nulls(len(a), pa.int64()) if second is None else pa.array(second[part].view(np.int64))
-                        yield pa.RecordBatch.from_arrays([a, b, pa.array(np.full(len(a), g, np.int32)), pa.array(n[part], pa.int64())], ["first", "second", "g", "n"])
-
-    per = [F.sum(F.when(F.col("g") == g, F.col("n")).otherwise(0)).alias(f"n{g}") for g in range(4)]
-    return rows.mapInArrow(run, "first long, second long, g int, n long").groupBy("first", "second").agg(*per)
+            h, of = words.hash, np.repeat(np.arange(j - i), words.counts())
+            g = (fold * 2 + label)[of]
+            if not len(h):
+                continue
+            before = np.concatenate([[BEGIN], h[:-1]])
+            before[words.at[:-1][words.at[:-1] < len(h)]] = BEGIN
+            two = _distinct(of, before, h)
+            one = _distinct(of, h)
+            for k in range(4):
+                here = two[g[two] == k]
+                if pairs:
+                    x = here[np.lexsort((h[here], before[here]))]
+                    a, b = before[x], h[x]
+                    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(x) else np.zeros(0, bool))
+                    columns = [a[new].view(np.int64), b[new].view(np.int64), np.diff(np.append(new, len(x)))]
+                else:
+                    first, t = np.unique(before[here], return_counts=True)
+                    word, n = np.unique(h[one[g[one] == k]], return_counts=True)
+                    every = np.union1d(first, word)
+                    columns = [every.view(np.int64), np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)]
+                    columns[1][np.searchsorted(every, word)] = n
+                    columns[2][np.searchsorted(every, first)] = t
+                for at in range(0, len(columns[0]), OUT_ROWS):
+                    part = [pa.array(x[at : at + OUT_ROWS], pa.int64()) for x in columns]
+                    yield pa.RecordBatch.from_arrays([*part, pa.array(np.full(len(part[0]), k, np.int32))], names)
+
+    names = ["first", "second", "n", "g"] if pairs else ["word", "n", "t", "g"]
+    found = rows.mapInArrow(run, ", ".join(f"{x} {'int' if x == 'g' else 'long'}" for x in names))
+    per = [F.sum(F.when(F.col("g") == k, F.col(x)).otherwise(0)).alias(f"{x}{k}") for x in names if x in ("n", "t") for k in range(4)]
+    return found.groupBy(*[x for x in names if x in ("first", "second", "word")]).agg(*per)
 
 
 def _table(found: pa.Table) -> np.ndarray:
@@ -165,21 +178,15 @@ def _table(found: pa.Table) -> np.ndarray:
     return np.stack([np.asarray(c, dtype=np.int64) for c in found.columns]) if found.num_rows else np.zeros((found.num_columns, 0), np.int64)
 
 
-def _filtered(df: DataFrame, choose) -> DataFrame:
-    """The rows of whole numbers that choose([columns, rows]) marks."""
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(choose(_table(pa.Table.from_batches([batch])))))
-
-    return df.mapInArrow(run, df.schema)
-
-
 def _added(n: np.ndarray, folds: tuple[int, ...]) -> np.ndarray:
     """Counts [2, rows] of the classes, from those of folds and classes."""
     return np.stack([sum(n[2 * f + c] for f in folds) for c in (0, 1)]).astype(float)
 
 
+def _share(totals: np.ndarray) -> float:
+    return float(np.clip(totals[1] / max(totals.sum(), 1.0), 1e-9, 1 - 1e-9))
+
+
 class Scorer:
     """A model and its curve; without both classes among the labelled rows every score is 0."""
 
@@ -210,59 +217,118 @@ def curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tup
     return slope, float(w[1]) - slope * mid
 
 
+class _Told:
+    """Words with evidence in any of the models: their hashes, counts and, for each model, evidence and the share to expect of pairs that end with them."""
+
+    def __init__(self, words: np.ndarray, totals: np.ndarray, kinds: dict):
+        self.hashes, self.counts, self.kinds = words[0].view(np.uint64), words[1:5], kinds
+        self.share, self.weight, self.expected = {}, {}, {}
+        for m in MODELS:
+            n = _added(self.counts, m)
+            share = self.share[m] = _share(totals[list(m)].sum(0))
+            w = self.weight[m] = _weight(n, share, kinds[m])
+            self.expected[m] = np.clip(w * n[1] / np.maximum(n.sum(0), 1) + (1 - w) * share, 1e-3 * share, 1 - 1e-3 * (1 - share))
+
+    def pairs(self, second: np.ndarray, counts: np.ndarray, m: tuple[int, ...], kinds: float) -> np.ndarray:
+        """Evidence of pairs, by where their second words are among the told (-1: not there)."""
+        expected = np.full(len(second), self.share[m])
+        expected[second >= 0] = self.expected[m][second[second >= 0]]
+        return _weight(counts, expected, kinds)
+
+
+def _weight(counts: np.ndarray, share, kinds: float) -> np.ndarray:
+    w = evidence(counts, share, kinds)
+    return np.where(w > NEGLIGIBLE, w, 0.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 1) -> Scorer:
     """Learn from the labelled rows of which crc32 of the id as text, modulo 3, is not `held_out`.
 
-    Counts cover all of them; equal texts with equal labels count once. Labels other than 0 and 1 are left out.
+    Counts cover all of them; equal texts with equal labels count once, as the one of the smallest id. Labels other than 0 and 1 are left out.
     """
     spark = docs.sparkSession
     rest = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3))
     fold = F.when(rest == (held_out + 1) % 3, 0).otherwise(1).cast("int")
     chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (rest != held_out))
     chosen = chosen.select(F.col(id_col).alias("id"), fold.alias("fold"), F.col(label_col).cast("int").alias("label"))
-    sizes = {(r.fold, r.label): r["count"] for r in chosen.groupBy("fold", "label").count().collect()}
-    if sum(sizes.values()) <= BROADCAST_LABELS:
-        chosen = F.broadcast(chosen)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("fold", "label", "text")
-    rows = rows.filter("text IS NOT NULL").dropDuplicates()  # copies of a text would make all its words tell
-
-    counts = written(_counted(rows), "counts")
-    words, pairs, four = counts.filter("second IS NULL").drop("second"), counts.filter("second IS NOT NULL"), ["n0", "n1", "n2", "n3"]
-    sums = [f"coalesce(sum(n{g}), 0)" for g in range(4)] + ["count(*)"] + [f"count_if({' + '.join(f'n{2 * f + c}' for f in folds)} > 0)" for folds in MODELS for c in (0, 1)]
-    t = np.array(words.agg(*(F.expr(e).alias(str(k)) for k, e in enumerate(sums))).first())
-    totals, size, has = t[:4].reshape(2, 2), t[4], dict(zip(MODELS, t[5:].reshape(-1, 2)))
+    small = chosen.count() <= BROADCAST_LABELS
+    sent = F.broadcast if small else lambda x: x
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    joined = texts.join(sent(chosen), "id")
+    # copies of a text would make all its words tell
+    once = written(joined.groupBy(F.sha2("text", 256).alias("sha"), "label").agg(F.min("id").alias("id")), "texts")
+    rows = joined.join(sent(once), ["id", "label"]).filter(F.sha2("text", 256) == F.col("sha")).select("fold", "label", "text")
+
+    words = written(_texts_with(rows, False), "words")
+    sums = [f"coalesce(sum(n{g}), 0)" for g in range(4)] + [f"count_if({' + '.join(f'n{2 * f + c}' for f in m for c in (0, 1))} > 0)" for m in MODELS]
+    t = np.array(words.agg(*(F.expr(e).alias(str(k)) for k, e in enumerate(sums))).first(), float)
+    totals, size = t[:4].reshape(2, 2), dict(zip(MODELS, t[4:]))
     if not totals.sum(0).all():
         return Scorer(None)
-    total = {folds: totals[list(folds)].sum(0) for folds in MODELS}
+    shares = {m: _share(totals[list(m)].sum(0)) for m in MODELS}
+
+    def telling(batches):
+        for batch in batches:
+            n = _table(pa.Table.from_batches([batch.select(range(1, 5))]))
+            yield batch.filter(pa.array(np.any([_weight(_added(n, m), shares[m], size[m]) > 0 for m in MODELS], 0)))
 
-    # whatever tells something to any of the models, however much that is
-    told = _table(_filtered(words, lambda x: np.any([telling(_added(x[1:], m), total[m]) for m in MODELS], 0)).toArrow())
+    told = _table(words.mapInArrow(telling, words.schema).toArrow())
     told = told[:, np.argsort(told[0].view(np.uint64))]
-    shared = spark.sparkContext.broadcast((told[0].view(np.uint64), [(m, c, telling(c, total[m]), total[m]) for m in MODELS for c in [_added(told[1:], m)]]))
-
-    def own(x: np.ndarray) -> np.ndarray:
-        known, models = shared.value
-        second = find(known, x[1].view(np.uint64))
-        return np.any([telling_pairs(_added(x[2:], m), second, c, tells, n) for m, c, tells, n in models], 0)
-
-    kept = _table(_filtered(pairs, own).toArrow())
-    hashes = np.unique(np.concatenate([told[0], kept[0], kept[1]]).view(np.uint64))
-    n, wanted = len(hashes), spark.sparkContext.broadcast(hashes)
-    among = lambda x: find(wanted.value, x[0].view(np.uint64)) >= 0
-    found, number = _table(_filtered(words, among).select("first", *four).toArrow()), np.zeros((4, n), np.int64)
-    number[:, find(hashes, found[0].view(np.uint64))] = found[1:]
-    contexts, stand = np.zeros(n), _table(_filtered(pairs.select("second"), among).groupBy("second").count().toArrow())
-    contexts[find(hashes, stand[0].view(np.uint64))] = stand[1]
-    standing = pairs.count()
-    keys = find(hashes, kept[0].view(np.uint64)) * n + find(hashes, kept[1].view(np.uint64))
-    order = np.argsort(keys)
-    keys, kept = keys[order], kept[2:, order]
-
-    def model(folds: tuple[int, ...]) -> Model:
-        return Model(hashes, _added(number, folds), total[folds], keys, _added(kept, folds), contexts, (has[folds], size, standing))
+    tells = _Told(told, totals, size)
+    shared = spark.sparkContext.broadcast(tells)
+
+    def pairs_and_contexts(batches):
+        """Pairs with evidence (as if there were no more kinds of pairs than of words); then, of what was read, contexts of the told words and of all (second is null), of the classes and of either, for each model."""
+        tells = shared.value
+        found, whole = np.zeros((9, len(tells.hashes)), np.int64), np.zeros(9, np.int64)
+        for batch in batches:
+            x = _table(pa.Table.from_batches([batch]))
+            second = find(tells.hashes, x[1].view(np.uint64))
+            keep = np.zeros(x.shape[1], bool)
+            for k, m in enumerate(MODELS):
+                n = _added(x[2:], m)
+                keep |= tells.pairs(second, n, m, size[m]) > 0
+                for j, has in enumerate((n[0] > 0, n[1] > 0, n.sum(0) > 0)):
+                    whole[3 * k + j] += has.sum()
+                    found[3 * k + j] += np.bincount(second[has & (second >= 0)], minlength=found.shape[1])
+            own = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.nulls(own.num_rows, pa.list_(pa.int64()))], out)
+        rows = [(h, found[:, k].tolist()) for k, h in enumerate(tells.hashes.view(np.int64).tolist()) if found[:, k].any()] + [(None, whole.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), *(pa.nulls(len(rows), pa.int64()) for _ in range(4)), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], out)
+
+    out = ["first", "second", "n0", "n1", "n2", "n3", "contexts"]
+    got = written(_texts_with(rows, True).mapInArrow(pairs_and_contexts, "first long, second long, n0 long, n1 long, n2 long, n3 long, contexts array<long>"), "pairs")
+    added = got.filter("contexts IS NOT NULL").groupBy("second").agg(*(F.sum(F.col("contexts")[k]).alias(f"c{k}") for k in range(9))).collect()
+    contexts, whole = np.zeros((9, told.shape[1])), np.zeros(9)
+    for r in added:
+        if r.second is None:
+            whole[:] = r[1:]
+        else:
+            contexts[:, find(tells.hashes, np.array([r.second]).view(np.uint64))[0]] = r[1:]
+    kept = _table(got.filter("first IS NOT NULL").drop("contexts").toArrow())
+    first, second = kept[0].view(np.uint64), kept[1].view(np.uint64)
+    hashes = pair_hash(first, second)
+    order = np.argsort(hashes)
+    kept, first, second, hashes = kept[:, order], first[order], second[order], hashes[order]
+    # of the words in these pairs: how many texts have them, and how many pairs begin with them
+    asked = np.unique(np.concatenate([first, second, tells.hashes]))
+    wanted = spark.sparkContext.broadcast(asked)
+    among = lambda x: find(wanted.value, np.asarray(x).view(np.uint64)) >= 0
+    stand = _table(words.mapInArrow(lambda batches: (b.filter(pa.array(among(b.column(0)))) for b in batches), words.schema).toArrow())
+    unwrite(words, got, once)
+    number = np.zeros((8, len(asked)))
+    number[:, find(asked, stand[0].view(np.uint64))] = stand[1:]
+    place, last = find(asked, first), find(asked, second)
+
+    def model(m: tuple[int, ...]) -> Model:
+        k = 3 * MODELS.index(m)
+        n = _added(kept[2:], m)
+        weight = tells.pairs(find(tells.hashes, second), n, m, max(whole[k + 2], size[m]))
+        use = weight > 0
+        shared = (_added(number[:4], m).sum(0) + 1) / (totals[list(m)].sum() + size[m] + 1)
+        return Model(tells.hashes, tells.weight[m], contexts[k : k + 2], shared[find(asked, tells.hashes)], whole[k : k + 2], hashes[use], first[use], weight[use], n[:, use], _added(number[4:], m)[:, place[use]], shared[last[use]])
 
     # the curve: models of one fold score a part of the other, drawn from each class by itself
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
     there = {(r.fold, r.label): r["count"] for r in joined.groupBy("fold", "label").count().collect()}
     parts = 1 << 40
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quillspark.llm import toxicity as t
@@ -15,33 +16,110 @@ def words_of(texts):
     return Words(LOWER[raw], at, NOT_ALNUM)
 
 
-def test_model_is_the_formula():
-    vocab = ["the", "idiot", "red"]
-    h = words_of([" ".join(vocab)]).hash
-    order = np.argsort(h)
-    names = [vocab[k] for k in order]
-    c = {"the": (900, 100), "idiot": (1, 80), "red": (100, 11)}
-    counts = np.array([c[w] for w in names], float).T
-    number = {w: k for k, w in enumerate(names)}
-    pairs = {("the", "idiot"): (0, 40), ("the", "red"): (5, 90)}
-    keys = sorted((number[a] * 3 + number[b], n) for (a, b), n in pairs.items())
-    contexts = np.array([{"the": 3, "idiot": 2, "red": 2}[w] for w in names], float)
-    m = t.Model(h[order], counts, np.array([2000.0, 200.0]), np.array([k for k, _ in keys]), np.array([n for _, n in keys], float).T, contexts)
-    assert [bool(m.told[number[w]]) for w in vocab] == [False, True, False]
-
-    def p(word, k, prev=None):
-        shared = (contexts[number[word]] + 1) / (contexts.sum() + 4)
-        n = (2000.0, 200.0)[k]
-        one = max(c[word][k] - 0.75, 0) / n + 0.75 * 4 / n * shared if word == "idiot" else shared
-        if prev == "the" and word == "red":  # the pair with idiot tells no more than the word
-            seen = 90 if k else 5
-            return max(pairs["the", "red"][k] - 0.75, 0) / seen + 0.75 / seen * one
-        return one
-
-    text = ["the", "idiot", "unknown", "the", "red"]
-    want = sum(np.log(p(w, 1, v) / p(w, 0, v)) for v, w in zip([None, *text], text) if w in number) / 5
-    got = m.ratio(words_of(["The idiot, unknown the red.", "", None, "nothing here"]))
-    assert np.allclose(got, [want, 0, 0, 0])
+def plain_model(texts, labels, weigh):
+    """Probabilities p(class, word, before) of the models, straight from the texts; None stands for any other word. weigh: evidence by counts, expected share and kinds."""
+    from collections import Counter, defaultdict
+
+    have, two, begun = [Counter(), Counter()], [Counter(), Counter()], [Counter(), Counter()]
+    for x, y in dict.fromkeys(zip(texts, labels)):
+        w = x.split()
+        pairs = set(zip(["<", *w], w))
+        have[y].update(set(w))
+        two[y].update(pairs)
+        begun[y].update(a for a, _ in pairs)
+    vocab = sorted(have[0] | have[1])
+    share = sum(have[1].values()) / (sum(have[0].values()) + sum(have[1].values()))
+    wt = {w: weigh(have[0][w], have[1][w], share, len(vocab)) for w in vocab}
+    expected = {w: wt[w] * have[1][w] / (have[0][w] + have[1][w]) + (1 - wt[w]) * share for w in vocab}
+    kinds = len(two[0] | two[1])
+    pt = {k: weigh(two[0][k], two[1][k], min(max(expected[k[1]], 1e-3 * share), 1 - 1e-3 * (1 - share)), kinds) for k in two[0] | two[1]}
+    total = sum(have[0].values()) + sum(have[1].values())
+    shared = {w: (have[0][w] + have[1][w] + 1) / (total + len(vocab) + 1) for w in vocab} | {None: 1 / (total + len(vocab) + 1)}
+    after = [defaultdict(set), defaultdict(set)]
+    for c in (0, 1):
+        for a, b in two[c]:
+            after[c][b].add(a)
+
+    def p(c, word, before=None):
+        n = {w: len(after[c][w]) for w in vocab}
+        every = sum(n.values()) + 0.75
+        untold = sum((1 - wt[w]) * n[w] for w in vocab) / every
+        given = (sum(wt[w] * min(0.75, n[w]) for w in vocab) + 0.75) / every
+        rest = sum((1 - wt.get(w, 0)) * shared[w] for w in shared)
+        own, e = n.get(word, 0), wt.get(word, 0)
+        one = e * max(own - 0.75, 0) / every + untold * (1 - e) * shared[word] / rest + given * shared[word]
+        of = {b: pt[a, b] * max(k - 0.75, 0) / begun[c][before] for (a, b), k in two[c].items() if a == before}
+        return of.get(word, 0) + (1 - sum(of.values())) * one
+
+    return vocab, p
+
+
+def test_model_against_plain_counts(spark):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(30)]
+    rows = []
+    for k in range(260):
+        words = rng.choices(base, k=rng.randint(1, 12))
+        toxic = int(k % 3 == 0)
+        words[rng.randrange(len(words)) :] = rng.choice([["oaf"], ["mild", "storm"], ["oaf", "oaf", "w1"]] if toxic else [["w1"], ["storm", "mild"], ["storm", "w2", "mild"]]) + words[-1:]
+        rows.append((k, " ".join(words), toxic))
+    rows += [(1000 + k, x, y) for k, (_, x, y) in enumerate(rows[:40])]  # copies count once
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(5)
+    scorer = t.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    learnt = [(x, y) for k, x, y in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+
+    def weigh(a, b, share, kinds):
+        from math import exp, lgamma, log
+
+        odds = lgamma(a + 1) + lgamma(b + 1) - lgamma(a + b + 2) - b * log(share) - a * log(1 - share) - log(kinds)
+        e = 1 / (1 + exp(-odds))
+        return e if e > t.NEGLIGIBLE and a + b else 0.0
+
+    vocab, p = plain_model([x for x, _ in learnt], [y for _, y in learnt], weigh)
+    for c in (0, 1):
+        for before in (None, "<", "storm", "oaf", "w1", "w7"):
+            assert abs(sum(p(c, w, before) for w in [*vocab, None]) - 1) < 1e-9
+    assert len(scorer.model.pairs) and len(scorer.model.hashes)
+    for text in ["oaf", "mild storm w4 oaf oaf w1", "storm mild storm w2 w9", "w3 strange oaf w1", "strange"]:
+        w = text.split()
+        known = lambda x: x if x in vocab else None
+        want = sum(np.log(p(1, known(b), a) / p(0, known(b), a)) for a, b in zip(["<", *w], w)) / len(w)
+        assert abs(scorer.model.ratio(words_of([text]))[0] - want) < 1e-7, text
+    base = np.log(p(1, None) / p(0, None))
+    assert np.allclose(scorer.model.ratio(words_of(["", None])), base)
+
+
+def test_evidence():
+    from math import lgamma, log
+
+    counts = np.array([[0.0, 5, 900, 90, 0], [0, 0, 100, 60, 9]])
+    got = t.evidence(counts, 0.1, 1000)
+    for k, (a, b) in enumerate(counts.T):
+        odds = lgamma(a + 1) + lgamma(b + 1) - lgamma(a + b + 2) - b * log(0.1) - a * log(0.9) - log(1000)
+        assert abs(got[k] - (1 / (1 + np.exp(-odds)) if a + b else 0)) < 1e-7
+    assert got[2] < 0.01 and got[3] > 0.99 and got[4] > 0.99
+
+
+@pytest.mark.parametrize("lang", ["en", "de", "es", "fr"])
+def test_held_out_area_by_language(held, lang):
+    assert area([r for r in held if r.lang == lang]) >= 0.9
+
+
+def test_held_out_area(held):
+    assert area(held) >= 0.9
+
+
+def area(rows):
+    good, bad = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
+    order = np.sort(bad)
+    return float(np.mean((np.searchsorted(order, good) + np.searchsorted(order, good, "right")) / 2 / len(bad)))
+
+
+@pytest.fixture(scope="module")
+def held(spark):
+    sf = "/root/testdata/sf0.1"
+    found = t.op7_toxicity(spark, sf).filter("held_out")
+    return found.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
 
 
 def corpus(n=600):
@@ -99,8 +177,7 @@ def test_rare_words_of_a_large_vocabulary_are_learnt(spark):
     docs += [(100 + k, f"oaf t{k}", 1) for k in range(18)]
     df = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
     scorer = t.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
-    at = int(scorer.model.find(words_of(["oaf"]).hash)[0])
-    assert at >= 0 and scorer.model.told[at]
+    assert t.find(scorer.model.hashes, words_of(["oaf"]).hash)[0] >= 0
     assert scorer.scores(words_of(["oaf oaf"]))[0] > 0.5 > scorer.scores(words_of(["w1 w2 w3"]))[0]
 
 
