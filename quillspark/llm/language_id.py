@@ -144,7 +144,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn from a sample of the rows with a language whose crc32 of the id as text, modulo 5, is not `held_out`.
 
     The sample is drawn by a hash of the id, in each language alike: about `per_language` rows, fewer where there are more than
-    in_all / per_language languages. It is the only part of the data that learning reads; the centroids depend on nothing else.
+    in_all / per_language languages. It is the only part of the data that learning reads; the centroids depend on nothing else. Both bounds are
+    parameters. Of more than in_all languages, those with the most rows are learnt.
     """
     rest = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5))
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (rest != held_out))
@@ -152,7 +153,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not sizes:
         return Model([], np.ones(1 << BITS), np.zeros((0, 1 << BITS)), np.zeros(0, int), np.zeros(0))
     each = max(1, min(per_language, in_all // len(sizes)))
-    space = 1 << 20
+    space = 1 << 40  # fine enough for a bounded sample of any table
     share = F.create_map(*(F.lit(x) for l, n in sizes.items() for x in (l, max(1, int(min(1.0, each / n) * space)))))
     drawn = known.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(space)) < share[F.col(lang_col)])
     drawn = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
