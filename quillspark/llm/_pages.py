@@ -6,6 +6,8 @@ import html
 import random
 import re
 
+#: Of more elements, one within the other, a path has so many from either end. It describes a block; no text hangs on it.
+ENDS = 200
 #: Elements that do not end a block of text.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br picture source svg path".split()
@@ -58,7 +60,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((tuple(x for _, names in stack for x in names), text, min(links, len(text))))
+                path = stack if len(stack) <= 2 * ENDS else stack[:ENDS] + stack[-ENDS:]
+                out.append((tuple(x for _, names in path for x in names), text, min(links, len(text))))
             parts.clear()
         links = 0
 
@@ -132,13 +135,11 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                     break
         names = [name]
         for a in _NAMES.finditer(m[3]):
-            names += [f"{a[1][0].lower()}.{p.lower()}" for p in _PART.findall(a[2] or a[3] or a[4] or "")[:8]]
+            names += [f"{a[1][0].lower()}.{p.lower()}" for p in _PART.findall(a[2] or a[3] or a[4] or "")]
         stack.append((name, tuple(names)))
         hidden += name in HIDDEN
         depth_a += name == "a"
         foreign += name in FOREIGN
-        if len(stack) > 400:
-            pop_to(200)
     close_block()
     return out
 

@@ -24,7 +24,7 @@ SIZE = PATHS + WORDS + MEASURES
 HIDDEN = 24
 #: Made-up pages, passes over them and pages in a step.
 PAGES, PASSES, STEP = 1000, 8, 16
-#: Blocks that are labelled together.
+#: Blocks that are labelled together. A page of more is read stretch by stretch, with the state handed on.
 TOGETHER = 4096
 
 _WORD = re.compile(r"\w+|[^\w\s]")
@@ -41,10 +41,10 @@ def _place(token: str, n: int) -> int:
     return _places[key]
 
 
-def features(found: list) -> np.ndarray:
-    """[blocks, SIZE]"""
-    x = np.zeros((len(found), SIZE), np.float32)
-    for k, (path, text, links) in enumerate(found):
+def features(found: list, begin: int = 0, end: int | None = None) -> np.ndarray:
+    """[blocks, SIZE] of a stretch of a page's blocks."""
+    x = np.zeros((len(found[begin:end]), SIZE), np.float32)
+    for k, (path, text, links) in enumerate(found[begin:end]):
         where = _paths.get(path)
         if where is None:
             if len(_paths) > 20_000:
@@ -58,7 +58,7 @@ def features(found: list) -> np.ndarray:
         stops = sum(text.count(c) for c in ".!?")
         x[k, PATHS + WORDS :] = (
             np.log1p(n) / 4, np.log1p(len(text)) / 6, links / len(text), n < 4, n > 25, stops / n * 2,
-            text[-1] in ".!?", text[:1].isupper(), (k + 1) / (len(found) + 1), len(path) / 10,
+            text[-1] in ".!?", text[:1].isupper(), (begin + k + 1) / (len(found) + 1), len(path) / 10,
         )
     return x
 
@@ -79,11 +79,11 @@ class Labeller:
             self.w |= {f"x{d}": make(size, 4 * hidden), f"h{d}": make(hidden, 4 * hidden), f"b{d}": np.repeat(np.array([0, 1, 0, 0], np.float32), hidden)}
         self.w |= {"o": make(2 * hidden, 1), "c": np.zeros(1, np.float32)}
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
+    def _run(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, state: tuple | None = None):
         t, b, _ = x.shape
         n = self.hidden
         zx = (x.reshape(t * b, -1) @ self.w[f"x{d}"] + self.w[f"b{d}"]).reshape(t, b, 4 * n)
-        h, c = np.zeros((b, n), np.float32), np.zeros((b, n), np.float32)
+        h, c = state or (np.zeros((b, n), np.float32), np.zeros((b, n), np.float32))
         out, trace = np.zeros((t, b, n), np.float32), {}
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
             z = zx[k] + h @ self.w[f"h{d}"]
@@ -96,7 +96,7 @@ class Labeller:
             out[k] = h
             if keep:
                 trace[k] = (*before, i, f, o, g, th, m)
-        return out, trace
+        return out, trace, (h, c)
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
         runs = {d: self._run(x, mask, d, keep) for d in "fb"}
@@ -128,6 +128,18 @@ class Labeller:
             g |= {f"h{d}": gh, f"x{d}": x.reshape(t * b, -1).T @ dzs.reshape(t * b, -1), f"b{d}": dzs.sum((0, 1))}
         return loss, g
 
+    def long_labels(self, found: list) -> np.ndarray:
+        """As labels(), of one page of any length; what is in memory at once has a bound, but for a number a block."""
+        z, n = np.zeros(len(found), np.float32) + self.w["c"], self.hidden
+        cuts = range(0, len(found), TOGETHER)
+        for d, part in (("f", slice(0, n)), ("b", slice(n, 2 * n))):
+            state = None
+            for k in cuts if d == "f" else reversed(cuts):
+                x = features(found, k, k + TOGETHER)[:, None]
+                out, _, state = self._run(x, np.ones(x.shape[:2], np.float32), d, False, state)
+                z[k : k + TOGETHER] += (out @ self.w["o"][part])[:, 0, 0]
+        return _sig(z)
+
     def labels(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """The probability of main text for each block of each page."""
         out: list = [np.zeros(0)] * len(pages)
@@ -184,7 +196,8 @@ def trained(seed: int = 11, pages: int = PAGES, passes: int = PASSES) -> Labelle
 
 def main_texts(model: Labeller, pages: list[str]) -> list[str]:
     found = [blocks(p) for p in pages]
-    labels = model.labels([features(b) for b in found])
+    labels = model.labels([features(b if len(b) <= TOGETHER else []) for b in found])
+    labels = [y if len(b) <= TOGETHER else model.long_labels(b) for b, y in zip(found, labels)]
     return ["\n".join(t for (_, t, _), p in zip(b, y) if p >= 0.5) for b, y in zip(found, labels)]
 
 
