@@ -167,7 +167,8 @@ def _sound(f: _File, at: int) -> tuple[Iterator[tuple], int]:
 def salvage(source) -> Iterator[tuple]:
     """All sound records of an open file, as ("record", headers, block), and the bytes between them, as ("gap", begin, end, reason).
 
-    Gzip members and plain records may follow each other in any order.
+    Gzip members and plain records may follow each other in any order. Of a gap within a sound member, the place is the member's, and
+    the reason names the bytes of its unpacked content that are lost.
     """
     f = _File(source)
     places = {GZIP: 0, b"WARC/1.": 0}  # the next of each; none before it is sought again
@@ -192,14 +193,12 @@ def salvage(source) -> Iterator[tuple]:
                     pass
             yield "gap", begin, at, reason
             continue
-        bad = False
         for x in found:
             if isinstance(x[0], dict):
                 yield ("record", *x)
             else:
-                bad = x[2]
-        if bad:
-            yield "gap", at, end, bad
+                # what is lost has no place of its own in the packed file
+                yield "gap", at, end, f"{x[2]}, bytes {x[0]} to {x[1]} of the unpacked member"
         at = end
 
 
@@ -264,7 +263,10 @@ def read_warc(spark: SparkSession, files: DataFrame) -> DataFrame:
             n, digest = number("x-payload-length"), head.get("warc-payload-digest", "").partition(":")[2]
         return (path, head.get("warc-target-uri"), number("x-page-id"), n, digest, kind, number("x-refers-to-page-id"), None, None, None)
 
+    named = spark.sparkContext.broadcast(paths)
+
     def read(batches):
+        paths = named.value
         kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
             for k in batch.column(0).to_pylist():

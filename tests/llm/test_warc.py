@@ -86,6 +86,13 @@ def test_mixed_files(first, between):
     assert len([x for x in got if x[0] == "gap"]) == (7 if between else 0)
 
 
+def test_gap_within_a_member_names_the_lost_bytes():
+    one, two, three = made(3, False)
+    got = read(w.member(one + b"x" * 30 + two + two[:50]) + w.member(three))
+    assert pages_of(got) == [0, 1, 2]
+    assert [x[3].split(", ")[-1] for x in got if x[0] == "gap"] == [f"bytes {len(one)} to {len(one) + 30} of the unpacked member", f"bytes {len(one + two) + 30} to {len(one + two) + 80} of the unpacked member"]
+
+
 def test_empty_and_strange_files():
     assert read(b"") == []
     assert [x[0] for x in read(b"no archive at all" * 1000)] == ["gap"]
