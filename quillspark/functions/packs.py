@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from collections.abc import Iterable
+from dataclasses import dataclass, field, replace
 
 
 @dataclass(frozen=True)
@@ -23,6 +25,7 @@ class Pack:
     references: str = r"^\s*(?:References|Bibliography)"
     edge: str = "[。！？；]"  # between sentences where paragraphs meet
     concept: str = "[一-鿿]{3,}"
+    guard: bool = False  # whether signs of a human hand lower levels
 
     @property
     def dense_slop(self) -> list[str]:
@@ -44,7 +47,7 @@ ZH = Pack(
     least_paragraph=10,
     sentence="[。！？；!?;]+",
     least_sentence=2,
-    token="[一-鿿]|[A-Za-z0-9]+",
+    token="",  # by lexicon, below
     connectors={
         "high": ["值得注意的是", "不可忽视的是", "需要指出的是", "需要强调的是", "不容忽视的是", "与此同时", "从某种意义上说", "在此基础上", "在这一背景下", "从这个角度来看", "就目前而言", "在某种程度上", "从根本上说", "毫无疑问", "不言而喻"],
         "medium": ["因此", "然而", "此外", "首先", "其次", "最后", "再次", "进而", "从而", "综上所述", "总而言之", "换言之", "也就是说", "这表明", "这意味着"],
@@ -61,10 +64,17 @@ ZH = Pack(
         "ai_conclusion_starters": ["综上所述", "总而言之", "概括而言", "综合来看", "整体而言", "归纳起来", "总体说来", "从以上分析可以看出"],
         "ai_transition_sets": ["一方面...另一方面...", "不仅...而且...此外...", "首先...其次...再次...最后...", "从微观...到宏观...", "从理论...到实践...", "从国内...到国际...", "从短期...到长期..."],
     },
-    stopwords=(
-        "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 他 她 它 们 那 些 所 为 所以 因为 但是 然而 如果 虽然 可以 这个 那个 什么 怎么 哪 吗 啊 吧 呢 哦 "
-        "地 得 之 与 及 或 对 等 从 向 往 朝 当 以 才 刚 已 将 能 可 该 应 用 把 被 让 给 经 过 于 按 照 依 据 靠 沿 顺"
-    ).split(),
+    stopwords=[
+        "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一",
+        "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会", "着",
+        "没有", "看", "好", "自己", "这", "他", "她", "它", "们", "那", "些",
+        "所", "为", "所以", "因为", "但是", "然而", "如果", "虽然", "可以",
+        "这个", "那个", "什么", "怎么", "哪", "吗", "啊", "吧", "呢", "哦",
+        "的", "地", "得", "之", "与", "及", "或", "对", "等", "从", "到",
+        "向", "往", "朝", "在", "当", "为", "以", "就", "才", "刚", "已",
+        "将", "要", "能", "会", "可", "该", "应", "用", "把", "被", "让",
+        "给", "经", "过", "于", "按", "照", "依", "据", "靠", "沿", "顺",
+    ],
     term="^[一-鿿]{3,}$",
     templates=[
         (["首先", "其次", "最后"], 0.40),
@@ -81,8 +91,31 @@ ZH = Pack(
         ("(?:不仅|不只).{2,30}(?:而且|也|还|更|进而|同时)", 0.10),
     ],
     references=r"^\s*(?:参考文献|参考书目|References|Bibliography|引用文献|参考资料)",
+    guard=True,
 )
 
+def lexicon_token(words: Iterable[str], alone: str) -> str:
+    """A pattern whose matches, from left to right, cut a Chinese text into words: the longest known word there, a sign that is mostly a word
+    by itself, a run of Latin letters and digits, or else two Chinese signs (most words have two), one, or a mark.
+    """
+    known = sorted({w for w in words if len(w) > 1 and re.fullmatch("[一-鿿]+", w)}, key=lambda w: (-len(w), w))
+    return f"(?:{'|'.join(known)})|[{alone}]|[A-Za-z0-9]+|[一-鿿][一-鿿]|[一-鿿]|[^ \\t\\r\\n\\x0B\\f]"
+
+
+#: Signs that are mostly words by themselves; this library's own choice.
+ALONE = "的了在是和就都也很着吗啊吧呢与及或把被我你他她它这那"
+#: Words of three signs and more, and some of two, that texts on research often have; this library's own choice, to be widened by with_words().
+COMMON = ["我们", "他们", "它们", "可能", "地方", "对象", "应用", "过程", "经济", "好处", "看法", "会议", "有效", "不同", "一些", "于是", "以及", "上述", "研究者", "方法论", "可持续", "参与者", "重要性", "可能性", "必要性", "有效性", "人工智能", "机器学习", "社会科学", "自然科学", "基础设施", "公共服务", "信息技术", "数字化", "现代化", "一体化", "参考文献", "关键词"]
+
+
+def with_words(pack: Pack, words: Iterable[str]) -> Pack:
+    """The pack with further words for cutting texts, such as the terms of a discipline."""
+    own = [*pack.all_connectors, *pack.all_slop, *pack.stopwords, *COMMON, *words]
+    return replace(pack, token=lexicon_token(own, ALONE))
+
+
+ZH = with_words(ZH, [])
+
 #: For texts in European languages, of one line a paragraph. The lists are this library's own.
 LATIN = Pack(
     name="latin",
@@ -91,13 +124,35 @@ LATIN = Pack(
     sentence=r"[.!?;\n]+",
     least_sentence=2,
     token="[0-9a-zà-öø-ÿœß]+",
-    connectors={"high": ["therefore", "moreover", "of the", "en el", "dans le", "in der"], "medium": ["however", "thus", "that the", "es un", "der die", "le le"], "low": ["and", "und", "et", "pero", "aber", "mais"]},
-    slop={"overused_phrases": ["important role", "the of", "de la"], "empty_modifiers": ["crucial", "ing the"], "ai_conclusion_starters": ["in conclusion", "is the"], "template_structures": ["and the"], "ai_transition_sets": []},
-    stopwords="the of and to a in is it that for on with as be by this der die das und in zu den von le la les de des et un une que el los las y en".split(),
+    connectors={
+        "high": ["it should be noted", "it is worth noting", "in this context", "first and foremost", "es ist anzumerken", "in diesem Zusammenhang", "il convient de noter", "dans ce contexte", "cabe señalar", "en este contexto"],
+        "medium": ["Therefore", "therefore", "However", "however", "Moreover", "Furthermore", "Consequently", "Daher", "daher", "Jedoch", "jedoch", "Darüber hinaus", "Cependant", "cependant", "En outre", "Por lo tanto", "Sin embargo", "Además"],
+        "low": [" but ", " because ", " although ", " while ", " then ", " aber ", " weil ", " obwohl ", " mais ", " car ", " parce que ", " puis ", " pero ", " porque ", " aunque ", " entonces "],
+    },
+    slop={
+        "overused_phrases": ["plays a crucial role", "of great importance", "has attracted attention", "lays the foundation", "spielt eine wichtige Rolle", "von großer Bedeutung", "joue un rôle essentiel", "d'une grande importance", "desempeña un papel fundamental", "de gran importancia"],
+        "empty_modifiers": ["crucial", "indispensable", "unprecedented", "entscheidend", "unverzichtbar", "incontournable", "imprescindible"],
+        "ai_conclusion_starters": ["In conclusion", "In summary", "To sum up", "Zusammenfassend", "En conclusion", "En résumé", "En resumen"],
+        "template_structures": ["not only", "from the perspective of", "aus der Sicht", "du point de vue", "desde el punto de vista"],
+        "ai_transition_sets": ["On the one hand", "On the other hand", "Einerseits", "Andererseits", "D'une part", "D'autre part", "Por un lado", "Por otro lado"],
+    },
+    stopwords=[
+        "the", "of", "and", "to", "a", "in", "is", "it", "that", "for", "on", "with", "as", "be", "by", "this", "was", "are", "at", "from",
+        "der", "die", "das", "und", "zu", "den", "von", "mit", "ist", "ein", "eine", "auf", "für", "sich",
+        "le", "la", "les", "de", "des", "et", "un", "une", "que", "dans", "est", "du",
+        "el", "los", "las", "y", "en", "con", "por", "una", "se",
+    ],
     term="^[a-zà-öø-ÿœß]{9,}$",
-    templates=[(["the", "and", "of"], 0.40), (["der", "und"], 0.30), (["le", "et"], 0.30)],
-    starters=["^.{0,4}?(the|of|der|die|le|la)", "^.{0,4}?(in|to|en)"],
-    formulas=[("the .{2,20}of", 0.12), ("(?:und|et) .{2,20}(?:der|le)", 0.10)],
+    templates=[
+        (["First", "Second", "Finally"], 0.40),
+        (["[Oo]n the one hand", "[Oo]n the other hand"], 0.30),
+        (["not only", "but also"], 0.30),
+        (["[Ee]inerseits", "[Aa]ndererseits"], 0.30),
+        (["[Dd]'une part", "[Dd]'autre part"], 0.30),
+        (["[Pp]or un lado", "[Pp]or otro lado"], 0.30),
+    ],
+    starters=["^.{0,4}?(By|Through|With|Durch|Mit|Par|Avec|Por|Con) ", "^.{0,4}?(In|On|The|Der|Die|Das|Le|La|El|En) "],
+    formulas=[("(?:[Tt]his|[Oo]ur) (?:paper|study|article) .{0,20}(?:examines|explores|analyses|analyzes)", 0.15), ("(?:not only|nicht nur|non seulement|no solo) .{2,30}(?:but|sondern|mais|sino)", 0.10)],
     edge="[.!?;]",
     concept="[a-zà-öø-ÿœß]{6,}",
 )

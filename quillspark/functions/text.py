@@ -32,6 +32,14 @@ def hits(text: Column, phrases: Iterable[str]) -> Column:
     return F.size(F.filter(words_array(dict.fromkeys(phrases)), lambda p: F.contains(text, p)))
 
 
+def deviation(numbers: Column) -> Column:
+    """Population standard deviation of an array's numbers."""
+    n = F.size(numbers)
+    mean = F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x) / n
+    square = F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x * x) / n
+    return F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+
+
 def characters(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
 

@@ -27,6 +27,33 @@ SEMANTIC_DIMENSIONS = [
     ("transition_naturalness", (0.65, 0.95), [(0.15, 0.45)], 0.6),
 ]
 
+# What the dimensions are called in reports.
+DESCRIPTIONS = {
+    "sentence_length_std": "句长方差",
+    "connector_density": "连接词密度",
+    "info_density": "信息密度",
+    "term_density": "术语密度",
+    "paragraph_similarity": "段落结构相似度",
+    "hapax_ratio": "Hapax Legomena比率",
+    "zipf_deviation": "Zipf偏离度",
+    "bigram_repetition": "Bigram重复率",
+    "trigram_repetition": "Trigram重复率",
+    "punctuation_entropy": "标点熵",
+    "overall_entropy": "整体字符熵",
+    "slop_density": "Slop词密度",
+    "paragraph_semantic_similarity": "段落语义相似度",
+    "argument_linearity": "论证线性度（全局）",
+    "semantic_backtrack_rate": "语义回溯率（全局）",
+    "transition_naturalness": "跨段衔接自然度",
+}
+# The names of vector dimensions in reports, in the order that settles equal gaps.
+SEMANTIC_KEYS = {
+    "paragraph_semantic_similarity": "paragraph_similarity",
+    "transition_naturalness": "transition_naturalness",
+    "argument_linearity": "argument_linearity",
+    "semantic_backtrack_rate": "semantic_backtrack",
+}
+
 
 def zone(value: Column, dimension: tuple) -> Column:
     """ai first, then human; whatever is in neither is gray."""

@@ -1,99 +1,39 @@
 """The twelve statistics of a paragraph, their zones, levels and gaps.
 
-Everything is computed within the row from sorted arrays and their runs, so no statistic moves a row.
-Arrays that lambdas look into are columns of their own stage: an expression there would be computed anew for each element.
+The statistics are counted in one pass over each text, batch by batch (see kernels.py): within their row, so no statistic moves a row.
 """
 
 from __future__ import annotations
 
-import re
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.packs import PUNCTUATION, Pack
-from ..functions.text import characters, entropy, grams, occurrences, one_minus_r2, run_lengths, run_starts, words_array
-from ..functions.thresholds import RULE_DIMENSIONS, gap, zone
-from .parse import sentence_array, tokens
-
-_NO_SIGN = "[^" + re.escape(PUNCTUATION).replace('"', '"') + "]"
+from ..functions.packs import Pack
+from ..functions.thresholds import DESCRIPTIONS, RULE_DIMENSIONS, gap, zone
+from .kernels import MOST_TERMS, Kernel
 
 
-def _spread(lengths: Column) -> Column:
-    """Population standard deviation of an array's numbers."""
-    n = F.size(lengths)
-    mean = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x) / n
-    square = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x * x) / n
-    return F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
+def similarity(par: DataFrame, pack: Pack, most: int = MOST_TERMS) -> DataFrame:
+    """Adds paragraph_similarity: the cosine of the TF-IDF vectors of text and prev, over their most frequent terms (ties by term)."""
 
+    def run(texts: pd.Series, before: pd.Series) -> pd.Series:
+        kernel = Kernel(pack)
+        return pd.Series([kernel.similarity(kernel.tokens(t), kernel.tokens(p), most) for t, p in zip(texts, before)], dtype=float)
 
-def similarity(par: DataFrame, pack: Pack, most: int = 100) -> DataFrame:
-    """Adds paragraph_similarity: the cosine of the TF-IDF vectors of text and prev, over their most frequent terms (ties by term)."""
-    a = par.select("*", F.sort_array(tokens(F.col("text"), pack)).alias("_a"), F.sort_array(tokens(F.col("prev"), pack)).alias("_b"))
-    b = a.select("*", run_starts(F.col("_a")).alias("_as"), run_starts(F.col("_b")).alias("_bs"))
-    term = lambda s, k: F.transform(k, lambda i: F.element_at(F.col(s), i))
-    c = b.select(
-        "*",
-        F.map_from_arrays(term("_a", "_as"), run_lengths(F.col("_as"), F.size("_a"))).alias("_am"),
-        F.map_from_arrays(term("_b", "_bs"), run_lengths(F.col("_bs"), F.size("_b"))).alias("_bm"),
-    )
-    tf = lambda m, t: F.coalesce(F.try_element_at(F.col(m), t), F.lit(0))
-    # each term is looked up once in either text; what follows works on the counts found
-    met = F.transform(F.array_union(F.map_keys("_am"), F.map_keys("_bm")), lambda t: F.struct(t.alias("t"), tf("_am", t).alias("x"), tf("_bm", t).alias("y")))
-    every = F.transform(met, lambda s: F.struct((-(s.x + s.y)).alias("n"), s.t.alias("t"), s.x.cast("double").alias("x"), s.y.cast("double").alias("y")))
-    d = c.select("*", F.slice(F.sort_array(every), 1, most).alias("_u"))
-    rare = F.pow(1 + F.log(F.lit(1.5)), F.lit(2.0))
-
-    def add(s, u):
-        w = F.when((u.x > 0) & (u.y > 0), F.lit(1.0)).otherwise(rare)
-        return F.struct((s.xy + u.x * u.y).alias("xy"), (s.xx + u.x * u.x * w).alias("xx"), (s.yy + u.y * u.y * w).alias("yy"))
-
-    zero = F.struct(*(F.lit(0.0).alias(k) for k in ("xy", "xx", "yy")))
-    cosine = F.aggregate("_u", zero, add, lambda s: F.when((s.xx > 0) & (s.yy > 0), s.xy / F.sqrt(s.xx * s.yy)).otherwise(0.0))
-    return d.select(*par.columns, cosine.alias("paragraph_similarity"))
+    return par.withColumn("paragraph_similarity", F.pandas_udf(run, "double")("text", "prev"))
 
 
 def dimensions(par: DataFrame, pack: Pack, compare: bool = True) -> DataFrame:
     """doc_id, p_idx, text and the twelve values, not rounded. Without `compare` the similarity to the paragraph before is 0."""
-    own = similarity(par, pack) if compare else par.withColumn("paragraph_similarity", F.lit(0.0))
-    text, n = F.col("text"), F.length("text")
-    a = own.select(
-        "doc_id", "p_idx", "text", "paragraph_similarity",
-        F.transform(sentence_array(text, pack), lambda s: F.length(s).cast("double")).alias("lengths"),
-        tokens(text, pack).alias("tokens"),
-        F.sort_array(characters(F.translate(text, " \n", ""))).alias("chars"),
-        F.sort_array(characters(F.regexp_replace(text, _NO_SIGN, ""))).alias("signs"),
-    )
-    b = a.withColumn("long", F.filter("tokens", lambda t: F.length(t) >= 2))
-    c = b.withColumns({"ordered": F.sort_array("long"), "g2": F.sort_array(grams(F.col("long"), 2)), "g3": F.sort_array(grams(F.col("long"), 3))})
-    arrays = ["chars", "signs", "ordered", "g2", "g3"]
-    d = c.withColumns({f"{k}_s": run_starts(F.col(k)) for k in arrays})
-    e = d.withColumns({f"{k}_n": run_lengths(F.col(f"{k}_s"), F.size(k)) for k in arrays})
-    f = e.withColumn("ranked", F.reverse(F.sort_array("ordered_n")))
-
-    def again(k: str, order: int) -> Column:
-        many = F.size(F.filter(f"{k}_n", lambda x: x > 1))
-        return F.when((F.size("long") >= order + 2) & (F.size(k) > 0), many / F.size(k)).otherwise(0.0)
-
-    content = F.filter("long", lambda t: ~F.array_contains(words_array(pack.stopwords), t) & ~t.rlike("^[0-9]+$"))
-    terms = F.filter("tokens", lambda t: t.rlike(pack.term) & ~F.array_contains(words_array(pack.stopwords), t))
-    points = F.transform("ranked", lambda x, i: F.struct(F.log((i + 1).cast("double")).alias("x"), F.log(x.cast("double")).alias("y")))
-    per = lambda a, b, k: F.when(b > 0, a / b * k).otherwise(0.0)
-    values = {
-        "sentence_length_std": F.when(F.size("lengths") >= 3, _spread(F.col("lengths"))).otherwise(0.0),
-        "connector_density": per(occurrences(text, pack.all_connectors), n, 1000.0),
-        "info_density": per(F.size(content), F.size("tokens"), 1.0),
-        "term_density": per(F.size(terms), F.length(F.translate(text, " \n", "")), 100.0),
-        "paragraph_similarity": F.col("paragraph_similarity"),
-        "hapax_ratio": per(F.size(F.filter("ordered_n", lambda x: x == 1)), F.size("ordered"), 1.0),
-        "zipf_deviation": F.when((F.size("long") >= 20) & (F.size("ranked") >= 3), one_minus_r2(points)).otherwise(0.0),
-        "bigram_repetition": again("g2", 2),
-        "trigram_repetition": again("g3", 3),
-        "punctuation_entropy": entropy(F.col("signs_n"), F.size("signs")),
-        "overall_entropy": entropy(F.col("chars_n"), F.size("chars")),
-        "slop_density": per(occurrences(text, pack.dense_slop), n, 1000.0),
-    }
-    return f.select("doc_id", "p_idx", "text", *(v.cast("double").alias(k) for k, v in values.items()))
+    names = [d[0] for d in RULE_DIMENSIONS]
+
+    def run(texts: pd.Series, before: pd.Series) -> pd.DataFrame:
+        kernel = Kernel(pack)
+        return pd.DataFrame([kernel.values(t, p) for t, p in zip(texts, before)], columns=names, dtype=float)
+
+    values = F.pandas_udf(run, ", ".join(f"{n} double" for n in names))("text", F.col("prev") if compare else F.lit(None).cast("string"))
+    return par.select("doc_id", "p_idx", "text", values.alias("_v")).select("doc_id", "p_idx", "text", "_v.*")
 
 
 def classified(dims: DataFrame) -> DataFrame:
@@ -110,16 +50,19 @@ def level(ai_count: Column) -> Column:
 
 
 def unpivoted(dims: DataFrame) -> DataFrame:
-    """doc_id, p_idx, dim, dim_ord, value, zone, gap, weight: a row for each dimension; value and gap not rounded."""
+    """doc_id, p_idx, dim, dim_ord, value, zone, gap, description, weight: a row for each dimension; value and gap to four places, the zone by the exact value."""
     each = [
-        F.struct(F.lit(d[0]).alias("dim"), F.lit(k).alias("dim_ord"), F.col(d[0]).alias("value"), zone(F.col(d[0]), d).alias("zone"), gap(F.col(d[0]), d).alias("gap"), F.lit(float(d[3])).alias("weight"))
+        F.struct(
+            F.lit(d[0]).alias("dim"), F.lit(k).alias("dim_ord"), F.round(F.col(d[0]), 4).alias("value"), zone(F.col(d[0]), d).alias("zone"),
+            F.round(gap(F.col(d[0]), d), 4).alias("gap"), F.lit(DESCRIPTIONS[d[0]]).alias("description"), F.lit(float(d[3])).alias("weight"),
+        )
         for k, d in enumerate(RULE_DIMENSIONS)
-    ]
+    ]
     return dims.select("doc_id", "p_idx", F.explode(F.array(*each)).alias("d")).select("doc_id", "p_idx", "d.*")
 
 
 def ranked_gaps(long: DataFrame, keys: tuple[str, ...] = ("doc_id", "p_idx")) -> DataFrame:
-    """The dimensions in the ai zone, numbered by gap from the largest; equal gaps by the order of dimensions."""
+    """The dimensions in the ai zone, numbered by their rounded gap from the largest; equal gaps by the order of dimensions."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(*keys).orderBy(F.desc("gap"), "dim_ord")
@@ -135,32 +78,49 @@ HUMAN_SIGNS = [
     ("(?:不禁|簌簌|的确|确实|实在|真正|深深|多么|忍不住|不由得|不觉|不知不觉)", 1, "情感强度词"),
     ("我(?:的|的)?(?:泪|心|眼|手|脚|脸|背|头|身子)", 2, "亲身感受"),
 ]
+# Endings of narrative clauses, and marks of classical prose.
 NARRATIVE = "(?:着|地|下去|上来|起来|过去|过来|进去|进来|出去|出来)(?:[，。；]|$)"
 CLASSICAL = "(?:不是.{0,20}而是|像.{2,8}一样|满眼都是|.{2,4}得.{2,4})"
 
 
-def human_score(text: Column) -> Column:
-    """Points for signs of a human hand; commas in short steps give one, three narrative endings two."""
+def _human_signs(text: Column) -> list[tuple[Column, int, str]]:
+    """(whether it is there, points, name) of each sign, in the order of reports; commas in short steps and three narrative endings are signs too."""
     commas = F.length(text) - F.length(F.translate(text, "，,", ""))
     brisk = (commas > 0) & (F.length(F.translate(text, " \n", "")) / F.greatest(commas, F.lit(1)) < 20)
-    points = [F.when(text.rlike(f"(?d){p}"), n).otherwise(0) for p, n, _ in HUMAN_SIGNS]
-    points += [F.when(brisk, 1).otherwise(0), F.when(F.regexp_count(text, F.lit(NARRATIVE)) >= 3, 2).otherwise(0)]
-    return sum(points, F.lit(0))
+    named = [(text.rlike(f"(?d){p}"), n, name) for p, n, name in HUMAN_SIGNS]
+    return [*named[:-1], (brisk, 1, "短句节奏"), (F.regexp_count(text, F.lit(NARRATIVE)) >= 3, 2, "散文叙事"), named[-1]]
+
+
+def human_score(text: Column) -> Column:
+    """The points of all signs of a human hand that the text has."""
+    return sum((F.when(there, n).otherwise(0) for there, n, _ in _human_signs(text)), F.lit(0))
+
+
+def human_marks(text: Column) -> Column:
+    """The names of those signs, written as a list."""
+    return F.concat(F.lit("["), F.array_join(F.array_compact(F.array(*(F.when(there, F.lit(f"'{name}'")) for there, _, name in _human_signs(text)))), ", "), F.lit("]"))
 
 
 def guarded(rows: DataFrame) -> DataFrame:
-    """From text, level and comprehensive_score: human_score, is_classical, guard_triggered, original_level, and level and score lowered by the first rule that holds."""
+    """From text, level and comprehensive_score: human_score, is_classical, guard_triggered, guard_reason, original_level, and level and score lowered by the first rule that holds."""
     out = rows.withColumn("human_score", human_score(F.col("text"))).withColumn("original_level", F.col("level"))
     out = out.withColumn("is_classical", ((F.col("human_score") >= 4) & F.col("text").rlike(f"(?d){CLASSICAL}")) | (F.col("human_score") >= 5))
     lv, hs, cl = F.col("original_level"), F.col("human_score"), F.col("is_classical")
     down = F.when(lv == "deep_red", "red").when(lv == "red", "yellow").when(lv == "yellow", "green").otherwise(lv)
+    named = lambda tail: F.concat(F.lit("检测到"), human_marks(F.col("text")), F.lit(tail))
     rules = [
-        (cl & (lv != "green"), down, 0.5),
-        ((hs >= 4) & (lv != "green"), down, 0.6),
-        ((hs >= 3) & lv.isin("red", "deep_red"), F.lit("yellow"), 0.7),
-        ((hs >= 2) & (lv == "deep_red"), F.lit("red"), 0.85),
+        (cl & (lv != "green"), down, 0.5, F.lit("检测到经典文学特征（排比/拟人/诗化语言），降级处理")),
+        ((hs >= 4) & (lv != "green"), down, 0.6, named("等强人类写作特征（≥4分）")),
+        ((hs >= 3) & lv.isin("red", "deep_red"), F.lit("yellow"), 0.7, named("等强人类写作特征")),
+        ((hs >= 2) & (lv == "deep_red"), F.lit("red"), 0.85, named("等人类写作特征")),
     ]
-    new, factor, hit = F, F, F.lit(False)
-    for cond, to, k in rules:
-        new, factor, hit = new.when(cond, to), factor.when(cond, k), hit | cond
-    return out.withColumns({"level": new.otherwise(lv), "comprehensive_score": F.col("comprehensive_score") * factor.otherwise(1.0), "guard_triggered": hit})
+    new, factor, why, hit = F, F, F, F.lit(False)
+    for cond, to, k, reason in rules:
+        new, factor, why, hit = new.when(cond, to), factor.when(cond, k), why.when(cond, reason), hit | cond
+    return out.withColumns({"level": new.otherwise(lv), "comprehensive_score": F.col("comprehensive_score") * factor.otherwise(1.0), "guard_triggered": hit, "guard_reason": why.otherwise("")})
+
+
+def scanned(par: DataFrame, pack: Pack, compare: bool = True) -> DataFrame:
+    """Dimensions, zones, score and level of each paragraph, with the guard where the pack has one."""
+    rows = classified(dimensions(par, pack, compare))
+    return guarded(rows) if pack.guard else rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.thresholds import RULE_DIMENSIONS, SEMANTIC_DIMENSIONS
+from ..functions.thresholds import DESCRIPTIONS, RULE_DIMENSIONS, SEMANTIC_DIMENSIONS, SEMANTIC_KEYS
 
 # What to do about a dimension.
 INSTRUCTIONS = {
@@ -21,6 +21,9 @@ INSTRUCTIONS = {
     "trigram_repetition": "打破固定的三词组合模式",
     "punctuation_entropy": "增加标点多样性, 将部分逗号改为分号, 或加入破折号、省略号",
     "overall_entropy": "引入更多样化的表达方式, 打破字词使用的规律性",
+    "sem_paragraph_similarity": "让相邻段落的主题有所跳跃, 不要每段都完美承接上段",
+    "sem_argument_linearity": "在论证中插入一个迂回或自我质疑的句子, 打破直线的A->B->C逻辑",
+    "sem_transition_naturalness": "让段间过渡更自然, 不要每段都用特定连接词开头",
 }
 
 
@@ -45,17 +48,35 @@ def fused(rules: DataFrame, semantic: DataFrame) -> DataFrame:
     )
 
 
+def _literal_map(pairs: dict) -> Column:
+    return F.create_map(*(F.lit(x) for p in pairs.items() for x in p))
+
+
 def gap_report(rules: DataFrame, semantic: DataFrame) -> DataFrame:
-    """doc_id, p_idx, layer, dim, value, gap, rank: all dimensions in the ai zone, by gap from the largest; equal ones rule first, in order."""
-    cols = ["doc_id", "p_idx", "layer", "dim", "dim_ord", "value", "gap"]
+    """doc_id, p_idx, layer, dim, description, value, gap, rank: all dimensions in the ai zone, by gap from the largest; equal ones rule first, in order.
+
+    Vector dimensions go by the names that reports have for them.
+    """
+    cols = ["doc_id", "p_idx", "layer", "dim", "dim_ord", "description", "value", "gap"]
     a = rules.filter("zone = 'ai'").withColumn("layer", F.lit("rule")).select(cols)
-    b = semantic.filter("zone = 'ai'").withColumn("layer", F.lit("embedding")).withColumn("dim_ord", F.col("dim_ord") + 100).select(cols)
+    order = {d: 100 + k for k, d in enumerate(SEMANTIC_KEYS)}
+    own = {"layer": F.lit("embedding"), "dim_ord": _literal_map(order)[F.col("dim")], "description": _literal_map(DESCRIPTIONS)[F.col("dim")], "dim": _literal_map(SEMANTIC_KEYS)[F.col("dim")]}
+    b = semantic.filter("zone = 'ai'").withColumns(own).select(cols)
     w = Window.partitionBy("doc_id", "p_idx").orderBy(F.desc(F.round("gap", 6)), "dim_ord")
     return a.unionByName(b).withColumn("rank", F.row_number().over(w)).drop("dim_ord")
 
 
+def number(value: Column) -> Column:
+    """A number of up to six places as reports write it: no zeros at the end but one after the point, and below 0.0001 with an exponent."""
+    micro = F.round(value * 1e6).cast("long")
+    short = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", F.round(value, 6)), "0+$", ""), "\\.$", ".0")
+    tiny = lambda k, unit: F.concat(F.regexp_replace((micro / unit).cast("decimal(3,1)").cast("string"), "\\.0$", ""), F.lit(f"e-0{k}"))
+    return F.when((micro > 0) & (micro < 10), tiny(6, 1)).when((micro > 0) & (micro < 100), tiny(5, 10)).otherwise(short)
+
+
 def instructions(spark: SparkSession, report: DataFrame, most: int = 5) -> DataFrame:
-    """doc_id, p_idx, rank, instruction for the largest gaps of each paragraph."""
-    table = F.broadcast(spark.createDataFrame(list(INSTRUCTIONS.items()), "dim string, told string"))
-    plain = F.concat(F.lit("减少 "), F.col("dim"), F.lit(" 的AI特征 (差距: "), F.format_string("%.2f", F.round("gap", 2)), F.lit(")"))
-    return report.filter(F.col("rank") <= most).join(table, "dim", "left").select("doc_id", "p_idx", "rank", F.coalesce("told", plain).alias("instruction"))
+    """doc_id, p_idx, rank, instruction for the largest gaps of each paragraph: by the dimension's name, with or without its prefix, or else a plain one."""
+    table = _literal_map(INSTRUCTIONS)
+    plain = F.concat(F.lit("减少 "), F.col("description"), F.lit(" 的AI特征 (当前: "), number(F.col("value")), F.lit(", 差距: "), F.format_string("%.2f", F.round("gap", 2)), F.lit(")"))
+    told = F.coalesce(table[F.col("dim")], table[F.replace(F.col("dim"), F.lit("sem_"), F.lit(""))], plain)
+    return report.filter(F.col("rank") <= most).select("doc_id", "p_idx", "rank", told.alias("instruction"))

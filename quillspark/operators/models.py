@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.packs import Pack
+from .kernels import char_grams
 from .parse import tokens
 
 #: N-grams in the vocabulary at most.
 MOST_GRAMS = 5000
+#: Weights of n-grams in references that go to every task at most.
+MOST_WEIGHTS = 5_000_000
 
 
 def _bigrams(rows: DataFrame, pack: Pack, *keys: str) -> DataFrame:
@@ -34,27 +42,18 @@ def average_probability(par: DataFrame, model: DataFrame, pack: Pack) -> DataFra
     return out.select("doc_id", "p_idx", F.when(F.col("n") >= 3, F.col("a")).otherwise(-1.0).alias("avg_prob"))
 
 
-def char_grams(text: Column) -> Column:
-    """Character 2- to 4-grams within words, which have a space before and after; a word too short for a size gives itself once."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text), "[ \\t\\r\\n]+", " ")), " ")
-
-    def of(w: Column) -> Column:
-        padded, n = F.concat(F.lit(" "), w, F.lit(" ")), F.length(w) + 2
-
-        def size(k: int) -> Column:
-            runs = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(k)))
-            # once a word is no longer than the size, larger sizes add nothing
-            return F.when(n > k, runs).when(n == k, F.array(padded)).otherwise(F.array().cast("array<string>"))
+def _grams(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, gram, tf: how often each text has each n-gram."""
 
-        parts = [size(k) for k in (2, 3, 4)]
-        return F.when(F.length(w) > 0, F.concat(*parts)).otherwise(F.array().cast("array<string>"))
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([dict(Counter(char_grams(t or ""))) for t in texts], index=texts.index, dtype=object)
 
-    return F.flatten(F.transform(words, of))
+    return rows.select(*keys, F.explode(F.pandas_udf(run, "map<string,long>")("text")).alias("gram", "tf"))
 
 
 def char_model(references: DataFrame, id_col: str, most: int = MOST_GRAMS) -> tuple[DataFrame, DataFrame]:
     """(gram, idf) of the most frequent n-grams (ties by n-gram), and (ref, gram, weight) of the references, each of length 1."""
-    tf = references.select(F.col(id_col).alias("ref"), F.explode(char_grams(F.col("text"))).alias("gram")).groupBy("ref", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    tf = _grams(references.select(F.col(id_col).alias("ref"), "text"), "ref").groupBy("ref", "gram").agg(F.sum("tf").alias("tf"))
     total = references.agg(F.count(F.lit(1)).alias("refs"))
     top = tf.groupBy("gram").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("n"), "gram").limit(most)
     vocabulary = top.crossJoin(F.broadcast(total)).select("gram", (F.log((1 + F.col("refs")) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -63,15 +62,52 @@ def char_model(references: DataFrame, id_col: str, most: int = MOST_GRAMS) -> tu
     return vocabulary, raw.select("ref", "gram", (F.col("w") / norm).alias("weight"))
 
 
-def best_match(rows: DataFrame, keys: list[str], vocabulary: DataFrame, weights: DataFrame, least: int = 10) -> DataFrame:
+def best_match(rows: DataFrame, keys: list[str], vocabulary: DataFrame, weights: DataFrame, least: int = 10, most: int = MOST_WEIGHTS) -> DataFrame:
     """keys, similarity: the largest cosine to any reference; 0 for texts under ten characters or without known n-grams.
 
-    Each text's vector is normalised with its own aggregate; the references' weights are met by n-gram, so no text is paired with a
-    reference that shares nothing with it.
+    The model goes to every task as a sparse matrix as long as it has at most `most` weights; a larger one is met by a join on n-grams.
     """
-    tf = rows.filter(F.length("text") >= least).select(*keys, F.explode(char_grams(F.col("text"))).alias("gram")).groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("tf"))
-    own = tf.join(vocabulary, "gram").select(*keys, "gram", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = own.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = own.join(weights, "gram").groupBy(*keys, "ref").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    best = dots.groupBy(*keys).agg(F.max("dot").alias("dot")).join(norm, keys).select(*keys, (F.col("dot") / F.col("norm")).alias("s"))
-    return rows.select(*keys).distinct().join(best, keys, "left").select(*keys, F.coalesce("s", F.lit(0.0)).alias("similarity"))
+    n = weights.count()
+    rows = rows.select(*keys, "text")
+    if n > most:
+        tf = _grams(rows.filter(F.length("text") >= least), *keys).groupBy(*keys, "gram").agg(F.sum("tf").alias("tf"))
+        own = tf.join(vocabulary, "gram").select(*keys, "gram", (F.col("tf") * F.col("idf")).alias("w"))
+        norm = own.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        dots = own.join(weights, "gram").groupBy(*keys, "ref").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+        best = dots.groupBy(*keys).agg(F.max("dot").alias("dot")).join(norm, keys).select(*keys, (F.col("dot") / F.col("norm")).alias("s"))
+        return rows.select(*keys).distinct().join(best, keys, "left").select(*keys, F.coalesce("s", F.lit(0.0)).alias("similarity"))
+    idf = {r.gram: r.idf for r in vocabulary.collect()}
+    refs: dict = {}
+    by: dict[str, tuple[list[int], list[float]]] = {g: ([], []) for g in idf}
+    for r in weights.toLocalIterator():
+        by[r.gram][0].append(refs.setdefault(r.ref, len(refs)))
+        by[r.gram][1].append(r.weight)
+    model = {g: (idf[g], np.array(at, np.int32), np.array(w)) for g, (at, w) in by.items()}
+    shared, size = rows.sparkSession.sparkContext.broadcast(model), len(refs)
+
+    def run(texts: pd.Series) -> pd.Series:
+        model = shared.value
+
+        def of(text: str | None) -> float:
+            dots, square = np.zeros(size), 0.0
+            for g, tf in Counter(char_grams(text)).items() if text and len(text) >= least else ():
+                known = model.get(g)
+                if known:
+                    w = tf * known[0]
+                    square += w * w
+                    dots[known[1]] += w * known[2]
+            return float(dots.max() / math.sqrt(square)) if square and size else 0.0
+
+        return pd.Series([of(t) for t in texts], index=texts.index, dtype=float)
+
+    return rows.select(*keys, F.pandas_udf(run, "double")("text").alias("similarity"))
+
+
+def save(model: DataFrame, path: str) -> None:
+    """Keep a model's table."""
+    model.write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """A model that save() has kept."""
+    return spark.read.parquet(path)

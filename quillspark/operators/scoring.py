@@ -10,33 +10,47 @@ from pyspark.sql import functions as F
 from ..functions.packs import Pack
 from ..functions.text import hits
 from . import sentences as T
-from .dimensions import classified, dimensions
+from .dimensions import scanned
 
 # Probabilities from which on a sentence is red, orange, yellow.
 CUTS = (0.55, 0.40, 0.28)
 
 
-def features(par: DataFrame, pack: Pack, extra: DataFrame | None = None) -> DataFrame:
-    """doc_id, p_idx, s_idx, chars, features: nineteen numbers a sentence.
+#: The numbers of a sentence, in order, each from 0 to 1 but the last three, which are negative where a model has nothing to say.
+FEATURES = [
+    "lexical_diversity", "char_entropy", "word_repetition", "unique_char_ratio", "char_similarity", "high_connectors", "medium_connectors", "low_connectors", "slop", "template",
+    "parallel_starter", "formula", "even_lengths", "place", "uniform", "level", "bigram", "own", "human",
+]
+#: Signals that models bring by paragraph.
+SIGNALS = ("bigram", "own", "human", "uniform")
 
-    `extra` may have char_sim by sentence (doc_id, p_idx, s_idx). Signals of models that are not at hand stand at -1, undivided by any clamp.
+
+def features(par: DataFrame, pack: Pack, extra: DataFrame | None = None, char_sim: DataFrame | None = None) -> DataFrame:
+    """doc_id, p_idx, s_idx, chars, features: nineteen numbers a sentence, of sentences of five characters and more.
+
+    `extra` may have bigram, own, human and uniform by paragraph (doc_id, p_idx), as sentences.*_signal() give them, and `char_sim` the similarity
+    of sentences to known texts (doc_id, p_idx, s_idx), which counts from ten characters on; what is not given is 0.
     """
-    levels = classified(dimensions(par, pack, compare=False)).select("doc_id", "p_idx", "level")
-    shared = T.paragraph_signals(par, pack).join(levels, ["doc_id", "p_idx"])
-    rows = shared.select("doc_id", "p_idx", "template", "parallel", "even", "level", F.size("sents").alias("n"), F.posexplode("sents").alias("s_idx", "sentence")).withColumn("chars", F.length("sentence")).filter("chars >= 5")
+    levels = scanned(par, pack, compare=False).select("doc_id", "p_idx", "text", "level")
+    shared = T.paragraph_signals(levels, pack, "level")
+    if extra is not None:
+        shared = shared.join(extra, ["doc_id", "p_idx"], "left")
+    given = [k for k in SIGNALS if extra is not None and k in extra.columns]
+    shared = shared.withColumns({k: F.coalesce(k, F.lit(0.0)) if k in given else F.lit(0.0) for k in SIGNALS})
+    rows = shared.select("doc_id", "p_idx", "template", "even", "level", *SIGNALS, F.size("sents").alias("n"), F.posexplode("sents").alias("s_idx", "sentence")).withColumn("chars", F.length("sentence")).filter("chars >= 5")
     rows = T.sentence_stats(rows, pack)
-    rows = rows.join(extra, ["doc_id", "p_idx", "s_idx"], "left") if extra is not None else rows.withColumn("char_sim", F.lit(0.0))
+    if char_sim is not None:
+        rows = rows.join(char_sim.select("doc_id", "p_idx", "s_idx", F.col("similarity").alias("_like")), ["doc_id", "p_idx", "s_idx"], "left")
     s = F.col("sentence")
-    third = lambda c: F.least(c / 3.0, F.lit(1.0))
-    part = lambda c, k: F.least(c / k, F.lit(1.0))
+    part = lambda c, k: F.least(c / F.lit(float(k)), F.lit(1.0))
+    like = F.when(F.col("chars") >= 10, F.coalesce("_like", F.lit(0.0))).otherwise(0.0) if char_sim is not None else F.lit(0.0)
     place = F.when(F.col("s_idx") == 0, 1.0).when(F.col("s_idx") == F.col("n") - 1, 0.6).otherwise(0.0)
     level = F.when(F.col("level") == "deep_red", 1.0).when(F.col("level") == "red", 0.7).when(F.col("level") == "yellow", 0.4).otherwise(0.0)
-    missing = F.lit(-1.0)
     values: list[Column] = [
-        F.col("lexical_diversity"), F.col("char_entropy"), F.col("word_repetition").cast("double"), F.col("unique_char_ratio"), F.coalesce("char_sim", F.lit(0.0)),
-        third(hits(s, pack.connectors["high"])), third(hits(s, pack.connectors["medium"])), third(hits(s, pack.connectors["low"])), F.when(hits(s, pack.all_slop) > 0, 1.0).otherwise(0.0),
-        part(F.col("template"), 0.40), F.when((F.col("parallel") > 0) & T.starter(s, pack).isNotNull(), 1.0).otherwise(0.0), T.formula(s, pack) / 0.15, part(F.col("even"), 0.10), place,
-        F.lit(0.0), level, part(missing, 0.10), part(missing, 0.15), part(missing, 0.16),
+        F.col("lexical_diversity"), part(F.col("char_entropy"), 8), part(F.col("word_repetition"), 5), F.col("unique_char_ratio"), like,
+        part(hits(s, pack.connectors["high"]), 3), part(hits(s, pack.connectors["medium"]), 3), part(hits(s, pack.connectors["low"]), 3), F.when(hits(s, pack.all_slop) > 0, 1.0).otherwise(0.0),
+        part(F.col("template"), 0.40), F.when(T.starter(s, pack).isNotNull(), 1.0).otherwise(0.0), F.when(T.formula(s, pack) > 0, 1.0).otherwise(0.0), part(F.col("even"), 0.10), place,
+        part(F.col("uniform"), 0.14), level, part(F.col("bigram"), 0.10), part(F.col("own"), 0.15), part(F.col("human"), 0.16),
     ]
     return rows.select("doc_id", "p_idx", "s_idx", "chars", array_to_vector(F.array(*(v.cast("double") for v in values))).alias("features"))
 

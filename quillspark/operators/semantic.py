@@ -1,31 +1,50 @@
 """Statistics of paragraph vectors, and their zones.
 
-A vector is an array of numbers of length 1. `lexical_vector` makes one from the words alone; a model's vectors can stand in its place.
+A vector is an array of numbers of length 1. An encoder makes them, a model's or, without one, lexical_encoder() from the words alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.packs import Pack
 from ..functions.text import dot
 from ..functions.thresholds import SEMANTIC_DIMENSIONS, gap, zone
-from .parse import boundary_sentences, tokens
+from .kernels import BUCKETS, Kernel
 
-#: Entries of a lexical vector.
-BUCKETS = 32
 #: Vectors in the pool of the query vec_pool_max.
-POOL = 100
+POOL = 500
 #: Vectors of a pool that go to every task at once, about.
 POOL_BLOCK = 500
 
 
-def lexical_vector(text: Column, pack: Pack) -> Column:
-    """How many words fall into each bucket by length, first and last letter, brought to length 1."""
-    place = F.transform(tokens(text, pack), lambda w: F.pmod(F.length(w) * 5 + F.ascii(w) + F.ascii(F.right(w, F.lit(1))), F.lit(BUCKETS)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.aggregate(place, F.lit(0.0), lambda a, x: a + F.when(x == b, 1.0).otherwise(0.0)))
-    return F.aggregate(F.array(counts), F.array().cast("array<double>"), lambda _, v: F.transform(v, lambda x: x / F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)), F.lit(1e-12))))
+def lexical_encoder(pack: Pack):
+    """Makes an encoder from the words alone."""
+
+    def make():
+        kernel = Kernel(pack)
+        return lambda texts: [kernel.vector(t) for t in texts]
+
+    return make
+
+
+def encoded(rows: DataFrame, text_col: str, make, vec: str = "vec") -> DataFrame:
+    """Adds the vector of a text. `make` gives, once a worker's task, a function from a list of texts to as many vectors (a model to load goes there); where it fails, vectors are null."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = None
+        for texts in batches:
+            try:
+                encode = encode or make()
+                yield pd.Series([[float(x) for x in v] for v in encode(texts.fillna("").tolist())], index=texts.index, dtype=object)
+            except Exception:  # noqa: BLE001  whatever a model raises, the other signals go on without it
+                yield pd.Series([None] * len(texts), index=texts.index, dtype=object)
+
+    return rows.withColumn(vec, F.pandas_udf(run, "array<double>")(text_col))
 
 
 def adjacent_similarity(rows: DataFrame, vec: str = "vec") -> DataFrame:
@@ -74,22 +93,57 @@ def backtrack(par: DataFrame, pack: Pack) -> DataFrame:
     return ranked.groupBy("doc_id").agg(F.when(n >= 3, late / (n - 2)).otherwise(0.0).alias("semantic_backtrack_rate"))
 
 
-def transitions(par: DataFrame, pack: Pack) -> DataFrame:
-    """doc_id, p_idx, transition: the likeness of a paragraph's last sentence and the next one's first; null for the last."""
-    edge = boundary_sentences(par, pack).select("doc_id", "p_idx", lexical_vector(F.col("first_sentence"), pack).alias("f"), lexical_vector(F.col("last_sentence"), pack).alias("l"))
-    w = Window.partitionBy("doc_id").orderBy("p_idx")
-    return edge.select("doc_id", "p_idx", dot(F.col("l"), F.lead("f").over(w)).alias("transition"))
+def _encoded_paragraphs(par: DataFrame, pack: Pack, make) -> DataFrame:
+    """doc_id, p_idx, text, vec, f, l: the vectors of each paragraph, its first and its last sentence."""
+
+    def edges(texts: pd.Series) -> pd.DataFrame:
+        kernel = Kernel(pack)
+        return pd.DataFrame([kernel.edges(t) for t in texts], columns=["first", "last"])
+
+    rows = par.select("doc_id", "p_idx", "text", F.pandas_udf(edges, "first string, last string")("text").alias("e")).select("doc_id", "p_idx", "text", "e.*")
+    make = make or lexical_encoder(pack)
+    return encoded(encoded(encoded(rows, "text", make), "first", make, "f"), "last", make, "l").drop("first", "last")
+
+
+def _steps(rows: DataFrame) -> DataFrame:
+    """Adds what a paragraph has to do with the next one, in one window: similarity, step, transition (0.5 where its sentences have no vectors); null for the last; n: paragraphs of the document."""
+    w, whole = Window.partitionBy("doc_id").orderBy("p_idx"), Window.partitionBy("doc_id")
+    square = lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))
+    out = rows.select("*", F.lead("vec").over(w).alias("_v"), F.lead("f").over(w).alias("_f"), F.lead("p_idx").over(w).alias("_p"), F.count(F.lit(1)).over(whole).alias("n"))
+    return out.select(
+        "doc_id", "p_idx", "text", "vec", "n", dot(F.col("vec"), F.col("_v")).alias("similarity"),
+        F.sqrt(F.aggregate(F.zip_with("_v", "vec", square), F.lit(0.0), lambda s, x: s + x)).alias("step"),
+        F.when(F.col("_p").isNotNull(), F.coalesce(dot(F.col("l"), F.col("_f")), F.lit(0.5))).alias("transition"),
+    )
+
+
+def transitions(par: DataFrame, pack: Pack, make=None) -> DataFrame:
+    """doc_id, p_idx, transition: the likeness of a paragraph's last sentence and the next one's first; 0.5 where these have no vectors, null for the last."""
+    return _steps(_encoded_paragraphs(par, pack, make)).select("doc_id", "p_idx", "transition")
+
+
+#: What is said of a document that has no vector evidence.
+TOO_SHORT, NOT_ENCODED = "需要至少2个段落", "Embedding encoding failed"
+
+
+def semantic_documents(par: DataFrame, pack: Pack, make=None) -> DataFrame:
+    """doc_id, argument_linearity, semantic_backtrack_rate, error: a row per document; without evidence both are 0 and error says why. Not rounded."""
+    steps = _steps(_encoded_paragraphs(par, pack, make)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.var_pop("step").alias("v"), F.count("vec").alias("has"))
+    rows = steps.join(backtrack(par, pack), "doc_id")
+    error = F.when(F.col("n") < 2, TOO_SHORT).when(F.col("has") < F.col("n"), NOT_ENCODED)
+    number = lambda c: F.when(error.isNull() & (F.col("n") >= 3), c).otherwise(0.0)
+    return rows.select("doc_id", number(F.col("v")).alias("argument_linearity"), number(F.col("semantic_backtrack_rate")).alias("semantic_backtrack_rate"), error.alias("error"))
 
 
-def semantic(par: DataFrame, pack: Pack) -> DataFrame:
-    """doc_id, p_idx, dim, dim_ord, value, zone, gap: four dimensions a paragraph, for documents of two paragraphs or more.
+def semantic(par: DataFrame, pack: Pack, make=None) -> DataFrame:
+    """doc_id, p_idx, dim, dim_ord, value, zone, gap: four dimensions a paragraph, for documents of two paragraphs or more of which all have vectors.
 
-    The last paragraph has value 0 and zone unknown where its neighbour is wanting.
+    The last paragraph has value 0 and zone unknown where its neighbour is wanting. `make` gives an encoder, as in encoded(); without it, words alone make the vectors.
     """
-    vectors = par.select("doc_id", "p_idx", lexical_vector(F.col("text"), pack).alias("vec"))
-    whole = linearity(vectors).join(backtrack(par, pack), "doc_id")
-    many = par.groupBy("doc_id").count().filter("count >= 2").select("doc_id")
-    rows = adjacent_similarity(vectors).join(transitions(par, pack), ["doc_id", "p_idx"]).join(whole.join(many, "doc_id"), "doc_id")
+    whole = Window.partitionBy("doc_id")
+    linear = F.when(F.col("n") >= 3, F.var_pop("step").over(whole)).otherwise(0.0)
+    rows = _steps(_encoded_paragraphs(par, pack, make)).select("*", linear.alias("argument_linearity"), F.count("vec").over(whole).alias("has"))
+    rows = rows.filter("n >= 2 AND has = n").select("doc_id", "p_idx", "similarity", "transition", "argument_linearity").join(backtrack(par, pack), "doc_id")
     values = [F.col("similarity"), F.round("argument_linearity", 6), F.round("semantic_backtrack_rate", 4), F.col("transition")]
     each = []
     for k, (v, d) in enumerate(zip(values, SEMANTIC_DIMENSIONS)):

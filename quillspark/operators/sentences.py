@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.packs import Pack
-from ..functions.text import characters, entropy, hits, run_lengths, run_starts, strip
-from .dimensions import _spread, classified, dimensions
+from ..functions.text import deviation, hits, run_lengths, run_starts, strip
+from .dimensions import scanned
+from .kernels import Kernel
 from .parse import sentence_array, tokens
 
 
@@ -18,18 +20,13 @@ def java(pattern: str) -> str:
 
 def sentence_stats(sent: DataFrame, pack: Pack) -> DataFrame:
     """Adds lexical_diversity, char_entropy, word_repetition and unique_char_ratio; 1, 0, 0 and 1 under five characters."""
-    bare = F.translate("sentence", " \n", "")
-    a = sent.select("*", bare.alias("_bare"), F.sort_array(characters(bare)).alias("_c"), F.sort_array(tokens(bare if pack.name == "zh" else F.col("sentence"), pack)).alias("_t"))
-    b = a.select("*", run_starts(F.col("_c")).alias("_cs"), run_starts(F.col("_t")).alias("_ts"))
-    c = b.select("*", run_lengths(F.col("_cs"), F.size("_c")).alias("_cn"), run_lengths(F.col("_ts"), F.size("_t")).alias("_tn"))
-    n = F.length("_bare")
-    values = {
-        "lexical_diversity": F.when((n >= 5) & (F.size("_t") > 0), F.size("_tn") / F.size("_t")).otherwise(1.0),
-        "char_entropy": F.when(n >= 5, entropy(F.col("_cn"), F.size("_c"))).otherwise(0.0),
-        "word_repetition": F.when(n >= 5, F.size(F.filter("_tn", lambda x: x >= 3))).otherwise(0),
-        "unique_char_ratio": F.when(n >= 5, F.size("_cn") / n).otherwise(1.0),
-    }
-    return c.select(*sent.columns, *(v.alias(k) for k, v in values.items()))
+
+    def run(sentences: pd.Series) -> pd.DataFrame:
+        kernel = Kernel(pack)
+        return pd.DataFrame([kernel.sentence_values(s) for s in sentences], columns=["lexical_diversity", "char_entropy", "word_repetition", "unique_char_ratio"])
+
+    values = F.pandas_udf(run, "lexical_diversity double, char_entropy double, word_repetition int, unique_char_ratio double")("sentence")
+    return sent.select("*", values.alias("_v")).select(*sent.columns, "_v.*")
 
 
 def template_score(text: Column, pack: Pack) -> Column:
@@ -55,15 +52,15 @@ def formula(sentence: Column, pack: Pack) -> Column:
     return out.otherwise(0.0) if pack.formulas else F.lit(0.0)
 
 
-def paragraph_signals(par: DataFrame, pack: Pack) -> DataFrame:
-    """doc_id, p_idx, text, sents and what all sentences of a paragraph share: template, parallel, even and level."""
-    base = par.select("doc_id", "p_idx", "text", sentence_array(F.col("text"), pack).alias("sents"))
+def paragraph_signals(par: DataFrame, pack: Pack, *keep: str) -> DataFrame:
+    """doc_id, p_idx, text, sents, the columns to keep, and what all sentences of a paragraph share: template, parallel and even."""
+    base = par.select("doc_id", "p_idx", "text", *keep, sentence_array(F.col("text"), pack).alias("sents"))
     keys = F.sort_array(F.filter(F.transform("sents", lambda s: starter(s, pack)), lambda k: k.isNotNull()))
     a = base.select("*", keys.alias("_k"), F.filter(F.transform("sents", lambda s: F.length(s).cast("double")), lambda n: n >= 10).alias("_l"))
     b = a.select("*", run_starts(F.col("_k")).alias("_ks"))
-    spread = _spread(F.col("_l"))
+    spread = deviation(F.col("_l"))
     return b.select(
-        "doc_id", "p_idx", "text", "sents",
+        "doc_id", "p_idx", "text", "sents", *keep,
         template_score(F.col("text"), pack).alias("template"),
         F.when((F.size("sents") >= 3) & F.exists(run_lengths(F.col("_ks"), F.size("_k")), lambda n: n >= 3), 0.20).otherwise(0.0).alias("parallel"),
         F.when(F.size("_l") < 3, 0.0).when(spread < 5, 0.10).when(spread < 8, 0.06).otherwise(0.0).alias("even"),
@@ -140,8 +137,8 @@ def zones_raw(par: DataFrame, pack: Pack, extra: DataFrame | None = None, char_s
     at 0. `extra` may bring further signals of paragraphs (doc_id, p_idx, bigram, own, human, uniform), which default to none; those of bigram
     and own count where their sum is above 0. `char_sim` (doc_id, p_idx, s_idx, similarity) brings the likeness of sentences to known texts.
     """
-    levels = classified(dimensions(par, pack, compare=False)).select("doc_id", "p_idx", "level")
-    shared = reference_latch(paragraph_signals(par, pack), pack).join(levels, ["doc_id", "p_idx"])
+    levels = scanned(par, pack, compare=False).select("doc_id", "p_idx", "text", "level")
+    shared = reference_latch(paragraph_signals(levels, pack, "level"), pack)
     if extra is not None:
         shared = shared.join(extra, ["doc_id", "p_idx"], "left")
     for k in ("bigram", "own", "human", "uniform"):

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.packs import LATIN, ZH
+from ..operators import compare
 from ..operators import dimensions as D
 from ..operators import fusion as U
+from ..operators import parse as P
 from ..operators import scoring as C
 from ..operators import semantic as V
 from ..operators import sentences as T
 from ..operators import spans as X
 from ..sources import readers, sinks
+from ..sources.stored import stored
 from ..streaming import scan
 from . import sql as S
 from .paragraph_queries import PAR, TALK, documents, par, rounded, talk
-from .sentence_queries import SPREAD, zones_sql
+from .sentence_queries import SPREAD, formula_sql, sent_sql, shared_sql, starter_sql, stats_sql, zones_sql
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -54,10 +57,14 @@ def _(spark, d):
 
 @query("report_summary", f"WITH {PAR}, {S.dims(LATIN)}, {S.classified()} SELECT count(*) AS total_paragraphs, count(*) FILTER (level IN ('red', 'deep_red')) AS high_risk, count(*) FILTER (level = 'yellow') AS suspicious, count(*) FILTER (level = 'green') AS safe FROM cls")
 def _(spark, d):
-    return sinks.report_summary(D.classified(D.dimensions(par(spark, d), LATIN)))
+    return sinks.report_summary(D.scanned(par(spark, d), LATIN))
 
 
-@query("json_report", None)
+_GAP_LIST = "list({'dimension': dim, 'gap': gap, 'zone': zone} ORDER BY gap DESC, dim_ord)"
+
+
+@query("json_report", f"""WITH {PAR}, {S.dims(LATIN)}, {S.classified()}, {S.unpivoted()}, g AS (SELECT doc_id, p_idx, {_GAP_LIST} AS ranked_gaps FROM lng WHERE zone = 'ai' GROUP BY ALL)
+SELECT doc_id, p_idx, CAST(to_json({{'index': p_idx, 'text_preview': left(text, 200), 'level': level, 'comprehensive_score': round(comprehensive_score, 4), 'ranked_gaps': coalesce(ranked_gaps, [])}}) AS VARCHAR) AS json FROM cls LEFT JOIN g USING (doc_id, p_idx)""")
 def _(spark, d):
     dims = D.dimensions(par(spark, d), LATIN)
     return sinks.json_rows(D.classified(dims), D.ranked_gaps(D.unpivoted(dims)))
@@ -71,7 +78,7 @@ def _(spark, d):
 @query("nested_report", None)
 def _(spark, d):
     rows = talk(spark, d)
-    fused = U.fused(D.classified(D.dimensions(rows, LATIN)), V.semantic(rows, LATIN))
+    fused = U.fused(D.scanned(rows, LATIN), V.semantic(rows, LATIN))
     return sinks.nested_report(T.propagated(T.zones_raw(rows, LATIN)), fused)
 
 
@@ -87,20 +94,32 @@ def _(spark, d):
     return readers.lexicon(spark, ZH)
 
 
-@query("sentence_features", None)
+_HIT = lambda own: f"least({S.hits('sentence', own)} / 3.0::DOUBLE, 1.0::DOUBLE)"
+_FEATURES = {
+    "lexical_diversity": "lexical_diversity", "char_entropy": "least(char_entropy / 8, 1.0::DOUBLE)", "word_repetition": "least(word_repetition / 5.0::DOUBLE, 1.0::DOUBLE)", "unique_char_ratio": "unique_char_ratio", "char_similarity": "0.0::DOUBLE",
+    "high_connectors": _HIT(LATIN.connectors["high"]), "medium_connectors": _HIT(LATIN.connectors["medium"]), "low_connectors": _HIT(LATIN.connectors["low"]), "slop": f"CASE WHEN {S.hits('sentence', LATIN.all_slop)} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END",
+    "template": "least(template / 0.4::DOUBLE, 1.0::DOUBLE)", "parallel_starter": f"CASE WHEN {starter_sql('sentence', LATIN)} IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", "formula": f"CASE WHEN {formula_sql('sentence', LATIN)} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END",
+    "even_lengths": "least(even / 0.1::DOUBLE, 1.0::DOUBLE)", "place": "CASE WHEN s_idx = 0 THEN 1.0 WHEN s_idx = n_sents - 1 THEN 0.6 ELSE 0 END::DOUBLE", "uniform": "0.0::DOUBLE",
+    "level": "CASE level WHEN 'deep_red' THEN 1.0 WHEN 'red' THEN 0.7 WHEN 'yellow' THEN 0.4 ELSE 0 END::DOUBLE", "bigram": "0.0::DOUBLE", "own": "0.0::DOUBLE", "human": "0.0::DOUBLE",
+}
+
+
+@query("sentence_features", f"""WITH {PAR}, {sent_sql(LATIN)}, {S.scanned(LATIN, False)}, {stats_sql(LATIN)}, {shared_sql(LATIN)}
+SELECT st.doc_id, st.p_idx, s_idx, {", ".join(f"round({v}, 6) AS {k}" for k, v in _FEATURES.items())} FROM st JOIN psig USING (doc_id, p_idx) JOIN cls USING (doc_id, p_idx) WHERE chars >= 5""")
 def _(spark, d):
     from pyspark.ml.functions import vector_to_array
 
-    return C.features(par(spark, d), LATIN).select("doc_id", "p_idx", "s_idx", vector_to_array("features").alias("features"))
+    rows = C.features(par(spark, d), LATIN).withColumn("f", vector_to_array("features"))
+    return rows.select("doc_id", "p_idx", "s_idx", *(F.round(F.col("f")[k], 6).alias(n) for k, n in enumerate(C.FEATURES)))
 
 
 @query("rf_score", None)
 def _(spark, d):
-    """A forest taught to tell sentences of documents of low quality, then used on all."""
-    rows = C.features(par(spark, d), LATIN)
+    """A forest taught to tell sentences of documents of low quality, but those of a fifth of the documents, then used on all."""
+    rows = stored(C.features(par(spark, d), LATIN), "features").withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0)
     labels = spark.read.parquet(f"{d}/labels.parquet").filter("quality IS NOT NULL").select("doc_id", (1.0 - F.col("quality")).alias("label"))
-    model = C.train(rows.join(labels, "doc_id"))
-    return C.scored(rows, model).select("doc_id", "p_idx", "s_idx", *rounded("probability"), "zone")
+    model = C.train(rows.filter("NOT held_out").join(labels, "doc_id"))
+    return C.scored(rows, model).select("doc_id", "p_idx", "s_idx", "held_out", *rounded("probability"), "zone")
 
 
 @query("stream_scan", f"WITH {PAR}, {S.dims(LATIN)}, {S.classified()} SELECT doc_id, p_idx, ai_count, level FROM cls")
@@ -110,5 +129,30 @@ def _(spark, d):
 
 @query("stream_event_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _(spark, d):
-    rows = scan.drained(scan.event_counts(scan.table_stream(spark, d, "events")), "complete")
+    rows = scan.drained(scan.event_counts(scan.table_stream(spark, d, "events")), ("day", "event_type"))
     return rows.withColumn("total", F.round("total", 4))
+
+
+@query("before_after", f"""WITH {PAR}, {S.scanned(LATIN)}, b AS (SELECT doc_id, p_idx, level AS level_before FROM cls),
+a AS (SELECT doc_id, p_idx, level AS level_after FROM (WITH {S.paragraphs(LATIN, "(SELECT doc_id, replace(text, '. ', '.' || chr(10)) AS text FROM documents)")}, {S.scanned(LATIN)} SELECT * FROM cls))
+SELECT doc_id, p_idx, level_before, level_after, CASE WHEN level_before IS NULL THEN 'added' WHEN level_after IS NULL THEN 'removed' WHEN y.k < x.k THEN 'better' WHEN y.k > x.k THEN 'worse' ELSE 'same' END AS change
+FROM b FULL JOIN a USING (doc_id, p_idx) LEFT JOIN (VALUES ('green', 0), ('yellow', 1), ('red', 2), ('deep_red', 3)) x(z, k) ON x.z = level_before LEFT JOIN (VALUES ('green', 0), ('yellow', 1), ('red', 2), ('deep_red', 3)) y(z, k) ON y.z = level_after""")
+def _(spark, d):
+    """The documents against themselves with each sentence on a line of its own."""
+    docs = documents(spark, d)
+    again = docs.select("doc_id", F.replace(F.col("text"), F.lit(". "), F.lit(".\n")).alias("text"))
+    before = D.scanned(par(spark, d), LATIN).select("doc_id", "p_idx", F.col("level").alias("fused_level"))
+    return compare.compared(before, D.scanned(P.paragraphs(again, LATIN), LATIN))
+
+
+@query("refusals", f"""WITH {PAR}, h AS (SELECT DISTINCT doc_id FROM par) SELECT d.doc_id, CASE WHEN len(trim(coalesce(text, ''))) < 20 THEN '文本太短' WHEN h.doc_id IS NULL THEN '未检测到有效段落' END AS error FROM documents d LEFT JOIN h USING (doc_id)""")
+def _(spark, d):
+    return sinks.refusals(documents(spark, d), par(spark, d))
+
+
+@query("fused_json", None)
+def _(spark, d):
+    rows = talk(spark, d)
+    vectors = V.semantic(rows, LATIN)
+    dims = D.scanned(rows, LATIN)
+    return sinks.fused_json(U.fused(dims, vectors), U.gap_report(D.unpivoted(dims), vectors))

@@ -12,20 +12,37 @@ from ..operators import parse as P
 from ..sources.readers import spread
 from . import sql as S
 
-#: Made-up Chinese paragraphs, which bring the Chinese pack's expressions to bear.
-ZH_ROWS = [
-    (1, "首先，数字技术正在深刻改变城市治理。其次，公共服务的供给方式不断更新。最后，居民的参与渠道更加多元！值得注意的是，这意味着治理结构的调整。\n\n综上所述，上述变化至关重要。因此，相关制度有待进一步研究。"),
-    (2, "我觉得那天的风像一把旧扇子一样，慢慢地摇着，摇着。我的手有点凉，心里却不禁高兴起来，难道不是吗？\n\n他笑着，走着，看着，忽然停了下去。雨仿佛忘了要落，我们看见云慢慢散开。"),
-    (3, "一方面，平台降低了成本；另一方面，平台也带来了风险。从效率来看，前景广阔。不仅如此，而且数据同时成为要素。\n\n与此同时，然而部分地区进展较慢，从而影响了整体。"),
-    (4, "通过调查可以发现问题。通过访谈将了解原因。通过比较使结论可靠。通过总结让经验推广。"),
-    (5, "这不是冷漠，也不是疏远，而是另一种亲近。多么安静的夜晚，我的眼里只有灯火，像远处的星似的。\n\n参考文献\n[1] 某某. 城市研究.\n\n参考文献之后的内容也会被保护起来，这里再写一句。"),
-    (6, "本文从制度角度分析基层治理的演变。最终表明协同机制具有良好的应用前景。不仅改善了服务，也提升了信任。\n\n短段。"),
-]
-ZH_SQL = "zh AS (SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, {S.q(t)})" for k, t in ZH_ROWS) + ") t(doc_id, text))"
-
-
-def zh_docs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ZH_ROWS, "doc_id long, text string")
+#: Words that stand for those of a conversation in its Chinese rendering; this library's own.
+ZH_PLAIN = (
+    "城市 治理 数据 平台 制度 结构 乡村 教育 技术 政策 企业 市场 成本 效率 风险 居民 服务 资源 环境 文化 历史 语言 网络 模型 算法 系统 过程 方法 问题 结果 影响 变化 关系 行为 态度 认知 时间 空间 学生 教师 课程 "
+    "实验 样本 指标 变量 假设 证据 观点 案例 材料 部门 机构 项目 目标 条件 机制 路径 能力 水平 规模 比例 增长 减少 提高 降低 比较 调查 访谈 观察 记录 整理 讨论 说明 发现 认为 表明 显示 选择 参与 合作 竞争 分配 "
+    "协调 监督 评价 改进 推广 学习 理解 表达 交流 传播 人工智能 研究者 方法论 可持续 公共服务 基础设施 信息技术 夜里 窗外 灯火 街道 河边 朋友 母亲 孩子 故事 声音 颜色 春天 雨水 山路 早晨"
+).split()
+ZH_SIGNS = ["我觉得", "我的心", "难道", "仿佛", "不禁", "像星星一样", "笑着，", "走着，", "看着，", "下去，", "本文从制度角度分析", "通过比较使结论", "从效率来看", "从整体来看", "一方面", "另一方面", "不仅", "通过", "借助", "将", "最终表明", "\n参考文献\n"]
+ZH_SPECIAL = [*ZH.all_connectors, *(x for x in ZH.all_slop if "." not in x), *ZH_SIGNS]
+#: A word's hash modulo this number is its place among the special expressions; beyond those, a plain word stands for it.
+ZH_ROOM = 1499
+ZH_MARKS = ".,!?;", "。，！？；"
+
+ZH_SQL = f"""
+zw AS (SELECT conv_id, turn, i, w[i] AS w, CAST('0x' || substr(md5(w[i]), 1, 6) AS BIGINT) AS h FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations))),
+zt AS (SELECT conv_id, turn, string_agg(CASE WHEN h % {ZH_ROOM} < {len(ZH_SPECIAL)} THEN {S.words(ZH_SPECIAL)}[h % {ZH_ROOM} + 1] ELSE {S.words(ZH_PLAIN)}[h % {len(ZH_PLAIN)} + 1] END || translate(regexp_extract(w, '[{ZH_MARKS[0]}]$'), '{ZH_MARKS[0]}', '{ZH_MARKS[1]}'), '' ORDER BY i) AS text FROM zw GROUP BY ALL),
+zh AS (SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM zt GROUP BY conv_id)"""
+
+
+def zh_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text: each conversation put into Chinese word by word, a turn a paragraph. The tables have no Chinese text; this one brings all of the pack to bear."""
+    rows = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text"))
+    special, plain = F.array(*map(F.lit, ZH_SPECIAL)), F.array(*map(F.lit, ZH_PLAIN))
+
+    def word(w):
+        h = F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int")
+        put = F.when(h % ZH_ROOM < len(ZH_SPECIAL), F.get(special, h % ZH_ROOM)).otherwise(F.get(plain, h % len(ZH_PLAIN)))
+        return F.concat(put, F.translate(F.regexp_extract(w, f"[{ZH_MARKS[0]}]$", 0), *ZH_MARKS))
+
+    turns = rows.select("conv_id", "turn", F.array_join(F.transform(F.split("text", " "), word), "").alias("text"))
+    whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return whole.select(F.col("conv_id").alias("doc_id"), F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +88,7 @@ def _(spark, d):
 @query("zh_split_sentences", f"""WITH {ZPAR}, s AS (SELECT doc_id, p_idx, {S.sentence_list("text", ZH)} AS ss FROM par)
 SELECT doc_id, p_idx, CAST(i - 1 AS INTEGER) AS s_idx, ss[i] AS sentence, CAST(len(ss[i]) AS INTEGER) AS chars FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM s)""")
 def _(spark, d):
-    return P.sentences(P.paragraphs(zh_docs(spark), ZH), ZH)
+    return P.sentences(P.paragraphs(zh_docs(spark, d), ZH), ZH)
 
 
 @query("boundary_sentences", f"""WITH {PAR}, e AS (SELECT doc_id, p_idx, text, list_filter(list_transform(string_split_regex(text, {S.q(LATIN.edge)}), lambda x: {S.strip("x")}), lambda x: x <> '') AS e FROM par)
@@ -111,12 +128,12 @@ def _(spark, d):
 
 @query("zh_dims_wide", f"WITH {ZPAR}, {S.dims(ZH)} SELECT doc_id, p_idx, " + ", ".join(f"round({n}, 6) AS {n}" for n in NAMES) + " FROM dims")
 def _(spark, d):
-    return D.dimensions(P.paragraphs(zh_docs(spark), ZH), ZH).select("doc_id", "p_idx", *rounded(*NAMES))
+    return D.dimensions(P.paragraphs(zh_docs(spark, d), ZH), ZH).select("doc_id", "p_idx", *rounded(*NAMES))
 
 
-@query("dims_long", f"WITH {PAR}, {S.dims(LATIN, False)}, {S.unpivoted()} SELECT doc_id, p_idx, dim, dim_ord, round(value, 6) AS value, zone, round(gap, 6) AS gap, weight FROM lng")
+@query("dims_long", f"WITH {PAR}, {S.dims(LATIN)}, {S.unpivoted()} SELECT doc_id, p_idx, dim, dim_ord, value, zone, gap, description, weight FROM lng")
 def _(spark, d):
-    return D.unpivoted(D.dimensions(par(spark, d), LATIN)).withColumns({"value": F.round("value", 6), "gap": F.round("gap", 6)})
+    return D.unpivoted(D.dimensions(par(spark, d), LATIN))
 
 
 @query("paragraph_levels", f"WITH {PAR}, {S.dims(LATIN)}, {S.classified()} SELECT doc_id, p_idx, ai_count, gray_count, human_count, round(comprehensive_score, 6) AS comprehensive_score, level FROM cls")
@@ -124,9 +141,9 @@ def _(spark, d):
     return D.classified(D.dimensions(par(spark, d), LATIN)).select("doc_id", "p_idx", "ai_count", "gray_count", "human_count", *rounded("comprehensive_score"), "level")
 
 
-@query("ranked_gaps", f"""WITH {PAR}, {S.dims(LATIN, False)}, {S.unpivoted()} SELECT doc_id, p_idx, dim, round(gap, 6) AS gap, CAST(row_number() OVER (PARTITION BY doc_id, p_idx ORDER BY gap DESC, dim_ord) AS INTEGER) AS rank FROM lng WHERE zone = 'ai'""")
+@query("ranked_gaps", f"""WITH {PAR}, {S.dims(LATIN)}, {S.unpivoted()} SELECT doc_id, p_idx, dim, gap, CAST(row_number() OVER (PARTITION BY doc_id, p_idx ORDER BY gap DESC, dim_ord) AS INTEGER) AS rank FROM lng WHERE zone = 'ai'""")
 def _(spark, d):
-    return D.ranked_gaps(D.unpivoted(D.dimensions(par(spark, d), LATIN))).select("doc_id", "p_idx", "dim", *rounded("gap"), "rank")
+    return D.ranked_gaps(D.unpivoted(D.dimensions(par(spark, d), LATIN))).select("doc_id", "p_idx", "dim", "gap", "rank")
 
 
 @query("level_overview", f"WITH {PAR}, {S.dims(LATIN)}, {S.classified()} SELECT level, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS share FROM cls GROUP BY level")
@@ -137,7 +154,7 @@ def _(spark, d):
     return n.select("level", F.col("count").alias("n"), F.round(F.col("count") / F.sum("count").over(Window.partitionBy()), 6).alias("share"))
 
 
-@query("levels_rollup", f"""WITH {PAR}, {S.dims(LATIN, False)}, {S.classified()} SELECT lang, source, count(*) AS paragraphs, count(*) FILTER (level IN ('red', 'deep_red')) AS high_risk, round(avg(comprehensive_score), 6) AS mean_score
+@query("levels_rollup", f"""WITH {PAR}, {S.dims(LATIN)}, {S.classified()} SELECT lang, source, count(*) AS paragraphs, count(*) FILTER (level IN ('red', 'deep_red')) AS high_risk, round(avg(comprehensive_score), 6) AS mean_score
 FROM cls JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, source)""")
 def _(spark, d):
     full = spark.read.parquet(f"{d}/documents.parquet")
@@ -146,27 +163,12 @@ def _(spark, d):
     return rows.rollup("lang", "source").agg(F.count(F.lit(1)).alias("paragraphs"), high.alias("high_risk"), F.round(F.avg("comprehensive_score"), 6).alias("mean_score"))
 
 
-_COMMAS = "(len(text) - len(replace(replace(text, '，', ''), ',', '')))"
-HUMAN_SQL = " + ".join(
-    [f"(CASE WHEN regexp_matches(text, {S.q(p)}) THEN {n} ELSE 0 END)" for p, n, _ in D.HUMAN_SIGNS]
-    + [f"(CASE WHEN {_COMMAS} > 0 AND len(replace(replace(text, ' ', ''), chr(10), ''))::DOUBLE / greatest({_COMMAS}, 1) < 20 THEN 1 ELSE 0 END)", f"(CASE WHEN len(regexp_extract_all(text, {S.q(D.NARRATIVE)})) >= 3 THEN 2 ELSE 0 END)"]
-)
-GUARD_SQL = f"""
-hm AS (SELECT *, {HUMAN_SQL} AS human_score FROM cls),
-hc AS (SELECT *, (human_score >= 4 AND regexp_matches(text, {S.q(D.CLASSICAL)})) OR human_score >= 5 AS is_classical FROM hm),
-gd AS (SELECT *, CASE WHEN is_classical AND level <> 'green' THEN 1 WHEN human_score >= 4 AND level <> 'green' THEN 2 WHEN human_score >= 3 AND level IN ('red', 'deep_red') THEN 3
-                      WHEN human_score >= 2 AND level = 'deep_red' THEN 4 ELSE 0 END AS rule FROM hc),
-grd AS (SELECT doc_id, p_idx, human_score, is_classical, rule > 0 AS guard_triggered, level AS original_level,
-        CASE WHEN rule IN (1, 2) THEN CASE level WHEN 'deep_red' THEN 'red' WHEN 'red' THEN 'yellow' WHEN 'yellow' THEN 'green' ELSE level END WHEN rule = 3 THEN 'yellow' WHEN rule = 4 THEN 'red' ELSE level END AS level,
-        comprehensive_score * CASE rule WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN 0.6::DOUBLE WHEN 3 THEN 0.7::DOUBLE WHEN 4 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS comprehensive_score FROM gd)"""
-
-
-@query("human_markers", f"WITH {ZPAR}, cls AS (SELECT * FROM par), hm AS (SELECT *, {HUMAN_SQL} AS human_score FROM cls) SELECT doc_id, p_idx, human_score FROM hm")
+@query("human_markers", f"WITH {ZPAR}, cls AS (SELECT * FROM par), hm AS (SELECT *, {S.HUMAN} AS human_score FROM cls) SELECT doc_id, p_idx, human_score FROM hm")
 def _(spark, d):
-    return P.paragraphs(zh_docs(spark), ZH).select("doc_id", "p_idx", D.human_score(F.col("text")).alias("human_score"))
+    return P.paragraphs(zh_docs(spark, d), ZH).select("doc_id", "p_idx", D.human_score(F.col("text")).alias("human_score"))
 
 
-@query("guarded_levels", f"WITH {ZPAR}, {S.dims(ZH)}, {S.classified()}, {GUARD_SQL} SELECT doc_id, p_idx, human_score, is_classical, guard_triggered, original_level, level, round(comprehensive_score, 6) AS comprehensive_score FROM grd")
+@query("guarded_levels", f"WITH {ZPAR}, {S.dims(ZH)}, {S.classified()}, {S.GUARD} SELECT doc_id, p_idx, human_score, is_classical, guard_triggered, guard_reason, original_level, level, round(comprehensive_score, 6) AS comprehensive_score FROM grd")
 def _(spark, d):
-    rows = D.guarded(D.classified(D.dimensions(P.paragraphs(zh_docs(spark), ZH), ZH)))
-    return rows.select("doc_id", "p_idx", "human_score", "is_classical", "guard_triggered", "original_level", "level", *rounded("comprehensive_score"))
+    rows = D.scanned(P.paragraphs(zh_docs(spark, d), ZH), ZH)
+    return rows.select("doc_id", "p_idx", "human_score", "is_classical", "guard_triggered", "guard_reason", "original_level", "level", *rounded("comprehensive_score"))

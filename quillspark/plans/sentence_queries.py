@@ -75,7 +75,7 @@ def connector_sql(x: str, pack) -> str:
 
 def zones_sql(pack, more: str = "0.0::DOUBLE", joins: str = "", before: str = "") -> str:
     """zr: raw zones. more: a further sum of signals, from what `before` defines and `joins` brings in."""
-    return f"""{sent_sql(pack)}, {before} {S.dims(pack, False)}, {S.classified()}, {stats_sql(pack)}, {shared_sql(pack)},
+    return f"""{sent_sql(pack)}, {before} {S.scanned(pack, False)}, {stats_sql(pack)}, {shared_sql(pack)},
 zs AS (SELECT st.doc_id, st.p_idx, st.s_idx, sentence, chars, CASE WHEN in_references THEN 0.0::DOUBLE ELSE
   CASE WHEN chars >= 15 THEN (CASE WHEN lexical_diversity < 0.55 THEN 0.1 WHEN lexical_diversity < 0.68 THEN 0.05 ELSE 0 END + CASE WHEN char_entropy < 3 THEN 0.07 WHEN char_entropy < 3.8 THEN 0.03 ELSE 0 END
     + CASE WHEN word_repetition >= 3 THEN 0.1 WHEN word_repetition >= 2 THEN 0.05 ELSE 0 END + CASE WHEN unique_char_ratio < 0.5 THEN 0.07 WHEN unique_char_ratio < 0.62 THEN 0.03 ELSE 0 END)::DOUBLE ELSE 0.0::DOUBLE END
@@ -110,12 +110,12 @@ SUMMARY = """SELECT doc_id, CAST(sum(chars) AS BIGINT) AS total_chars, CAST(sum(
 FROM zp GROUP BY doc_id"""
 
 
-def zh_par(spark):
-    return P.paragraphs(zh_docs(spark), ZH)
+def zh_par(spark, d):
+    return P.paragraphs(zh_docs(spark, d), ZH)
 
 
 def _both(name: str, latin: bool, tail, make) -> None:
-    for key, pack, source, rows in ((name, LATIN, PAR, par), (f"zh_{name}", ZH, ZPAR, lambda spark, d: zh_par(spark))):
+    for key, pack, source, rows in ((name, LATIN, PAR, par), (f"zh_{name}", ZH, ZPAR, zh_par)):
         if latin or pack is ZH:
             query(key if latin else name, f"WITH {source}, {tail(pack)}")(lambda spark, d, pack=pack, rows=rows: make(rows(spark, d), pack))
 

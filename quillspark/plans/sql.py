@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 
 from ..functions.packs import PUNCTUATION, Pack
-from ..functions.thresholds import RULE_DIMENSIONS, gap_sql, zone_sql
+from ..functions.thresholds import DESCRIPTIONS, RULE_DIMENSIONS, gap_sql, zone_sql
+from ..operators.dimensions import CLASSICAL, HUMAN_SIGNS, NARRATIVE
 
 SPACE = r"[ \t\r\n\x0B\f\x{00A0}\x{3000}]"
 
@@ -95,6 +96,12 @@ dims AS (SELECT b.doc_id, b.p_idx, b.text,
   FROM base3 b LEFT JOIN zf USING (doc_id, p_idx) JOIN sim USING (doc_id, p_idx))"""
 
 
+def scanned(pack: Pack, compare: bool = True) -> str:
+    """cls from par, with the guard where the pack has one."""
+    own = f"{dims(pack, compare)}, {classified()}"
+    return f"{own.replace('cls AS (', 'cls1 AS (', 1)}, {GUARD.replace('FROM cls)', 'FROM cls1)', 1)}, cls AS (SELECT * FROM grd)" if pack.guard else own
+
+
 def classified() -> str:
     """cls from dims: zones, counts, comprehensive_score, level."""
     zones = ", ".join(f"{zone_sql(d[0], d)} AS zone_{d[0]}" for d in RULE_DIMENSIONS)
@@ -108,5 +115,24 @@ cls AS (SELECT *, CASE WHEN ai_count >= 5 THEN 'deep_red' WHEN ai_count >= 3 THE
 
 def unpivoted() -> str:
     """lng from dims."""
-    each = " UNION ALL ".join(f"SELECT doc_id, p_idx, '{d[0]}' AS dim, {k} AS dim_ord, {d[0]} AS value, {zone_sql(d[0], d)} AS zone, {gap_sql(d[0], d)} AS gap, {float(d[3])!r}::DOUBLE AS weight FROM dims" for k, d in enumerate(RULE_DIMENSIONS))
+    each = " UNION ALL ".join(f"SELECT doc_id, p_idx, '{d[0]}' AS dim, {k} AS dim_ord, round({d[0]}, 4) AS value, {zone_sql(d[0], d)} AS zone, round({gap_sql(d[0], d)}, 4) AS gap, {q(DESCRIPTIONS[d[0]])} AS description, {float(d[3])!r}::DOUBLE AS weight FROM dims" for k, d in enumerate(RULE_DIMENSIONS))
     return f"\nlng AS ({each})"
+
+
+_COMMAS = "(len(text) - len(replace(replace(text, '，', ''), ',', '')))"
+HUMAN = " + ".join(
+    [f"(CASE WHEN regexp_matches(text, {q(p)}) THEN {n} ELSE 0 END)" for p, n, _ in HUMAN_SIGNS]
+    + [f"(CASE WHEN {_COMMAS} > 0 AND len(replace(replace(text, ' ', ''), chr(10), ''))::DOUBLE / greatest({_COMMAS}, 1) < 20 THEN 1 ELSE 0 END)", f"(CASE WHEN len(regexp_extract_all(text, {q(NARRATIVE)})) >= 3 THEN 2 ELSE 0 END)"]
+)
+_SIGNS = [(f"regexp_matches(text, {q(p)})", name) for p, _, name in HUMAN_SIGNS]
+_SIGNS[-1:] = [(f"{_COMMAS} > 0 AND len(replace(replace(text, ' ', ''), chr(10), ''))::DOUBLE / greatest({_COMMAS}, 1) < 20", "短句节奏"), (f"len(regexp_extract_all(text, {q(NARRATIVE)})) >= 3", "散文叙事"), _SIGNS[-1]]
+MARKS = "'[' || array_to_string(list_filter([" + ", ".join(f"CASE WHEN {there} THEN {q(chr(39) + name + chr(39))} END" for there, name in _SIGNS) + "], lambda x: x IS NOT NULL), ', ') || ']'"
+GUARD = f"""
+hm AS (SELECT *, {HUMAN} AS human_score, {MARKS} AS marks FROM cls),
+hc AS (SELECT *, (human_score >= 4 AND regexp_matches(text, {q(CLASSICAL)})) OR human_score >= 5 AS is_classical FROM hm),
+gd AS (SELECT *, CASE WHEN is_classical AND level <> 'green' THEN 1 WHEN human_score >= 4 AND level <> 'green' THEN 2 WHEN human_score >= 3 AND level IN ('red', 'deep_red') THEN 3
+                      WHEN human_score >= 2 AND level = 'deep_red' THEN 4 ELSE 0 END AS rule FROM hc),
+grd AS (SELECT doc_id, p_idx, text, ai_count, gray_count, human_count, human_score, is_classical, rule > 0 AS guard_triggered, level AS original_level,
+        CASE rule WHEN 1 THEN '检测到经典文学特征（排比/拟人/诗化语言），降级处理' WHEN 2 THEN '检测到' || marks || '等强人类写作特征（≥4分）' WHEN 3 THEN '检测到' || marks || '等强人类写作特征' WHEN 4 THEN '检测到' || marks || '等人类写作特征' ELSE '' END AS guard_reason,
+        CASE WHEN rule IN (1, 2) THEN CASE level WHEN 'deep_red' THEN 'red' WHEN 'red' THEN 'yellow' WHEN 'yellow' THEN 'green' ELSE level END WHEN rule = 3 THEN 'yellow' WHEN rule = 4 THEN 'red' ELSE level END AS level,
+        comprehensive_score * CASE rule WHEN 1 THEN 0.5::DOUBLE WHEN 2 THEN 0.6::DOUBLE WHEN 3 THEN 0.7::DOUBLE WHEN 4 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS comprehensive_score FROM gd)"""

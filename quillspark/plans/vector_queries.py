@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.packs import LATIN
-from ..functions.thresholds import SEMANTIC_DIMENSIONS, gap_sql, zone_sql
+from ..functions.thresholds import DESCRIPTIONS, SEMANTIC_DIMENSIONS, SEMANTIC_KEYS, gap_sql, zone_sql
 from ..operators import dimensions as D
 from ..operators import fusion as U
 from ..operators import semantic as V
@@ -90,6 +90,12 @@ def _(spark, d):
     return V.backtrack(talk(spark, d), LATIN).select("doc_id", *rounded("semantic_backtrack_rate"))
 
 
+@query("semantic_documents", f"""WITH {TALK}, {_SEM.partition("mn AS (")[0]} n AS (SELECT doc_id, count(*) AS n FROM par GROUP BY doc_id)
+SELECT doc_id, round(CASE WHEN n >= 3 THEN lin ELSE 0.0::DOUBLE END, 6) AS argument_linearity, round(CASE WHEN n >= 3 THEN rate ELSE 0.0::DOUBLE END, 4) AS semantic_backtrack_rate, CASE WHEN n < 2 THEN {S.q(V.TOO_SHORT)} END AS error FROM n JOIN ln USING (doc_id) JOIN bt USING (doc_id)""")
+def _(spark, d):
+    return V.semantic_documents(talk(spark, d), LATIN).select("doc_id", *rounded("argument_linearity"), F.round("semantic_backtrack_rate", 4).alias("semantic_backtrack_rate"), "error")
+
+
 @query("semantic_zones", f"WITH {TALK}, {_SEM} SELECT doc_id, p_idx, dim, round(value, 4) AS value, zone, round(gap, 4) AS gap FROM sem")
 def _(spark, d):
     return V.semantic(talk(spark, d), LATIN).select("doc_id", "p_idx", "dim", F.round("value", 4).alias("value"), "zone", F.round("gap", 4).alias("gap"))
@@ -105,11 +111,12 @@ SELECT doc_id, p_idx, level AS rule_level, ai_count AS rule_ai_count, CAST(coale
 FROM cls LEFT JOIN sa USING (doc_id, p_idx)""")
 def _(spark, d):
     par = talk(spark, d)
-    rows = U.fused(D.classified(D.dimensions(par, LATIN)), V.semantic(par, LATIN))
+    rows = U.fused(D.scanned(par, LATIN), V.semantic(par, LATIN))
     return rows.select("doc_id", "p_idx", "rule_level", "rule_ai_count", "semantic_ai_count", "total_dimensions", "combined_ai_count", *rounded("combined_score"), "fused_level")
 
 
-_GAPS = f"""{_RULES}, gp AS (SELECT doc_id, p_idx, 'rule' AS layer, dim, dim_ord, gap FROM lng WHERE zone = 'ai' UNION ALL SELECT doc_id, p_idx, 'embedding', dim, dim_ord + 100, gap FROM sem WHERE zone = 'ai'),
+_KEYS = "sk AS (SELECT * FROM (VALUES " + ", ".join(f"({S.q(d)}, {S.q(n)}, {100 + k}, {S.q(DESCRIPTIONS[d])})" for k, (d, n) in enumerate(SEMANTIC_KEYS.items())) + ") t(dim, name, ord, description))"
+_GAPS = f"""{_RULES}, {_KEYS}, gp AS (SELECT doc_id, p_idx, 'rule' AS layer, dim, dim_ord, description, value, gap FROM lng WHERE zone = 'ai' UNION ALL SELECT doc_id, p_idx, 'embedding', sk.name, sk.ord, sk.description, value, gap FROM sem JOIN sk USING (dim) WHERE zone = 'ai'),
 gr AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, p_idx ORDER BY round(gap, 6) DESC, dim_ord) AS INTEGER) AS rank FROM gp)"""
 
 
@@ -118,15 +125,18 @@ def _report(spark, d):
     return U.gap_report(D.unpivoted(D.dimensions(par, LATIN)), V.semantic(par, LATIN))
 
 
-@query("gap_report", f"{_GAPS} SELECT doc_id, p_idx, layer, dim, round(gap, 4) AS gap, rank FROM gr")
+@query("gap_report", f"{_GAPS} SELECT doc_id, p_idx, layer, dim, description, round(value, 6) AS value, round(gap, 4) AS gap, rank FROM gr")
 def _(spark, d):
-    return _report(spark, d).select("doc_id", "p_idx", "layer", "dim", F.round("gap", 4).alias("gap"), "rank")
+    return _report(spark, d).select("doc_id", "p_idx", "layer", "dim", "description", F.round("value", 6).alias("value"), F.round("gap", 4).alias("gap"), "rank")
 
 
+#: As reports write numbers: without zeros at the end but one, and with an exponent below 0.0001.
+_NUMBER = """CASE WHEN value > 0 AND round(value * 1e6) < 10 THEN CAST(CAST(round(value * 1e6) AS BIGINT) AS VARCHAR) || 'e-06'
+  WHEN value > 0 AND round(value * 1e6) < 100 THEN regexp_replace(printf('%.1f', round(value * 1e6) / 10), '\\.0$', '') || 'e-05' ELSE regexp_replace(regexp_replace(printf('%.6f', value), '0+$', ''), '\\.$', '.0') END"""
 _TOLD = "told AS (SELECT * FROM (VALUES " + ", ".join(f"({S.q(k)}, {S.q(v)})" for k, v in U.INSTRUCTIONS.items()) + ") t(dim, told))"
 
 
-@query("top5_instructions", f"{_GAPS}, {_TOLD} SELECT doc_id, p_idx, rank, coalesce(told, '减少 ' || dim || ' 的AI特征 (差距: ' || printf('%.2f', round(gap, 2)) || ')') AS instruction FROM gr LEFT JOIN told USING (dim) WHERE rank <= 5")
+@query("top5_instructions", f"{_GAPS}, {_TOLD} SELECT doc_id, p_idx, rank, coalesce(told, '减少 ' || description || ' 的AI特征 (当前: ' || {_NUMBER} || ', 差距: ' || printf('%.2f', round(gap, 2)) || ')') AS instruction FROM gr LEFT JOIN told USING (dim) WHERE rank <= 5")
 def _(spark, d):
     return U.instructions(spark, _report(spark, d))
 
@@ -135,5 +145,5 @@ def _(spark, d):
 SELECT count(*) AS paragraphs, count(*) FILTER (CASE WHEN s IS NULL THEN level IN ('red', 'deep_red') ELSE ai_count + s >= 6 OR (ai_count + s < 3 AND level IN ('red', 'deep_red')) END) AS high_risk FROM cls LEFT JOIN sa USING (doc_id, p_idx)""")
 def _(spark, d):
     par = talk(spark, d)
-    rows = U.fused(D.classified(D.dimensions(par, LATIN)), V.semantic(par, LATIN))
+    rows = U.fused(D.scanned(par, LATIN), V.semantic(par, LATIN))
     return rows.agg(F.count(F.lit(1)).alias("paragraphs"), F.count_if(F.col("fused_level").isin("red", "deep_red")).alias("high_risk"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -24,15 +25,17 @@ def text_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+def decode(content: bytes) -> str:
+    """As UTF-8, or as GBK where that gives over ten replacement signs, or a text of over a hundred signs without a Chinese one."""
+    text = content.decode("utf-8", "replace")
+    odd = text.count("\ufffd") > 10 or len(text) > 100 and not re.search("[一-鿿]", text)
+    return content.decode("gbk", "replace") if odd else text
+
+
 def decoded_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, text: as UTF-8, or as GBK where that gives over ten replacement signs, or a text of over a hundred signs without a Chinese one."""
-    raw = spark.read.format("binaryFile").load(path)
-    utf, gbk = (F.decode("content", c) for c in ("UTF-8", "GBK"))
-    lost = F.length(utf) - F.length(F.translate(utf, "�", ""))
-    odd = (lost > 10) | ((F.length(utf) > 100) & ~utf.rlike("[一-鿿]"))
-    spark.conf.set("spark.sql.legacy.codingErrorAction", "true")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    return raw.select("path", F.when(odd, gbk).otherwise(utf).alias("text"))
+    """path, text: each file whole, decoded as decode() does. The engine's own decoding of damaged bytes is a setting of the whole session, so it is not used."""
+    run = F.pandas_udf(lambda contents: contents.map(lambda c: decode(bytes(c))), "string")
+    return spark.read.format("binaryFile").load(path).select("path", run("content").alias("text"))
 
 
 def docx_paragraphs(content: bytes) -> list[tuple[int, str, str]]:
@@ -98,10 +101,24 @@ def documents_from(spark: SparkSession, source: str) -> DataFrame:
 
 
 def reference_corpus(spark: SparkSession, path: str, most: int = 500, least: int = 50) -> DataFrame:
-    """ref, text: the blocks of a file that are separated by lines of three hyphens; of those longer than `least`, the first `most`."""
-    whole = text_files(spark, path).select(F.posexplode(F.split("text", "\n---\n")).alias("pos", "t"))
-    rows = whole.select("pos", F.regexp_replace("t", "^\\s+|\\s+$", "").alias("text")).filter(F.length("text") > least)
-    return rows.orderBy("pos").limit(most).select(F.col("pos").alias("ref"), "text")
+    """ref, text: the blocks of the files that are separated by lines of three hyphens; of those longer than `least`, the first `most` by file and place, numbered from 0."""
+    whole = text_files(spark, path).select("path", F.posexplode(F.split("text", "\n---\n")).alias("pos", "t"))
+    rows = whole.select("path", "pos", F.regexp_replace("t", "^\\s+|\\s+$", "").alias("text")).filter(F.length("text") > least)
+    first = rows.orderBy("path", "pos").limit(most)
+    return first.select((F.row_number().over(Window.orderBy("path", "pos")) - 1).alias("ref"), "text")
+
+
+# Terms of every discipline.
+COMMON_TERMS = ["参考文献", "致谢", "附录", "摘要", "关键词", "Abstract", "Keywords"]
+
+
+def terms(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """term: those of the JSON files at the path, which have them in a list `terms`, and the common ones."""
+    common = spark.createDataFrame([(t,) for t in COMMON_TERMS], "term string")
+    if path is None:
+        return common
+    own = spark.read.schema("terms array<string>").option("multiLine", "true").json(path)
+    return own.select(F.explode("terms").alias("term")).unionByName(common).distinct()
 
 
 def lexicon(spark: SparkSession, pack) -> DataFrame:

@@ -18,11 +18,36 @@ def report_summary(levels: DataFrame) -> DataFrame:
     return levels.agg(F.count(F.lit(1)).alias("total_paragraphs"), of("red", "deep_red").alias("high_risk"), of("yellow").alias("suspicious"), of("green").alias("safe"))
 
 
-def json_rows(levels: DataFrame, gaps: DataFrame, preview: int = 200) -> DataFrame:
-    """doc_id, p_idx, json: an object for each paragraph with preview, level, score and ranked gaps."""
-    own = gaps.groupBy("doc_id", "p_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col("dim").alias("dimension"), F.round("gap", 4).alias("gap"), "zone"))), lambda x: F.struct(x["dimension"].alias("dimension"), x["gap"].alias("gap"), x["zone"].alias("zone"))).alias("ranked_gaps"))
+def json_rows(levels: DataFrame, gaps: DataFrame, preview: int = 200, rewrites: DataFrame | None = None) -> DataFrame:
+    """doc_id, p_idx, json: an object for each paragraph with preview, level, score, ranked gaps and, where there is one, its rewrite (doc_id, p_idx, rewrite)."""
+    item = F.struct("rank", F.col("dim").alias("dimension"), F.round("gap", 4).alias("gap"), "zone")
+    bare = lambda x: F.struct(x["dimension"].alias("dimension"), x["gap"].alias("gap"), x["zone"].alias("zone"))
+    own = gaps.groupBy("doc_id", "p_idx").agg(F.transform(F.sort_array(F.collect_list(item)), bare).alias("ranked_gaps"))
     rows = levels.join(own, ["doc_id", "p_idx"], "left")
-    body = F.struct(F.col("p_idx").alias("index"), F.left("text", F.lit(preview)).alias("text_preview"), "level", F.round("comprehensive_score", 4).alias("comprehensive_score"), F.coalesce("ranked_gaps", F.array()).alias("ranked_gaps"))
+    body = [F.col("p_idx").alias("index"), F.left("text", F.lit(preview)).alias("text_preview"), "level", F.round("comprehensive_score", 4).alias("comprehensive_score"), F.coalesce("ranked_gaps", F.array()).alias("ranked_gaps")]
+    if rewrites is not None:
+        rows = rows.join(rewrites.select("doc_id", "p_idx", "rewrite"), ["doc_id", "p_idx"], "left")
+        body.append("rewrite")
+    return rows.select("doc_id", "p_idx", F.to_json(F.struct(*body)).alias("json"))
+
+
+def document_json(rows: DataFrame, levels: DataFrame) -> DataFrame:
+    """doc_id, json: one object for each document, with the counts of its summary and the paragraphs' objects of json_rows() in order."""
+    of = lambda *z: F.count_if(F.col("level").isin(*z))
+    counts = levels.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total"), of("red", "deep_red").alias("high_risk"), of("yellow").alias("suspicious"), of("green").alias("safe"))
+    parts = rows.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p_idx", "json"))), lambda x: x["json"]).alias("parts"))
+    summary = F.to_json(F.struct(F.col("total").alias("total_paragraphs"), "high_risk", "suspicious", "safe"))
+    return counts.join(parts, "doc_id").select("doc_id", F.concat(F.lit('{"summary":'), summary, F.lit(',"paragraphs":['), F.array_join("parts", ","), F.lit("]}")).alias("json"))
+
+
+def fused_json(fused: DataFrame, gaps: DataFrame) -> DataFrame:
+    """doc_id, p_idx, json: an object for each paragraph of a fused scan, with its counts, scores, levels and the gaps of both layers in order."""
+    item = F.struct("rank", F.col("dim").alias("dimension"), "description", "value", "gap", "layer")
+    bare = lambda x: F.struct(*(x[k].alias(k) for k in ("dimension", "description", "value", "gap", "layer")))
+    own = gaps.groupBy("doc_id", "p_idx").agg(F.transform(F.sort_array(F.collect_list(item)), bare).alias("gaps"))
+    rows = fused.join(own, ["doc_id", "p_idx"], "left")
+    scores = [F.round(k, 4).alias(k) for k in ("rule_score", "combined_score")]
+    body = F.struct(F.col("p_idx").alias("paragraph_index"), "rule_level", "rule_ai_count", "rule_gray_count", "semantic_ai_count", "total_dimensions", "combined_ai_count", *scores, "fused_level", F.coalesce("gaps", F.array()).alias("gaps"))
     return rows.select("doc_id", "p_idx", F.to_json(body).alias("json"))
 
 
@@ -55,7 +80,36 @@ def rewrite_prompt(zones: DataFrame) -> DataFrame:
 
 
 def nested_report(zones: DataFrame, fused: DataFrame) -> DataFrame:
-    """doc_id, p_idx, level, score, ai_sentence_count, sentences: each paragraph with its sentences nested in order."""
+    """doc_id, p_idx, level, score, ai_sentence_count, total_sentence_count, sentences: each paragraph with its sentences nested in order."""
     own = zones.groupBy("doc_id", "p_idx").agg(F.count_if(F.col("zone").isin("red", "orange")).alias("n"), F.sort_array(F.collect_list(F.struct("s_idx", "sentence", "zone", F.round("score", 4).alias("score")))).alias("sentences"))
     rows = fused.join(own, ["doc_id", "p_idx"], "left")
-    return rows.select("doc_id", "p_idx", F.col("fused_level").alias("level"), F.round(100 * F.col("combined_score")).cast("int").alias("score"), F.coalesce("n", F.lit(0)).alias("ai_sentence_count"), "sentences")
+    return rows.select(
+        "doc_id", "p_idx", F.col("fused_level").alias("level"), F.round(100 * F.col("combined_score")).cast("int").alias("score"), F.coalesce("n", F.lit(0)).alias("ai_sentence_count"),
+        F.when(F.col("n").isNull(), 0).otherwise(F.size("sentences")).alias("total_sentence_count"), "sentences",
+    )
+
+
+#: What levels are called in the fused terminal report.
+FUSED_LABELS = {"green": "SAFE", "yellow": "SUSPICIOUS", "red": "HIGH RISK", "deep_red": "AI CONFIRMED"}
+
+
+def fused_report(fused: DataFrame, par: DataFrame, told: DataFrame, most: int = 3, preview: int = 120) -> Iterator[str]:
+    """Lines for the terminal, a paragraph at a time in order: level, score, counts, preview, and the first instructions of those that are not green."""
+    first = told.filter(F.col("rank") <= most).groupBy("doc_id", "p_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "instruction"))), lambda x: x["instruction"]).alias("told"))
+    rows = fused.join(par.select("doc_id", "p_idx", F.left("text", F.lit(preview)).alias("preview")), ["doc_id", "p_idx"]).join(first, ["doc_id", "p_idx"], "left")
+    for r in rows.orderBy("doc_id", "p_idx").toLocalIterator():
+        yield f"{r.doc_id} #{r.p_idx + 1} {FUSED_LABELS[r.fused_level]}  score {100 * r.combined_score:.0f}%, rules {r.rule_ai_count}, vectors {r.semantic_ai_count}"
+        yield f"  {r.preview}"
+        if r.fused_level != "green":
+            yield from (f"    {k}. {x}" for k, x in enumerate(r.told or [], 1))
+
+
+#: Characters that a text to be scanned must have at least.
+LEAST_TEXT = 20
+
+
+def refusals(docs: DataFrame, par: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, error: why a document is not scanned; null for those that are."""
+    some = par.select("doc_id").distinct().withColumn("_has", F.lit(True))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.length(F.trim(F.coalesce(F.col(text_col), F.lit("")))).alias("_n")).join(some, "doc_id", "left")
+    return rows.select("doc_id", F.when(F.col("_n") < LEAST_TEXT, "文本太短").when(F.col("_has").isNull(), "未检测到有效段落").alias("error"))

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.packs import LATIN, Pack
-from ..operators.dimensions import classified, dimensions
+from ..operators.dimensions import scanned
 from ..operators.parse import paragraphs
+from ..sources import stored
 
 
-def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
+def table_stream(spark: SparkSession, folder: str, table: str, files: int = 8) -> DataFrame:
     """A table's files as a stream; the table is a file or a folder."""
     path = f"{folder}/{table}.parquet"
     schema = spark.read.parquet(path).schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory():
         return source.parquet(path)
@@ -25,7 +25,7 @@ def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def levels(docs: DataFrame, pack: Pack = LATIN) -> DataFrame:
     """doc_id, p_idx, level of each paragraph. No step looks beyond its document, so the batch operators serve streams as they are."""
-    rows = classified(dimensions(paragraphs(docs, pack), pack))
+    rows = scanned(paragraphs(docs, pack), pack)
     return rows.select("doc_id", "p_idx", "ai_count", "level")
 
 
@@ -36,9 +36,25 @@ def event_counts(events: DataFrame, size: str = "1 day", late: str = "2 days") -
     return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.expr("timestampadd(MICROSECOND, unix_micros(w.start), timestamp_ntz'1970-01-01')").alias("day"), "event_type", "n", "total")
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that a stream gives from what is there now, as a table in memory; for tests and small results."""
-    name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drained(stream: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """All that a stream gives from what is there now, as a table of files in the shared folder, with its checkpoint beside it.
+
+    With keys, a row replaces the one of the same keys from an earlier batch, as updates of an aggregate do; so the watermark may drop old state.
+    """
+    spark, out = stream.sparkSession, stored.place(stream.sparkSession, "stream")
+    schema = StructType([*stream.schema.fields, StructField("_batch", LongType())])
+
+    def keep(batch: DataFrame, number: int) -> None:
+        # a batch that runs again writes the same folder anew
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    q = stream.writeStream.outputMode("update" if keys else "append").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not q.lastProgress:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{out}/rows")
+    if not keys:
+        return rows.drop("_batch")
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("last"))
+    return last.select(*(c if c in keys else F.col(f"last.{c}").alias(c) for c in stream.columns))

@@ -26,10 +26,18 @@ def test_runs(name, spark):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
-def test_native_plans(spark):
-    for name in ("dims_wide", "paragraph_levels", "document_ai_rate", "fused_levels"):
+def test_plans(spark):
+    native = ("parse_paragraphs", "split_sentences", "connector_tiers", "self_perplexity", "vec_adjacent_similarity", "concept_backtrack")
+    for name in (*native, "dims_wide", "paragraph_levels", "document_ai_rate", "fused_levels"):
         plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
-        assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan, name
+        # counting kernels take batches of columns; nothing goes to Python row by row
+        assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan, name
+        assert name not in native or "Python" not in plan, name
+
+
+def test_zones_and_levels_take_one_shuffle(spark):
+    plan = registry.QUERIES["sentence_zones_raw"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
 
 
 def test_statistics_move_no_rows(spark):

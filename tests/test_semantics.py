@@ -116,6 +116,12 @@ def test_files(spark, tmp_path):
     assert got["g.txt"] == "汉字编码" * 20 and got["t.txt"].startswith("第一段")
     (tmp_path / "ref.md").write_text("\n---\n".join(["x" * 60, "short", "y" * 80]), encoding="utf-8")
     assert [r.text[0] for r in readers.reference_corpus(spark, str(tmp_path / "ref.md")).collect()] == ["x", "y"]
+    (tmp_path / "reg.md").write_text("z" * 70, encoding="utf-8")
+    assert [(r.ref, r.text[0]) for r in readers.reference_corpus(spark, str(tmp_path / "re*.md"), most=2).collect()] == [(0, "x"), (1, "y")]
+    assert [(r.ref, r.text[0]) for r in readers.reference_corpus(spark, str(tmp_path / "re*.md")).collect()] == [(0, "x"), (1, "y"), (2, "z")]
+    (tmp_path / "terms.json").write_text('{"discipline": "x",\n "terms": ["残差网络", "摘要"]}', encoding="utf-8")
+    assert {r.term for r in readers.terms(spark, str(tmp_path / "terms.json")).collect()} == {"残差网络", *readers.COMMON_TERMS}
+    assert readers.terms(spark).count() == len(readers.COMMON_TERMS)
 
 
 def test_reports(spark, tmp_path):
@@ -175,8 +181,167 @@ def test_gaps_and_levels_have_all_statistics(spark, tmp_path):
     run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
     wide = {r.p_idx: r.paragraph_similarity for r in run("dims_wide")}
     long = {r.p_idx: r for r in run("dims_long") if r.dim == "paragraph_similarity"}
-    assert {k: r.value for k, r in long.items()} == wide and max(wide.values()) > 0.5
+    assert {k: r.value for k, r in long.items()} == pytest.approx(wide, abs=1e-4) and max(wide.values()) > 0.5
     assert {r.p_idx for r in run("ranked_gaps") if r.dim == "paragraph_similarity"} == {k for k, r in long.items() if r.zone == "ai"} != set()
     levels = run("paragraph_levels")
     whole = next(r for r in run("levels_rollup") if r.lang is None and r.source is None)
     assert whole.mean_score == pytest.approx(sum(r.comprehensive_score for r in levels) / len(levels), abs=1e-5)
+
+
+# Short texts, and what was worked out for them by hand: signs, sentences, deviation of lengths, connectors and slop per 1000, entropy of marks and of signs.
+GOLDEN = [
+    ("此外，注意力机制的出现进一步推动了自然语言处理领域的发展，Transformer架构已经成为当前主流的基础模型。值得注意的是，这些技术突破不仅提升了模型的性能表现，也为后续的研究工作奠定了坚实的基础。", 100, 2, 0.0, 20.0, 0.0, 0.9183, 6.0922),
+    ("综上所述，深度学习技术的持续演进正在深刻改变人工智能领域的研究范式。未来的研究方向可能会更加注重多模态融合、小样本学习以及模型的可解释性。这些新兴方向将推动AI技术向更通用、更可信的方向发展。", 96, 3, 3.5590, 10.4167, 20.8333, 1.4591, 5.9742),
+    ("我们做了个实验，拿两组模型对比了一下。第一组就是标准的CNN，直接在ImageNet上跑，top-1大概76%。第二组加了我们自己搞的注意力分支——其实就是让网络学会哪些区域比较重要。", 92, 3, 8.2597, 0.0, 0.0, 1.5613, 6.0043),
+    ("结果还挺意外的。加了注意力之后，准确率涨到了81%，而且参数量只多了不到3M。不过说实话，在小数据集上效果会打折扣。我们怀疑可能是过拟合了。", 70, 4, 8.7321, 42.8571, 0.0, 0.9852, 5.6614),
+    ("后面换了几种数据增强的策略，情况好了不少。当然这玩意儿到底有没有用还得看具体场景，不是所有任务都适合。这一点后面还得细琢磨。", 62, 3, 7.7603, 0.0, 0.0, 0.9710, 5.5427),
+]
+
+
+def test_golden_values(spark):
+    df = spark.createDataFrame([(k, 0, row[0], "") for k, row in enumerate(GOLDEN)], "doc_id long, p_idx int, text string, prev string")
+    got = {r.doc_id: r for r in D.dimensions(df, ZH).collect()}
+    sent = {r.doc_id: r.n for r in P.sentences(df, ZH).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    for k, (text, n, sentences, *want) in enumerate(GOLDEN):
+        r = got[k]
+        assert (len(text), sent[k]) == (n, sentences)
+        assert [r.sentence_length_std, r.connector_density, r.slop_density, r.punctuation_entropy, r.overall_entropy] == pytest.approx(want, abs=1e-4)
+
+
+def test_chinese_words():
+    from quillspark.functions.packs import with_words
+    from quillspark.operators.kernels import Kernel
+
+    text = "因此，他研究残差网络的效率。Top1为 92%"
+    assert Kernel(ZH).tokens(text) == ["因此", "，", "他", "研究", "残差", "网络", "的", "效率", "。", "top1", "为", "92", "%"]
+    wide = with_words(ZH, ["残差网络"])
+    assert Kernel(wide).tokens(text)[4] == "残差网络"
+    assert Kernel(wide).values(text, None)[3] > Kernel(ZH).values(text, None)[3] == 0
+
+
+def test_no_statistic_of_chinese_words_is_constant(spark, sf):
+    from quillspark.plans import registry
+
+    rows = registry.QUERIES["zh_dims_wide"](spark, sf).collect()
+    for name in ("info_density", "term_density", "hapax_ratio", "zipf_deviation", "bigram_repetition", "trigram_repetition"):
+        assert len({r[name] for r in rows}) > 5, name
+
+
+def test_guard_reason(spark):
+    text = "我觉得这像旧梦一样，难道不是吗"
+    rows = spark.createDataFrame([(0, 0, text, lv, 1.0) for lv in ("green", "deep_red")], "doc_id long, p_idx int, text string, level string, comprehensive_score double")
+    got = {r.original_level: r for r in D.guarded(rows).collect()}
+    assert got["green"].guard_reason == "" and got["deep_red"].guard_reason == "检测到经典文学特征（排比/拟人/诗化语言），降级处理"
+    marks = D.human_marks(F.col("text"))
+    assert spark.createDataFrame([("我觉得，难道不禁",), ("无",)], "text string").select(marks.alias("m")).collect() == [("['第一人称叙事', '口语反问', '情感强度词', '短句节奏']",), ("[]",)]
+
+
+def test_spans_against_the_rule():
+    rng = random.Random(6)
+    bits = ["[1]", "(2024)", "3.14", "f(x)", "《书》", "《f(x) 2.5》", "`a [2]`", '"quo ted"', "图 3", "北京大学", "第3章", "abc:", "某某某：", " ", "字", "http://a.b/c[3]"]
+    for _ in range(400):
+        text = "".join(rng.choices(bits, k=rng.randint(0, 9)))
+        want = []
+        for pattern, label in X.PATTERNS:
+            for m in re.finditer(pattern, text):
+                covered = {i for a, b, _ in want for i in range(a, b)}
+                if m.start() not in covered and m.end() - 1 not in covered:
+                    want.append((m.start(), m.end(), label))
+        assert [(s["start"], s["end"], s["label"]) for s in X.spans_of(text)] == sorted(want, key=lambda s: s[0]), text
+
+
+def test_instructions(spark):
+    rows = [("slop_density", "Slop词密度", 5.0, 4.0), ("sem_argument_linearity", "x", 0.1, 0.5), ("argument_linearity", "论证线性度（全局）", 0.00005, 0.00045), ("semantic_backtrack", "语义回溯率（全局）", 0.0, 0.1), ("other", "o", 0.000125, 0.2)]
+    report = spark.createDataFrame([(1, 0, *r, k + 1) for k, r in enumerate(rows)], "doc_id long, p_idx int, dim string, description string, value double, gap double, rank int")
+    got = [r.instruction for r in U.instructions(spark, report).orderBy("rank").collect()]
+    assert got[0] == U.INSTRUCTIONS["slop_density"] and got[1] == U.INSTRUCTIONS["sem_argument_linearity"]
+    assert got[2:] == ["减少 论证线性度（全局） 的AI特征 (当前: 5e-05, 差距: 0.00)", "减少 语义回溯率（全局） 的AI特征 (当前: 0.0, 差距: 0.10)", "减少 o 的AI特征 (当前: 0.000125, 差距: 0.20)"]
+    values = [0.0, 1.0, 0.7, 0.1234, 0.0001, 0.000013, 0.00001, 0.000099, 0.000007, 12.5]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r.s for r in df.select(U.number(F.col("v")).alias("s")).collect()] == [str(v) for v in values]
+
+
+def test_an_encoder_and_one_that_fails(spark):
+    from quillspark.operators import semantic as V
+
+    rows = [(1, k, f"Paragraph {w} stands here. And {w} ends it.") for k, w in enumerate(["one", "two", "three"])] + [(2, 0, "A document of one paragraph only.")]
+    par = spark.createDataFrame(rows, "doc_id long, p_idx int, text string")
+
+    def make():
+        return lambda texts: [[1.0, 0.0] if "two" in t else [0.6, 0.8] for t in texts]
+
+    got = {(r.p_idx, r.dim): r.value for r in V.semantic(par, LATIN, make).collect()}
+    assert got[0, "paragraph_semantic_similarity"] == got[1, "transition_naturalness"] == 0.6 and got[2, "transition_naturalness"] == 0.0 and len(got) == 12
+    assert {r.doc_id: r.error for r in V.semantic_documents(par, LATIN, make).collect()} == {1: None, 2: V.TOO_SHORT}
+
+    def broken():
+        raise RuntimeError("no model")
+
+    assert V.semantic(par, LATIN, broken).count() == 0
+    assert {r.doc_id: r.error for r in V.semantic_documents(par, LATIN, broken).collect()} == {1: V.NOT_ENCODED, 2: V.TOO_SHORT}
+    assert sorted(str(r.transition) for r in V.transitions(par, LATIN, broken).collect()) == ["0.5", "0.5", "None", "None"]
+
+
+def test_matrix_and_join_match_alike(spark, sf):
+    from quillspark.operators import models as M
+
+    refs = spark.read.parquet(f"{sf}/benchmark.parquet")
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text").limit(80)
+    vocabulary, weights = M.char_model(refs, "item_id")
+    one, two = ({(r.conv_id, r.turn): r.similarity for r in M.best_match(rows, ["conv_id", "turn"], vocabulary, weights, most=most).collect()} for most in (10**9, 0))
+    assert one == pytest.approx(two, abs=1e-9) and max(one.values()) > 0
+
+
+def test_models_are_kept(spark, tmp_path):
+    from quillspark.operators import models as M
+
+    refs = spark.createDataFrame([(0, "some words and some more words")], "item_id long, text string")
+    model = M.bigram_model(refs, LATIN)
+    M.save(model, str(tmp_path / "m"))
+    assert sorted(M.load(spark, str(tmp_path / "m")).collect()) == sorted(model.collect())
+
+
+def test_before_and_after(spark):
+    from quillspark.operators import compare
+
+    before = spark.createDataFrame([(1, 0, "red"), (1, 1, "green"), (1, 2, "yellow"), (2, 0, "deep_red")], "doc_id long, p_idx int, fused_level string")
+    after = spark.createDataFrame([(1, 0, "green"), (1, 1, "yellow"), (1, 2, "yellow"), (3, 0, "red")], "doc_id long, p_idx int, level string")
+    rows = compare.compared(before, after)
+    assert {(r.doc_id, r.p_idx): r.change for r in rows.collect()} == {(1, 0): "better", (1, 1): "worse", (1, 2): "same", (2, 0): "removed", (3, 0): "added"}
+    assert tuple(compare.high_risk(rows).collect()[0]) == (2, 1)
+
+
+def test_job(spark, tmp_path, capsys):
+    import json
+
+    from quillspark import job
+
+    (tmp_path / "t.txt").write_text("\n\n".join(t for t, *_ in GOLDEN), encoding="utf-8")
+    for more in ([], ["--no-embedding"]):
+        assert job.main([str(tmp_path / "t.txt"), "--format", "json", *more], spark) == 0
+        rows = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+        assert [r["paragraph_index"] for r in rows] == [0, 1, 2, 3, 4] and {r["total_dimensions"] for r in rows} == ({12} if more else {16})
+        assert all(g["gap"] >= h["gap"] for r in rows for g, h in zip(r["gaps"], r["gaps"][1:]))
+    assert job.main([str(tmp_path / "t.txt"), "--format", "html", "--output", str(tmp_path / "o.html")], spark) == 0
+    assert (tmp_path / "o.html").read_text(encoding="utf-8").count("<section") == 5
+    assert job.main([str(tmp_path / "t.txt")], spark) == 0 and "#5" in capsys.readouterr().out
+    assert job.main(["短", "--format", "terminal"], spark) == 1
+    assert job.main(["--status"]) == 0
+
+
+def test_documents_that_are_not_scanned(spark):
+    docs = spark.createDataFrame([(1, "too short"), (2, None), (3, "x. " * 10), (4, "One line that is long enough to be a paragraph.")], "doc_id long, text string")
+    got = {r.doc_id: r.error for r in sinks.refusals(docs, P.paragraphs(docs, LATIN)).collect()}
+    assert got == {1: "文本太短", 2: "文本太短", 3: None, 4: None}
+    one = sinks.document_json(spark.createDataFrame([(1, 0, '{"a":1}'), (1, 1, '{"a":2}')], "doc_id long, p_idx int, json string"), spark.createDataFrame([(1, 0, "red"), (1, 1, "green")], "doc_id long, p_idx int, level string"))
+    assert one.collect()[0].json == '{"summary":{"total_paragraphs":2,"high_risk":1,"suspicious":0,"safe":1},"paragraphs":[{"a":1},{"a":2}]}'
+
+
+def test_updates_of_a_stream_replace_earlier_rows(spark, tmp_path):
+    from datetime import datetime
+
+    for k in range(3):
+        spark.createDataFrame([(datetime(2024, 1, 1, k), "a", 1.0)], "ts timestamp, event_type string, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    source = scan.table_stream(spark, str(tmp_path), "events", 1)
+    rows = scan.drained(scan.event_counts(source), ("day", "event_type")).collect()
+    assert [(r.event_type, r.n, r.total) for r in rows] == [("a", 3, 3.0)]
