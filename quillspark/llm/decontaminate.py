@@ -10,15 +10,16 @@ All texts of a batch are searched at once, each stretch with a cursor of its own
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import slices, small_batches, text_bytes
-from ._words import LOWER, NOT_ALNUM, Words, windows, windows_at
+from ._shared import slices, small_batches, text_bytes, unwrite, written
+from ._words import LOWER, NOT_ALNUM, Words, draw, windows, windows_at
 
 #: Words in a window.
 WINDOW = 10
@@ -28,68 +29,86 @@ BLOCK = 2
 BITS = 20
 #: Words that one cursor searches.
 STRETCH = 512
-#: Bytes of benchmark text in one set of tables. Beyond, items are dealt into more sets, which are searched one by one.
+#: Bytes of benchmark text in one set of tables. Beyond, items are dealt into more sets, and the documents searched for one after another.
 SET_BYTES = 32 << 20
 
-NO_ITEMS = hashlib.sha256(b"").hexdigest()
 
-
-def _words(texts: list[str | None]) -> tuple[Words, np.ndarray]:
+def _words(texts: list[str | None], place: int) -> tuple[Words, np.ndarray]:
     raw, at = text_bytes(pa.array(texts, pa.string()))
     raw = LOWER[raw]
-    return Words(raw, at, NOT_ALNUM), raw
+    return Words(raw, at, NOT_ALNUM, place), raw
 
 
 class Tables:
-    """Test strings of one length: shift table, and buckets by the hash of the last block of words."""
+    """Test strings of one length: shift table, and buckets by the hash of the last block of words.
+
+    first: the first word of each test string among the benchmark's words; item: the number of its item; text: all words with one space between, and
+    begin: where each begins there.
+    """
 
-    def __init__(self, length: int):
+    def __init__(self, length: int, words: Words, text: bytes, begin: np.ndarray, first: np.ndarray, item: np.ndarray):
         self.length, self.block = length, min(BLOCK, length)
         self.reach = length - self.block + 1
-        self.buckets: dict[int, dict[bytes, list[int]]] = {}
-        self.whole: set[int] = set()
         self.shift = np.full(1 << BITS, self.reach, np.uint8 if self.reach < 256 else np.uint16)
+        blocks = windows(words.hash, self.block)
+        for j in range(self.reach):
+            self.shift[blocks[first + j] >> np.uint64(64 - BITS)] = self.reach - 1 - j
+        # equal test strings are one, with a list of items; ordered by the hash of all words, by which a bucket is searched
+        self.keys, one, group = np.unique(windows_at(words.hash, first, length), return_index=True, return_inverse=True)
+        self.suffix = blocks[first[one] + length - self.block]
+        self.text, self.begin, self.end = text, begin[first[one]], begin[first[one] + length] - 1
+        for k in np.setdiff1d(np.arange(len(first)), one).tolist():
+            if text[begin[first[k]] : begin[first[k] + length] - 1] != self.string(group[k]):
+                raise Collision
+        order = np.lexsort((item, group))
+        new = np.ones(len(order), bool)
+        new[1:] = (group[order][1:] != group[order][:-1]) | (item[order][1:] != item[order][:-1])
+        self.items = item[order][new]
+        self.at = np.searchsorted(group[order][new], np.arange(len(self.keys) + 1))
+
+    def string(self, k: int) -> bytes:
+        return self.text[self.begin[k] : self.end[k]]
+
+    def bucket(self, suffix: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The one test string that may be there, by the hashes of the last block and of all words; -1 for none."""
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (self.suffix[at] == suffix), at, -1)
+
+
+class Collision(Exception):
+    """Two test strings share a hash."""
+
+
+def joined(raw: np.ndarray, words: Words, first: int, n: int) -> bytes:
+    return b" ".join(raw[s:e].tobytes() for s, e in zip(words.starts[first : first + n].tolist(), words.ends[first : first + n].tolist()))
+
+
+def compile_tables(texts: list[str | None], items: list[int], window: int = WINDOW) -> tuple[int, list[Tables]]:
+    """items: the number of each text's item. Words are hashed at a place drawn until no two test strings share a hash."""
+    while True:
+        place = draw()
+        words, raw = _words(texts, place)
+        size = np.minimum(words.counts(), window)
+        text = joined(raw, words, 0, len(words.hash))
+        begin = np.concatenate([[0], np.cumsum(words.ends - words.starts + 1)])
+        try:
+            out = []
+            for n in np.unique(size[size > 0]).tolist():
+                own = np.flatnonzero(size == n)
+                many = words.counts()[own] - n + 1
+                first = np.repeat(words.at[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                out.append(Tables(n, words, text, begin, first, np.repeat(np.array(items, np.int64)[own], many)))
+            return place, out
+        except Collision:
+            pass
 
-    def add(self, hashes: np.ndarray, key: int, words: bytes, item: int) -> None:
-        """key: the hash of all words; it only spares comparisons that must fail."""
-        blocks = windows(hashes, self.block)
-        items = self.buckets.setdefault(int(blocks[-1]), {}).setdefault(words, [])
-        if item not in items:
-            items.append(item)
-        self.whole.add(key)
-        np.minimum.at(self.shift, blocks >> np.uint64(64 - BITS), np.arange(self.reach - 1, -1, -1).astype(self.shift.dtype))
-
-    def close(self) -> None:
-        self.keys = np.sort(np.fromiter(self.whole, np.uint64, len(self.whole)))
-        self.whole = set()
-
-
-def compile_tables(texts: list[str | None], items: list[int], window: int = WINDOW) -> list[Tables]:
-    """items: the number of each text's item."""
-    words, raw = _words(texts)
-    tables: dict[int, Tables] = {}
-    for k, item in enumerate(items):
-        lo, hi = words.at[k], words.at[k + 1]
-        n = min(window, hi - lo)
-        if not n:
-            continue
-        table = tables.setdefault(int(n), Tables(int(n)))
-        keys = windows(words.hash[lo:hi], int(n))
-        for j, key in enumerate(keys.tolist()):
-            a = lo + j
-            text = b" ".join(raw[s:e].tobytes() for s, e in zip(words.starts[a : a + n], words.ends[a : a + n]))
-            table.add(words.hash[a : a + n], key, text, item)
-    for t in tables.values():
-        t.close()
-    return list(tables.values())
-
-
-def search(words: Words, raw: np.ndarray, table: Tables) -> tuple[np.ndarray, list[list[int]]]:
-    """First words of all occurrences, in one text each, and the items of each."""
+
+def search(words: Words, raw: np.ndarray, table: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """First words of all occurrences, in one text each, and which test string each is."""
     m, n = table.length, len(words.hash)
     none = np.zeros(0, np.int64)
     if n < m:
-        return none, []
+        return none, none
     # a stretch: the window ends that one cursor visits, in one text
     first, last = words.at[:-1] + m - 1, words.at[1:]
     count = np.maximum(-(-(last - first) // STRETCH), 0)
@@ -109,35 +128,43 @@ def search(words: Words, raw: np.ndarray, table: Tables) -> tuple[np.ndarray, li
         go = cursor < stop
         cursor, stop = cursor[go], stop[go]
     if not hits:
-        return none, []
+        return none, none
     begin = np.sort(np.concatenate(hits)) - m + 1
-    key = windows_at(words.hash, begin, m)
-    begin = begin[table.keys[np.minimum(np.searchsorted(table.keys, key), len(table.keys) - 1)] == key]
-    found, items = [], []
-    for a, suffix in zip(begin.tolist(), blocks[begin + m - table.block].tolist()):
-        text = b" ".join(raw[s:e].tobytes() for s, e in zip(words.starts[a : a + m].tolist(), words.ends[a : a + m].tolist()))
-        own = table.buckets.get(suffix, {}).get(text)
-        if own:
-            found.append(a)
-            items.append(own)
-    return np.array(found, np.int64), items
-
-
-def _sets(benchmark: DataFrame, id_col: str, text_col: str, window: int, most: int) -> list:
-    """Broadcast tables; a set is of bounded size, whatever the benchmark's."""
+    at = table.bucket(blocks[begin + m - table.block], windows_at(words.hash, begin, m))
+    begin, at = begin[at >= 0], at[at >= 0]
+    same = np.array([joined(raw, words, a, m) == table.string(k) for a, k in zip(begin.tolist(), at.tolist())], bool)
+    return begin[same], at[same]
+
+
+def _sets(benchmark: DataFrame, id_col: str, text_col: str, window: int, most: int) -> Iterator:
+    """How many sets there are; then each as broadcast tables of bounded size, with the names of items."""
     spark = benchmark.sparkSession
     rows = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     parts = max(1, -(-total // most))
-    out = []
+    yield parts
     for k in range(parts):
         names: dict[str | None, int] = {}
         texts, items = [], []
         for r in rows.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).toLocalIterator():
             texts.append(r.text)
             items.append(names.setdefault(r.item, len(names)))
-        out.append(spark.sparkContext.broadcast((compile_tables(texts, items, window), list(names))))
-    return out
+        yield spark.sparkContext.broadcast((*compile_tables(texts, items, window), [x or "" for x in names]))
+
+
+def _occurrences(shared, words: Words, raw: np.ndarray) -> tuple[np.ndarray, list[list[str]]]:
+    """How often each word begins and ends being covered, added up, and the names of items in each text."""
+    _, tables, names = shared.value
+    edge = np.zeros(len(words.hash) + 1, np.int64)
+    items: list[set] = [set() for _ in words.at[1:]]
+    for table in tables:
+        begin, at = search(words, raw, table)
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, begin + table.length, -1)
+        owner = np.searchsorted(words.at, begin, "right") - 1
+        for d, k in {*zip(owner.tolist(), at.tolist())}:
+            items[d].update(names[x] for x in table.items[table.at[k] : table.at[k + 1]].tolist())
+    return np.cumsum(edge[:-1]) > 0, [sorted(x) for x in items]
 
 
 def decontaminate(
@@ -159,43 +186,56 @@ def decontaminate(
     """
     small_batches(docs.sparkSession)
     sets = _sets(benchmark, item_col, item_text_col, window, set_bytes)
+    parts = next(sets)
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tk"))
+
+    def found(shared, every: bool):
+        """Of each document (or each that has an item) id, key of the text, words, hit words, their places, items."""
+
+        def run(batches):
+            for batch in batches:
+                raw_all, at_all = text_bytes(batch.column(1))
+                for i, j in slices(at_all):
+                    raw = LOWER[raw_all[at_all[i] : at_all[j]]]
+                    words = Words(raw, at_all[i : j + 1] - at_all[i], NOT_ALNUM, shared.value[0])
+                    covered, lists = _occurrences(shared, words, raw)
+                    hits = np.diff(np.concatenate([[0], np.cumsum(covered)])[words.at])
+                    columns = [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(words.counts(), pa.int64()), pa.array(hits, pa.int64())]
+                    if not every:
+                        place = np.flatnonzero(covered)
+                        place -= words.at[np.searchsorted(words.at, place, "right") - 1]
+                        columns.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(hits)]).astype(np.int32), pa.array(place.astype(np.int32))))
+                    out = pa.RecordBatch.from_arrays([*columns, pa.array(lists, pa.list_(pa.string()))], names)
+                    yield out if every else out.filter(pa.array(hits > 0))
+
+        names = ["id", "tk", "n_words", "n_hit", *([] if every else ["places"]), "items"]
+        kinds = {"places": "array<int>", "items": "array<string>"}
+        return base.select("id", "text", "tk").mapInArrow(run, ", ".join(f"{x} {kinds.get(x, 'long')}" for x in names))
+
+    if parts == 1:
+        out = found(next(sets), True)
+    else:
+        # one set after another, so that no more than one is in memory
+        some = []
+        for shared in sets:
+            some.append(written(found(shared, False), "hits"))
+            shared.destroy()
+        all_of = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+        hits = reduce(DataFrame.unionByName, some)
+        hits = hits.groupBy("id", "tk").agg(F.size(all_of("places")).cast("long").alias("n_hit"), F.sort_array(all_of("items")).alias("items"))
+        hits = written(hits.withColumnsRenamed({"id": "i", "tk": "k"}), "hits")
+        unwrite(*some)
+
+        def count(batches):
+            for batch in batches:
+                raw, at = text_bytes(batch.column(1))
+                n = [x for i, j in slices(at) for x in Words(LOWER[raw[at[i] : at[j]]], at[i : j + 1] - at[i], NOT_ALNUM, None).counts().tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["id", "tk", "n_words"])
 
-    def run(batches):
-        for batch in batches:
-            raw_all, at_all = text_bytes(batch.column(1))
-            ids = batch.column(0)
-            for i, j in slices(at_all):
-                raw = LOWER[raw_all[at_all[i] : at_all[j]]]
-                words = Words(raw, at_all[i : j + 1] - at_all[i], NOT_ALNUM)
-                edge = np.zeros(len(words.hash) + 1, np.int64)
-                items: dict[int, set] = {}
-                for part in sets:
-                    tables, names = part.value
-                    for table in tables:
-                        begin, who = search(words, raw, table)
-                        np.add.at(edge, begin, 1)
-                        np.add.at(edge, begin + table.length, -1)
-                        for d, own in zip((np.searchsorted(words.at, begin, "right") - 1).tolist(), who):
-                            items.setdefault(d, set()).update(names[x] or "" for x in own)
-                covered = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-                lists = [sorted(items.get(k, ())) for k in range(j - i)]
-                hits = np.diff(covered[words.at])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(i, j - i),
-                        pa.array(words.counts(), pa.int64()),
-                        pa.array(hits, pa.int64()),
-                        pa.array([len(x) for x in lists], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() if x else NO_ITEMS for x in lists]),
-                        pa.array(hits > 0),
-                        pa.array(lists, pa.list_(pa.string())),
-                    ],
-                    names_out,
-                )
-
-    names_out = [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"]
-    kind = f"`{id_col}` long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>"
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, kind)
+        counted = base.mapInArrow(count, "id long, tk long, n_words long")
+        out = counted.join(hits, F.col("id").eqNullSafe(F.col("i")) & (F.col("tk") == F.col("k")), "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    digest = F.sha2(F.concat_ws(",", "items"), 256)
+    return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,5 +61,21 @@ def test_brute_force(spark):
     assert d.decontaminate(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_words_of_equal_hash(spark):
+    a, b = "a", "b"
+    for _ in range(10):  # polynomials over their signs agree modulo 2^64 at every odd place
+        a, b = a + b, b + a
+    rows = [(k, " ".join(f"{x}{i}" for i in range(12))) for k, x in enumerate([a, b])]
+    got = d.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows[:1], "item_id long, text string")).collect()
+    assert {r.doc_id: r.n_hit for r in got} == {0: 12, 1: 0}
+
+
+def test_a_shared_hash_draws_another_place(monkeypatch):
+    places = iter([0, 5])  # at 0 all words of one length agree
+    monkeypatch.setattr(d, "draw", lambda: next(places))
+    place, (table,) = d.compile_tables(["aa bb", "cc dd"], [0, 1], 2)
+    assert place == 5 and sorted(table.string(k) for k in range(2)) == [b"aa bb", b"cc dd"]
+
+
 def test_oracle(spark, sf):
     oracle.same(d.op10_decontaminate(spark, sf), d.ORACLES["op10_decontaminate"], oracle.connect(sf))
