@@ -1,4 +1,5 @@
 import html
+import random
 import re
 
 import numpy as np
@@ -64,6 +65,41 @@ def test_gradients_are_those_of_the_loss():
         assert abs((up - down) / (2 * e) - g[k][at]) < 2e-3 * max(1, abs(g[k][at])), k
 
 
+def test_labels_against_loops():
+    """The forward pass as loops over single numbers, and the way of long pages."""
+    from math import exp, tanh
+
+    m, (found, _) = h.Labeller(5, hidden=3), p.labelled(3, 1)[0]
+    x, w = h.features(found), m.w
+    sig = lambda z: 1 / (1 + exp(-z))
+    logits = [float(w["c"][0])] * len(x)
+    for d, part in (("f", 0), ("b", 3)):
+        state, cell = [0.0] * 3, [0.0] * 3
+        for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+            z = [float(w[f"b{d}"][j]) + sum(float(a) * float(b) for a, b in zip(x[t], w[f"x{d}"][:, j])) + sum(s * float(b) for s, b in zip(state, w[f"h{d}"][:, j])) for j in range(12)]
+            cell = [sig(z[3 + j]) * cell[j] + sig(z[j]) * tanh(z[9 + j]) for j in range(3)]
+            state = [sig(z[6 + j]) * tanh(cell[j]) for j in range(3)]
+            logits[t] += sum(s * float(w["o"][part + j, 0]) for j, s in enumerate(state))
+    want = [sig(z) for z in logits]
+    assert len(found) > 5 and np.allclose(m.labels([x])[0], want, atol=1e-4)
+    assert np.allclose(m.long_labels(found), want, atol=1e-4)
+
+
+def test_long_pages_in_stretches(monkeypatch):
+    m = h.trained()
+    pages = ["".join(s for s, _ in p.made_page(random.Random(k))) for k in range(12)]
+    whole = h.main_texts(m, pages)
+    monkeypatch.setattr(h, "TOGETHER", 5)
+    assert h.main_texts(m, pages) == whole
+
+
+def test_deep_pages_lose_nothing():
+    page = "".join(f'<div class="c{"x" * (k % 3)} d e f g h i j k l">{k} ' for k in range(900))
+    found = p.blocks(page)
+    assert [t for _, t, _ in found] == [str(k) for k in range(900)]
+    assert "c.l" in found[0][0] and max(len(path) for path, _, _ in found) <= 2 * p.ENDS * 12
+
+
 def test_made_pages_that_it_has_not_seen():
     m, wrong, n = h.trained(), 0, 0
     test = p.labelled(12345, 150)

@@ -1,4 +1,6 @@
+import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -33,6 +35,59 @@ def test_grams_by_pieces(monkeypatch):
             assert {k: int(n) for k, n in enumerate(got) if n} == dict(plain(t)), (step, t)
 
 
+def test_model_against_loops(spark):
+    """The vectors, centroids' radii and predictions of a learnt model, worked out with loops over plain counts."""
+    rng = random.Random(5)
+    make = lambda s: " ".join("".join(rng.choices(s, k=rng.randint(2, 6))) for _ in range(12))
+    rows = [(k, make(("abcd", "abxy", "mnop")[k % 3]), ("aa", "ab", "mm")[k % 3]) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = g.fit(docs)
+    learnt = [(t, lang) for k, t, lang in rows if zlib.crc32(str(k).encode()) % 5 != 0]
+    counts = [plain(t) for t, _ in learnt]
+    df = Counter(x for c in counts for x in c)
+    idf = {x: math.log((1 + len(learnt)) / (1 + n)) + 1 for x, n in df.items()}
+    rest = math.log(1 + len(learnt)) + 1
+
+    def vector(c):
+        v = {x: math.log1p(n) * idf.get(x, rest) for x, n in c.items()}
+        norm = math.sqrt(sum(y * y for y in v.values()))
+        return {x: y / norm for x, y in v.items()}
+
+    cosine = lambda v, c: sum(y * float(c[x]) for x, y in v.items())
+    vectors = [vector(c) for c in counts]
+    assert m.languages == ["aa", "ab", "mm"] and np.allclose(np.linalg.norm(m.centroids, axis=1), 1, atol=1e-5)
+    for k, lang in enumerate(m.languages):
+        places = [j for j in range(len(m.owner)) if m.owner[j] == k]
+        assert 1 <= len(places) <= g.CENTROIDS
+        own = [v for v, (_, x) in zip(vectors, learnt) if x == lang]
+        near = [max(places, key=lambda j: cosine(v, m.centroids[j])) for v in own]
+        for j in places:
+            mine = [v for v, n in zip(own, near) if n == j]
+            mean = np.zeros(1 << g.BITS)
+            for v in mine:
+                for x, y in v.items():
+                    mean[x] += y
+            assert np.allclose(mean / np.linalg.norm(mean), m.centroids[j], atol=1e-4)  # clustering has settled
+            assert abs(m.radius[j] - np.quantile([cosine(v, m.centroids[j]) for v in mine], g.BEYOND)) < 1e-5
+    for r in g.language_id(docs, model=m).collect():
+        text = rows[r.doc_id][1]
+        best = max(range(len(m.owner)), key=lambda j: cosine(vector(plain(text)), m.centroids[j]))
+        score = cosine(vector(plain(text)), m.centroids[best])
+        assert r.lang_pred == m.languages[m.owner[best]] and abs(r.score - score) < 1e-5
+        assert r.rejected == (score < m.radius[best]) or abs(score - m.radius[best]) < 1e-5
+
+
+def test_sample_has_a_bound(spark):
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('wort ', id) as text", "if(id % 2 = 0, 'aa', 'bb') as lang")
+    asked = []
+    real, g.weigh = g.weigh, lambda counts, idf: asked.append(len(counts)) or real(counts, idf)
+    try:
+        g.fit(docs, per_language=50, in_all=80)
+    finally:
+        g.weigh = real
+    assert 30 < asked[0] < 140
+
+
 def test_held_out_accuracy(spark, sf):
     rows = g.op2_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     assert len(rows) == 1000
