@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from ..functions.packs import Pack
 from ..functions.text import dot
 from ..functions.thresholds import SEMANTIC_DIMENSIONS, gap, zone
-from .kernels import BUCKETS, Kernel
+from .kernels import Kernel
+from .parse import sentences
+from .sentences import human_signal, uniform_signal
 
 #: Vectors in the pool of the query vec_pool_max.
 POOL = 500
+#: Characters of a paragraph that is held against known texts, at least.
+LEAST_HUMAN = 20
 #: Vectors of a pool that go to every task at once, about.
 POOL_BLOCK = 500
 
@@ -61,11 +65,11 @@ def linearity(rows: DataFrame, vec: str = "vec") -> DataFrame:
     return steps.groupBy("doc_id").agg(F.when(F.count(F.lit(1)) >= 3, F.var_pop("step")).otherwise(0.0).alias("argument_linearity"))
 
 
-def intra_similarity(rows: DataFrame, vec: str = "vec") -> DataFrame:
-    """doc_id, similarity: the mean of all pairs' products, from sums alone: (|sum v|^2 - sum |v|^2) / (n (n - 1)); -1 under two."""
-    parts = rows.select("doc_id", F.posexplode(vec).alias("i", "x")).groupBy("doc_id", "i").agg(F.sum(F.col("x").cast("double")).alias("s"), F.sum(F.col("x").cast("double") * F.col("x").cast("double")).alias("q"), F.count(F.lit(1)).alias("n"))
+def intra_similarity(rows: DataFrame, vec: str = "vec", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys, similarity: the mean of all pairs' products, from sums alone: (|sum v|^2 - sum |v|^2) / (n (n - 1)); -1 under two."""
+    parts = rows.select(*keys, F.posexplode(vec).alias("i", "x")).groupBy(*keys, "i").agg(F.sum(F.col("x").cast("double")).alias("s"), F.sum(F.col("x").cast("double") * F.col("x").cast("double")).alias("q"), F.count(F.lit(1)).alias("n"))
     n = F.max("n")
-    return parts.groupBy("doc_id").agg(F.when(n >= 2, (F.sum(F.col("s") * F.col("s")) - F.sum("q")) / (n * (n - 1))).otherwise(-1.0).alias("similarity"))
+    return parts.groupBy(*keys).agg(F.when(n >= 2, (F.sum(F.col("s") * F.col("s")) - F.sum("q")) / (n * (n - 1))).otherwise(-1.0).alias("similarity"))
 
 
 def pool_similarity(rows: DataFrame, pool: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
@@ -80,6 +84,20 @@ def pool_similarity(rows: DataFrame, pool: DataFrame, keys: list[str], vec: str
     return out.select(*keys, "similarity")
 
 
+def signals(par: DataFrame, pack: Pack, known: DataFrame, make=None, least: int = 5) -> DataFrame:
+    """doc_id, p_idx, uniform, human: signals of vectors for sentences.zones_raw(); `known` has the vectors of human texts in a column ref.
+
+    Sentences of at least `least` characters count, and paragraphs of at least LEAST_HUMAN.
+    """
+    make = make or lexical_encoder(pack)
+    cut = sentences(par, pack).filter(F.col("chars") >= least)
+    alike = intra_similarity(encoded(cut, "sentence", make), keys=("doc_id", "p_idx")).select("doc_id", "p_idx", uniform_signal(F.col("similarity")).alias("uniform"))
+    long = par.filter(F.length(F.trim("text")) >= LEAST_HUMAN).select("doc_id", "p_idx", "text")
+    near = pool_similarity(encoded(long, "text", make), known, ["doc_id", "p_idx"])
+    near = near.select("doc_id", "p_idx", human_signal(F.coalesce("similarity", F.lit(-1.0))).alias("human"))
+    return alike.join(near, ["doc_id", "p_idx"], "full")
+
+
 def backtrack(par: DataFrame, pack: Pack) -> DataFrame:
     """doc_id, semantic_backtrack_rate: the share of paragraphs, from the third, of whose concepts more than half stood in one before. Not rounded."""
     concepts = par.select("doc_id", "p_idx", F.explode_outer(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(pack.concept), F.lit(0)))).alias("concept"))
