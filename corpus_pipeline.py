@@ -20,43 +20,40 @@ from quillspark.llm.toxicity import THRESHOLD, fit, scored
 END_ID = 1
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents with these ids, with all their columns; rows without an id stay."""
-    ids = ids.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-    return docs.filter("doc_id IS NOT NULL").join(ids, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The documents but those of whose rows none is kept; rows without an id stay. Few go, so it is their ids that are sent."""
+    gone = verdicts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("any")).filter("NOT any").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the threshold. The models learn from the labelled ones among `docs`."""
-    _shared.release(spark)
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored(docs, model, score_col="_toxicity").filter(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    _shared.release(spark)
-    return _only(docs, exact_dedup(docs).filter("kept"))
+    return _without(docs, exact_dedup(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates."""
-    _shared.release(spark)
-    return _only(docs, near_dedup(docs).filter("kept"))
+    return _without(docs, near_dedup(docs))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
-    _shared.release(spark)
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _only(docs, found.filter("NOT contaminated"))
+    """Documents without a benchmark passage. Each row is judged by itself, also where ids are null or repeat."""
+    row = max(docs.columns, key=len) + "_row"
+    keyed = docs.withColumn(row, F.xxhash64(*docs.columns))
+    found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row)
+    return keyed.join(found.filter("contaminated").select(row).distinct(), row, "left_anti").select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the sequences that all documents are packed into."""
     import public_tokenizers
 
-    _shared.release(spark)
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
 
@@ -73,15 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the table `documents`; each one's result is written and read again for the next."""
-    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    """All stages on the table `documents`; each one's result is written and read again for the next, and what it needed in the meantime removed."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), _shared.made()
     for _, stage in STAGES[:-1]:
         out = stage(spark, docs, sf_dir)
         path = _shared.scratch(spark, "stage")
-        _shared.keep(path)
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
-        if last:
-            _shared.delete(spark, last)
-        last = path
+        _shared.delete(spark, *(p for p in _shared.made() if p not in before and p != path))
     return STAGES[-1][1](spark, docs, sf_dir)

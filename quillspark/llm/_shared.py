@@ -14,17 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows in an Arrow batch at most: rows may be long.
 BATCH_ROWS = 1000
 #: Bytes of text that a numpy pass takes at once; a longer text makes a pass of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
-_own: dict[str, str] = {}
+_own: dict[str, str] = {}  # by application
 _written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    """The folder named in spark.checkpoint.dir; where it is unset and all runs on this machine, as in tests, one of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = _own.setdefault(spark.sparkContext.applicationId, "")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = _own.get(spark.sparkContext.applicationId)
         if not found:
             found = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="shared-")
     return found.rstrip("/")
@@ -63,17 +65,12 @@ def delete(spark: SparkSession, *paths: str) -> None:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
         if p in _written:
-            keep(p)
+            _written.remove(p)
 
 
-def keep(path: str) -> None:
-    """Leave a scratch folder out of what release() removes."""
-    _written.remove(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Remove all scratch folders; call it when the results that read them have been written."""
-    delete(spark, *list(_written))
+def made() -> list[str]:
+    """Scratch folders that are still there."""
+    return list(_written)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -6,6 +6,9 @@ of a bucket are verified in turn: batch after batch of their signatures is compa
 as soon as the posterior probability that its similarity reaches the threshold is below the chosen
 miss probability. What survives is confirmed or refuted on the full sets.
 
+Words are told apart by hashes at a place drawn for each run (see _words): two given different words of up to 50 bytes agree with chance 2^-58 at most,
+so no texts can be made that are taken for each other. Full sets are hashed at a second place, so that no error of the search can repeat in them.
+
 Only buckets of a few classes give all their pairs. In others, first every class is paired with the head of its bucket, in several rounds with
 heads drawn anew, each time only in buckets that are not yet of one component. Then what is still apart is compared in full, in
 blocks of bounded size: each class outside a bucket's largest component with those of other components there.
@@ -22,8 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._components import components
+from ._filters import Filter
 from ._shared import slices, small_batches, text_bytes, unwrite, written
-from ._words import LOWER, WHITE, Words, mix, windows, windows_at, within
+from ._words import FIXED, LOWER, WHITE, Words, draw, mix, windows, windows_at, within
 
 #: Words in a shingle.
 SHINGLE = 5
@@ -40,8 +44,10 @@ FEW = 6
 ROUNDS, MUCH = 5, 100_000_000
 #: Classes of a bucket that share a head, and those in a block of a full comparison.
 UNDER_HEAD, BLOCK = 5000, 512
-#: Bits of the filter of candidate ids, whose size is fixed.
-FILTER_BITS = 27
+#: Pairs that are confirmed with one copy of a set, about.
+PAIRS = 1000
+#: Bits of the filter of candidate ids at most; with more ids than fit, a join takes its place.
+FILTER_BITS = 32
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -103,19 +109,20 @@ def plausible(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return live
 
 
-def _texts(batches):
+def _texts(batches, *places: int):
+    """Ids, and for each place the shingles and where each text's begin."""
     for batch in batches:
         raw, at = text_bytes(batch.column(1))
         for i, j in slices(at):
-            words = Words(LOWER[raw[at[i] : at[j]]], at[i : j + 1] - at[i], WHITE)
-            yield batch.column(0).slice(i, j - i), *shingles(words)
+            sets = [shingles(Words(LOWER[raw[at[i] : at[j]]], at[i : j + 1] - at[i], WHITE, place)) for place in places]
+            yield batch.column(0).slice(i, j - i), *sets
 
 
-def _signed(base: DataFrame) -> DataFrame:
+def _signed(base: DataFrame, place: int = FIXED) -> DataFrame:
     """id, n, k1, k2, sig: the size of each set, 128 bits that tell it from others, and its signature."""
 
     def run(batches):
-        for ids, hashes, at in _texts(batches):
+        for ids, (hashes, at) in _texts(batches, place):
             n = np.diff(at)
             has = n > 0
             k1, k2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
@@ -168,32 +175,28 @@ def _split(df: DataFrame, small: DataFrame, key: str) -> DataFrame:
     return df.select("*", keyed).join(small.select("*", keyed), ["xkey", key]).drop("xkey")
 
 
-def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
-    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits) + 1
-    found = ids.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("m"))
-    out = np.zeros((1 << bits) // 8, np.uint8)
-    for r in found.toLocalIterator():
-        out[(r.b - 1) * 4096 : r.b * 4096] |= np.frombuffer(bytes(r.m), np.uint8)
-    return out
-
-
-def _sets(base: DataFrame, candidates: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """id, sig, low, set of the candidates, and of a few more ids that the filter lets pass: signature, the upper halves of the shingle hashes, and the full hashes."""
-    shared = base.sparkSession.sparkContext.broadcast(_bitmap(candidates, bits))
+def _sets(base: DataFrame, candidates: DataFrame, places: tuple[int, int], bits: int = FILTER_BITS) -> DataFrame:
+    """id, sig, low, set of the candidates, and of a few more ids that the filter lets pass: signature and upper halves of the shingle hashes at the first place, and full hashes at the second."""
+    keys = candidates.select(F.xxhash64("id").alias("key"))
+    rows = base.select("id", "text", F.xxhash64("id").alias("h"))
+    if Filter.fits(keys, bits):
+        shared = base.sparkSession.sparkContext.broadcast(Filter(keys, bits))
+    else:
+        shared, rows = None, _split(rows, candidates, "id").select("id", "text", "h")
 
     def run(batches):
         for batch in batches:
-            place = np.asarray(batch.column(2)).view(np.uint64) >> np.uint64(64 - bits)
-            own = np.flatnonzero(shared.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
-            for ids, hashes, at in _texts([batch.take(pa.array(own))] if len(own) else []):
-                ids = ids.filter(pa.array(np.diff(at) > 0))
-                cut = [hashes[a:b] for a, b in zip(at[:-1], at[1:]) if b > a]
-                if not cut:
+            if shared is not None:
+                batch = batch.take(pa.array(shared.value.passing(np.asarray(batch.column(2)).view(np.uint64))))
+            for ids, (hashes, at), (full, full_at) in _texts([batch], *places) if batch.num_rows else []:
+                has = np.diff(at) > 0
+                if not has.any():
                     continue
-                columns = [[s.tobytes() for s in signatures(hashes, at)], [(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in cut], [x.tobytes() for x in cut]]
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.binary()) for c in columns)], ["id", "sig", "low", "set"])
+                low = [(hashes[a:b] >> np.uint64(32)).astype(np.uint32).tobytes() for a, b in zip(at[:-1], at[1:]) if b > a]
+                columns = [[s.tobytes() for s in signatures(hashes, at)], low, [full[a:b].tobytes() for a, b in zip(full_at[:-1], full_at[1:]) if b > a]]
+                yield pa.RecordBatch.from_arrays([ids.filter(pa.array(has)), *(pa.array(c, pa.binary()) for c in columns)], ["id", "sig", "low", "set"])
 
-    return base.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(run, "id long, sig binary, low binary, set binary")
+    return rows.mapInArrow(run, "id long, sig binary, low binary, set binary")
 
 
 def _kept(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -212,20 +215,32 @@ def _kept(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that are links on their full sets, as (u, v)."""
-    left = _split(pairs, sets.select(F.col("id").alias("a"), F.col("set").alias("xa")), "a")
-    both = _split(left, sets.select(F.col("id").alias("b"), F.col("set").alias("xb")), "b")
+    """The pairs (a, b) that are links on their full sets, as (u, v).
+
+    The set of a goes once to each cell of its pairs, that of b with the pair; a cell has about PAIRS pairs, however many a has.
+    """
+    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("cells"))
+    cell = F.pmod(F.xxhash64("b"), F.col("cells")).cast("int").alias("cell")
+    dealt = _split(pairs, many, "a").select("a", cell, F.col("b").alias("id"))
+    right = _split(dealt, sets.select("id", "set"), "id").select("a", "cell", F.lit(1).alias("kind"), F.col("id").alias("b"), "set")
+    left = _split(many.withColumnRenamed("a", "id"), sets.select("id", "set"), "id")
+    left = left.select(F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("b"), "set")
 
     def run(batches):
+        own = None
         for batch in batches:
             us, vs = [], []
-            for u, v, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                if linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)):
-                    us.append(u)
-                    vs.append(v)
+            for a, kind, b, held in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4))):
+                found = np.frombuffer(held, np.uint64)
+                if not kind:
+                    own = found
+                elif linked(own, found):
+                    us.append(a)
+                    vs.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return both.select("a", "b", "xa", "xb").mapInArrow(run, "u long, v long").distinct()
+    both = left.unionByName(right).repartition("a", "cell").sortWithinPartitions("a", "cell", "kind")
+    return both.mapInArrow(run, "u long, v long").distinct()
 
 
 def _labelled(buckets: DataFrame, stars: DataFrame) -> DataFrame:
@@ -291,7 +306,7 @@ def _apart(buckets: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.groupBy("bucket", "r", "k").applyInArrow(compare, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few_most: int = FEW, rounds: int = ROUNDS, much: int = MUCH) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few_most: int = FEW, rounds: int = ROUNDS, much: int = MUCH, filter_bits: int = FILTER_BITS) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept.
 
     Words are runs without white space, A-Z in lower case. A document's set has its distinct runs of five words, or all its words as one
@@ -303,7 +318,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = written(_signed(base), "signed")
+    places = draw(), draw()
+    signed = written(_signed(base, places[0]), "signed")
     usable = signed.filter("n > 0 AND id IS NOT NULL")
     classes = usable.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
     keyed = F.xxhash64("k1", "k2").alias("xkey")
@@ -319,7 +335,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     buckets = written(_split(banded, shared, "bucket"), "buckets")
     few, many = buckets.filter(F.col("size") <= few_most), buckets.filter(F.col("size") > few_most)
-    sets = written(_sets(base, buckets.select("id").distinct()), "sets")
+    sets = written(_sets(base, buckets.select("id").distinct(), places, filter_bits), "sets")
 
     def joined(found: DataFrame, stars: DataFrame) -> DataFrame:
         """The components with these links too."""
@@ -345,7 +361,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label = stars.select(F.col("u").alias("rep"), F.col("v").alias("root"))
     found = member.join(label, "rep", "left").select("id", F.coalesce("root", "rep").alias("root")).groupBy("id").agg(F.min("root").alias("root"))
     out = signed.select("id", "n").join(found, "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), (F.col("id").isNull() | (F.col("id") == F.col("root"))).alias("kept"))
+    out = written(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), (F.col("id").isNull() | (F.col("id") == F.col("root"))).alias("kept")), "near")
+    unwrite(signed, member, stars)
+    return out
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

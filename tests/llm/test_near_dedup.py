@@ -57,7 +57,7 @@ def texts():
     return rows
 
 
-@pytest.mark.parametrize("more", [{}, {"few_most": 1, "rounds": 4, "much": 0}, {"few_most": 2, "rounds": 1}])
+@pytest.mark.parametrize("more", [{}, {"few_most": 1, "rounds": 4, "much": 0}, {"few_most": 2, "rounds": 1, "filter_bits": 8}])
 def test_brute_force(spark, more, monkeypatch):
     rows = texts()
     if more:
@@ -68,6 +68,15 @@ def test_brute_force(spark, more, monkeypatch):
     assert got == brute(rows)
 
 
+def test_words_of_equal_hash(spark):
+    a, b = "a", "b"
+    for _ in range(10):  # polynomials over their signs agree modulo 2^64 at every odd place
+        a, b = a + b, b + a
+    rows = [(k, " ".join(f"{x}{i}" for i in range(6))) for k, x in enumerate([a, b, a])]
+    got = {r.doc_id: r.component_id for r in n.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert n.near_dedup(docs).count() == 0
