@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import written
+
 #: Characters that are no part of the compared text.
 WHITE = r"[\x20\x09-\x0D]"
 #: A chunk ends after one of these, once it is long enough.
@@ -50,7 +52,8 @@ def exact_dedup(
     cut = base.select("id", "n", F.sha2("norm", 256).alias("sha"), chunks(F.col("norm"), least, most).alias("parts"))
     options = identifiers or _identifiers()
     identify = next((f for f in options[:-1] if verified(cut.select("parts"), f)), options[-1])
-    rows = cut.select("id", "n", "sha", F.transform("parts", lambda c: identify(c)).alias("recipe"))
+    # read twice, so cut and hashed once
+    rows = written(cut.select("id", "n", "sha", F.transform("parts", lambda c: identify(c)).alias("recipe")), "recipes")
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("none"), F.col("id").alias("id")))
     groups = rows.groupBy("recipe").agg(best.alias("best"), F.count(F.lit(1)).alias("size"))
     # with the hash as a further key, the join has exchanges of its own, of which a large group's can be split
