@@ -19,6 +19,7 @@ from ..streaming import scan
 from . import sql as S
 from .paragraph_queries import PAR, TALK, documents, par, rounded, talk
 from .sentence_queries import SPREAD, formula_sql, sent_sql, shared_sql, starter_sql, stats_sql, zones_sql
+from .vector_queries import SEMANTIC
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -75,11 +76,17 @@ def _(spark, d):
     return sinks.rewrite_prompt(T.propagated(T.zones_raw(par(spark, d), LATIN)))
 
 
-@query("nested_report", None)
+@query("nested_report", f"""WITH {TALK}, {S.scanned(LATIN)}, {SEMANTIC}, sa AS (SELECT doc_id, p_idx, count(*) FILTER (zone = 'ai') AS s FROM sem GROUP BY ALL),
+zz AS (WITH {zones_sql(LATIN)}, {SPREAD} SELECT zp.doc_id, zp.p_idx, zp.s_idx, zr.sentence, zp.zone, round(zp.score, 4) AS score FROM zp JOIN zr USING (doc_id, p_idx, s_idx)),
+nn AS (SELECT doc_id, p_idx, count(*) FILTER (zone IN ('red', 'orange')) AS ai, count(*) AS n, to_json(list({{'s_idx': s_idx, 'sentence': sentence, 'zone': zone, 'score': score}} ORDER BY s_idx)) AS sentences FROM zz GROUP BY ALL)
+SELECT cls.doc_id, cls.p_idx,
+  CASE WHEN s IS NULL THEN level WHEN ai_count + s >= 10 THEN 'deep_red' WHEN ai_count + s >= 6 THEN 'red' WHEN ai_count + s >= 3 THEN 'yellow' WHEN level IN ('red', 'deep_red') THEN 'red' WHEN level = 'yellow' THEN 'yellow' ELSE 'green' END AS level,
+  CAST(round(100 * CASE WHEN s IS NULL THEN comprehensive_score ELSE (ai_count + s)::DOUBLE / 16 END) AS INTEGER) AS score, coalesce(ai, 0) AS ai_sentence_count, CAST(coalesce(n, 0) AS INTEGER) AS total_sentence_count, CAST(sentences AS VARCHAR) AS sentences
+FROM cls LEFT JOIN sa USING (doc_id, p_idx) LEFT JOIN nn USING (doc_id, p_idx)""")
 def _(spark, d):
     rows = talk(spark, d)
     fused = U.fused(D.scanned(rows, LATIN), V.semantic(rows, LATIN))
-    return sinks.nested_report(T.propagated(T.zones_raw(rows, LATIN)), fused)
+    return sinks.nested_report(T.propagated(T.zones_raw(rows, LATIN)), fused).withColumn("sentences", F.to_json("sentences"))
 
 
 @query("api_scan_counts", f"WITH {TALK}, {zones_sql(LATIN)}, {SPREAD} SELECT par.doc_id, par.p_idx, count(zp.s_idx) AS sentences, count(*) FILTER (zone IN ('red', 'orange')) AS ai_sentence_count FROM par LEFT JOIN zp ON zp.doc_id = par.doc_id AND zp.p_idx = par.p_idx GROUP BY ALL")

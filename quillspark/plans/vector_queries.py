@@ -90,6 +90,10 @@ sv AS (SELECT aj.doc_id, aj.p_idx, round(s, 4) AS v0, round(lin, 6) AS v1, round
 sem AS ({" UNION ALL ".join(f"SELECT doc_id, p_idx, '{d[0]}' AS dim, {k} AS dim_ord, coalesce(v{k}, 0.0::DOUBLE) AS value, CASE WHEN v{k} IS NULL THEN 'unknown' ELSE {zone_sql(f'v{k}', d)} END AS zone, CASE WHEN v{k} IS NULL THEN 0.0::DOUBLE ELSE {gap_sql(f'v{k}', d)} END AS gap FROM sv" for k, d in enumerate(SEMANTIC_DIMENSIONS))})"""
 
 
+#: sem from par.
+SEMANTIC = _SEM
+
+
 @query("concept_backtrack", f"WITH {TALK}, {_BACK} SELECT doc_id, round(rate, 6) AS semantic_backtrack_rate FROM bt")
 def _(spark, d):
     return V.backtrack(talk(spark, d), LATIN).select("doc_id", *rounded("semantic_backtrack_rate"))
