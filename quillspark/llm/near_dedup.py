@@ -330,6 +330,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = written(twice.join(member.select("id", F.col("rep").alias("v")), "id").select("u", "v").filter("u <> v").distinct(), "links")
     own = ["id", "n", "k1", "k2"]
     reps = written(usable.join(member.filter("id = rep").select(own).distinct(), own, "left_semi").dropDuplicates(own), "reps")
+    sizes = written(signed.select("id", "n"), "sizes")
+    unwrite(signed)
 
     banded = _banded(reps).distinct()
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -360,9 +362,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unwrite(buckets, sets, reps)
     label = stars.select(F.col("u").alias("rep"), F.col("v").alias("root"))
     found = member.join(label, "rep", "left").select("id", F.coalesce("root", "rep").alias("root")).groupBy("id").agg(F.min("root").alias("root"))
-    out = signed.select("id", "n").join(found, "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"))
+    out = sizes.join(found, "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"))
     out = written(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), (F.col("id").isNull() | (F.col("id") == F.col("root"))).alias("kept")), "near")
-    unwrite(signed, member, stars)
+    unwrite(sizes, member, stars)
     return out
 
 
