@@ -108,7 +108,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
 
     Files are named once per attempt, and the returned table, which is written, names
     those of attempts that ended well; so what a lost task left is never read. Rows
-    of one id stand together, ordered by text; null ids come first. Null texts are empty and have the
+    of one id stand together, ordered by a hash of the text; null ids come first. Null texts are empty and have the
     end id only. An empty table gives no files.
     """
     small_batches(docs.sparkSession)
@@ -140,7 +140,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
             yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "path": [path], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # rows of one id, null ids among them, may be many: by a further key they can stand in several files
+    ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
     return written(ordered.mapInArrow(write, "part long, path string, n_docs long, n_ids long"), "token-files")
 
 
@@ -157,10 +158,12 @@ def read_tokens(spark: SparkSession, files: DataFrame, id_col: str = "doc_id") -
     if not found:
         return spark.createDataFrame([], kind)
 
+    named = spark.sparkContext.broadcast(found)
+
     def read(batches):
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                path, begin = found[k]
+                path, begin = named.value[k]
                 with open_file(path) as source:
                     for names, sizes, flat in read_blocks(source):
                         ends = np.cumsum(sizes)

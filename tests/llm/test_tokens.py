@@ -63,6 +63,26 @@ def test_token_files(spark, tmp_path):
     assert token_output.token_output(docs.limit(0), public_tokenizers.path("word_bpe_49k.json"), 2).count() == 0
 
 
+def test_many_rows_of_one_id_may_stand_in_several_files(spark, tmp_path):
+    rows = [(None if k % 2 else 7, f"text number {k} " * (k % 5)) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        files = token_output.write_tokens(docs, str(tmp_path), public_tokenizers.path("word_bpe_49k.json"), 2)
+    finally:
+        spark.conf.unset(key)
+    assert files.count() > 2
+    got = sorted(token_output.read_tokens(spark, files).collect(), key=lambda r: r.start)
+    ids, at = plain("word_bpe_49k.json"), 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert [r.doc_id for r in got] == [None] * 200 + [7] * 200
+    want = [np.array([*ids(t), 2], "<u4") for _, t in rows]
+    assert sorted((r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got) == sorted((d or 0, len(w), zlib.crc32(w.tobytes())) for (d, _), w in zip(rows, want))
+
+
 def check_pieces(pieces, docs, ids):
     longest = 2048
     by_doc, by_seq = {}, {}
