@@ -255,9 +255,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sent = F.broadcast if small else lambda x: x
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
     joined = texts.join(sent(chosen), "id")
-    # copies of a text would make all its words tell
-    once = written(joined.groupBy(F.sha2("text", 256).alias("sha"), "label").agg(F.min("id").alias("id")), "texts")
-    rows = joined.join(sent(once), ["id", "label"]).filter(F.sha2("text", 256) == F.col("sha")).select("fold", "label", "text")
+    # copies of a text would make all its words tell; few rows are copies, so these are what is sent
+    sha = F.unhex(F.sha2("text", 256)).alias("sha")
+    known = written(joined.select("id", "label", sha), "texts")
+    first = known.groupBy("sha", "label").agg(F.min("id").alias("first"))
+    again = written(known.join(first, ["sha", "label"]).filter("id > first").select("id", "label", "sha").distinct(), "copies")
+    sent_copies = F.broadcast if again.count() <= BROADCAST_LABELS else lambda x: x
+    rows = joined.withColumn("sha", sha).join(sent_copies(again), ["id", "label", "sha"], "left_anti").select("fold", "label", "text")
 
     words = written(_texts_with(rows, False), "words")
     sums = [f"coalesce(sum(n{g}), 0)" for g in range(4)] + [f"count_if({' + '.join(f'n{2 * f + c}' for f in m for c in (0, 1))} > 0)" for m in MODELS]
@@ -315,7 +319,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     wanted = spark.sparkContext.broadcast(asked)
     among = lambda x: find(wanted.value, np.asarray(x).view(np.uint64)) >= 0
     stand = _table(words.mapInArrow(lambda batches: (b.filter(pa.array(among(b.column(0)))) for b in batches), words.schema).toArrow())
-    unwrite(words, got, once)
+    unwrite(words, got, known, again)
     number = np.zeros((8, len(asked)))
     number[:, find(asked, stand[0].view(np.uint64))] = stand[1:]
     place, last = find(asked, first), find(asked, second)
