@@ -21,7 +21,7 @@ class Pack:
     term: str  # a token that is a term
     templates: list[tuple[list[str], float]] = field(default_factory=list)
     starters: list[str] = field(default_factory=list)
-    formulas: list[tuple[str, float]] = field(default_factory=list)
+    formulas: list[tuple[str, float, str]] = field(default_factory=list)
     references: str = r"^\s*(?:References|Bibliography)"
     edge: str = "[。！？；]"  # between sentences where paragraphs meet
     concept: str = "[一-鿿]{3,}"
@@ -85,10 +85,10 @@ ZH = Pack(
     ],
     starters=["^.{0,4}?(通过|借助|依靠|经由|基于|将|把|对|由|因|按|沿|顺|朝|向|往)", "^.{0,4}?(从|以|在)"],
     formulas=[
-        ("本文从.{2,20}(?:角度|维度|方面|层面|路径).{0,10}(?:分析|探讨|研究|考察|阐述|揭示)", 0.15),
-        ("(?:通过|借助|经由|以).{2,20}(?:将|使|让|令|把)", 0.12),
-        ("(?:最终|总之|综上|由此).{0,10}(?:成就|可见|表明|说明|体现|造就)", 0.12),
-        ("(?:不仅|不只).{2,30}(?:而且|也|还|更|进而|同时)", 0.10),
+        ("本文从.{2,20}(?:角度|维度|方面|层面|路径).{0,10}(?:分析|探讨|研究|考察|阐述|揭示)", 0.15, "学术开头"),
+        ("(?:通过|借助|经由|以).{2,20}(?:将|使|让|令|把)", 0.12, "手段-结果句式"),
+        ("(?:最终|总之|综上|由此).{0,10}(?:成就|可见|表明|说明|体现|造就)", 0.12, "学术结尾"),
+        ("(?:不仅|不只).{2,30}(?:而且|也|还|更|进而|同时)", 0.10, "递进句式"),
     ],
     references=r"^\s*(?:参考文献|参考书目|References|Bibliography|引用文献|参考资料)",
     guard=True,
@@ -152,7 +152,7 @@ LATIN = Pack(
         (["[Pp]or un lado", "[Pp]or otro lado"], 0.30),
     ],
     starters=["^.{0,4}?(By|Through|With|Durch|Mit|Par|Avec|Por|Con) ", "^.{0,4}?(In|On|The|Der|Die|Das|Le|La|El|En) "],
-    formulas=[("(?:[Tt]his|[Oo]ur) (?:paper|study|article) .{0,20}(?:examines|explores|analyses|analyzes)", 0.15), ("(?:not only|nicht nur|non seulement|no solo) .{2,30}(?:but|sondern|mais|sino)", 0.10)],
+    formulas=[("(?:[Tt]his|[Oo]ur) (?:paper|study|article) .{0,20}(?:examines|explores|analyses|analyzes)", 0.15, "opening"), ("(?:not only|nicht nur|non seulement|no solo) .{2,30}(?:but|sondern|mais|sino)", 0.10, "progression")],
     edge="[.!?;]",
     concept="[a-zà-öø-ÿœß]{6,}",
 )

@@ -85,16 +85,16 @@ def pool_similarity(rows: DataFrame, pool: DataFrame, keys: list[str], vec: str
 
 
 def signals(par: DataFrame, pack: Pack, known: DataFrame, make=None, least: int = 5) -> DataFrame:
-    """doc_id, p_idx, uniform, human: signals of vectors for sentences.zones_raw(); `known` has the vectors of human texts in a column ref.
+    """doc_id, p_idx, uniform, intra_sim, human, human_sim: signals of vectors, and what they come from, for sentences.zones_raw(); `known` has the vectors of human texts in a column ref.
 
     Sentences of at least `least` characters count, and paragraphs of at least LEAST_HUMAN.
     """
     make = make or lexical_encoder(pack)
     cut = sentences(par, pack).filter(F.col("chars") >= least)
-    alike = intra_similarity(encoded(cut, "sentence", make), keys=("doc_id", "p_idx")).select("doc_id", "p_idx", uniform_signal(F.col("similarity")).alias("uniform"))
+    alike = intra_similarity(encoded(cut, "sentence", make), keys=("doc_id", "p_idx")).select("doc_id", "p_idx", uniform_signal(F.col("similarity")).alias("uniform"), F.col("similarity").alias("intra_sim"))
     long = par.filter(F.length(F.trim("text")) >= LEAST_HUMAN).select("doc_id", "p_idx", "text")
     near = pool_similarity(encoded(long, "text", make), known, ["doc_id", "p_idx"])
-    near = near.select("doc_id", "p_idx", human_signal(F.coalesce("similarity", F.lit(-1.0))).alias("human"))
+    near = near.select("doc_id", "p_idx", human_signal(F.coalesce("similarity", F.lit(-1.0))).alias("human"), F.col("similarity").alias("human_sim"))
     return alike.join(near, ["doc_id", "p_idx"], "full")
 
 

@@ -47,23 +47,28 @@ def starter(sentence: Column, pack: Pack) -> Column:
 def formula(sentence: Column, pack: Pack) -> Column:
     """The weight of the first formula that the sentence has."""
     out = F
-    for p, w in pack.formulas:
+    for p, w, _ in pack.formulas:
         out = out.when(sentence.rlike(java(p)), w)
     return out.otherwise(0.0) if pack.formulas else F.lit(0.0)
 
 
+def formula_name(sentence: Column, pack: Pack) -> Column:
+    """What the first formula that the sentence has is called; null without one."""
+    return F.coalesce(*(F.when(sentence.rlike(java(p)), F.lit(name)) for p, _, name in pack.formulas), F.lit(None).cast("string"))
+
+
 def paragraph_signals(par: DataFrame, pack: Pack, *keep: str) -> DataFrame:
     """doc_id, p_idx, text, sents, the columns to keep, and what all sentences of a paragraph share: template, parallel and even."""
     base = par.select("doc_id", "p_idx", "text", *keep, sentence_array(F.col("text"), pack).alias("sents"))
     keys = F.sort_array(F.filter(F.transform("sents", lambda s: starter(s, pack)), lambda k: k.isNotNull()))
     a = base.select("*", keys.alias("_k"), F.filter(F.transform("sents", lambda s: F.length(s).cast("double")), lambda n: n >= 10).alias("_l"))
     b = a.select("*", run_starts(F.col("_k")).alias("_ks"))
-    spread = deviation(F.col("_l"))
+    spread = F.when(F.size("_l") >= 3, deviation(F.col("_l")))
     return b.select(
         "doc_id", "p_idx", "text", "sents", *keep,
         template_score(F.col("text"), pack).alias("template"),
         F.when((F.size("sents") >= 3) & F.exists(run_lengths(F.col("_ks"), F.size("_k")), lambda n: n >= 3), 0.20).otherwise(0.0).alias("parallel"),
-        F.when(F.size("_l") < 3, 0.0).when(spread < 5, 0.10).when(spread < 8, 0.06).otherwise(0.0).alias("even"),
+        F.when(F.size("_l") < 3, 0.0).when(spread < 5, 0.10).when(spread < 8, 0.06).otherwise(0.0).alias("even"), spread.alias("spread"),
     )
 
 
@@ -130,12 +135,39 @@ def stats_signal() -> Column:
     return F.when(F.col("chars") >= 15, parts).otherwise(0.0)
 
 
+def _reasons(pack: Pack, given: set[str]) -> Column:
+    """Why a sentence scores, in words, in the order in which signals are added; what holds for the whole paragraph is said of its first sentence."""
+    s, first, long = F.col("sentence"), F.col("s_idx") == 0, F.col("chars") >= 15
+    percent = lambda c: F.concat(F.bround(100 * c).cast("int").cast("string"), F.lit("%"))
+    places = lambda c, n: F.format_string(f"%.{n}f", F.bround(c, n))
+    high, medium = (hits(s, pack.connectors[k]) for k in ("high", "medium"))
+    value = lambda name: F.col(name) if name in given else F.lit(0.0)
+    unlikely = [F.when(F.col("bigram") > 0, F.concat(F.lit("bigram(prob="), places(value("avg_prob"), 2), F.lit(")"))), F.when(F.col("own") > 0, F.concat(F.lit("自洽(self_ppl="), places(value("self_ppl"), 1), F.lit(")")))]
+    said = [
+        F.when(long & (F.col("lexical_diversity") < 0.55), F.concat(F.lit("词汇重复("), percent(F.col("lexical_diversity")), F.lit(")"))),
+        F.when(long & (F.col("char_entropy") < 3.0), F.concat(F.lit("字熵低("), places(F.col("char_entropy"), 1), F.lit(")"))),
+        F.when(long & (F.col("word_repetition") >= 3), F.concat(F.lit("词重复x"), F.col("word_repetition").cast("string"))),
+        F.when(long & (F.col("unique_char_ratio") < 0.50), F.concat(F.lit("字面单调("), percent(F.col("unique_char_ratio")), F.lit(")"))),
+        F.when(first & (F.col("uniform") > 0), F.concat(F.lit("段内同质化("), percent(value("intra_sim")), F.lit(")"))),
+        F.when(F.col("_like") > 0.3, F.concat(F.lit("char指纹"), percent(F.col("_like")))),
+        F.when(high >= 1, F.concat(F.lit("高连接词x"), high.cast("string"))).when(medium >= 2, F.concat(F.lit("中连接词x"), medium.cast("string"))),
+        F.when(hits(s, pack.all_slop) >= 1, F.lit("Slop模式")),
+        F.when((F.col("parallel") > 0) & starter(s, pack).isNotNull(), F.lit("排比句式")),
+        formula_name(s, pack),
+        F.when(first & (F.col("even") > 0) & (F.col("chars") >= 10), F.concat(F.lit("句长均匀(std="), places(F.col("spread"), 1), F.lit(")"))),
+        F.when(first & (F.col("bigram") + F.col("own") > 0), F.concat(F.lit("低困惑度:"), F.concat_ws(",", *unlikely))),
+        F.when(first & (F.col("human") > 0), F.concat(F.lit("不像人类(sim="), places(value("human_sim"), 2), F.lit(")"))),
+        F.when(first, F.lit("段首句")),
+    ]
+    return F.array_compact(F.array(*said))
+
+
 def zones_raw(par: DataFrame, pack: Pack, extra: DataFrame | None = None, char_sim: DataFrame | None = None) -> DataFrame:
-    """doc_id, p_idx, s_idx, sentence, chars, score, zone, signals: each sentence by itself; score not rounded.
+    """doc_id, p_idx, s_idx, sentence, chars, score, zone, signals, reasons, ai_dim_count: each sentence by itself; score not rounded.
 
     The paragraph's level is that of a paragraph with none before it. Sentences under five characters go; in a list of references all are green
     at 0. `extra` may bring further signals of paragraphs (doc_id, p_idx, bigram, own, human, uniform), which default to none; those of bigram
-    and own count where their sum is above 0. `char_sim` (doc_id, p_idx, s_idx, similarity) brings the likeness of sentences to known texts.
+    and own count where their sum is above 0; what they come from (avg_prob, self_ppl, human_sim, intra_sim) is named in reasons. `char_sim` (doc_id, p_idx, s_idx, similarity) brings the likeness of sentences to known texts.
     """
     levels = scanned(par, pack, compare=False).select("doc_id", "p_idx", "text", "level")
     shared = reference_latch(paragraph_signals(levels, pack, "level"), pack)
@@ -143,17 +175,20 @@ def zones_raw(par: DataFrame, pack: Pack, extra: DataFrame | None = None, char_s
         shared = shared.join(extra, ["doc_id", "p_idx"], "left")
     for k in ("bigram", "own", "human", "uniform"):
         shared = shared.withColumn(k, F.coalesce(F.col(k), F.lit(0.0)) if extra is not None and k in extra.columns else F.lit(0.0))
-    keep = ["doc_id", "p_idx", "template", "parallel", "even", "level", "in_references", "bigram", "own", "human", "uniform"]
+    told_by = [k for k in ("avg_prob", "self_ppl", "human_sim", "intra_sim") if extra is not None and k in extra.columns]
+    keep = ["doc_id", "p_idx", "template", "parallel", "even", "spread", "level", "in_references", "bigram", "own", "human", "uniform", *told_by]
     rows = shared.select(*keep, F.size("sents").alias("n_sents"), F.posexplode("sents").alias("s_idx", "sentence")).withColumn("chars", F.length("sentence")).filter("chars >= 5")
     rows = sentence_stats(rows, pack)
     if char_sim is not None:
         rows = rows.join(char_sim.select("doc_id", "p_idx", "s_idx", F.col("similarity").alias("_like")), ["doc_id", "p_idx", "s_idx"], "left")
+    else:
+        rows = rows.withColumn("_like", F.lit(None).cast("double"))
     s = F.col("sentence")
     told = F.col("bigram") + F.col("own")
     signals = {
         "stats": stats_signal(),
         "uniform": F.col("uniform"),
-        "likeness": char_signal(F.coalesce("_like", F.lit(0.0))) if char_sim is not None else F.lit(0.0),
+        "likeness": char_signal(F.coalesce("_like", F.lit(0.0))),
         "connector": connector_signal(s, pack),
         "slop": F.when(hits(s, pack.all_slop) >= 1, 0.28).otherwise(0.0),
         "template": F.col("template") * 0.4,
@@ -173,10 +208,12 @@ def zones_raw(par: DataFrame, pack: Pack, extra: DataFrame | None = None, char_s
     total = total + 0.03
     fired = F.array(*(F.when(v > 0, F.lit(k)) for k, v in signals.items()))
     rows = rows.withColumns({"score": F.when(F.col("in_references"), 0.0).otherwise(total), "signals": F.when(F.col("in_references"), F.array(F.lit("references"))).otherwise(F.array_compact(fired))})
+    reasons = F.when(F.col("in_references"), F.array(F.lit("参考文献(保护)"))).otherwise(_reasons(pack, set(told_by)))
+    rows = rows.withColumn("reasons", reasons).withColumn("ai_dim_count", F.when(F.col("in_references"), 0).otherwise(F.size("reasons")))
     # sums of hundredths: the cut-offs must not hang on the last bit
     cut = F.round("score", 6)
     zone = F.when(cut >= 0.26, "red").when(cut >= 0.20, "orange").when(cut >= 0.10, "yellow").otherwise("green")
-    return rows.select("doc_id", "p_idx", "s_idx", "sentence", "chars", F.least("score", F.lit(1.0)).alias("score"), zone.alias("zone"), "signals")
+    return rows.select("doc_id", "p_idx", "s_idx", "sentence", "chars", F.least("score", F.lit(1.0)).alias("score"), zone.alias("zone"), "signals", "reasons", "ai_dim_count")
 
 
 def propagated(rows: DataFrame) -> DataFrame:

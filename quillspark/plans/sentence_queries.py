@@ -53,7 +53,7 @@ def starter_sql(x: str, pack) -> str:
 
 
 def formula_sql(x: str, pack) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({x}, {S.q(p)}) THEN {w!r}::DOUBLE" for p, w in pack.formulas) + " ELSE 0.0::DOUBLE END"
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, {S.q(p)}) THEN {w!r}::DOUBLE" for p, w, _ in pack.formulas) + " ELSE 0.0::DOUBLE END"
 
 
 def shared_sql(pack) -> str:
@@ -64,7 +64,7 @@ lc AS (SELECT doc_id, p_idx, count(*) AS n, stddev_pop(chars) AS sd FROM sent WH
 rf AS (SELECT doc_id, p_idx, max(CAST(regexp_matches({S.strip("text")}, {S.q(pack.references)}) AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p_idx) = 1 AS in_references FROM par),
 psig AS (SELECT par.doc_id, par.p_idx, {template_sql(pack)} AS template,
   CASE WHEN len({S.sentence_list("text", pack)}) >= 3 AND coalesce(most, 0) >= 3 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS parallel,
-  CASE WHEN coalesce(lc.n, 0) < 3 THEN 0.0::DOUBLE WHEN sd < 5 THEN 0.1::DOUBLE WHEN sd < 8 THEN 0.06::DOUBLE ELSE 0.0::DOUBLE END AS even, in_references
+  CASE WHEN coalesce(lc.n, 0) < 3 THEN 0.0::DOUBLE WHEN sd < 5 THEN 0.1::DOUBLE WHEN sd < 8 THEN 0.06::DOUBLE ELSE 0.0::DOUBLE END AS even, sd, in_references
   FROM par LEFT JOIN kc USING (doc_id, p_idx) LEFT JOIN lc USING (doc_id, p_idx) JOIN rf USING (doc_id, p_idx))"""
 
 
@@ -142,6 +142,32 @@ _both(
 )
 
 
+def reasons_sql(pack) -> str:
+    """The reasons of a sentence, but those of models; from st joined with psig."""
+    h, m = (S.hits("sentence", pack.connectors[k]) for k in ("high", "medium"))
+    names = "CASE " + " ".join(f"WHEN regexp_matches(sentence, {S.q(p)}) THEN {S.q(name)}" for p, _, name in pack.formulas) + " END"
+    said = [
+        "CASE WHEN chars >= 15 AND lexical_diversity < 0.55 THEN '词汇重复(' || printf('%.0f', 100 * lexical_diversity) || '%)' END",
+        "CASE WHEN chars >= 15 AND char_entropy < 3 THEN '字熵低(' || printf('%.1f', char_entropy) || ')' END",
+        "CASE WHEN chars >= 15 AND word_repetition >= 3 THEN '词重复x' || word_repetition END",
+        "CASE WHEN chars >= 15 AND unique_char_ratio < 0.5 THEN '字面单调(' || printf('%.0f', 100 * unique_char_ratio) || '%)' END",
+        f"CASE WHEN {h} >= 1 THEN '高连接词x' || {h} WHEN {m} >= 2 THEN '中连接词x' || {m} END",
+        f"CASE WHEN {S.hits('sentence', pack.all_slop)} >= 1 THEN 'Slop模式' END",
+        f"CASE WHEN parallel > 0 AND {starter_sql('sentence', pack)} IS NOT NULL THEN '排比句式' END",
+        names,
+        "CASE WHEN s_idx = 0 AND even > 0 AND chars >= 10 THEN '句长均匀(std=' || printf('%.1f', sd) || ')' END",
+        "CASE WHEN s_idx = 0 THEN '段首句' END",
+    ]
+    return f"CASE WHEN in_references THEN ['参考文献(保护)'] ELSE list_filter([{', '.join(said)}], lambda x: x IS NOT NULL) END"
+
+
+_both(
+    "sentence_reasons", True,
+    lambda p: f"{sent_sql(p)}, {stats_sql(p)}, {shared_sql(p)}, r AS (SELECT doc_id, p_idx, s_idx, in_references, {reasons_sql(p)} AS reasons FROM st JOIN psig USING (doc_id, p_idx) WHERE chars >= 5) SELECT doc_id, p_idx, s_idx, array_to_string(reasons, '|') AS reasons, CASE WHEN in_references THEN 0 ELSE CAST(len(reasons) AS INTEGER) END AS ai_dim_count FROM r",
+    lambda rows, p: T.zones_raw(rows, p).select("doc_id", "p_idx", "s_idx", F.array_join("reasons", "|").alias("reasons"), "ai_dim_count"),
+)
+
+
 _SELF = f"""WITH {PAR}, t AS (SELECT doc_id, p_idx, {S.tokens("text", LATIN)} AS t FROM par),
 h AS (SELECT doc_id, p_idx, len(t) AS n, t[1:len(t) // 2] AS a, t[len(t) // 2 + 1:] AS b FROM t),
 f AS (SELECT doc_id, p_idx, w, count(*) AS f FROM (SELECT doc_id, p_idx, unnest(a) AS w FROM h) GROUP BY ALL),
@@ -227,7 +253,7 @@ def _(spark, d):
     rows, refs = talk(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")
     avg = M.average_probability(rows, M.bigram_model(refs, LATIN), LATIN)
     own = T.self_perplexity(rows, LATIN)
-    extra = avg.join(own, ["doc_id", "p_idx"]).select("doc_id", "p_idx", T.bigram_signal(F.col("avg_prob")).alias("bigram"), T.self_signal(F.col("self_ppl"), F.col("new_word_ratio")).alias("own"))
+    extra = avg.join(own, ["doc_id", "p_idx"]).select("doc_id", "p_idx", "avg_prob", "self_ppl", T.bigram_signal(F.col("avg_prob")).alias("bigram"), T.self_signal(F.col("self_ppl"), F.col("new_word_ratio")).alias("own"))
     keys = ["doc_id", "p_idx", "s_idx"]
     like = M.best_match(P.sentences(rows, LATIN).select(*keys, F.col("sentence").alias("text")), keys, *M.char_model(refs, "item_id"))
     zones = T.propagated(T.zones_raw(rows, LATIN, extra, like))
