@@ -31,3 +31,10 @@ def queries() -> dict:
 def oracles() -> dict:
     """SQL for those that SQL can express."""
     return _each("ORACLES")
+
+
+def release(spark) -> None:
+    """Remove the scratch tables and files of all results so far; call it when they have been written elsewhere, as results are read from them."""
+    from ._shared import delete, made
+
+    delete(spark, *made())
