@@ -12,6 +12,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from itertools import islice
 
 import numpy as np
@@ -55,6 +56,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.type = np.uint16 if self.tokenizer.get_vocab_size(True) <= 1 << 16 else np.uint32
+        self.code = "H" if self.type is np.uint16 else "I"
         self.kept, self.cache = kept, _Pieces(self._learn)
         self.signs = _byte_signs()
         spec = json.loads(open(path, encoding="utf-8").read())
@@ -84,14 +86,14 @@ class Encoder:
 
     def _learn(self, piece: str) -> bytes:
         word, lead = (piece[1:], self.signs[32]) if piece[:1] == " " and self.kind == "bytes" else (piece, "")
-        if word.isalpha() and max(word) < "ɐ":
+        if word.isalpha() and (word.isascii() or max(word) < "ɐ"):
             if not word.isascii():
                 word = "".join(map(self.signs.__getitem__, word.encode()))
-            return np.array([t.id for t in self.model.tokenize(lead + word)], self.type).tobytes()
+            return array(self.code, [t.id for t in self.model.tokenize(lead + word)]).tobytes()
         return self._whole(piece)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.cache) > self.kept:
