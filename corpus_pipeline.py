@@ -16,14 +16,22 @@ from quillspark.llm.near_dedup import near_dedup
 from quillspark.llm.packing import pack
 from quillspark.llm.toxicity import THRESHOLD, fit, scored
 
+#: Keys of documents that go, which are sent to every executor; more are met by a shuffle.
+SENT = 2_000_000
 #: The token that ends a document.
 END_ID = 1
 
 
+def _gone(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """The documents without those of the keys found. Few go: their keys are sent to the documents, as long as there are at most SENT."""
+    found = _shared.written(found, "gone", docs.count())
+    return docs.join(F.broadcast(found) if found.count() <= SENT else found, key, "left_anti").select(docs.columns)
+
+
 def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The documents but those of whose rows none is kept; rows without an id stay. Few go, so it is their ids that are sent."""
+    """The documents but those of whose rows none is kept; rows without an id stay."""
     gone = verdicts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("any")).filter("NOT any").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return _gone(docs, gone, "doc_id")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +55,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = max(docs.columns, key=len) + "_row"
     keyed = docs.withColumn(row, F.xxhash64(*docs.columns))
     found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row)
-    return keyed.join(found.filter("contaminated").select(row).distinct(), row, "left_anti").select(docs.columns)
+    return _gone(keyed, found.filter("contaminated").select(row).distinct(), row).select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,16 +20,16 @@ def _sum(edges: DataFrame) -> tuple:
     return r.n, r.s
 
 
-def components(links: DataFrame) -> DataFrame:
-    """From links (u, v), a row (u, v) for each node u but the least of its component, which is v."""
-    edges = written(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
+    """From links (u, v), a row (u, v) for each node u but the least of its component, which is v. rows: how many links there are, about."""
+    edges = written(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links", rows)
     before = _sum(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
-        new = written(small, "links")
+        new = written(small, "links", before[0])
         after = _sum(new)
         unwrite(edges)
         edges = new

@@ -16,6 +16,9 @@ BATCH_ROWS = 1000
 #: Bytes of text that a numpy pass takes at once; a longer text makes a pass of its own.
 SLICE_BYTES = 1 << 20
 
+#: Rows in a file of a table of which the size is known.
+FILE_ROWS = 50_000
+
 _own: dict[str, str] = {}  # by application
 _written: list[str] = []
 
@@ -40,11 +43,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends there, and lost executors lose nothing."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """The rows as a table in the shared folder: lineage ends there, and lost executors lose nothing.
+
+    rows: how many there are, about, where that is known; small tables then come in few files, whatever the number of partitions.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -320,42 +320,43 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     places = draw(), draw()
     signed = written(_signed(base, places[0]), "signed")
+    n_docs = signed.count()
     usable = signed.filter("n > 0 AND id IS NOT NULL")
     classes = usable.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
     keyed = F.xxhash64("k1", "k2").alias("xkey")
     member = usable.drop("sig").select("*", keyed).join(classes.select("*", keyed), ["xkey", "n", "k1", "k2"]).drop("xkey")
-    member = written(member, "classes")
+    member = written(member, "classes", n_docs)
     # an id of several classes links them
     twice = member.groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("w")).filter("u < w")
-    links = written(twice.join(member.select("id", F.col("rep").alias("v")), "id").select("u", "v").filter("u <> v").distinct(), "links")
+    links = written(twice.join(member.select("id", F.col("rep").alias("v")), "id").select("u", "v").filter("u <> v").distinct(), "links", n_docs)
     own = ["id", "n", "k1", "k2"]
-    reps = written(usable.join(member.filter("id = rep").select(own).distinct(), own, "left_semi").dropDuplicates(own), "reps")
-    sizes = written(signed.select("id", "n"), "sizes")
+    reps = written(usable.join(member.filter("id = rep").select(own).distinct(), own, "left_semi").dropDuplicates(own), "reps", n_docs)
+    sizes = written(signed.select("id", "n"), "sizes", n_docs)
     unwrite(signed)
 
     banded = _banded(reps).distinct()
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    buckets = written(_split(banded, shared, "bucket"), "buckets")
+    buckets = written(_split(banded, shared, "bucket"), "buckets", 4 * n_docs)
+    n_pairs = buckets.count()
     few, many = buckets.filter(F.col("size") <= few_most), buckets.filter(F.col("size") > few_most)
     sets = written(_sets(base, buckets.select("id").distinct(), places, filter_bits), "sets")
 
     def joined(found: DataFrame, stars: DataFrame) -> DataFrame:
         """The components with these links too."""
-        found = written(found.unionByName(stars), "links")
-        out = components(found)
-        unwrite(found, stars)
+        out = components(found.unionByName(stars), n_pairs)
+        unwrite(stars)
         return out
 
     pairs = few.select("bucket", F.col("id").alias("a")).join(few.select("bucket", F.col("id").alias("b")), "bucket").filter("a < b").select("a", "b")
     pairs = pairs.unionByName(_headed(many.withColumn("c", F.col("id")), 0))
-    stars = joined(_confirmed(written(_kept(pairs.distinct(), reps), "pairs"), sets), links)
+    stars = joined(_confirmed(written(_kept(pairs.distinct(), reps), "pairs", n_pairs), sets), links)
     for turn in range(1, rounds + 1):
-        left = written(_labelled(many, stars), "apart")
+        left = written(_labelled(many, stars), "apart", n_pairs)
         if left.isEmpty():
             break
         last = turn == rounds or _outer(left).agg(F.sum(F.col("outer") * F.col("all")).alias("n")).first().n <= much
         pairs = _apart(left, sets) if last else _kept(_headed(left, turn).distinct(), reps)
-        stars = joined(_confirmed(written(pairs.distinct(), "pairs"), sets), stars)
+        stars = joined(_confirmed(written(pairs.distinct(), "pairs", n_pairs), sets), stars)
         unwrite(left)
         if last:
             break
@@ -363,7 +364,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label = stars.select(F.col("u").alias("rep"), F.col("v").alias("root"))
     found = member.join(label, "rep", "left").select("id", F.coalesce("root", "rep").alias("root")).groupBy("id").agg(F.min("root").alias("root"))
     out = sizes.join(found, "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"))
-    out = written(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), (F.col("id").isNull() | (F.col("id") == F.col("root"))).alias("kept")), "near")
+    out = written(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"), (F.col("id").isNull() | (F.col("id") == F.col("root"))).alias("kept")), "near", n_docs)
     unwrite(sizes, member, stars)
     return out
 
