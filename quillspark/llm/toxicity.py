@@ -20,7 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ._joined import JoinedModel, joined_models
 from ._shared import small_batches, slices, text_bytes, unwrite, written
 from ._words import LOWER, NOT_ALNUM, Words, windows
 
@@ -28,6 +30,8 @@ from ._words import LOWER, NOT_ALNUM, Words, windows
 CURVE_ROWS = 6000
 #: Labels sent to every executor; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
+#: Words, and pairs, with evidence that go to every worker at most; a larger model is met by joins.
+MOST_ENTRIES = 5_000_000
 #: What a count loses at least.
 DISCOUNT = 0.75
 #: A word or pair of which the evidence is below this counts as one without any.
@@ -241,10 +245,11 @@ def _weight(counts: np.ndarray, share, kinds: float) -> np.ndarray:
     return np.where(w > NEGLIGIBLE, w, 0.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 1) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 1, most: int = MOST_ENTRIES) -> Scorer:
     """Learn from the labelled rows of which crc32 of the id as text, modulo 3, is not `held_out`.
 
     Counts cover all of them; equal texts with equal labels count once, as the one of the smallest id. Labels other than 0 and 1 are left out.
+    A model of more than `most` words or pairs with evidence stays a table, which is met by joins; the scores are the same.
     """
     spark = docs.sparkSession
     rest = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3))
@@ -259,7 +264,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sha = F.unhex(F.sha2("text", 256)).alias("sha")
     known = written(joined.select("id", "label", sha), "texts")
     first = known.groupBy("sha", "label").agg(F.min("id").alias("first"))
-    again = written(known.join(first, ["sha", "label"]).filter("id > first").select("id", "label", "sha").distinct(), "copies")
+    key = F.xxhash64("sha", "label").alias("key")  # so that the join has exchanges of its own, and a large group's can be split
+    again = written(known.select("*", key).join(first.select("*", key), ["key", "sha", "label"]).filter("id > first").select("id", "label", "sha").distinct(), "copies", known.count())
     sent_copies = F.broadcast if again.count() <= BROADCAST_LABELS else lambda x: x
     rows = joined.withColumn("sha", sha).join(sent_copies(again), ["id", "label", "sha"], "left_anti").select("fold", "label", "text")
 
@@ -276,7 +282,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             n = _table(pa.Table.from_batches([batch.select(range(1, 5))]))
             yield batch.filter(pa.array(np.any([_weight(_added(n, m), shares[m], size[m]) > 0 for m in MODELS], 0)))
 
-    told = _table(words.mapInArrow(telling, words.schema).toArrow())
+    with_evidence = written(words.mapInArrow(telling, words.schema), "told")
+    if with_evidence.count() > most:
+        model = joined_models(written(_texts_with(rows, True), "pairs"), words, with_evidence, totals, size)
+        return _with_curve(joined, model, totals)
+    told = _table(with_evidence.toArrow())
     told = told[:, np.argsort(told[0].view(np.uint64))]
     tells = _Told(told, totals, size)
     shared = spark.sparkContext.broadcast(tells)
@@ -309,6 +319,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             whole[:] = r[1:]
         else:
             contexts[:, find(tells.hashes, np.array([r.second]).view(np.uint64))[0]] = r[1:]
+    if got.filter("first IS NOT NULL").count() > most:
+        model = joined_models(written(_texts_with(rows, True), "pairs"), words, with_evidence, totals, size)
+        return _with_curve(joined, model, totals)
     kept = _table(got.filter("first IS NOT NULL").drop("contexts").toArrow())
     first, second = kept[0].view(np.uint64), kept[1].view(np.uint64)
     hashes = pair_hash(first, second)
@@ -319,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     wanted = spark.sparkContext.broadcast(asked)
     among = lambda x: find(wanted.value, np.asarray(x).view(np.uint64)) >= 0
     stand = _table(words.mapInArrow(lambda batches: (b.filter(pa.array(among(b.column(0)))) for b in batches), words.schema).toArrow())
-    unwrite(words, got, known, again)
+    unwrite(words, got, known, again, with_evidence)
     number = np.zeros((8, len(asked)))
     number[:, find(asked, stand[0].view(np.uint64))] = stand[1:]
     place, last = find(asked, first), find(asked, second)
@@ -332,26 +345,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         shared = (_added(number[:4], m).sum(0) + 1) / (totals[list(m)].sum() + size[m] + 1)
         return Model(tells.hashes, tells.weight[m], contexts[k : k + 2], shared[find(asked, tells.hashes)], whole[k : k + 2], hashes[use], first[use], weight[use], n[:, use], _added(number[4:], m)[:, place[use]], shared[last[use]])
 
-    # the curve: models of one fold score a part of the other, drawn from each class by itself
+    return _with_curve(joined, model, totals)
+
+
+def _ratios(df: DataFrame, model, *keep: str) -> DataFrame:
+    """The columns to keep, and x: the ratio of each text."""
+    if isinstance(model, JoinedModel):
+        rows = df.select(*keep, "text", F.xxhash64("text").alias("tk"))
+        return rows.join(model.ratios(df.select("text")), "tk").select(*keep, F.col("ratio").alias("x"))
+    one = df.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch, i, j, w in _passes(batches, len(keep), COUNT_BYTES):
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(keep))), pa.array(one.value.ratio(w))], [*keep, "x"])
+
+    rows = df.select(*keep, "text")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("x", DoubleType())]))
+
+
+def _with_curve(joined: DataFrame, model, totals: np.ndarray) -> Scorer:
+    """The model of all folds, with a curve: models of one fold score a part of the other, drawn from each class by itself. joined: id, fold, label, text."""
     there = {(r.fold, r.label): r["count"] for r in joined.groupBy("fold", "label").count().collect()}
     parts = 1 << 40
 
     def sample(own: tuple[int, ...], others: tuple[int, ...]) -> tuple[list, list, list]:
         """Ratios by the model of some folds, labels and weights of rows of others."""
-        one, x, y, weight = spark.sparkContext.broadcast(model(own)), [], [], []
-
-        def ratios(batches):
-            for batch, i, j, w in _passes(batches, 1, COUNT_BYTES):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(one.value.ratio(w))], ["label", "x"])
-
+        x, y, weight = [], [], []
         shares = {(f, c): min(1.0, CURVE_ROWS / 4 / n) for (f, c), n in there.items() if f in others}
         here = F.pmod(F.xxhash64("id"), F.lit(parts))
         drawn = [(F.col("fold") == f) & (F.col("label") == c) & (here < int(share * parts)) for (f, c), share in shares.items()]
         if drawn:
-            for r in joined.filter(reduce(or_, drawn)).select((F.col("fold") * 2 + F.col("label")).alias("g"), "text").mapInArrow(ratios, "label int, x double").collect():
+            for r in _ratios(joined.filter(reduce(or_, drawn)), model(own), "fold", "label").collect():
                 x.append(r.x)
-                y.append(r.label % 2)
-                weight.append(1 / shares[divmod(r.label, 2)])
+                y.append(r.label)
+                weight.append(1 / shares[r.fold, r.label])
         return x, y, weight
 
     found = [sample((own,), (other,)) for own, other in ((0, 1), (1, 0)) if totals[own].all()]
@@ -366,6 +393,12 @@ def scored(docs: DataFrame, scorer: Scorer, text_col: str = "text", score_col: s
     """The rows as they are, with a column for the score; a column of that name gives way. A null text is an empty one."""
     small_batches(docs.sparkSession)
     docs = docs.drop(score_col)
+    if isinstance(scorer.model, JoinedModel):
+        tk = max(docs.columns, key=len) + "_tk"
+        keyed = docs.withColumn(tk, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+        found = scorer.model.ratios(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))).withColumnsRenamed({"tk": tk, "ratio": score_col})
+        curved = 1 / (1 + F.exp(-F.greatest(F.least(scorer.slope * F.col(score_col) + scorer.level, F.lit(500.0)), F.lit(-500.0))))
+        return keyed.join(found, tk).select(*docs.columns, curved.alias(score_col))
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     place = docs.columns.index(text_col)
 
@@ -374,12 +407,10 @@ def scored(docs: DataFrame, scorer: Scorer, text_col: str = "text", score_col: s
             part = batch.slice(i, j - i)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.scores(words))], [*batch.schema.names, score_col])
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score_col, DoubleType())]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 1, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 1, threshold: float = THRESHOLD, most: int = MOST_ENTRIES) -> DataFrame:
     """One row per document: id, held_out, score, predicted.
 
     Learns as fit() does and scores every text, labelled or not. Null and empty texts have the score of a text that speaks for neither
@@ -387,7 +418,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scores are 0. Other columns are not read.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = scored(slim, fit(docs, labels, id_col, text_col, label_col, held_out), "text")
+    out = scored(slim, fit(docs, labels, id_col, text_col, label_col, held_out, most), "text")
     rest = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(3))
     return out.select(F.col("id").alias(id_col), F.coalesce(rest == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

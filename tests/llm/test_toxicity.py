@@ -155,6 +155,19 @@ def test_held_out_rows_and_edges(spark):
     assert {r.score for r in t.toxicity(df, lab.limit(0)).collect()} == {0.0}
 
 
+def test_a_model_met_by_joins_scores_alike(spark):
+    docs, labels = corpus(400)
+    odd = [(1001, None, "q"), (1002, "", "q"), (1003, "oaf " * 3000, "q"), (1003, "oaf " * 3000, "q"), (None, "w1 twit dolt oaf", "q"), (1004, "!!", "q")]
+    docs += [(2000 + k, "mild storm over w1" if k % 2 else "storm mild w2 w3", "q") for k in range(60)]
+    labels += [(2000 + k, k % 2) for k in range(60)]
+    df = spark.createDataFrame(docs + odd, "doc_id long, text string, score string").repartition(3)
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    one, two = (sorted(map(tuple, t.toxicity(df, lab, most=most).collect()), key=lambda r: (r[0] is None, r[0])) for most in (10**6, 0))
+    assert len(one) == len(two) == len(docs) + len(odd) and len({r[2] for r in one}) > 50
+    for a, b in zip(one, two):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9 and a[3] == b[3]
+
+
 def test_labels_of_held_out_rows_are_not_learnt(spark):
     docs, labels = corpus(200)
     df, lab = spark.createDataFrame(docs, "doc_id long, text string, x string"), spark.createDataFrame(labels, "doc_id long, toxic int")
