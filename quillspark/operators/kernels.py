@@ -114,6 +114,17 @@ class Kernel:
         words, chars = Counter(tokens), Counter(bare)
         return len(words) / len(tokens) if tokens else 1.0, entropy(chars.values(), n), sum(c >= 3 for c in words.values()), len(chars) / n
 
+    def foretold(self, text: str | None) -> tuple[float, float]:
+        """How well the first half of the tokens foretells the second: perplexity, and the share of words that are new there; -1 under 20 tokens."""
+        tokens = self.tokens(text)
+        if len(tokens) < 20:
+            return -1.0, -1.0
+        half = len(tokens) // 2
+        known, rest = Counter(tokens[:half]), tokens[half:]
+        new = math.log2(half + len(known) + 1)
+        costs = {w: -math.log2(max(n / half, 1e-8)) for w, n in known.items()}
+        return 2.0 ** (sum(costs.get(w, new) for w in rest) / len(rest)), sum(w not in known for w in rest) / len(rest)
+
     def vector(self, text: str | None) -> list[float]:
         """How many words fall into each bucket by length, first and last letter, brought to length 1."""
         out = [0.0] * BUCKETS

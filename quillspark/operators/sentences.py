@@ -10,7 +10,7 @@ from ..functions.packs import Pack
 from ..functions.text import deviation, hits, run_lengths, run_starts, strip
 from .dimensions import scanned
 from .kernels import Kernel
-from .parse import sentence_array, tokens
+from .parse import sentence_array
 
 
 def java(pattern: str) -> str:
@@ -80,19 +80,13 @@ def reference_latch(par: DataFrame, pack: Pack) -> DataFrame:
 
 def self_perplexity(par: DataFrame, pack: Pack) -> DataFrame:
     """doc_id, p_idx, self_ppl, new_word_ratio: how well the first half of the tokens foretells the second; -1 under 20 tokens. Not rounded."""
-    a = par.select("doc_id", "p_idx", tokens(F.col("text"), pack).alias("_t"))
-    mid = F.floor(F.size("_t") / 2).cast("int")
-    b = a.select("*", F.sort_array(F.slice("_t", F.lit(1), mid)).alias("_h"), F.slice("_t", mid + 1, F.size("_t")).alias("_r"))
-    c = b.select("*", run_starts(F.col("_h")).alias("_s"))
-    d = c.select("*", F.map_from_arrays(F.transform("_s", lambda i: F.element_at("_h", i)), run_lengths(F.col("_s"), F.size("_h"))).alias("_f"))
-    n = F.size("_h")
-    known = lambda w: F.try_element_at("_f", w)
-    cost = lambda w: F.when(known(w).isNotNull(), -F.log2(F.greatest(known(w) / n, F.lit(1e-8)))).otherwise(F.log2((n + F.size("_s") + 1).cast("double")))
-    total = F.aggregate("_r", F.lit(0.0), lambda a, w: a + cost(w))
-    enough = F.size("_t") >= 20
-    ppl = F.when(enough, F.pow(F.lit(2.0), total / F.size("_r"))).otherwise(-1.0)
-    new = F.when(enough, F.size(F.filter("_r", lambda w: known(w).isNull())) / F.size("_r")).otherwise(-1.0)
-    return d.select("doc_id", "p_idx", ppl.alias("self_ppl"), new.alias("new_word_ratio"))
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        kernel = Kernel(pack)
+        return pd.DataFrame([kernel.foretold(t) for t in texts], columns=["self_ppl", "new_word_ratio"], dtype=float)
+
+    values = F.pandas_udf(run, "self_ppl double, new_word_ratio double")("text")
+    return par.select("doc_id", "p_idx", values.alias("_v")).select("doc_id", "p_idx", "_v.*")
 
 
 def self_signal(ppl: Column, new: Column) -> Column:

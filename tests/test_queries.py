@@ -27,7 +27,7 @@ def test_runs(name, spark):
 
 
 def test_plans(spark):
-    native = ("parse_paragraphs", "split_sentences", "connector_tiers", "self_perplexity", "vec_adjacent_similarity", "concept_backtrack")
+    native = ("parse_paragraphs", "split_sentences", "connector_tiers", "bigram_avg_prob", "vec_adjacent_similarity", "concept_backtrack")
     for name in (*native, "dims_wide", "paragraph_levels", "document_ai_rate", "fused_levels"):
         plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         # counting kernels take batches of columns; nothing goes to Python row by row
