@@ -13,6 +13,7 @@ _MODULES = (
     "packing",
     "warc",
     "decontaminate",
+    "vector_codes",
 )
 
 
