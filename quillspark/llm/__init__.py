@@ -14,6 +14,7 @@ _MODULES = (
     "warc",
     "decontaminate",
     "vector_codes",
+    "collocations",
     "fingerprints",
 )
 
