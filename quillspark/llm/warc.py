@@ -8,6 +8,7 @@ there and reports the bytes between as a gap.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import uuid
@@ -26,6 +27,9 @@ LEAST_REVISIT = 100
 FILE_BYTES = 256 << 20
 LEVEL = 4
 CHUNK = 1 << 18
+#: Bytes of a packed member that are unpacked at once, and of a record's headers at most.
+PIECE = 1 << 16
+HEAD = 1 << 20
 GZIP = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -62,6 +66,23 @@ def member(data: bytes) -> bytes:
     return c.compress(data) + c.flush()
 
 
+def length(head: bytes) -> int:
+    """The length that a record's headers declare, in any of its lines."""
+    found = re.search(rb"\r\ncontent-length[ \t]*:[ \t]*([0-9]+)[ \t]*(\r\n|$)", head, re.IGNORECASE)
+    if not found:
+        raise ValueError("no length")
+    return int(found[1])
+
+
+def _agrees(head: dict[str, str], block: bytes) -> bool | None:
+    """Whether the block has the digest that the headers give it, in hexadecimal or base32 digits; None if they give none that is known."""
+    kind, _, want = head.get("warc-block-digest", "").partition(":")
+    if kind.lower() not in ("sha256", "sha1", "md5"):
+        return None
+    found = hashlib.new(kind.lower(), block).digest()
+    return want.lower() == found.hex() or want.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
+
+
 def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Headers by lower-case name, block, and where the record ends. ValueError: not a whole, sound record."""
     if not VERSION.match(data, at):
@@ -77,129 +98,212 @@ def parse(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     block = data[begin : begin + n]
     if len(block) < n or data[begin + n : begin + n + 4] != b"\r\n\r\n":
         raise ValueError("block cut short")
-    kind, _, want = head.get("warc-block-digest", "").partition(":")
-    if kind == "sha256" and hashlib.sha256(block).hexdigest() != want:
+    if _agrees(head, block) is False:
         raise ValueError("block digest differs")
     return head, block, begin + n + 4
 
 
 class _File:
-    """Reads at any place; size, and the next place of some bytes."""
+    """Reads at any place; size, and the next place of some bytes. The last stretch read is kept."""
 
     def __init__(self, source):
         self.source, self.size = source, source.size()
+        self.begin, self.kept = 0, b""
 
     def at(self, begin: int, n: int) -> bytes:
-        return self.source.read_at(max(0, min(n, self.size - begin)), begin)
+        n = max(0, min(n, self.size - begin))
+        if not (self.begin <= begin and begin + n <= self.begin + len(self.kept)):
+            self.begin, self.kept = begin, self.source.read_at(min(max(n, CHUNK), self.size - begin), begin)
+        return self.kept[begin - self.begin : begin - self.begin + n]
 
     def find(self, what: bytes, begin: int) -> int:
         while begin < self.size:
-            data = self.at(begin, CHUNK + len(what) - 1)
+            data = self.at(begin, CHUNK)
             k = data.find(what)
             if k >= 0:
                 return begin + k
-            begin += CHUNK
-        return -1
+            begin += max(1, len(data) - len(what) + 1)
+        return self.size
+
+
+class _Unpacked:
+    """A gzip member, unpacked piece by piece: `data` is what has been unpacked and not yet taken, `taken` how much was before it."""
 
+    def __init__(self, f: _File, begin: int):
+        self.f, self.begin, self.fed, self.piece = f, begin, begin, begin
+        self.inflate, self.data, self.taken = zlib.decompressobj(31), bytearray(), 0
+        self.error: str | None = None
 
-def _member(f: _File, begin: int) -> tuple[bytes, int]:
-    """What the gzip member there holds, and where it ends."""
-    d, out, at = zlib.decompressobj(31), [], begin
-    while not d.eof:
-        data = f.at(at, CHUNK)
+    def more(self) -> bool:
+        """Unpack another piece. False at the end, and where damage ends it: then all that could be unpacked has been."""
+        if self.inflate.eof or self.error:
+            return False
+        data = self.f.at(self.fed, PIECE)
         if not data:
-            raise ValueError("member cut short")
+            self.error = "member cut short"
+            return False
+        self.piece = self.fed
         try:
-            out.append(d.decompress(data))
+            self.data += self.inflate.decompress(data)
         except zlib.error as e:
-            raise ValueError(f"member: {e}") from None
-        at += len(data)
-    return b"".join(out), at - len(d.unused_data)
-
-
-def _within(data: bytes) -> Iterator[tuple]:
-    """Records and gaps of one stretch of plain bytes: (headers, block) or (begin, end, reason)."""
-    at = 0
-    while at < len(data):
+            self.error = f"member: {e}"
+            self._last(data)
+            return bool(self.data)
+        self.fed += len(data)
+        return True
+
+    def _last(self, data: bytes) -> None:
+        """What can be unpacked of the piece that holds the damage, byte by byte, with a fresh start as the failed one has lost its state."""
+        again, at = zlib.decompressobj(31), self.begin
+        while at < self.fed:
+            part = self.f.at(at, min(PIECE, self.fed - at))
+            again.decompress(part)
+            at += len(part)
         try:
-            head, block, end = parse(data, at)
-            yield head, block
-            at = end
-        except ValueError as e:
-            begin, reason = at, str(e)
-            while True:
-                found = VERSION.search(data, at + 1)
-                at = found.start() if found else len(data)
-                if not found:
-                    break
-                try:
-                    parse(data, at)
-                    break
-                except ValueError:
-                    pass
-            yield begin, at, reason
-
-
-def _record(f: _File, at: int) -> tuple[dict[str, str], bytes, int]:
-    """As parse, from a file that is not compressed; reads no more of it than the record has."""
-    n = CHUNK
-    while True:
-        data = f.at(at, n)
+            for k in range(len(data)):
+                self.data += again.decompress(data[k : k + 1])
+        except zlib.error:
+            pass
+
+    def take(self, n: int) -> None:
+        del self.data[:n]
+        self.taken += n
+
+    def record(self) -> tuple[dict[str, str], bytes]:
+        """The record at the front, taken. ValueError: none there."""
+        while len(self.data) < 10 and self.more():
+            pass
+        if not VERSION.match(self.data):
+            raise ValueError("no version line")
+        while (end := self.data.find(b"\r\n\r\n", 0, HEAD)) < 0 and len(self.data) < HEAD and self.more():
+            pass
+        if end < 0:
+            raise ValueError("headers do not end")
+        need = end + 8 + length(bytes(self.data[:end]))
+        while len(self.data) < need and self.more():
+            pass
+        head, block, n = parse(bytes(self.data[:need]))
+        self.take(n)
+        return head, block
+
+    def skip(self) -> bool:
+        """Go to the next version line. False: none is left, and all is taken."""
+        start = 1
+        while not (found := VERSION.search(self.data, start)):
+            self.take(max(0, len(self.data) - 9))
+            start = 0
+            if not self.more():
+                self.take(len(self.data))
+                return False
+        self.take(found.start())
+        return True
+
+
+def _undamaged(f: _File, at: int) -> bool:
+    """Whether the member unpacks without an error, as far as it goes."""
+    u = _Unpacked(f, at)
+    while u.more():
+        u.take(len(u.data))
+    return not u.error or u.error == "member cut short"
+
+
+class _Place:
+    """What came of reading at a place: where what stands there ends, or why it is not sound and from where to look on."""
+
+    def __init__(self, at: int):
+        self.at = self.end = self.bad = at
+        self.reason: str | None = None
+        self.inner: list[tuple[int, int, str]] = []  # gaps of the unpacked bytes
+        self.last: list[dict[str, str]] = []  # heads of the records that ended in the last piece
+
+
+def _members(f: _File, place: _Place) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The sound records of the gzip member there, up to where damage ends it."""
+    u, count, trusted = _Unpacked(f, place.at), 0, None
+    while u.data or u.more():
+        begin, piece = u.taken, u.piece
         try:
-            return parse(data)
+            found = u.record()
+            if _agrees(*found) is None:
+                trusted = _undamaged(f, place.at) if trusted is None else trusted
+                if not trusted:
+                    place.inner.append((begin, u.taken, "no digest, in a damaged member"))
+                    continue
         except ValueError as e:
-            if str(e) not in ("headers do not end", "block cut short") or at + len(data) >= f.size:
-                raise
-            n *= 4
-
-
-def _sound(f: _File, at: int) -> tuple[Iterator[tuple], int]:
-    """What stands there and where it ends: the one record of plain bytes, or the records and gaps of a gzip member. ValueError: neither."""
-    if f.at(at, 3) == GZIP:
-        data, end = _member(f, at)
-        if not VERSION.search(data):
+            reason, going = str(e), u.skip()
+            # the rest of a damaged member is no gap of its own
+            if going or not u.error:
+                place.inner.append((begin, u.taken, reason))
+            continue
+        count += 1
+        if u.piece != piece or u.piece != place.bad:
+            place.last = []
+        place.bad = u.piece
+        place.last.append(found[0])
+        yield found
+    place.end = min(f.size, u.fed + PIECE) if u.error else u.fed - len(u.inflate.unused_data)
+    if u.error:
+        place.reason = u.error + (f"; {count} records before it are whole" if count else "")
+    elif not count:
+        place.reason, place.bad = place.inner[0][2] if place.inner else "no version line", place.at
+
+
+def _plain(f: _File, place: _Place) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The record of plain bytes there. No more is read than its declared length."""
+    try:
+        data = f.at(place.at, PIECE >> 3)
+        if not VERSION.match(data):
             raise ValueError("no version line")
-        return _within(data), end
-    head, block, n = _record(f, at)
-    return iter([(head, block)]), at + n
+        if (end := data.find(b"\r\n\r\n")) < 0:
+            data = f.at(place.at, HEAD)
+            if (end := data.find(b"\r\n\r\n")) < 0:
+                raise ValueError("headers do not end")
+        need = end + 8 + length(data[:end])
+        if place.at + need > f.size:
+            raise ValueError("block cut short")
+        head, block, n = parse(f.at(place.at, need))
+        place.end = place.at + n
+        yield head, block
+    except ValueError as e:
+        place.reason = str(e)
 
 
 def salvage(source) -> Iterator[tuple]:
     """All sound records of an open file, as ("record", headers, block), and the bytes between them, as ("gap", begin, end, reason).
 
     Gzip members and plain records may follow each other in any order. Of a gap within a sound member, the place is the member's, and
-    the reason names the bytes of its unpacked content that are lost.
+    the reason names the bytes of its unpacked content that are lost. A damaged member gives the records that are sound by their own digest, or before a cut; its gap begins in the piece of the file
+    (64 KB at most) where the last of them ends. In memory is one record at a time, and what its header says it is long.
     """
     f = _File(source)
-    places = {GZIP: 0, b"WARC/1.": 0}  # the next of each; none before it is sought again
-    at = 0
+    places = {GZIP: -1, b"WARC/1.": -1}  # the next of each; none before it is sought again
+    at, gap, known, known_to = 0, None, [], 0
     while at < f.size:
-        try:
-            found, end = _sound(f, at)
-        except ValueError as e:
-            begin, reason = at, str(e)
-            while True:
-                for what, k in places.items():
-                    if k <= at:
-                        k = f.find(what, at + 1)
-                        places[what] = f.size if k < 0 else k
-                at = min(places.values())
-                if at == f.size:
-                    break
-                try:
-                    _sound(f, at)
-                    break
-                except ValueError:
-                    pass
-            yield "gap", begin, at, reason
+        place, again = _Place(at), False
+        for head, block in (_members if f.at(at, 3) == GZIP else _plain)(f, place):
+            if at < known_to and head in known:  # stored, not packed, in the member that was damaged
+                again = True
+                continue
+            if gap:
+                yield "gap", gap[0], at, gap[1]
+                gap = None
+            yield "record", head, block
+        for begin, end, reason in place.inner if place.reason is None or place.bad > at else ():
+            yield "gap", at, place.bad if place.reason else place.end, f"{reason}, bytes {begin} to {end} of the unpacked member"
+        if place.reason is None and not again:
+            at = place.end
             continue
-        for x in found:
-            if isinstance(x[0], dict):
-                yield ("record", *x)
-            else:
-                # what is lost has no place of its own in the packed file
-                yield "gap", at, end, f"{x[2]}, bytes {x[0]} to {x[1]} of the unpacked member"
-        at = end
+        if not again:
+            if place.last:
+                known, known_to = place.last, place.end
+            gap = gap or (place.bad, place.reason)
+        start = place.end if again else max(at + 1, place.bad)
+        for what, k in places.items():
+            if k < start:
+                places[what] = f.find(what, start)
+        at = min(places.values())
+    if gap:
+        yield "gap", gap[0], f.size, gap[1]
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2000-01-01T00:00:00Z", file_bytes: int = FILE_BYTES) -> DataFrame:
