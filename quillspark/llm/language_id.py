@@ -12,7 +12,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import slices, small_batches, text_bytes
@@ -143,20 +143,22 @@ def _vectors(batches, text: int):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 0, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> Model:
     """Learn from a sample of the rows with a language whose crc32 of the id as text, modulo 5, is not `held_out`.
 
-    The sample is drawn by a hash of the id, in each language alike: about `per_language` rows, fewer where there are more than
+    The sample is the `per_language` distinct texts of smallest hash in each language, fewer where there are more than
     in_all / per_language languages. It is the only part of the data that learning reads; the centroids depend on nothing else. Both bounds are
     parameters. Of more than in_all languages, those with the most rows are learnt.
     """
     rest = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5))
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (rest != held_out))
-    sizes = {r.l: r.n for r in known.groupBy(F.col(lang_col).alias("l")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(in_all).collect()}
+    named = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    sizes = [r.lang for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(in_all).collect()]
     if not sizes:
         return Model([], np.ones(1 << BITS), np.zeros((0, 1 << BITS)), np.zeros(0, int), np.zeros(0))
     each = max(1, min(per_language, in_all // len(sizes)))
-    space = 1 << 40  # fine enough for a bounded sample of any table
-    share = F.create_map(*(F.lit(x) for l, n in sizes.items() for x in (l, max(1, int(min(1.0, each / n) * space)))))
-    drawn = known.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(space)) < share[F.col(lang_col)])
-    drawn = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # equal texts are one before they are drawn, so that copies and repeated ids neither fill the sample nor keep a language out of it
+    ranked = named.select("lang", "h").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= each)
+    last = {r.lang: r.h for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect() if r.lang in set(sizes)}
+    upto = F.create_map(*(F.lit(x) for pair in last.items() for x in pair))
+    drawn = named.filter(F.col("h") <= upto[F.col("lang")]).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
     def run(batches):
         for batch, k, counts in _vectors(batches, 1):

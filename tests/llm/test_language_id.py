@@ -114,3 +114,26 @@ def test_edges_and_labels_of_held_out_rows(spark):
     assert sorted(map(str, g.language_id(wrong).collect())) == sorted(map(str, got))
     assert {r.lang_pred for r in g.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert g.language_id(docs.limit(0)).count() == 0
+
+
+def test_a_language_of_one_repeated_id_is_learnt(spark):
+    rng = random.Random(8)
+    make = lambda s: " ".join("".join(rng.choices(s, k=rng.randint(2, 6))) for _ in range(15))
+    rows = [(1, make("abcdefgh"), "en") for _ in range(3000)] + [(2, make("mnopqrst"), "de") for _ in range(3000)]
+    rows += [(3, rows[0][1], "en")] * 3000  # and copies of one text don't crowd the sample
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = g.fit(docs, per_language=200)
+    assert m.languages == ["de", "en"]
+    got = g.language_id(docs, model=m).groupBy("doc_id", "lang_pred").count().collect()
+    assert {(r.doc_id, r.lang_pred): r["count"] for r in got} == {(1, "en"): 3000, (2, "de"): 3000, (3, "en"): 3000}
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    whole = g.weigh
+    monkeypatch.setattr(g, "weigh", lambda counts, idf: seen.append(len(counts)) or whole(counts, idf))
+    rows = [(k, f"word{k} some text of its own {k}", f"l{k % 3}") for k in range(900)]
+    g.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50)
+    assert seen[0] == 150
+    g.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50, in_all=30)
+    assert seen[-1] == 30
