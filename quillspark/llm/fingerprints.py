@@ -75,8 +75,8 @@ def packed(values: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def _texts(column: pa.Array, bins: int, bits: int, size: int) -> list[str]:
-    """The fingerprint of each text in hexadecimal digits; empty for a text without words."""
+def _prints(column: pa.Array, bins: int, bits: int, size: int) -> list[bytes]:
+    """The fingerprint of each text; empty for a text without words."""
     raw, at = text_bytes(column)
     shift, out = np.uint64(64 - bins.bit_length() + 1), []
     for i, j in slices(at):
@@ -84,15 +84,15 @@ def _texts(column: pa.Array, bins: int, bits: int, size: int) -> list[str]:
         values = np.full((j - i) * bins, _NONE)
         np.minimum.at(values, owner * bins + (hashes >> shift).astype(np.int64), hashes & ((np.uint64(1) << shift) - np.uint64(1)))
         values = values.reshape(j - i, bins)
-        out += [b.tobytes().hex() if any_ else "" for b, any_ in zip(packed(densified(values), bits), (values != _NONE).any(1).tolist(), strict=True)]
+        out += [b.tobytes() if any_ else b"" for b, any_ in zip(packed(densified(values), bits), (values != _NONE).any(1).tolist(), strict=True)]
     return out
 
 
-def _agreement(a: list[str], b: list[str], bits: int) -> np.ndarray:
+def _agreement(a: list[bytes], b: list[bytes], bits: int) -> np.ndarray:
     """Estimated similarities of fingerprints of one kind, pair by pair."""
     out, both = np.zeros(len(a)), np.array([bool(x and y) for x, y in zip(a, b, strict=True)], bool)
     if both.any():
-        x, y = (np.frombuffer(bytes.fromhex("".join(t for t, use in zip(s, both, strict=True) if use)), np.uint8).reshape(both.sum(), -1) for s in (a, b))
+        x, y = (np.frombuffer(b"".join(t for t, use in zip(s, both, strict=True) if use), np.uint8).reshape(both.sum(), -1) for s in (a, b))
         differ = x ^ y
         mask = np.uint8((1 << bits) - 1)
         same = sum(((differ >> np.uint8(bits * k)) & mask == 0).sum(1) for k in range(8 // bits)) / (x.shape[1] * 8 // bits)
@@ -114,7 +114,7 @@ def fingerprint(text: Column, bins: int = BINS, bits: int = BITS, size: int = SH
     def of(texts):
         import pandas as pd
 
-        return pd.Series(_texts(pa.Array.from_pandas(texts, type=pa.large_string()), bins, bits, size))
+        return pd.Series([p.hex() for p in _prints(pa.Array.from_pandas(texts, type=pa.large_string()), bins, bits, size)])
 
     return of(F.coalesce(text, F.lit("")))
 
@@ -128,7 +128,7 @@ def likeness(a: Column, b: Column, bits: int = BITS) -> Column:
 
         there = left.notna() & right.notna()
         out = pd.Series(np.nan, index=left.index).astype(object)
-        out[there] = _agreement(left[there].tolist(), right[there].tolist(), bits)
+        out[there] = _agreement(*([bytes.fromhex(x) for x in side[there]] for side in (left, right)), bits)
         return out.where(there, None)
 
     return of(a, b)
@@ -145,22 +145,22 @@ def edit(text: str, other: str) -> str:
     return text[: len(text) - n] + other[:n]
 
 
-_RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_RESULT = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 #: head: a range's first row. tail: its last, whose next one stands elsewhere.
 _ENDS = "place int, kind string, text string"
 
 
-def _compared(ids: pa.Array, texts: list[str], prints: list[str], bins: int, bits: int, size: int) -> list[pa.Array]:
+def _compared(ids: pa.Array, texts: list[str], prints: list[bytes], bins: int, bits: int, size: int) -> list[pa.Array]:
     """Columns of the result for all rows but the last, each compared with the next."""
     edited = [edit(a, b) for a, b in zip(texts, texts[1:], strict=False)]
-    marks = _texts(pa.array(edited, pa.large_string()), bins, bits, size)
+    marks = _prints(pa.array(edited, pa.large_string()), bins, bits, size)
     own = prints[:-1]
     return [
         ids.slice(0, len(edited)),
         pa.array([len(t) for t in texts[:-1]], pa.int64()),
-        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()),
-        pa.array(own, pa.string()),
-        pa.array(marks, pa.string()),
+        pa.array([hashlib.sha256(t.encode()).digest() for t in edited], pa.binary()),
+        pa.array(own, pa.binary()),
+        pa.array(marks, pa.binary()),
         pa.array(_agreement(own, marks, bits)),
         pa.array(_agreement(own, prints[1:], bits)),
     ]
@@ -189,16 +189,16 @@ def compared_with_next(
     names = ["id", *(c.split()[0] for c in _RESULT.split(", ")), *(c.split()[0] for c in _ENDS.split(", "))]
     schema = StructType([StructField("id", id_type), *StructType.fromDDL(f"{_RESULT}, {_ENDS}").fields])
 
-    def end(place: int, kind: str, key: pa.Array, text: str, print_: str) -> pa.RecordBatch:
-        nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.string())]
-        return pa.RecordBatch.from_arrays([key, *nothing, pa.array([print_]), pa.nulls(1, pa.string()), *[pa.nulls(1, pa.float64())] * 2, pa.array([place], pa.int32()), pa.array([kind]), pa.array([text])], names)
+    def end(place: int, kind: str, key: pa.Array, text: str, print_: bytes) -> pa.RecordBatch:
+        nothing = [pa.nulls(1, t) for t in (pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([key, *nothing, pa.array([print_]), pa.nulls(1, pa.binary()), *[pa.nulls(1, pa.float64())] * 2, pa.array([place], pa.int32()), pa.array([kind]), pa.array([text])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, last = TaskContext.get().partitionId(), None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, texts, prints = batch.column(0), batch.column(1).to_pylist(), _texts(batch.column(1), bins, bits, size)
+            ids, texts, prints = batch.column(0), batch.column(1).to_pylist(), _prints(batch.column(1), bins, bits, size)
             if last is None:
                 yield end(place, "head", ids.slice(0, 1), texts[0], prints[0])
             else:
@@ -224,7 +224,9 @@ def compared_with_next(
                 yield pa.RecordBatch.from_arrays(_compared(batch.column(0).slice(k, 1), [text, next_text], [print_, next_print], bins, bits, size), names[:7])
 
     rest = pairs.mapInArrow(join, StructType(schema.fields[:7]))
-    return table.filter("kind IS NULL").select(*names[:7]).unionByName(rest).withColumnRenamed("id", id_col)
+    digits = lambda c: F.lower(F.hex(c)).alias(c)
+    found = table.filter("kind IS NULL").select(*names[:7]).unionByName(rest)
+    return found.select(F.col("id").alias(id_col), "n_chars", digits("edited_sha256"), digits("fingerprint"), digits("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
