@@ -23,6 +23,8 @@ LEAST = 100
 TOP = 2000
 #: Bits of the filter of frequent runs at most: 32 MB in each task. The fuller it is, the more rare runs become rows, which the count then leaves out.
 FILTER_BITS = 28
+#: Languages whose totals are sent to every task at most.
+SENT = 100_000
 #: Bytes that end a piece of text, and those between words.
 _ENDS, _BETWEEN = np.zeros(256, bool), np.zeros(256, bool)
 _ENDS[list(b".,;:!?\x0a\x0b\x0c\x0d")] = True
@@ -140,6 +142,8 @@ def scored(frequent: DataFrame) -> DataFrame:
         F.array_join(F.slice("w", 1, F.col("k")), " ").alias("head"), F.array_join(F.slice("w", F.col("k") + 1, F.col("words")), " ").alias("rest"),
     )
     cuts = cuts.join(parts.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"])
+    # few languages are sent to their phrases; beyond the bound a join deals the phrases out, and splits the largest
+    totals = F.broadcast(totals) if totals.limit(SENT + 1).count() <= SENT else totals
     cuts = cuts.join(parts.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")), ["lang", "rest"]).join(totals, "lang")
     score = F.expr("(1000BD * CAST(a AS DECIMAL(18,0)) * n) div (l * r)")
     best = cuts.groupBy("lang", "phrase", "words", "a", "n").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("best"))
