@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field, replace
 
+from .segment import Segmenter
+
 
 @dataclass(frozen=True)
 class Pack:
@@ -14,7 +15,7 @@ class Pack:
     least_paragraph: int  # characters that a paragraph must exceed
     sentence: str  # between sentences
     least_sentence: int
-    token: str
+    token: str  # unless a cutter is given
     connectors: dict[str, list[str]]
     slop: dict[str, list[str]]
     stopwords: list[str]
@@ -26,6 +27,7 @@ class Pack:
     edge: str = "[。！？；]"  # between sentences where paragraphs meet
     concept: str = "[一-鿿]{3,}"
     guard: bool = False  # whether signs of a human hand lower levels
+    cutter: Segmenter | None = None  # cuts texts without spaces between words
 
     @property
     def dense_slop(self) -> list[str]:
@@ -47,7 +49,7 @@ ZH = Pack(
     least_paragraph=10,
     sentence="[。！？；!?;]+",
     least_sentence=2,
-    token="",  # by lexicon, below
+    token="",  # a dictionary cuts, below
     connectors={
         "high": ["值得注意的是", "不可忽视的是", "需要指出的是", "需要强调的是", "不容忽视的是", "与此同时", "从某种意义上说", "在此基础上", "在这一背景下", "从这个角度来看", "就目前而言", "在某种程度上", "从根本上说", "毫无疑问", "不言而喻"],
         "medium": ["因此", "然而", "此外", "首先", "其次", "最后", "再次", "进而", "从而", "综上所述", "总而言之", "换言之", "也就是说", "这表明", "这意味着"],
@@ -94,24 +96,26 @@ ZH = Pack(
     guard=True,
 )
 
-def lexicon_token(words: Iterable[str], alone: str) -> str:
-    """A pattern whose matches, from left to right, cut a Chinese text into words: the longest known word there, a sign that is mostly a word
-    by itself, a run of Latin letters and digits, or else two Chinese signs (most words have two), one, or a mark.
-    """
-    known = sorted({w for w in words if len(w) > 1 and re.fullmatch("[一-鿿]+", w)}, key=lambda w: (-len(w), w))
-    return f"(?:{'|'.join(known)})|[{alone}]|[A-Za-z0-9]+|[一-鿿][一-鿿]|[一-鿿]|[^ \\t\\r\\n\\x0B\\f]"
-
-
 #: Signs that are mostly words by themselves; this library's own choice.
 ALONE = "的了在是和就都也很着吗啊吧呢与及或把被我你他她它这那"
 #: Words of three signs and more, and some of two, that texts on research often have; this library's own choice, to be widened by with_words().
 COMMON = ["我们", "他们", "它们", "可能", "地方", "对象", "应用", "过程", "经济", "好处", "看法", "会议", "有效", "不同", "一些", "于是", "以及", "上述", "研究者", "方法论", "可持续", "参与者", "重要性", "可能性", "必要性", "有效性", "人工智能", "机器学习", "社会科学", "自然科学", "基础设施", "公共服务", "信息技术", "数字化", "现代化", "一体化", "参考文献", "关键词"]
 
 
+#: How often a word of these lists is taken to stand in a text that has every sign once for each word; this library's own choice.
+KNOWN, MOSTLY_ALONE = 50, 400
+
+
+def with_frequencies(pack: Pack, frequencies: Mapping[str, int]) -> Pack:
+    """The pack with its words cut by a dictionary: words and how often they stand in texts (readers.dictionary(), operators.lexicons.learn())."""
+    return replace(pack, cutter=Segmenter(frequencies))
+
+
 def with_words(pack: Pack, words: Iterable[str]) -> Pack:
-    """The pack with further words for cutting texts, such as the terms of a discipline."""
-    own = [*pack.all_connectors, *pack.all_slop, *pack.stopwords, *COMMON, *words]
-    return replace(pack, token=lexicon_token(own, ALONE))
+    """The pack with further words for cutting texts, such as the terms of a discipline, each as frequent as the pack's own."""
+    whole = [*pack.all_connectors, *(part for p in pack.all_slop for part in p.split("...") if len(part) > 1), *pack.stopwords, *COMMON, *words]
+    own = dict.fromkeys(whole, KNOWN)
+    return with_frequencies(pack, own | dict.fromkeys(ALONE, MOSTLY_ALONE))
 
 
 ZH = with_words(ZH, [])

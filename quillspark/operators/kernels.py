@@ -44,7 +44,9 @@ class Kernel:
         self.stop, self.signs, self.number = set(pack.stopwords), set(PUNCTUATION), re.compile("[0-9]+")
 
     def tokens(self, text: str | None) -> list[str]:
-        return self.token.findall(text.lower()) if text else []
+        if not text:
+            return []
+        return self.pack.cutter.cut(text.lower()) if self.pack.cutter else self.token.findall(text.lower())
 
     def lengths(self, text: str) -> list[int]:
         """Of the sentences above the least length, in order."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,4 +52,12 @@ def boundary_sentences(par: DataFrame, pack: Pack) -> DataFrame:
 
 
 def tokens(text: Column, pack: Pack) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(pack.token), F.lit(0))
+    """The words of a text in lower case, in order; null for a null text."""
+    if pack.cutter is None:
+        return F.regexp_extract_all(F.lower(text), F.lit(pack.token), F.lit(0))
+    cutter = pack.cutter
+
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else cutter.cut(t) for t in texts], index=texts.index, dtype=object)
+
+    return F.pandas_udf(run, "array<string>")(F.lower(text))

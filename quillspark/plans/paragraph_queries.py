@@ -104,6 +104,18 @@ def _(spark, d):
     return t.select("doc_id", "p_idx", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_types"))
 
 
+@query("zh_segments", f"WITH {ZPAR} SELECT doc_id, p_idx, array_to_string({S.tokens('text', ZH)}, ' ') AS words FROM par")
+def _(spark, d):
+    return P.paragraphs(zh_docs(spark, d), ZH).select("doc_id", "p_idx", F.array_join(P.tokens(F.col("text"), ZH), " ").alias("words"))
+
+
+@query("zh_tokenize_counts", f"""WITH {ZPAR}, t AS (SELECT doc_id, p_idx, {S.tokens("text", ZH)} AS t FROM par)
+SELECT doc_id, p_idx, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_distinct(t)) AS INTEGER) AS n_types FROM t""")
+def _(spark, d):
+    t = P.paragraphs(zh_docs(spark, d), ZH).select("doc_id", "p_idx", P.tokens(F.col("text"), ZH).alias("t"))
+    return t.select("doc_id", "p_idx", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_types"))
+
+
 def _dimension(name: str) -> None:
     key = {"paragraph_similarity": "dim_paragraph_similarity", "hapax_ratio": "dim_hapax", "zipf_deviation": "dim_zipf", "bigram_repetition": "dim_bigram_rep", "trigram_repetition": "dim_trigram_rep", "punctuation_entropy": "dim_punct_entropy", "overall_entropy": "dim_char_entropy"}.get(name, f"dim_{name}")
     similar = name == "paragraph_similarity"

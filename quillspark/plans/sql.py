@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions.packs import PUNCTUATION, Pack
+from ..functions.segment import BEFORE, PIECES, Segmenter
 from ..functions.thresholds import DESCRIPTIONS, RULE_DIMENSIONS, gap_sql, zone_sql
 from ..operators.dimensions import CLASSICAL, HUMAN_SIGNS, NARRATIVE
 
@@ -48,9 +49,44 @@ def sentence_list(text: str, pack: Pack) -> str:
 
 
 def tokens(text: str, pack: Pack) -> str:
+    if pack.cutter:
+        return segmented(f"lower({text})", pack.cutter)
     return f"regexp_extract_all(lower({text}), {q(pack.token)})"
 
 
+def _map(own: dict, value=str) -> str:
+    return "MAP {" + ", ".join(f"{q(k)}: {value(v)}" for k, v in own.items()) + "}"
+
+
+def segmented(text: str, cutter: Segmenter) -> str:
+    """The words of a text as one expression: lists of costs, walked from the end of each run for its cut, and along each unknown stretch for the places of its signs."""
+    let = lambda name, value, body: f"list_transform([{value}], lambda {name}: {body})[1]"
+    known = _map(cutter.words, lambda c: f"{c}::BIGINT")
+    # entry i of `best` is 16 * the cost from there to the end + 15 - the length of the word there, so the least one is the longest of the cheapest
+    word = f"coalesce(({known})[substr(run, i, n)], CASE WHEN n = 1 THEN {cutter.alone} END)"
+    best = f"list_reduce(range(len(run), 0, -1), lambda acc, i: list_prepend(list_min(list_transform(range(1, least({cutter.longest}, len(run) - i + 1) + 1), lambda n: ({word} + acc[n] // 16) * 16 + 15 - n)), acc), [15::BIGINT])"
+    starts = "list_reduce(range(1, len(run) + 1), lambda acc, i: CASE WHEN acc[-1] = i THEN list_append(acc, i + 15 - best[i] % 16) ELSE acc END, [1::BIGINT])"
+    # single signs next to each other are one stretch: a word begins where neither it nor the one before is a single sign
+    single = "starts[{k} + 1] - starts[{k}] = 1"
+    parts = f"list_append(list_filter(starts[:-2], lambda s, k: k = 1 OR NOT ({single.format(k='k')} AND {single.format(k='(k - 1)')})), starts[-1])"
+    rows = ", ".join(f"{q(s)}: {list(e)}::BIGINT[]" for s, e in cutter.signs.items())
+    own = lambda i: f"coalesce((MAP {{{rows}}})[substr(part, {i}, 1)], {cutter.unknown}::BIGINT[])"
+    # four entries a sign, each 4 * the cost of the path to that place + the place before
+    step = lambda p: "list_min([" + ", ".join(f"(acc[{b - 4}] // 4 + {cutter.move[b][p]}) * 4 + {b}" for b in BEFORE[p]) + f"]) + 4 * e[{p + 1}]"
+    first = "[" + ", ".join(f"4 * ({cutter.start[p]} + e[{p + 1}])" for p in range(4)) + "]"
+    paths = f"list_reduce(range(2, len(part) + 1), lambda acc, i: list_concat(acc, {let('e', own('i'), '[' + ', '.join(map(step, range(4))) + ']')}), {let('e', own('1'), first)})"
+    last = "CASE WHEN paths[-2] // 4 <= paths[-1] // 4 THEN 2 ELSE 3 END::BIGINT"
+    places = f"list_reduce(range(len(part), 1, -1), lambda acc, i: list_prepend(paths[4 * (i - 1) + acc[1] + 1] % 4, acc), [{last}])"
+    ends = "list_filter(range(1, len(part) + 1), lambda i: places[i] >= 2)"
+    cut = f"list_transform(ends, lambda e, k: substr(part, CASE WHEN k = 1 THEN 1 ELSE ends[k - 1] + 1 END, e - CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END))"
+    joined = let("paths", paths, let("places", places, let("ends", ends, cut)))
+    # a stretch of single signs is one of which the cut has as many words as signs
+    alone = "len(list_filter(starts, lambda s: s >= parts[j] AND s < parts[j + 1])) = len(part)"
+    each = f"CASE WHEN len(part) = 1 OR NOT ({alone}) THEN [part] WHEN ({known})[part] IS NOT NULL THEN string_split(part, '') ELSE {joined} END"
+    run = let("best", best, let("starts", starts, let("parts", parts, f"flatten(list_transform(range(1, len(parts)), lambda j: {let('part', 'substr(run, parts[j], parts[j + 1] - parts[j])', each)}))")))
+    return f"flatten(list_transform(regexp_extract_all({text}, {q(PIECES)}), lambda run: CASE WHEN regexp_matches(run, '^[一-鿿]') THEN {run} ELSE [run] END))"
+
+
 def similarity(pack: Pack) -> str:
     """sim(doc_id, p_idx, paragraph_similarity) from par."""
     return f"""

@@ -121,6 +121,12 @@ def terms(spark: SparkSession, path: str | None = None) -> DataFrame:
     return own.select(F.explode("terms").alias("term")).unionByName(common).distinct()
 
 
+def dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """word, n: of dictionary files with a word, how often it stands in texts and perhaps a class on each line, with spaces between; lines without a number go."""
+    parts = F.split(F.regexp_replace("value", "^\\s+|\\s+$", ""), "\\s+")
+    return spark.read.text(path).select(F.get(parts, F.lit(0)).alias("word"), F.expr("try_cast(get(split(regexp_replace(value, '^\\\\s+|\\\\s+$', ''), '\\\\s+'), 1) AS bigint)").alias("n")).filter("n IS NOT NULL")
+
+
 def lexicon(spark: SparkSession, pack) -> DataFrame:
     """lexicon, level, phrase: a pack's expressions as a table."""
     rows = [("connector", level, p) for level, own in pack.connectors.items() for p in own]

@@ -208,17 +208,6 @@ def test_golden_values(spark):
         assert [r.sentence_length_std, r.connector_density, r.slop_density, r.punctuation_entropy, r.overall_entropy] == pytest.approx(want, abs=1e-4)
 
 
-def test_chinese_words():
-    from quillspark.functions.packs import with_words
-    from quillspark.operators.kernels import Kernel
-
-    text = "因此，他研究残差网络的效率。Top1为 92%"
-    assert Kernel(ZH).tokens(text) == ["因此", "，", "他", "研究", "残差", "网络", "的", "效率", "。", "top1", "为", "92", "%"]
-    wide = with_words(ZH, ["残差网络"])
-    assert Kernel(wide).tokens(text)[4] == "残差网络"
-    assert Kernel(wide).values(text, None)[3] > Kernel(ZH).values(text, None)[3] == 0
-
-
 def test_no_statistic_of_chinese_words_is_constant(spark, sf):
     from quillspark.plans import registry
 
