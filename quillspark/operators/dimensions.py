@@ -24,8 +24,8 @@ def similarity(par: DataFrame, pack: Pack, most: int = MOST_TERMS) -> DataFrame:
     return par.withColumn("paragraph_similarity", F.pandas_udf(run, "double")("text", "prev"))
 
 
-def dimensions(par: DataFrame, pack: Pack, compare: bool = True) -> DataFrame:
-    """doc_id, p_idx, text and the twelve values, not rounded. Without `compare` the similarity to the paragraph before is 0."""
+def dimensions(par: DataFrame, pack: Pack, compare: bool = True, keep: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, p_idx, text, further columns to keep and the twelve values, not rounded. Without `compare` the similarity to the paragraph before is 0."""
     names = [d[0] for d in RULE_DIMENSIONS]
 
     def run(texts: pd.Series, before: pd.Series) -> pd.DataFrame:
@@ -33,7 +33,8 @@ def dimensions(par: DataFrame, pack: Pack, compare: bool = True) -> DataFrame:
         return pd.DataFrame([kernel.values(t, p) for t, p in zip(texts, before)], columns=names, dtype=float)
 
     values = F.pandas_udf(run, ", ".join(f"{n} double" for n in names))("text", F.col("prev") if compare else F.lit(None).cast("string"))
-    return par.select("doc_id", "p_idx", "text", values.alias("_v")).select("doc_id", "p_idx", "text", "_v.*")
+    more = [c.alias(name) for name, c in (keep or {}).items()]
+    return par.select("doc_id", "p_idx", "text", *more, values.alias("_v")).select("doc_id", "p_idx", "text", *(keep or {}), "_v.*")
 
 
 def classified(dims: DataFrame) -> DataFrame:
@@ -120,7 +121,7 @@ def guarded(rows: DataFrame) -> DataFrame:
     return out.withColumns({"level": new.otherwise(lv), "comprehensive_score": F.col("comprehensive_score") * factor.otherwise(1.0), "guard_triggered": hit, "guard_reason": why.otherwise("")})
 
 
-def scanned(par: DataFrame, pack: Pack, compare: bool = True) -> DataFrame:
+def scanned(par: DataFrame, pack: Pack, compare: bool = True, keep: dict[str, Column] | None = None) -> DataFrame:
     """Dimensions, zones, score and level of each paragraph, with the guard where the pack has one."""
-    rows = classified(dimensions(par, pack, compare))
+    rows = classified(dimensions(par, pack, compare, keep))
     return guarded(rows) if pack.guard else rows

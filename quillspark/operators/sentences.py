@@ -81,15 +81,22 @@ def reference_latch(par: DataFrame, pack: Pack) -> DataFrame:
 def self_perplexity(par: DataFrame, pack: Pack) -> DataFrame:
     """doc_id, p_idx, self_ppl, new_word_ratio: how well the first half of the tokens foretells the second; -1 under 20 tokens. Not rounded."""
 
+    return par.select("doc_id", "p_idx", foretold(F.col("text"), pack).alias("_v")).select("doc_id", "p_idx", "_v.*")
+
+
+def foretold(text: Column, pack: Pack) -> Column:
+    """self_ppl and new_word_ratio of a text."""
+
     def run(texts: pd.Series) -> pd.DataFrame:
         kernel = Kernel(pack)
         return pd.DataFrame([kernel.foretold(t) for t in texts], columns=["self_ppl", "new_word_ratio"], dtype=float)
 
-    values = F.pandas_udf(run, "self_ppl double, new_word_ratio double")("text")
-    return par.select("doc_id", "p_idx", values.alias("_v")).select("doc_id", "p_idx", "_v.*")
+    return F.pandas_udf(run, "self_ppl double, new_word_ratio double")(text)
 
 
 def self_signal(ppl: Column, new: Column) -> Column:
+    """By the perplexity to two places and the share to three."""
+    ppl, new = F.round(ppl, 2), F.round(new, 3)
     low = F.when(ppl < 6, 0.10).when(ppl < 12, 0.05).otherwise(0.0)
     few = F.when(new < 0.25, 0.05).when(new < 0.40, 0.02).otherwise(0.0)
     return F.when(ppl < 0, -1.0).otherwise(low + few)
@@ -129,8 +136,8 @@ def stats_signal() -> Column:
     return F.when(F.col("chars") >= 15, parts).otherwise(0.0)
 
 
-def _reasons(pack: Pack, given: set[str]) -> Column:
-    """Why a sentence scores, in words, in the order in which signals are added; what holds for the whole paragraph is said of its first sentence."""
+def _reasons(pack: Pack, given: set[str], learnt: bool) -> Column:
+    """Why a sentence scores, in words, in the order in which signals are added; what holds for the whole paragraph is said of its first sentence. learnt: a model has given a probability."""
     s, first, long = F.col("sentence"), F.col("s_idx") == 0, F.col("chars") >= 15
     percent = lambda c: F.concat(F.bround(100 * c).cast("int").cast("string"), F.lit("%"))
     places = lambda c, n: F.format_string(f"%.{n}f", F.bround(c, n))
@@ -151,32 +158,43 @@ def _reasons(pack: Pack, given: set[str]) -> Column:
         F.when(first & (F.col("even") > 0) & (F.col("chars") >= 10), F.concat(F.lit("句长均匀(std="), places(F.col("spread"), 1), F.lit(")"))),
         F.when(first & (F.col("bigram") + F.col("own") > 0), F.concat(F.lit("低困惑度:"), F.concat_ws(",", *unlikely))),
         F.when(first & (F.col("human") > 0), F.concat(F.lit("不像人类(sim="), places(value("human_sim"), 2), F.lit(")"))),
-        F.when(first, F.lit("段首句")),
+        F.when(first, F.concat(F.lit("ML("), percent(F.col("probability")), F.lit(")")) if learnt else F.lit("段首句")),
     ]
     return F.array_compact(F.array(*said))
 
 
-def zones_raw(par: DataFrame, pack: Pack, extra: DataFrame | None = None, char_sim: DataFrame | None = None) -> DataFrame:
-    """doc_id, p_idx, s_idx, sentence, chars, score, zone, signals, reasons, ai_dim_count: each sentence by itself; score not rounded.
-
-    The paragraph's level is that of a paragraph with none before it. Sentences under five characters go; in a list of references all are green
-    at 0. `extra` may bring further signals of paragraphs (doc_id, p_idx, bigram, own, human, uniform), which default to none; those of bigram
-    and own count where their sum is above 0; what they come from (avg_prob, self_ppl, human_sim, intra_sim) is named in reasons. `char_sim` (doc_id, p_idx, s_idx, similarity) brings the likeness of sentences to known texts.
-    """
-    levels = scanned(par, pack, compare=False).select("doc_id", "p_idx", "text", "level")
-    shared = reference_latch(paragraph_signals(levels, pack, "level"), pack)
+def sentence_rows(par: DataFrame, pack: Pack, extra: DataFrame | None = None, char_sim: DataFrame | None = None) -> DataFrame:
+    """Each sentence of five characters and more with what its signals and features come from; the parameters are those of zones_raw()."""
+    given = set(extra.columns) if extra is not None else set()
+    keep = {} if "own" in given else {"_told": foretold(F.col("text"), pack)}
+    levels = scanned(par, pack, compare=False, keep=keep).select("doc_id", "p_idx", "text", "level", *keep)
+    shared = reference_latch(paragraph_signals(levels, pack, "level", *keep), pack)
     if extra is not None:
         shared = shared.join(extra, ["doc_id", "p_idx"], "left")
+    if keep:
+        shared = shared.withColumns({"own": self_signal(F.col("_told.self_ppl"), F.col("_told.new_word_ratio")), "self_ppl": F.col("_told.self_ppl")})
     for k in ("bigram", "own", "human", "uniform"):
-        shared = shared.withColumn(k, F.coalesce(F.col(k), F.lit(0.0)) if extra is not None and k in extra.columns else F.lit(0.0))
-    told_by = [k for k in ("avg_prob", "self_ppl", "human_sim", "intra_sim") if extra is not None and k in extra.columns]
-    keep = ["doc_id", "p_idx", "template", "parallel", "even", "spread", "level", "in_references", "bigram", "own", "human", "uniform", *told_by]
-    rows = shared.select(*keep, F.size("sents").alias("n_sents"), F.posexplode("sents").alias("s_idx", "sentence")).withColumn("chars", F.length("sentence")).filter("chars >= 5")
+        shared = shared.withColumn(k, F.coalesce(F.col(k), F.lit(0.0)) if k in shared.columns else F.lit(0.0))
+    told_by = [k for k in ("avg_prob", "self_ppl", "human_sim", "intra_sim") if k in shared.columns]
+    columns = ["doc_id", "p_idx", "template", "parallel", "even", "spread", "level", "in_references", "bigram", "own", "human", "uniform", *told_by]
+    rows = shared.select(*columns, F.size("sents").alias("n_sents"), F.posexplode("sents").alias("s_idx", "sentence")).withColumn("chars", F.length("sentence")).filter("chars >= 5")
     rows = sentence_stats(rows, pack)
     if char_sim is not None:
-        rows = rows.join(char_sim.select("doc_id", "p_idx", "s_idx", F.col("similarity").alias("_like")), ["doc_id", "p_idx", "s_idx"], "left")
-    else:
-        rows = rows.withColumn("_like", F.lit(None).cast("double"))
+        return rows.join(char_sim.select("doc_id", "p_idx", "s_idx", F.col("similarity").alias("_like")), ["doc_id", "p_idx", "s_idx"], "left")
+    return rows.withColumn("_like", F.lit(None).cast("double"))
+
+
+def zones_raw(par: DataFrame, pack: Pack, extra: DataFrame | None = None, char_sim: DataFrame | None = None, model=None) -> DataFrame:
+    """doc_id, p_idx, s_idx, sentence, chars, score, zone, signals, reasons, ai_dim_count: each sentence by itself; score not rounded.
+
+    The paragraph's level is that of a paragraph with none before it. Sentences under five characters go; in a list of references all are green
+    at 0. How well a paragraph foretells itself always counts. `extra` may bring further signals of paragraphs (doc_id, p_idx, bigram, own, human, uniform), which default to none; those of bigram
+    and own count where their sum is above 0; what they come from (avg_prob, self_ppl, human_sim, intra_sim) is named in reasons. `char_sim` (doc_id, p_idx, s_idx, similarity) brings the likeness of sentences to known texts.
+
+    `model` (a scoring.Detector) decides instead: a sentence's score is then the probability that it gives, and its zone the model's. Signals are those that the rules see.
+    """
+    rows = sentence_rows(par, pack, extra, char_sim)
+    told_by = {k for k in ("avg_prob", "self_ppl", "human_sim", "intra_sim") if k in rows.columns}
     s = F.col("sentence")
     told = F.col("bigram") + F.col("own")
     signals = {
@@ -196,18 +214,24 @@ def zones_raw(par: DataFrame, pack: Pack, extra: DataFrame | None = None, char_s
         "last": F.when((F.col("s_idx") == F.col("n_sents") - 1) & (F.col("n_sents") > 1), 0.03).otherwise(0.0),
         "level": F.when(F.col("level").isin("red", "deep_red"), 0.18).when(F.col("level") == "yellow", 0.10).otherwise(0.0),
     }
-    total = F.lit(0.0)
-    for v in signals.values():
-        total = total + v
-    total = total + 0.03
+    protected = F.col("in_references")
     fired = F.array(*(F.when(v > 0, F.lit(k)) for k, v in signals.items()))
-    rows = rows.withColumns({"score": F.when(F.col("in_references"), 0.0).otherwise(total), "signals": F.when(F.col("in_references"), F.array(F.lit("references"))).otherwise(F.array_compact(fired))})
-    reasons = F.when(F.col("in_references"), F.array(F.lit("参考文献(保护)"))).otherwise(_reasons(pack, set(told_by)))
-    rows = rows.withColumn("reasons", reasons).withColumn("ai_dim_count", F.when(F.col("in_references"), 0).otherwise(F.size("reasons")))
-    # sums of hundredths: the cut-offs must not hang on the last bit
-    cut = F.round("score", 6)
-    zone = F.when(cut >= 0.26, "red").when(cut >= 0.20, "orange").when(cut >= 0.10, "yellow").otherwise("green")
-    return rows.select("doc_id", "p_idx", "s_idx", "sentence", "chars", F.least("score", F.lit(1.0)).alias("score"), zone.alias("zone"), "signals", "reasons", "ai_dim_count")
+    rows = rows.withColumn("signals", F.when(protected, F.array(F.lit("references"))).otherwise(F.array_compact(fired)))
+    if model is None:
+        total = F.lit(0.0)
+        for v in signals.values():
+            total = total + v
+        rows = rows.withColumn("score", total + 0.03)
+        # sums of hundredths: the cut-offs must not hang on the last bit
+        cut = F.round("score", 6)
+        zone = F.when(cut >= 0.26, "red").when(cut >= 0.20, "orange").when(cut >= 0.10, "yellow").otherwise("green")
+    else:
+        rows = model.scanned(rows, pack).withColumn("score", F.col("probability"))
+        zone = F.col("zone")
+    reasons = F.when(protected, F.array(F.lit("参考文献(保护)"))).otherwise(_reasons(pack, told_by, model is not None))
+    rows = rows.withColumns({"zone": F.when(protected, "green").otherwise(zone), "score": F.when(protected, 0.0).otherwise(F.least("score", F.lit(1.0))), "reasons": reasons})
+    rows = rows.withColumn("ai_dim_count", F.when(protected, 0).otherwise(F.size("reasons")))
+    return rows.select("doc_id", "p_idx", "s_idx", "sentence", "chars", "score", "zone", "signals", "reasons", "ai_dim_count")
 
 
 def propagated(rows: DataFrame) -> DataFrame:

@@ -18,8 +18,8 @@ from ..sources.stored import stored
 from ..streaming import scan
 from . import sql as S
 from .paragraph_queries import PAR, TALK, documents, par, rounded, talk
-from .sentence_queries import SPREAD, formula_sql, sent_sql, shared_sql, starter_sql, stats_sql, zones_sql
-from .vector_queries import SEMANTIC
+from .sentence_queries import SPREAD, SUMMARY, TOLD, TOLD_JOINS, formula_sql, self_sql, sent_sql, shared_sql, starter_sql, stats_sql, told_by_models, zones_sql
+from .vector_queries import SEMANTIC, SENTENCE_VECTORS, told_by_vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -103,21 +103,67 @@ def _(spark, d):
 
 _HIT = lambda own: f"least({S.hits('sentence', own)} / 3.0::DOUBLE, 1.0::DOUBLE)"
 _FEATURES = {
-    "lexical_diversity": "lexical_diversity", "char_entropy": "least(char_entropy / 8, 1.0::DOUBLE)", "word_repetition": "least(word_repetition / 5.0::DOUBLE, 1.0::DOUBLE)", "unique_char_ratio": "unique_char_ratio", "char_similarity": "0.0::DOUBLE",
+    "lexical_diversity": "lexical_diversity", "char_entropy": "least(char_entropy / 8, 1.0::DOUBLE)", "word_repetition": "least(word_repetition / 5.0::DOUBLE, 1.0::DOUBLE)", "unique_char_ratio": "unique_char_ratio", "char_similarity": "CASE WHEN chars >= 10 THEN coalesce(ck.c, 0) ELSE 0 END::DOUBLE",
     "high_connectors": _HIT(LATIN.connectors["high"]), "medium_connectors": _HIT(LATIN.connectors["medium"]), "low_connectors": _HIT(LATIN.connectors["low"]), "slop": f"CASE WHEN {S.hits('sentence', LATIN.all_slop)} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END",
     "template": "least(template / 0.4::DOUBLE, 1.0::DOUBLE)", "parallel_starter": f"CASE WHEN {starter_sql('sentence', LATIN)} IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", "formula": f"CASE WHEN {formula_sql('sentence', LATIN)} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END",
-    "even_lengths": "least(even / 0.1::DOUBLE, 1.0::DOUBLE)", "place": "CASE WHEN s_idx = 0 THEN 1.0 WHEN s_idx = n_sents - 1 THEN 0.6 ELSE 0 END::DOUBLE", "uniform": "0.0::DOUBLE",
-    "level": "CASE level WHEN 'deep_red' THEN 1.0 WHEN 'red' THEN 0.7 WHEN 'yellow' THEN 0.4 ELSE 0 END::DOUBLE", "bigram": "0.0::DOUBLE", "own": "0.0::DOUBLE", "human": "0.0::DOUBLE",
+    "even_lengths": "least(even / 0.1::DOUBLE, 1.0::DOUBLE)", "place": "CASE WHEN st.s_idx = 0 THEN 1.0 WHEN st.s_idx = n_sents - 1 THEN 0.6 ELSE 0 END::DOUBLE", "uniform": "least(coalesce(sv2.un, 0) / 0.14::DOUBLE, 1.0::DOUBLE)",
+    "level": "CASE level WHEN 'deep_red' THEN 1.0 WHEN 'red' THEN 0.7 WHEN 'yellow' THEN 0.4 ELSE 0 END::DOUBLE", "bigram": "least(sg.b / 0.1::DOUBLE, 1.0::DOUBLE)", "own": "least(ow.o / 0.15::DOUBLE, 1.0::DOUBLE)", "human": "least(sv2.hu / 0.16::DOUBLE, 1.0::DOUBLE)",
 }
 
 
-@query("sentence_features", f"""WITH {PAR}, {sent_sql(LATIN)}, {S.scanned(LATIN, False)}, {stats_sql(LATIN)}, {shared_sql(LATIN)}
-SELECT st.doc_id, st.p_idx, s_idx, {", ".join(f"round({v}, 6) AS {k}" for k, v in _FEATURES.items())} FROM st JOIN psig USING (doc_id, p_idx) JOIN cls USING (doc_id, p_idx) WHERE chars >= 5""")
+_ALL_FEATURES = f"""{sent_sql(LATIN)}, {TOLD} {SENTENCE_VECTORS} {S.scanned(LATIN, False)}, {stats_sql(LATIN)}, {shared_sql(LATIN)}, {self_sql(LATIN)},
+ft AS (SELECT st.doc_id, st.p_idx, st.s_idx, chars, in_references, {", ".join(f"{v} AS {k}" for k, v in _FEATURES.items())} FROM st JOIN psig USING (doc_id, p_idx) JOIN cls USING (doc_id, p_idx) JOIN ow USING (doc_id, p_idx)
+  JOIN sv2 ON sv2.doc_id = st.doc_id AND sv2.p_idx = st.p_idx {TOLD_JOINS} WHERE chars >= 5)"""
+
+
+def _told(spark, d, rows):
+    """All signals of models and vectors: of paragraphs, and of sentences."""
+    pairs, like = told_by_models(spark, d, rows)
+    return pairs.join(told_by_vectors(spark, d, rows), ["doc_id", "p_idx"], "full"), like
+
+
+@query("sentence_features", f"WITH {TALK}, {_ALL_FEATURES} SELECT doc_id, p_idx, s_idx, {', '.join(f'round({k}, 6) AS {k}' for k in _FEATURES)} FROM ft")
 def _(spark, d):
+    """The sentences of conversations, with all nineteen."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = C.features(par(spark, d), LATIN).withColumn("f", vector_to_array("features"))
-    return rows.select("doc_id", "p_idx", "s_idx", *(F.round(F.col("f")[k], 6).alias(n) for k, n in enumerate(C.FEATURES)))
+    rows = talk(spark, d)
+    found = C.features(rows, LATIN, *_told(spark, d, rows)).withColumn("f", vector_to_array("features"))
+    return found.select("doc_id", "p_idx", "s_idx", *(F.round(F.col("f")[k], 6).alias(n) for k, n in enumerate(C.FEATURES)))
+
+
+#: A small forest that is given, not learnt, so that SQL can have it too; of rules that the features' meanings suggest.
+_AT = {n: k for k, n in enumerate(C.FEATURES)}
+GIVEN = [
+    (_AT["char_similarity"], 0.3, (_AT["own"], 0.3, (_AT["level"], 0.5, 0.08, 0.31), 0.47), (_AT["bigram"], 0.2, 0.62, 0.86)),
+    (_AT["lexical_diversity"], 0.93, (_AT["char_entropy"], 0.47, 0.74, (_AT["place"], 0.5, 0.36, 0.52)), (_AT["unique_char_ratio"], 0.35, 0.55, 0.14)),
+    (_AT["uniform"], 0.5, (_AT["human"], 0.5, (_AT["even_lengths"], 0.5, 0.11, 0.42), (_AT["word_repetition"], 0.3, 0.28, 0.66)), 0.78),
+    (_AT["medium_connectors"], 0.3, (_AT["slop"], 0.5, (_AT["unique_char_ratio"], 0.45, 0.49, 0.2), 0.9), (_AT["high_connectors"], 0.3, 0.58, 0.81)),
+]
+_P = f"({' + '.join(['0.0::DOUBLE', *(C.tree_sql(t, list(_FEATURES)) for t in GIVEN)])}) / {float(len(GIVEN))!r}::DOUBLE"
+_MODEL_ZONES = f"""{_ALL_FEATURES}, pr AS (SELECT doc_id, p_idx, s_idx, chars, in_references, {_P} AS p FROM ft),
+zr AS (SELECT doc_id, p_idx, s_idx, chars, CASE WHEN in_references THEN 0.0::DOUBLE ELSE p END AS score,
+  CASE WHEN in_references THEN 'green' WHEN round(p, 6) >= {C.CUTS[0]} THEN 'red' WHEN round(p, 6) >= {C.CUTS[1]} THEN 'orange' WHEN round(p, 6) >= {C.CUTS[2]} THEN 'yellow' ELSE 'green' END AS zone FROM pr), {SPREAD}"""
+
+
+def _model_zones(spark, d):
+    rows = talk(spark, d)
+    return T.zones_raw(rows, LATIN, *_told(spark, d, rows), model=C.Detector.of(GIVEN))
+
+
+@query("model_zones", f"WITH {TALK}, {_MODEL_ZONES} SELECT zp.doc_id, zp.p_idx, zp.s_idx, round(zp.score, 6) AS score, zp.zone, CASE WHEN zp.s_idx = 0 AND NOT in_references THEN 'ML(' || printf('%.0f', 100 * p) || '%)' END AS said FROM zp JOIN pr USING (doc_id, p_idx, s_idx)")
+def _(spark, d):
+    """A forest as the main detector of a scan: its zones after the latch and the spread, and what it says of first sentences."""
+    zones = T.propagated(_model_zones(spark, d))
+    return zones.select("doc_id", "p_idx", "s_idx", F.round("score", 6).alias("score"), "zone", F.get(F.filter("reasons", lambda r: r.startswith("ML(")), F.lit(0)).alias("said"))
+
+
+@query("model_ai_rate", f"WITH {TALK}, {_MODEL_ZONES}, sm AS ({SUMMARY}) SELECT * FROM sm JOIN (SELECT doc_id, round(sum(chars * CASE zone WHEN 'red' THEN 1.0 WHEN 'orange' THEN 0.7 WHEN 'yellow' THEN 0.4 ELSE 0 END::DOUBLE) / sum(chars), 6) AS weighted_rate FROM zp GROUP BY doc_id) USING (doc_id)")
+def _(spark, d):
+    """The rates of conversations by that forest."""
+    zones = stored(T.propagated(_model_zones(spark, d)).select("doc_id", "chars", "zone"), "zones")
+    weighted = C.Detector.of(GIVEN).weighted_rate(zones).withColumn("weighted_rate", F.round("weighted_rate", 6))
+    return T.document_summary(zones).withColumn("ai_rate", F.round("ai_rate", 6)).join(weighted, "doc_id")
 
 
 @query("rf_score", None)
@@ -126,7 +172,7 @@ def _(spark, d):
     rows = stored(C.features(par(spark, d), LATIN), "features").withColumn("held_out", F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0)
     labels = spark.read.parquet(f"{d}/labels.parquet").filter("quality IS NOT NULL").select("doc_id", (1.0 - F.col("quality")).alias("label"))
     model = C.train(rows.filter("NOT held_out").join(labels, "doc_id"))
-    return C.scored(rows, model).select("doc_id", "p_idx", "s_idx", "held_out", *rounded("probability"), "zone")
+    return C.Detector.of(model).transform(rows).select("doc_id", "p_idx", "s_idx", "held_out", *rounded("probability"), "zone")
 
 
 @query("stream_scan", f"WITH {PAR}, {S.dims(LATIN)}, {S.classified()} SELECT doc_id, p_idx, ai_count, level FROM cls")

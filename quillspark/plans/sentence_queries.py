@@ -73,17 +73,30 @@ def connector_sql(x: str, pack) -> str:
     return f"CASE WHEN {h} >= 2 THEN 0.3 WHEN {h} = 1 THEN 0.18 WHEN {m} >= 2 THEN 0.22 WHEN {m} = 1 THEN 0.1 WHEN {lo} >= 2 THEN 0.08 WHEN {lo} = 1 THEN 0.04 ELSE 0 END::DOUBLE"
 
 
-def zones_sql(pack, more: str = "0.0::DOUBLE", joins: str = "", before: str = "") -> str:
-    """zr: raw zones. more: a further sum of signals, from what `before` defines and `joins` brings in."""
-    return f"""{sent_sql(pack)}, {before} {S.scanned(pack, False)}, {stats_sql(pack)}, {shared_sql(pack)},
+def self_sql(pack) -> str:
+    """sp: how well a paragraph foretells itself; ow: what that counts."""
+    return f"""
+s_t AS (SELECT doc_id, p_idx, {S.tokens("text", pack)} AS t FROM par),
+s_h AS (SELECT doc_id, p_idx, len(t) AS n, t[1:len(t) // 2] AS a, t[len(t) // 2 + 1:] AS b FROM s_t),
+s_f AS (SELECT doc_id, p_idx, w, count(*) AS f FROM (SELECT doc_id, p_idx, unnest(a) AS w FROM s_h) GROUP BY ALL),
+s_v AS (SELECT doc_id, p_idx, count(*) AS v FROM s_f GROUP BY ALL),
+s_r AS (SELECT h.doc_id, h.p_idx, avg(CASE WHEN f.f IS NULL THEN log2(len(a) + v.v + 1) ELSE -log2(greatest(f.f::DOUBLE / len(a), 1e-8)) END) AS cost, avg(CASE WHEN f.f IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS fresh
+      FROM (SELECT *, unnest(b) AS w FROM s_h WHERE n >= 20) h JOIN s_v v USING (doc_id, p_idx) LEFT JOIN s_f f ON f.doc_id = h.doc_id AND f.p_idx = h.p_idx AND f.w = h.w GROUP BY ALL),
+sp AS (SELECT h.doc_id, h.p_idx, coalesce(power(2, cost), -1.0::DOUBLE) AS self_ppl, coalesce(fresh, -1.0::DOUBLE) AS new_word_ratio FROM s_h h LEFT JOIN s_r r USING (doc_id, p_idx)),
+ow AS (SELECT doc_id, p_idx, self_ppl, CASE WHEN self_ppl < 0 THEN -1.0 ELSE CASE WHEN round(self_ppl, 2) < 6 THEN 0.1 WHEN round(self_ppl, 2) < 12 THEN 0.05 ELSE 0 END + CASE WHEN round(new_word_ratio, 3) < 0.25 THEN 0.05 WHEN round(new_word_ratio, 3) < 0.4 THEN 0.02 ELSE 0 END END::DOUBLE AS o FROM sp)"""
+
+
+def zones_sql(pack, more: str = "0.0::DOUBLE", joins: str = "", before: str = "", bigram: str = "0.0::DOUBLE") -> str:
+    """zr: raw zones. more: a further sum of signals, from what `before` defines and `joins` brings in; bigram: that of word pairs."""
+    return f"""{sent_sql(pack)}, {before} {S.scanned(pack, False)}, {stats_sql(pack)}, {shared_sql(pack)}, {self_sql(pack)},
 zs AS (SELECT st.doc_id, st.p_idx, st.s_idx, sentence, chars, CASE WHEN in_references THEN 0.0::DOUBLE ELSE
   CASE WHEN chars >= 15 THEN (CASE WHEN lexical_diversity < 0.55 THEN 0.1 WHEN lexical_diversity < 0.68 THEN 0.05 ELSE 0 END + CASE WHEN char_entropy < 3 THEN 0.07 WHEN char_entropy < 3.8 THEN 0.03 ELSE 0 END
     + CASE WHEN word_repetition >= 3 THEN 0.1 WHEN word_repetition >= 2 THEN 0.05 ELSE 0 END + CASE WHEN unique_char_ratio < 0.5 THEN 0.07 WHEN unique_char_ratio < 0.62 THEN 0.03 ELSE 0 END)::DOUBLE ELSE 0.0::DOUBLE END
   + {connector_sql("sentence", pack)} + CASE WHEN {S.hits("sentence", pack.all_slop)} >= 1 THEN 0.28 ELSE 0 END::DOUBLE + template * 0.4::DOUBLE
   + CASE WHEN parallel > 0 AND {starter_sql("sentence", pack)} IS NOT NULL THEN parallel ELSE 0.0::DOUBLE END + {formula_sql("sentence", pack)}
   + CASE WHEN chars >= 10 THEN even ELSE 0.0::DOUBLE END + CASE WHEN chars BETWEEN 15 AND 25 THEN 0.03 ELSE 0 END::DOUBLE + CASE WHEN st.s_idx = 0 THEN 0.04 ELSE 0 END::DOUBLE
-  + CASE WHEN st.s_idx = n_sents - 1 AND n_sents > 1 THEN 0.03 ELSE 0 END::DOUBLE + CASE WHEN level IN ('red', 'deep_red') THEN 0.18 WHEN level = 'yellow' THEN 0.1 ELSE 0 END::DOUBLE + 0.03::DOUBLE + {more} END AS raw
-  FROM st JOIN psig USING (doc_id, p_idx) JOIN cls USING (doc_id, p_idx) {joins} WHERE chars >= 5),
+  + CASE WHEN st.s_idx = n_sents - 1 AND n_sents > 1 THEN 0.03 ELSE 0 END::DOUBLE + CASE WHEN level IN ('red', 'deep_red') THEN 0.18 WHEN level = 'yellow' THEN 0.1 ELSE 0 END::DOUBLE + 0.03::DOUBLE + CASE WHEN {bigram} + ow.o > 0 THEN {bigram} + ow.o ELSE 0.0::DOUBLE END + {more} END AS raw
+  FROM st JOIN psig USING (doc_id, p_idx) JOIN cls USING (doc_id, p_idx) JOIN ow USING (doc_id, p_idx) {joins} WHERE chars >= 5),
 zr AS (SELECT doc_id, p_idx, s_idx, sentence, chars, least(raw, 1.0::DOUBLE) AS score,
   CASE WHEN round(raw, 6) >= 0.26 THEN 'red' WHEN round(raw, 6) >= 0.2 THEN 'orange' WHEN round(raw, 6) >= 0.1 THEN 'yellow' ELSE 'green' END AS zone FROM zs)"""
 
@@ -156,6 +169,7 @@ def reasons_sql(pack) -> str:
         f"CASE WHEN parallel > 0 AND {starter_sql('sentence', pack)} IS NOT NULL THEN '排比句式' END",
         names,
         "CASE WHEN s_idx = 0 AND even > 0 AND chars >= 10 THEN '句长均匀(std=' || printf('%.1f', sd) || ')' END",
+        "CASE WHEN s_idx = 0 AND o > 0 THEN '低困惑度:自洽(self_ppl=' || printf('%.1f', self_ppl) || ')' END",
         "CASE WHEN s_idx = 0 THEN '段首句' END",
     ]
     return f"CASE WHEN in_references THEN ['参考文献(保护)'] ELSE list_filter([{', '.join(said)}], lambda x: x IS NOT NULL) END"
@@ -163,21 +177,12 @@ def reasons_sql(pack) -> str:
 
 _both(
     "sentence_reasons", True,
-    lambda p: f"{sent_sql(p)}, {stats_sql(p)}, {shared_sql(p)}, r AS (SELECT doc_id, p_idx, s_idx, in_references, {reasons_sql(p)} AS reasons FROM st JOIN psig USING (doc_id, p_idx) WHERE chars >= 5) SELECT doc_id, p_idx, s_idx, array_to_string(reasons, '|') AS reasons, CASE WHEN in_references THEN 0 ELSE CAST(len(reasons) AS INTEGER) END AS ai_dim_count FROM r",
+    lambda p: f"{sent_sql(p)}, {stats_sql(p)}, {shared_sql(p)}, {self_sql(p)}, r AS (SELECT doc_id, p_idx, s_idx, in_references, {reasons_sql(p)} AS reasons FROM st JOIN psig USING (doc_id, p_idx) JOIN ow USING (doc_id, p_idx) WHERE chars >= 5) SELECT doc_id, p_idx, s_idx, array_to_string(reasons, '|') AS reasons, CASE WHEN in_references THEN 0 ELSE CAST(len(reasons) AS INTEGER) END AS ai_dim_count FROM r",
     lambda rows, p: T.zones_raw(rows, p).select("doc_id", "p_idx", "s_idx", F.array_join("reasons", "|").alias("reasons"), "ai_dim_count"),
 )
 
 
-_SELF = f"""WITH {PAR}, t AS (SELECT doc_id, p_idx, {S.tokens("text", LATIN)} AS t FROM par),
-h AS (SELECT doc_id, p_idx, len(t) AS n, t[1:len(t) // 2] AS a, t[len(t) // 2 + 1:] AS b FROM t),
-f AS (SELECT doc_id, p_idx, w, count(*) AS f FROM (SELECT doc_id, p_idx, unnest(a) AS w FROM h) GROUP BY ALL),
-v AS (SELECT doc_id, p_idx, count(*) AS v FROM f GROUP BY ALL),
-r AS (SELECT h.doc_id, h.p_idx, avg(CASE WHEN f.f IS NULL THEN log2(len(a) + v.v + 1) ELSE -log2(greatest(f.f::DOUBLE / len(a), 1e-8)) END) AS cost, avg(CASE WHEN f.f IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS fresh
-      FROM (SELECT *, unnest(b) AS w FROM h WHERE n >= 20) h JOIN v USING (doc_id, p_idx) LEFT JOIN f ON f.doc_id = h.doc_id AND f.p_idx = h.p_idx AND f.w = h.w GROUP BY ALL),
-sp AS (SELECT h.doc_id, h.p_idx, coalesce(power(2, cost), -1.0::DOUBLE) AS self_ppl, coalesce(fresh, -1.0::DOUBLE) AS new_word_ratio FROM h LEFT JOIN r USING (doc_id, p_idx))"""
-
-
-@query("self_perplexity", f"{_SELF} SELECT doc_id, p_idx, round(self_ppl, 4) AS self_ppl, round(new_word_ratio, 6) AS new_word_ratio FROM sp")
+@query("self_perplexity", f"WITH {PAR}, {self_sql(LATIN)} SELECT doc_id, p_idx, round(self_ppl, 4) AS self_ppl, round(new_word_ratio, 6) AS new_word_ratio FROM sp")
 def _(spark, d):
     return T.self_perplexity(par(spark, d), LATIN).select("doc_id", "p_idx", F.round("self_ppl", 4).alias("self_ppl"), *rounded("new_word_ratio"))
 
@@ -228,33 +233,40 @@ def _(spark, d):
     return M.best_match(rows, ["conv_id", "turn"], vocabulary, weights).select("conv_id", "turn", *rounded("similarity"))
 
 
-_ALL_SIGNALS = zones_sql(
-    LATIN,
-    more="CASE WHEN sg.b + sg.o > 0 THEN sg.b + sg.o ELSE 0 END::DOUBLE + CASE WHEN coalesce(ck.c, 0) > 0.5 THEN 0.4 WHEN coalesce(ck.c, 0) > 0.3 THEN 0.22 ELSE 0 END::DOUBLE",
-    joins="JOIN sg ON sg.doc_id = st.doc_id AND sg.p_idx = st.p_idx LEFT JOIN ck ON ck.doc_id = st.doc_id AND ck.p_idx = st.p_idx AND ck.s_idx = st.s_idx",
-    before=f"""{_LM}, {_TFIDF}, pt AS (SELECT doc_id, p_idx, {S.tokens("text", LATIN)} AS t FROM par),
+TOLD = f"""{_LM}, {_TFIDF}, pt AS (SELECT doc_id, p_idx, {S.tokens("text", LATIN)} AS t FROM par),
 pb AS (SELECT doc_id, p_idx, t[i] AS w1, t[i + 1] AS w2 FROM (SELECT *, unnest(range(1, len(t))) AS i FROM pt WHERE len(t) >= 4)),
 mt AS (SELECT doc_id, p_idx, count(*) AS n, avg(p) AS a FROM pb JOIN lm USING (w1, w2) GROUP BY ALL),
-{_SELF.partition("t AS (")[2].join(["t AS (", ""])},
-sg AS (SELECT par.doc_id, par.p_idx, CASE WHEN coalesce(n, 0) < 3 THEN -1.0 WHEN a > 0.25 THEN 0.1 WHEN a > 0.12 THEN 0.06 WHEN a > 0.05 THEN 0.02 ELSE 0 END::DOUBLE AS b,
-  CASE WHEN self_ppl < 0 THEN -1.0 ELSE CASE WHEN self_ppl < 6 THEN 0.1 WHEN self_ppl < 12 THEN 0.05 ELSE 0 END + CASE WHEN new_word_ratio < 0.25 THEN 0.05 WHEN new_word_ratio < 0.4 THEN 0.02 ELSE 0 END END::DOUBLE AS o
-  FROM par LEFT JOIN mt USING (doc_id, p_idx) LEFT JOIN sp USING (doc_id, p_idx)),
+sg AS (SELECT par.doc_id, par.p_idx, CASE WHEN coalesce(n, 0) < 3 THEN -1.0 WHEN a > 0.25 THEN 0.1 WHEN a > 0.12 THEN 0.06 WHEN a > 0.05 THEN 0.02 ELSE 0 END::DOUBLE AS b FROM par LEFT JOIN mt USING (doc_id, p_idx)),
 xg AS (SELECT doc_id, p_idx, s_idx, unnest({_GRAMS.format(x="sentence")}) AS g FROM sent WHERE len(sentence) >= 10),
 x0 AS (SELECT doc_id, p_idx, s_idx, g, count(*) * any_value(idf) AS w FROM xg JOIN vi USING (g) GROUP BY ALL),
 xw AS (SELECT doc_id, p_idx, s_idx, g, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id, p_idx, s_idx)) AS w FROM x0),
 xm AS (SELECT doc_id, p_idx, s_idx, item_id, sum(xw.w * rw.w) AS c FROM xw JOIN rw USING (g) GROUP BY ALL),
-ck AS (SELECT doc_id, p_idx, s_idx, max(c) AS c FROM xm GROUP BY ALL),""",
-)
+ck AS (SELECT doc_id, p_idx, s_idx, max(c) AS c FROM xm GROUP BY ALL),"""
+TOLD_JOINS = "JOIN sg ON sg.doc_id = st.doc_id AND sg.p_idx = st.p_idx LEFT JOIN ck ON ck.doc_id = st.doc_id AND ck.p_idx = st.p_idx AND ck.s_idx = st.s_idx"
+_LIKE = "CASE WHEN coalesce(ck.c, 0) > 0.5 THEN 0.4 WHEN coalesce(ck.c, 0) > 0.3 THEN 0.22 ELSE 0 END::DOUBLE"
+_ALL_SIGNALS = zones_sql(LATIN, more=_LIKE, joins=TOLD_JOINS, before=TOLD, bigram="sg.b")
 
 
-@query("sentence_zones_all_signals", f"WITH {TALK}, {_ALL_SIGNALS}, {SPREAD} SELECT doc_id, p_idx, s_idx, round(score, 4) AS score, zone FROM zp")
-def _(spark, d):
-    """Conversations with every signal that needs no vectors: the models come from the benchmark's texts."""
-    rows, refs = talk(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")
+def told_by_models(spark, d, rows):
+    """Signals of paragraphs and likeness of sentences, by models of the benchmark's texts."""
+    refs = spark.read.parquet(f"{d}/benchmark.parquet")
     avg = M.average_probability(rows, M.bigram_model(refs, LATIN), LATIN)
-    own = T.self_perplexity(rows, LATIN)
-    extra = avg.join(own, ["doc_id", "p_idx"]).select("doc_id", "p_idx", "avg_prob", "self_ppl", T.bigram_signal(F.col("avg_prob")).alias("bigram"), T.self_signal(F.col("self_ppl"), F.col("new_word_ratio")).alias("own"))
     keys = ["doc_id", "p_idx", "s_idx"]
     like = M.best_match(P.sentences(rows, LATIN).select(*keys, F.col("sentence").alias("text")), keys, *M.char_model(refs, "item_id"))
-    zones = T.propagated(T.zones_raw(rows, LATIN, extra, like))
-    return zones.select(*keys, F.round("score", 4).alias("score"), "zone")
+    return avg.select("doc_id", "p_idx", "avg_prob", T.bigram_signal(F.col("avg_prob")).alias("bigram")), like
+
+
+@query("sentence_zones_all_signals", f"WITH {TALK}, {_ALL_SIGNALS}, {SPREAD} SELECT doc_id, p_idx, s_idx, round(score, 4) AS score, zone FROM zp")
+def _(spark, d):
+    """Conversations with every signal that needs no vectors: the models come from the benchmark's texts."""
+    rows = talk(spark, d)
+    zones = T.propagated(T.zones_raw(rows, LATIN, *told_by_models(spark, d, rows)))
+    return zones.select("doc_id", "p_idx", "s_idx", F.round("score", 4).alias("score"), "zone")
+
+
+@query("document_ai_rate_all_signals", f"WITH {TALK}, {_ALL_SIGNALS}, {SPREAD}, sm AS ({SUMMARY}) SELECT *, CASE WHEN ai_rate > 0.4 THEN 'high' WHEN ai_rate > 0.15 THEN 'partial' ELSE 'safe' END AS verdict FROM sm")
+def _(spark, d):
+    """The rate and verdict of conversations, with those signals."""
+    rows = talk(spark, d)
+    out = T.document_summary(T.propagated(T.zones_raw(rows, LATIN, *told_by_models(spark, d, rows)))).withColumn("ai_rate", F.round("ai_rate", 6))
+    return out.withColumn("verdict", T.verdict(F.col("ai_rate")))

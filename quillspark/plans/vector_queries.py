@@ -158,22 +158,28 @@ def _(spark, d):
     return rows.agg(F.count(F.lit(1)).alias("paragraphs"), F.count_if(F.col("fused_level").isin("red", "deep_red")).alias("high_risk"))
 
 
-_SENTENCE_VECTORS = f"""{_vector_sql("pv", "par", "text")}, {_vector_sql("sv0", "(SELECT doc_id, p_idx * 1000000 + s_idx AS p_idx, sentence AS text FROM sent WHERE chars >= 5)", "text")},
+SENTENCE_VECTORS = f"""{_vector_sql("pv", "par", "text")}, {_vector_sql("sv0", "(SELECT doc_id, p_idx * 1000000 + s_idx AS p_idx, sentence AS text FROM sent WHERE chars >= 5)", "text")},
 sv AS (SELECT doc_id, p_idx // 1000000 AS p_idx, p_idx % 1000000 AS s_idx, b, x FROM sv0),
 sc AS (SELECT doc_id, p_idx, count(*) AS n FROM sent WHERE chars >= 5 GROUP BY ALL),
 su AS (SELECT doc_id, p_idx, sum(s * s) - sum(q) AS m FROM (SELECT doc_id, p_idx, b, sum(x) AS s, sum(x * x) AS q FROM sv GROUP BY ALL) GROUP BY ALL),
 un AS (SELECT sc.doc_id, sc.p_idx, CASE WHEN n >= 2 THEN coalesce(m, 0) / (n * (n - 1)) ELSE -1.0::DOUBLE END AS u FROM sc LEFT JOIN su USING (doc_id, p_idx)),
 bp AS (SELECT item_id AS doc_id, 0 AS p_idx, text FROM benchmark), {_vector_sql("bv", "bp", "text")},
 hm AS (SELECT doc_id, p_idx, max(c) AS h FROM (SELECT pv.doc_id, pv.p_idx, bv.doc_id AS r, sum(pv.x * bv.x) AS c FROM pv JOIN bv USING (b) GROUP BY ALL) GROUP BY ALL),
-sg AS (SELECT par.doc_id, par.p_idx, CASE WHEN u > 0.82 THEN 0.14 WHEN u > 0.72 THEN 0.08 ELSE 0 END::DOUBLE AS un,
+sv2 AS (SELECT par.doc_id, par.p_idx, CASE WHEN u > 0.82 THEN 0.14 WHEN u > 0.72 THEN 0.08 ELSE 0 END::DOUBLE AS un,
   CASE WHEN len(trim(text)) < 20 OR coalesce(h, 0) > 0.65 THEN 0 WHEN h > 0.5 THEN 0.04 WHEN h > 0.35 THEN 0.1 ELSE 0.16 END::DOUBLE AS hu FROM par LEFT JOIN un USING (doc_id, p_idx) LEFT JOIN hm USING (doc_id, p_idx)),"""
-_VECTOR_ZONES = zones_sql(LATIN, more="coalesce(sg.un, 0) + sg.hu", joins="JOIN sg ON sg.doc_id = st.doc_id AND sg.p_idx = st.p_idx", before=_SENTENCE_VECTORS)
+_VECTOR_ZONES = zones_sql(LATIN, more="coalesce(sv2.un, 0) + sv2.hu", joins="JOIN sv2 ON sv2.doc_id = st.doc_id AND sv2.p_idx = st.p_idx", before=SENTENCE_VECTORS)
+
+
+def told_by_vectors(spark, d, rows):
+    """Signals of vectors, with the benchmark's texts as the known ones."""
+    make = V.lexical_encoder(LATIN)
+    known = V.encoded(spark.read.parquet(f"{d}/benchmark.parquet").select("text"), "text", make, "ref").select("ref")
+    return V.signals(rows, LATIN, known, make)
 
 
 @query("sentence_zones_vectors", f"WITH {TALK}, {_VECTOR_ZONES}, {SPREAD} SELECT doc_id, p_idx, s_idx, round(score, 4) AS score, zone FROM zp")
 def _(spark, d):
     """Conversations with the signals of vectors: how alike the sentences of a paragraph are, and how near it is to known texts (the benchmark's)."""
-    rows, make = talk(spark, d), V.lexical_encoder(LATIN)
-    known = V.encoded(spark.read.parquet(f"{d}/benchmark.parquet").select("text"), "text", make, "ref").select("ref")
-    zones = T.propagated(T.zones_raw(rows, LATIN, V.signals(rows, LATIN, known, make)))
+    rows = talk(spark, d)
+    zones = T.propagated(T.zones_raw(rows, LATIN, told_by_vectors(spark, d, rows)))
     return zones.select("doc_id", "p_idx", "s_idx", F.round("score", 4).alias("score"), "zone")
