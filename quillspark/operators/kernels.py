@@ -20,7 +20,8 @@ BUCKETS = 32
 
 _RARE = (1 + math.log(1.5)) ** 2
 _BARE = str.maketrans("", "", " \n")
-_SPACE = " \t\r\n\x0b\f\u00a0\u3000"
+#: White space at the ends of texts that goes.
+STRIPPED = " \t\r\n\x0b\f\u00a0\u3000"
 
 
 def entropy(counts: Iterable[int], n: int) -> float:
@@ -50,7 +51,7 @@ class Kernel:
 
     def lengths(self, text: str) -> list[int]:
         """Of the sentences above the least length, in order."""
-        return [n for s in self.sentence.split(text) if (n := len(s.strip(_SPACE))) > self.pack.least_sentence]
+        return [n for s in self.sentence.split(text) if (n := len(s.strip(STRIPPED))) > self.pack.least_sentence]
 
     @staticmethod
     def similarity(a: list[str], b: list[str], most: int = MOST_TERMS) -> float:
@@ -138,7 +139,7 @@ class Kernel:
     def edges(self, text: str | None) -> tuple[str, str]:
         """The first and last sentence; without one, the first and last 50 characters."""
         text = text or ""
-        own = [s for x in self.edge.split(text) if (s := x.strip(_SPACE))]
+        own = [s for x in self.edge.split(text) if (s := x.strip(STRIPPED))]
         return (own[0], own[-1]) if own else (text[:50], text[-50:])
 
 

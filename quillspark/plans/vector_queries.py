@@ -113,6 +113,12 @@ def _(spark, d):
 _RULES = f"WITH {TALK}, {S.dims(LATIN)}, {S.classified()}, {S.unpivoted()}, {_SEM}"
 
 
+#: fz: levels of both layers, from par.
+FUSED_SQL = f"""{S.dims(LATIN)}, {S.classified()}, {_SEM}, sa AS (SELECT doc_id, p_idx, count(*) FILTER (zone = 'ai') AS s FROM sem GROUP BY ALL),
+fz AS (SELECT doc_id, p_idx, CASE WHEN s IS NULL THEN level WHEN ai_count + s >= 10 THEN 'deep_red' WHEN ai_count + s >= 6 THEN 'red' WHEN ai_count + s >= 3 THEN 'yellow' WHEN level IN ('red', 'deep_red') THEN 'red' WHEN level = 'yellow' THEN 'yellow' ELSE 'green' END AS fused_level
+  FROM cls LEFT JOIN sa USING (doc_id, p_idx))"""
+
+
 @query("fused_levels", f"""{_RULES}, sa AS (SELECT doc_id, p_idx, count(*) FILTER (zone = 'ai') AS s FROM sem GROUP BY ALL)
 SELECT doc_id, p_idx, level AS rule_level, ai_count AS rule_ai_count, CAST(coalesce(s, 0) AS INTEGER) AS semantic_ai_count, CASE WHEN s IS NULL THEN 12 ELSE 16 END AS total_dimensions, CAST(ai_count + coalesce(s, 0) AS INTEGER) AS combined_ai_count,
   round(CASE WHEN s IS NULL THEN comprehensive_score ELSE (ai_count + s)::DOUBLE / 16 END, 6) AS combined_score,
