@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .phrases import FEW, book
+
 #: White space that strip() removes, written out: the engines' own classes differ.
 SPACE = " \\t\\r\\n\\x0B\\f\\u00A0\\u3000"
 
@@ -28,8 +31,16 @@ def occurrences(text: Column, phrases: Iterable[str]) -> Column:
 
 
 def hits(text: Column, phrases: Iterable[str]) -> Column:
-    """How many of the distinct phrases occur."""
-    return F.size(F.filter(words_array(dict.fromkeys(phrases)), lambda p: F.contains(text, p)))
+    """How many of the distinct phrases occur: a search for each, or where there are many one automaton for all."""
+    phrases = tuple(dict.fromkeys(phrases))
+    if len(phrases) > FEW:
+
+        def run(texts: pd.Series) -> pd.Series:
+            own = book(phrases)
+            return pd.Series([own.present(t) for t in texts], index=texts.index, dtype="int32")
+
+        return F.pandas_udf(run, "int")(text)
+    return F.size(F.filter(words_array(phrases), lambda p: F.contains(text, p)))
 
 
 def deviation(numbers: Column) -> Column:

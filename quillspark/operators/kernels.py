@@ -12,6 +12,7 @@ from collections import Counter
 from collections.abc import Iterable
 
 from ..functions.packs import PUNCTUATION, Pack
+from ..functions.phrases import Occurrences
 
 #: Terms of a pair of paragraphs that are compared, at most: those that both together have most often.
 MOST_TERMS = 100
@@ -42,6 +43,7 @@ class Kernel:
         self.pack = pack
         self.token, self.sentence, self.term = re.compile(pack.token), re.compile(pack.sentence), re.compile(pack.term)
         self.edge, self.concept = re.compile(pack.edge), re.compile(pack.concept)
+        self.connectors, self.slop = Occurrences(pack.all_connectors), Occurrences(pack.dense_slop)
         self.stop, self.signs, self.number = set(pack.stopwords), set(PUNCTUATION), re.compile("[0-9]+")
 
     def tokens(self, text: str | None) -> list[str]:
@@ -85,7 +87,7 @@ class Kernel:
 
     def values(self, text: str | None, before: str | None) -> tuple[float, ...]:
         """The twelve statistics in order; a null text is an empty one, and null before it means no comparison."""
-        text, pack = text or "", self.pack
+        text = text or ""
         tokens, bare, lengths = self.tokens(text), text.translate(_BARE), self.lengths(text)
         words = [t for t in tokens if len(t) >= 2]
         counts, chars, signs = Counter(words), Counter(bare), [c for c in text if c in self.signs]
@@ -94,7 +96,7 @@ class Kernel:
         per = lambda a, b, k: a / b * k if b else 0.0
         return (
             spread(lengths) if len(lengths) >= 3 else 0.0,
-            per(sum(map(text.count, pack.all_connectors)), len(text), 1000.0),
+            per(self.connectors.total(text), len(text), 1000.0),
             per(content, len(tokens), 1.0),
             per(terms, len(bare), 100.0),
             self.similarity(tokens, self.tokens(before)) if before else 0.0,
@@ -104,7 +106,7 @@ class Kernel:
             self.again(words, 3),
             entropy(Counter(signs).values(), len(signs)),
             entropy(chars.values(), len(bare)),
-            per(sum(map(text.count, pack.dense_slop)), len(text), 1000.0),
+            per(self.slop.total(text), len(text), 1000.0),
         )
 
     def sentence_values(self, sentence: str | None) -> tuple[float, float, int, float]:

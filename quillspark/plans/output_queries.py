@@ -9,6 +9,7 @@ from ..operators import compare
 from ..operators import dimensions as D
 from ..operators import fusion as U
 from ..operators import parse as P
+from ..operators import phrases
 from ..operators import scoring as C
 from ..operators import semantic as V
 from ..operators import sentences as T
@@ -17,7 +18,7 @@ from ..sources import readers, sinks
 from ..sources.stored import stored
 from ..streaming import scan
 from . import sql as S
-from .paragraph_queries import PAR, TALK, documents, par, rounded, talk
+from .paragraph_queries import PAR, TALK, ZPAR, documents, par, rounded, talk, zh_docs
 from .sentence_queries import SPREAD, SUMMARY, TOLD, TOLD_JOINS, formula_sql, self_sql, sent_sql, shared_sql, starter_sql, stats_sql, told_by_models, zones_sql
 from .vector_queries import SEMANTIC, SENTENCE_VECTORS, told_by_vectors
 
@@ -96,9 +97,37 @@ def _(spark, d):
     return rows.select("doc_id", "p_idx").join(zones, ["doc_id", "p_idx"], "left").na.fill(0)
 
 
-@query("lexicons", "SELECT * FROM (VALUES " + ", ".join(f"({S.q(a)}, {S.q(b)}, {S.q(c)})" for a, b, c in [("connector", level, p) for level, own in ZH.connectors.items() for p in own] + [("slop", level, p) for level, own in ZH.slop.items() for p in own] + [("stopword", "", w) for w in ZH.stopwords]) + ") t(lexicon, level, phrase)")
+_ZH_LEXICON = "lx AS (SELECT * FROM (VALUES " + ", ".join(f"({S.q(a)}, {S.q(b)}, {S.q(c)})" for a, b, c in [("connector", level, p) for level, own in ZH.connectors.items() for p in own] + [("slop", level, p) for level, own in ZH.slop.items() for p in own] + [("stopword", "", w) for w in ZH.stopwords]) + ") t(lexicon, level, phrase))"
+_TIMES = "(len(text) - len(replace(text, phrase, ''))) // len(phrase)"
+
+
+@query("lexicons", f"WITH {ZPAR}, {_ZH_LEXICON}, f AS (SELECT phrase, CAST(sum({_TIMES}) AS BIGINT) AS n FROM par, (SELECT DISTINCT phrase FROM lx) WHERE contains(text, phrase) GROUP BY phrase) SELECT lexicon, level, phrase, coalesce(n, 0) AS n FROM lx LEFT JOIN f USING (phrase)")
+def _(spark, d):
+    """The Chinese pack's expressions and how often each stands in the texts."""
+    rows, own = P.paragraphs(zh_docs(spark, d), ZH), readers.lexicon(spark, ZH)
+    n = phrases.counted(rows, ["doc_id", "p_idx"], own).groupBy("phrase").agg(F.sum("n").alias("n"))
+    return own.join(n, "phrase", "left").select("lexicon", "level", "phrase", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+#: Every pair of neighbouring words of the benchmark's items, by the length of its first word: a lexicon of thousands of phrases that grows with the table.
+_PAIRS = "lx AS (SELECT DISTINCT 'pairs' AS lexicon, CASE WHEN instr(phrase, ' ') > 5 THEN 'long' ELSE 'short' END AS level, phrase FROM (SELECT w[i] || ' ' || w[i + 1] AS phrase FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT string_split(text, ' ') AS w FROM benchmark))) WHERE len(phrase) >= 8)"
+
+
+def _pairs(spark, d):
+    w = spark.read.parquet(f"{d}/benchmark.parquet").select(F.split("text", " ").alias("w"))
+    two = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.element_at("w", i), F.lit(" "), F.element_at("w", i + 1)))
+    own = w.filter(F.size("w") > 1).select(F.explode(two).alias("phrase")).filter(F.length("phrase") >= 8).distinct()
+    return own.select(F.lit("pairs").alias("lexicon"), F.when(F.instr("phrase", " ") > 5, "long").otherwise("short").alias("level"), "phrase")
+
+
+@query("lexicon_counts", f"WITH {TALK}, {_PAIRS} SELECT doc_id, p_idx, phrase, CAST({_TIMES} AS BIGINT) AS n FROM par JOIN lx ON contains(text, phrase)")
+def _(spark, d):
+    return phrases.counted(talk(spark, d), ["doc_id", "p_idx"], _pairs(spark, d))
+
+
+@query("lexicon_densities", f"WITH {TALK}, {_PAIRS} SELECT doc_id, p_idx, lexicon, level, CAST(sum({_TIMES}) AS BIGINT) AS n, count(*) AS hits, round(1000 * sum({_TIMES})::DOUBLE / any_value(len(text)), 6) AS density FROM par JOIN lx ON contains(text, phrase) GROUP BY doc_id, p_idx, lexicon, level")
 def _(spark, d):
-    return readers.lexicon(spark, ZH)
+    return phrases.densities(talk(spark, d), ["doc_id", "p_idx"], _pairs(spark, d)).withColumn("density", F.round("density", 6))
 
 
 _HIT = lambda own: f"least({S.hits('sentence', own)} / 3.0::DOUBLE, 1.0::DOUBLE)"
