@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.packs import LATIN, ZH, with_frequencies
-from quillspark.operators import dimensions, fusion, lexicons, parse, scoring, semantic, sentences
+from quillspark.operators import dimensions, fusion, lexicons, parse, scoring, sentences
 from quillspark.sources import readers, sinks
 
 
@@ -25,13 +25,10 @@ def status() -> dict:
 
 
 def scan(docs: DataFrame, pack, embedding: bool = True, make=None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Paragraphs, rule levels, fused levels and the gap report of documents (doc_id, text). `make` gives an encoder; see semantic.encoded."""
+    """Paragraphs, rule levels, fused levels and the gap report of documents (doc_id, text). `make` gives an encoder; see operators/semantic.py."""
     par = parse.paragraphs(docs, pack)
-    levels = dimensions.scanned(par, pack)
-    vectors = semantic.semantic(par, pack, make)
-    if not embedding:
-        vectors = vectors.filter(F.lit(False))
-    return par, levels, fusion.fused(levels, vectors), fusion.gap_report(dimensions.unpivoted(levels), vectors)
+    rows = fusion.together(par, pack, make, embedding)
+    return par, dimensions.scanned(par, pack), rows, fusion.gap_report(rows)
 
 
 def rates(docs: DataFrame, pack, model=None) -> DataFrame:
@@ -75,7 +72,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         print("no valid paragraphs", file=sys.stderr)
         return 1
     if a.format == "json":
-        rows = sinks.fused_json(fused, gaps)
+        rows = sinks.fused_json(fused)
         if a.output:
             sinks.write_json(rows, a.output)
         else:

@@ -50,8 +50,8 @@ def level(ai_count: Column) -> Column:
     return F.when(ai_count >= 5, "deep_red").when(ai_count >= 3, "red").when(ai_count >= 2, "yellow").otherwise("green")
 
 
-def unpivoted(dims: DataFrame) -> DataFrame:
-    """doc_id, p_idx, dim, dim_ord, value, zone, gap, description, weight: a row for each dimension; value and gap to four places, the zone by the exact value."""
+def listed() -> Column:
+    """The dimensions of a row as an array of (dim, dim_ord, value, zone, gap, description, weight); value and gap to four places, the zone by the exact value."""
     each = [
         F.struct(
             F.lit(d[0]).alias("dim"), F.lit(k).alias("dim_ord"), F.round(F.col(d[0]), 4).alias("value"), zone(F.col(d[0]), d).alias("zone"),
@@ -59,7 +59,12 @@ def unpivoted(dims: DataFrame) -> DataFrame:
         )
         for k, d in enumerate(RULE_DIMENSIONS)
     ]
-    return dims.select("doc_id", "p_idx", F.explode(F.array(*each)).alias("d")).select("doc_id", "p_idx", "d.*")
+    return F.array(*each)
+
+
+def unpivoted(dims: DataFrame) -> DataFrame:
+    """doc_id, p_idx and what listed() has: a row for each dimension."""
+    return dims.select("doc_id", "p_idx", F.explode(listed()).alias("d")).select("doc_id", "p_idx", "d.*")
 
 
 def ranked_gaps(long: DataFrame, keys: tuple[str, ...] = ("doc_id", "p_idx")) -> DataFrame:

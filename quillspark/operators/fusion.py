@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.packs import Pack
 from ..functions.thresholds import DESCRIPTIONS, RULE_DIMENSIONS, SEMANTIC_DIMENSIONS, SEMANTIC_KEYS
 
 # What to do about a dimension.
@@ -32,38 +33,59 @@ def fused_level(level: Column, rule_ai: Column, semantic_ai: Column) -> Column:
     return F.when(both >= 10, "deep_red").when(both >= 6, "red").when(both >= 3, "yellow").when(level.isin("red", "deep_red"), "red").when(level == "yellow", "yellow").otherwise("green")
 
 
+def _fused(n: Column) -> list[Column]:
+    """The columns of a fused scan, from those of a rule scan and the number of vector dimensions in the ai zone, null without vector evidence."""
+    has, every = n.isNotNull(), len(RULE_DIMENSIONS) + len(SEMANTIC_DIMENSIONS)
+    both = F.col("ai_count") + F.coalesce(n, F.lit(0))
+    return [
+        F.col("doc_id"), F.col("p_idx"), F.col("comprehensive_score").alias("rule_score"), F.col("level").alias("rule_level"), F.col("ai_count").alias("rule_ai_count"), F.col("gray_count").alias("rule_gray_count"),
+        F.coalesce(n, F.lit(0)).cast("int").alias("semantic_ai_count"), F.when(has, every).otherwise(len(RULE_DIMENSIONS)).alias("total_dimensions"), both.cast("int").alias("combined_ai_count"),
+        F.when(has, both / every).otherwise(F.col("comprehensive_score")).alias("combined_score"), F.when(has, fused_level(F.col("level"), F.col("ai_count"), n)).otherwise(F.col("level")).alias("fused_level"),
+    ]
+
+
 def fused(rules: DataFrame, semantic: DataFrame) -> DataFrame:
     """Each paragraph's rule result with the counts of its vector dimensions; without any, the rule result passes as it is.
 
     rules: doc_id, p_idx, comprehensive_score, level, ai_count, gray_count. Scores are not rounded.
     """
     own = semantic.groupBy("doc_id", "p_idx").agg(F.count_if(F.col("zone") == "ai").alias("s"))
-    rows = rules.join(own, ["doc_id", "p_idx"], "left")
-    has, n = F.col("s").isNotNull(), len(RULE_DIMENSIONS) + len(SEMANTIC_DIMENSIONS)
-    both = F.col("ai_count") + F.coalesce("s", F.lit(0))
-    return rows.select(
-        "doc_id", "p_idx", F.col("comprehensive_score").alias("rule_score"), F.col("level").alias("rule_level"), F.col("ai_count").alias("rule_ai_count"), F.col("gray_count").alias("rule_gray_count"),
-        F.coalesce("s", F.lit(0)).cast("int").alias("semantic_ai_count"), F.when(has, n).otherwise(len(RULE_DIMENSIONS)).alias("total_dimensions"), both.cast("int").alias("combined_ai_count"),
-        F.when(has, both / n).otherwise(F.col("comprehensive_score")).alias("combined_score"), F.when(has, fused_level(F.col("level"), F.col("ai_count"), F.col("s"))).otherwise(F.col("level")).alias("fused_level"),
-    )
+    return rules.join(own, ["doc_id", "p_idx"], "left").select(*_fused(F.col("s")))
 
 
-def _literal_map(pairs: dict) -> Column:
-    return F.create_map(*(F.lit(x) for p in pairs.items() for x in p))
+_GAP = ("dim", "layer", "description", "value", "gap")
 
 
-def gap_report(rules: DataFrame, semantic: DataFrame) -> DataFrame:
-    """doc_id, p_idx, layer, dim, description, value, gap, rank: all dimensions in the ai zone, by gap from the largest; equal ones rule first, in order.
+def together(par: DataFrame, pack: Pack, make=None, embedding: bool = True) -> DataFrame:
+    """All of fused(), text, and gaps: the dimensions of both layers in the ai zone as an array of (dim, layer, description, value, gap), by gap from the largest; equal ones rule first, in order.
 
-    Vector dimensions go by the names that reports have for them.
+    Texts are read once: rule results ride through the window of the vectors, and nothing is joined with itself. Vector dimensions go by the names that reports have for them. Without `embedding` only the rules count.
     """
-    cols = ["doc_id", "p_idx", "layer", "dim", "dim_ord", "description", "value", "gap"]
-    a = rules.filter("zone = 'ai'").withColumn("layer", F.lit("rule")).select(cols)
+    from .dimensions import listed, scanned
+    from .semantic import evidence
+
+    columns = ("level", "comprehensive_score", "ai_count", "gray_count", "listed")
+    rows = scanned(par, pack).withColumn("listed", listed()).select("doc_id", "p_idx", "text", *columns)
+    rows = evidence(rows, pack, make, columns) if embedding else rows.withColumn("evidence", F.lit(None).cast("array<struct<dim:string,dim_ord:int,value:double,zone:string,gap:double>>"))
     order = {d: 100 + k for k, d in enumerate(SEMANTIC_KEYS)}
-    own = {"layer": F.lit("embedding"), "dim_ord": _literal_map(order)[F.col("dim")], "description": _literal_map(DESCRIPTIONS)[F.col("dim")], "dim": _literal_map(SEMANTIC_KEYS)[F.col("dim")]}
-    b = semantic.filter("zone = 'ai'").withColumns(own).select(cols)
-    w = Window.partitionBy("doc_id", "p_idx").orderBy(F.desc(F.round("gap", 6)), "dim_ord")
-    return a.unionByName(b).withColumn("rank", F.row_number().over(w)).drop("dim_ord")
+    item = lambda dim, ord_, layer, description, value, gap: F.struct((-F.round(gap, 6)).alias("k"), ord_.alias("o"), F.struct(*(c.alias(n) for c, n in zip((dim, layer, description, value, gap), _GAP, strict=True))).alias("x"))
+    ai = lambda c: F.filter(F.coalesce(c, F.array()), lambda x: x.zone == "ai")
+    rule = F.transform(ai(F.col("listed")), lambda x: item(x.dim, x.dim_ord, F.lit("rule"), x.description, x.value, x.gap))
+    named = lambda pairs, x: _literal_map(pairs)[x.dim]
+    vector = F.transform(ai(F.col("evidence")), lambda x: item(named(SEMANTIC_KEYS, x), named(order, x), F.lit("embedding"), named(DESCRIPTIONS, x), x.value, x.gap))
+    gaps = F.transform(F.array_sort(F.concat(rule, vector)), lambda x: x.x)
+    n = F.when(F.col("evidence").isNotNull(), F.size(ai(F.col("evidence"))))
+    return rows.select(*_fused(n), "text", gaps.alias("gaps"))
+
+
+def _literal_map(pairs: dict) -> Column:
+    return F.create_map(*(F.lit(x) for p in pairs.items() for x in p))
+
+
+def gap_report(rows: DataFrame) -> DataFrame:
+    """doc_id, p_idx, layer, dim, description, value, gap, rank: the gaps of together() as rows, numbered from 1."""
+    long = rows.select("doc_id", "p_idx", F.posexplode("gaps").alias("pos", "g"))
+    return long.select("doc_id", "p_idx", "g.layer", "g.dim", "g.description", "g.value", "g.gap", (F.col("pos") + 1).alias("rank"))
 
 
 def number(value: Column) -> Column:

@@ -36,21 +36,39 @@ def lexical_encoder(pack: Pack):
     return make
 
 
-def encoded(rows: DataFrame, text_col: str, make, vec: str = "vec") -> DataFrame:
-    """Adds the vector of a text. `make` gives, once a worker's task, a function from a list of texts to as many vectors (a model to load goes there); where it fails, vectors are null."""
+def _encoder(make, strict: bool):
+    """A function from texts to vectors that is made once, at its first call. Where it fails, all of them are null, or with `strict` the error goes on."""
+    held = []
+
+    def run(texts: list[str]) -> list:
+        try:
+            if not held:
+                held.append(make())
+            return [[float(x) for x in v] for v in held[0](texts)]
+        except Exception:  # noqa: BLE001  whatever a model raises, the other signals go on without it
+            if strict:
+                raise
+            return [None] * len(texts)
+
+    return run
+
+
+def encoded(rows: DataFrame, text_col: str, make, vec: str = "vec", strict: bool = False) -> DataFrame:
+    """Adds the vector of a text. `make` gives, once a worker's task, a function from a list of texts to as many vectors (a model to load goes there); where it fails, vectors are null, or with `strict` the query fails."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = None
+        encode = _encoder(make, strict)
         for texts in batches:
-            try:
-                encode = encode or make()
-                yield pd.Series([[float(x) for x in v] for v in encode(texts.fillna("").tolist())], index=texts.index, dtype=object)
-            except Exception:  # noqa: BLE001  whatever a model raises, the other signals go on without it
-                yield pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            yield pd.Series(encode(texts.fillna("").tolist()), index=texts.index, dtype=object)
 
     return rows.withColumn(vec, F.pandas_udf(run, "array<double>")(text_col))
 
 
+def failures(rows: DataFrame, text_col: str = "text", vec: str = "vec") -> DataFrame:
+    """One row: texts, and how many of them have no vector because the encoder failed."""
+    return rows.agg(F.count(text_col).alias("texts"), F.count_if(F.col(text_col).isNotNull() & F.col(vec).isNull()).alias("failed"))
+
+
 def adjacent_similarity(rows: DataFrame, vec: str = "vec") -> DataFrame:
     """doc_id, p_idx, similarity to the next paragraph; null for the last."""
     w = Window.partitionBy("doc_id").orderBy("p_idx")
@@ -111,25 +129,29 @@ def backtrack(par: DataFrame, pack: Pack) -> DataFrame:
     return ranked.groupBy("doc_id").agg(F.when(n >= 3, late / (n - 2)).otherwise(0.0).alias("semantic_backtrack_rate"))
 
 
-def _encoded_paragraphs(par: DataFrame, pack: Pack, make) -> DataFrame:
-    """doc_id, p_idx, text, vec, f, l: the vectors of each paragraph, its first and its last sentence."""
+def _encoded_paragraphs(par: DataFrame, pack: Pack, make, keep: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
+    """doc_id, p_idx, text, the columns to keep, vec, f, l: the vectors of each paragraph, its first and its last sentence, from one call of the encoder for a batch."""
+    make = make or lexical_encoder(pack)
 
-    def edges(texts: pd.Series) -> pd.DataFrame:
-        kernel = Kernel(pack)
-        return pd.DataFrame([kernel.edges(t) for t in texts], columns=["first", "last"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        kernel, encode = Kernel(pack), _encoder(make, strict)
+        for texts in batches:
+            own = texts.fillna("").tolist()
+            edges, n = [kernel.edges(t) for t in own], len(own)
+            found = encode([*own, *(a for a, _ in edges), *(b for _, b in edges)])
+            yield pd.DataFrame({"vec": found[:n], "f": found[n : 2 * n], "l": found[2 * n :]}, index=texts.index, dtype=object)
 
-    rows = par.select("doc_id", "p_idx", "text", F.pandas_udf(edges, "first string, last string")("text").alias("e")).select("doc_id", "p_idx", "text", "e.*")
-    make = make or lexical_encoder(pack)
-    return encoded(encoded(encoded(rows, "text", make), "first", make, "f"), "last", make, "l").drop("first", "last")
+    rows = par.select("doc_id", "p_idx", "text", *keep, F.pandas_udf(run, "vec array<double>, f array<double>, l array<double>")("text").alias("_e"))
+    return rows.select("doc_id", "p_idx", "text", *keep, "_e.*")
 
 
-def _steps(rows: DataFrame) -> DataFrame:
+def _steps(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Adds what a paragraph has to do with the next one, in one window: similarity, step, transition (0.5 where its sentences have no vectors); null for the last; n: paragraphs of the document."""
     w, whole = Window.partitionBy("doc_id").orderBy("p_idx"), Window.partitionBy("doc_id")
     square = lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))
     out = rows.select("*", F.lead("vec").over(w).alias("_v"), F.lead("f").over(w).alias("_f"), F.lead("p_idx").over(w).alias("_p"), F.count(F.lit(1)).over(whole).alias("n"))
     return out.select(
-        "doc_id", "p_idx", "text", "vec", "n", dot(F.col("vec"), F.col("_v")).alias("similarity"),
+        "doc_id", "p_idx", "text", *keep, "vec", "n", dot(F.col("vec"), F.col("_v")).alias("similarity"),
         F.sqrt(F.aggregate(F.zip_with("_v", "vec", square), F.lit(0.0), lambda s, x: s + x)).alias("step"),
         F.when(F.col("_p").isNotNull(), F.coalesce(dot(F.col("l"), F.col("_f")), F.lit(0.5))).alias("transition"),
     )
@@ -153,18 +175,24 @@ def semantic_documents(par: DataFrame, pack: Pack, make=None) -> DataFrame:
     return rows.select("doc_id", number(F.col("v")).alias("argument_linearity"), number(F.col("semantic_backtrack_rate")).alias("semantic_backtrack_rate"), error.alias("error"))
 
 
-def semantic(par: DataFrame, pack: Pack, make=None) -> DataFrame:
-    """doc_id, p_idx, dim, dim_ord, value, zone, gap: four dimensions a paragraph, for documents of two paragraphs or more of which all have vectors.
+def evidence(par: DataFrame, pack: Pack, make=None, keep: tuple[str, ...] = (), strict: bool = False) -> DataFrame:
+    """doc_id, p_idx, text, the columns to keep, evidence: of every paragraph the four vector dimensions as an array of (dim, dim_ord, value, zone, gap), for documents of two paragraphs or
+    more of which all have vectors; null for the others. One window by document, in which the columns to keep ride along.
 
     The last paragraph has value 0 and zone unknown where its neighbour is wanting. `make` gives an encoder, as in encoded(); without it, words alone make the vectors.
     """
     whole = Window.partitionBy("doc_id")
     linear = F.when(F.col("n") >= 3, F.var_pop("step").over(whole)).otherwise(0.0)
-    rows = _steps(_encoded_paragraphs(par, pack, make)).select("*", linear.alias("argument_linearity"), F.count("vec").over(whole).alias("has"))
-    rows = rows.filter("n >= 2 AND has = n").select("doc_id", "p_idx", "similarity", "transition", "argument_linearity").join(backtrack(par, pack), "doc_id")
+    rows = _steps(_encoded_paragraphs(par, pack, make, keep, strict), keep).select("*", linear.alias("argument_linearity"), F.count("vec").over(whole).alias("has"))
+    rows = rows.join(backtrack(par, pack), "doc_id", "left")
     values = [F.col("similarity"), F.round("argument_linearity", 6), F.round("semantic_backtrack_rate", 4), F.col("transition")]
     each = []
     for k, (v, d) in enumerate(zip(values, SEMANTIC_DIMENSIONS)):
         v = F.round(v, 4) if k in (0, 3) else v
         each.append(F.struct(F.lit(d[0]).alias("dim"), F.lit(k).alias("dim_ord"), F.coalesce(v, F.lit(0.0)).alias("value"), F.when(v.isNull(), "unknown").otherwise(zone(v, d)).alias("zone"), F.when(v.isNull(), 0.0).otherwise(gap(v, d)).alias("gap")))
-    return rows.select("doc_id", "p_idx", F.explode(F.array(*each)).alias("d")).select("doc_id", "p_idx", "d.*")
+    return rows.select("doc_id", "p_idx", "text", *keep, F.when((F.col("n") >= 2) & (F.col("has") == F.col("n")), F.array(*each)).alias("evidence"))
+
+
+def semantic(par: DataFrame, pack: Pack, make=None, strict: bool = False) -> DataFrame:
+    """doc_id, p_idx, dim, dim_ord, value, zone, gap: the evidence as four rows a paragraph that has it."""
+    return evidence(par, pack, make, strict=strict).select("doc_id", "p_idx", F.explode("evidence").alias("d")).select("doc_id", "p_idx", "d.*")

@@ -11,7 +11,6 @@ from ..operators import fusion as U
 from ..operators import parse as P
 from ..operators import phrases
 from ..operators import scoring as C
-from ..operators import semantic as V
 from ..operators import sentences as T
 from ..operators import spans as X
 from ..sources import readers, sinks
@@ -20,7 +19,7 @@ from ..streaming import scan
 from . import sql as S
 from .paragraph_queries import PAR, TALK, ZPAR, documents, par, rounded, talk, zh_docs
 from .sentence_queries import SPREAD, SUMMARY, TOLD, TOLD_JOINS, formula_sql, self_sql, sent_sql, shared_sql, starter_sql, stats_sql, told_by_models, zones_sql
-from .vector_queries import SEMANTIC, SENTENCE_VECTORS, told_by_vectors
+from .vector_queries import FUSED_LEVEL_SQL, GAPS, SEMANTIC, SENTENCE_VECTORS, told_by_vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -68,8 +67,7 @@ _GAP_LIST = "list({'dimension': dim, 'gap': gap, 'zone': zone} ORDER BY gap DESC
 @query("json_report", f"""WITH {PAR}, {S.dims(LATIN)}, {S.classified()}, {S.unpivoted()}, g AS (SELECT doc_id, p_idx, {_GAP_LIST} AS ranked_gaps FROM lng WHERE zone = 'ai' GROUP BY ALL)
 SELECT doc_id, p_idx, CAST(to_json({{'index': p_idx, 'text_preview': left(text, 200), 'level': level, 'comprehensive_score': round(comprehensive_score, 4), 'ranked_gaps': coalesce(ranked_gaps, [])}}) AS VARCHAR) AS json FROM cls LEFT JOIN g USING (doc_id, p_idx)""")
 def _(spark, d):
-    dims = D.dimensions(par(spark, d), LATIN)
-    return sinks.json_rows(D.classified(dims), D.ranked_gaps(D.unpivoted(dims)))
+    return sinks.json_rows(D.scanned(par(spark, d), LATIN))
 
 
 @query("rewrite_prompt", f"WITH {PAR}, {zones_sql(LATIN)}, {SPREAD} SELECT doc_id, p_idx, string_agg('[' || zp.zone || '] ' || zr.sentence, chr(10) ORDER BY s_idx) AS prompt FROM zp JOIN zr USING (doc_id, p_idx, s_idx) WHERE zp.zone <> 'green' GROUP BY ALL")
@@ -86,8 +84,7 @@ SELECT cls.doc_id, cls.p_idx,
 FROM cls LEFT JOIN sa USING (doc_id, p_idx) LEFT JOIN nn USING (doc_id, p_idx)""")
 def _(spark, d):
     rows = talk(spark, d)
-    fused = U.fused(D.scanned(rows, LATIN), V.semantic(rows, LATIN))
-    return sinks.nested_report(T.propagated(T.zones_raw(rows, LATIN)), fused).withColumn("sentences", F.to_json("sentences"))
+    return sinks.nested_report(T.propagated(T.zones_raw(rows, LATIN)), U.together(rows, LATIN)).withColumn("sentences", F.to_json("sentences"))
 
 
 @query("api_scan_counts", f"WITH {TALK}, {zones_sql(LATIN)}, {SPREAD} SELECT par.doc_id, par.p_idx, count(zp.s_idx) AS sentences, count(*) FILTER (zone IN ('red', 'orange')) AS ai_sentence_count FROM par LEFT JOIN zp ON zp.doc_id = par.doc_id AND zp.p_idx = par.p_idx GROUP BY ALL")
@@ -232,9 +229,13 @@ def _(spark, d):
     return sinks.refusals(documents(spark, d), par(spark, d))
 
 
-@query("fused_json", None)
+_FUSED_OBJECT = """{'paragraph_index': p_idx, 'rule_level': level, 'rule_ai_count': ai_count, 'rule_gray_count': gray_count, 'semantic_ai_count': CAST(coalesce(s, 0) AS INTEGER), 'total_dimensions': CASE WHEN s IS NULL THEN 12 ELSE 16 END,
+  'combined_ai_count': CAST(ai_count + coalesce(s, 0) AS INTEGER), 'rule_score': round(comprehensive_score, 4), 'combined_score': round(CASE WHEN s IS NULL THEN comprehensive_score ELSE (ai_count + s)::DOUBLE / 16 END, 4),
+  'fused_level': fused_level, 'gaps': coalesce(gaps, [])}"""
+
+
+@query("fused_json", f"""{GAPS}, sa AS (SELECT doc_id, p_idx, count(*) FILTER (zone = 'ai') AS s FROM sem GROUP BY ALL), {FUSED_LEVEL_SQL},
+gl AS (SELECT doc_id, p_idx, list({{'dimension': dim, 'description': description, 'value': value, 'gap': gap, 'layer': layer}} ORDER BY rank) AS gaps FROM gr GROUP BY ALL)
+SELECT doc_id, p_idx, CAST(to_json({_FUSED_OBJECT}) AS VARCHAR) AS json FROM cls JOIN fz USING (doc_id, p_idx) LEFT JOIN sa USING (doc_id, p_idx) LEFT JOIN gl USING (doc_id, p_idx)""")
 def _(spark, d):
-    rows = talk(spark, d)
-    vectors = V.semantic(rows, LATIN)
-    dims = D.scanned(rows, LATIN)
-    return sinks.fused_json(U.fused(dims, vectors), U.gap_report(D.unpivoted(dims), vectors))
+    return sinks.fused_json(U.together(talk(spark, d), LATIN))

@@ -114,9 +114,9 @@ _RULES = f"WITH {TALK}, {S.dims(LATIN)}, {S.classified()}, {S.unpivoted()}, {_SE
 
 
 #: fz: levels of both layers, from par.
-FUSED_SQL = f"""{S.dims(LATIN)}, {S.classified()}, {_SEM}, sa AS (SELECT doc_id, p_idx, count(*) FILTER (zone = 'ai') AS s FROM sem GROUP BY ALL),
-fz AS (SELECT doc_id, p_idx, CASE WHEN s IS NULL THEN level WHEN ai_count + s >= 10 THEN 'deep_red' WHEN ai_count + s >= 6 THEN 'red' WHEN ai_count + s >= 3 THEN 'yellow' WHEN level IN ('red', 'deep_red') THEN 'red' WHEN level = 'yellow' THEN 'yellow' ELSE 'green' END AS fused_level
+FUSED_LEVEL_SQL = """fz AS (SELECT doc_id, p_idx, CASE WHEN s IS NULL THEN level WHEN ai_count + s >= 10 THEN 'deep_red' WHEN ai_count + s >= 6 THEN 'red' WHEN ai_count + s >= 3 THEN 'yellow' WHEN level IN ('red', 'deep_red') THEN 'red' WHEN level = 'yellow' THEN 'yellow' ELSE 'green' END AS fused_level
   FROM cls LEFT JOIN sa USING (doc_id, p_idx))"""
+FUSED_SQL = f"{S.dims(LATIN)}, {S.classified()}, {_SEM}, sa AS (SELECT doc_id, p_idx, count(*) FILTER (zone = 'ai') AS s FROM sem GROUP BY ALL), {FUSED_LEVEL_SQL}"
 
 
 @query("fused_levels", f"""{_RULES}, sa AS (SELECT doc_id, p_idx, count(*) FILTER (zone = 'ai') AS s FROM sem GROUP BY ALL)
@@ -125,22 +125,20 @@ SELECT doc_id, p_idx, level AS rule_level, ai_count AS rule_ai_count, CAST(coale
   CASE WHEN s IS NULL THEN level WHEN ai_count + s >= 10 THEN 'deep_red' WHEN ai_count + s >= 6 THEN 'red' WHEN ai_count + s >= 3 THEN 'yellow' WHEN level IN ('red', 'deep_red') THEN 'red' WHEN level = 'yellow' THEN 'yellow' ELSE 'green' END AS fused_level
 FROM cls LEFT JOIN sa USING (doc_id, p_idx)""")
 def _(spark, d):
-    par = talk(spark, d)
-    rows = U.fused(D.scanned(par, LATIN), V.semantic(par, LATIN))
+    rows = U.together(talk(spark, d), LATIN)
     return rows.select("doc_id", "p_idx", "rule_level", "rule_ai_count", "semantic_ai_count", "total_dimensions", "combined_ai_count", *rounded("combined_score"), "fused_level")
 
 
 _KEYS = "sk AS (SELECT * FROM (VALUES " + ", ".join(f"({S.q(d)}, {S.q(n)}, {100 + k}, {S.q(DESCRIPTIONS[d])})" for k, (d, n) in enumerate(SEMANTIC_KEYS.items())) + ") t(dim, name, ord, description))"
-_GAPS = f"""{_RULES}, {_KEYS}, gp AS (SELECT doc_id, p_idx, 'rule' AS layer, dim, dim_ord, description, value, gap FROM lng WHERE zone = 'ai' UNION ALL SELECT doc_id, p_idx, 'embedding', sk.name, sk.ord, sk.description, value, gap FROM sem JOIN sk USING (dim) WHERE zone = 'ai'),
+GAPS = f"""{_RULES}, {_KEYS}, gp AS (SELECT doc_id, p_idx, 'rule' AS layer, dim, dim_ord, description, value, gap FROM lng WHERE zone = 'ai' UNION ALL SELECT doc_id, p_idx, 'embedding', sk.name, sk.ord, sk.description, value, gap FROM sem JOIN sk USING (dim) WHERE zone = 'ai'),
 gr AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, p_idx ORDER BY round(gap, 6) DESC, dim_ord) AS INTEGER) AS rank FROM gp)"""
 
 
 def _report(spark, d):
-    par = talk(spark, d)
-    return U.gap_report(D.unpivoted(D.dimensions(par, LATIN)), V.semantic(par, LATIN))
+    return U.gap_report(U.together(talk(spark, d), LATIN))
 
 
-@query("gap_report", f"{_GAPS} SELECT doc_id, p_idx, layer, dim, description, round(value, 6) AS value, round(gap, 4) AS gap, rank FROM gr")
+@query("gap_report", f"{GAPS} SELECT doc_id, p_idx, layer, dim, description, round(value, 6) AS value, round(gap, 4) AS gap, rank FROM gr")
 def _(spark, d):
     return _report(spark, d).select("doc_id", "p_idx", "layer", "dim", "description", F.round("value", 6).alias("value"), F.round("gap", 4).alias("gap"), "rank")
 
@@ -151,7 +149,7 @@ _NUMBER = """CASE WHEN value > 0 AND round(value * 1e6) < 10 THEN CAST(CAST(roun
 _TOLD = "told AS (SELECT * FROM (VALUES " + ", ".join(f"({S.q(k)}, {S.q(v)})" for k, v in U.INSTRUCTIONS.items()) + ") t(dim, told))"
 
 
-@query("top5_instructions", f"{_GAPS}, {_TOLD} SELECT doc_id, p_idx, rank, coalesce(told, '减少 ' || description || ' 的AI特征 (当前: ' || {_NUMBER} || ', 差距: ' || printf('%.2f', round(gap, 2)) || ')') AS instruction FROM gr LEFT JOIN told USING (dim) WHERE rank <= 5")
+@query("top5_instructions", f"{GAPS}, {_TOLD} SELECT doc_id, p_idx, rank, coalesce(told, '减少 ' || description || ' 的AI特征 (当前: ' || {_NUMBER} || ', 差距: ' || printf('%.2f', round(gap, 2)) || ')') AS instruction FROM gr LEFT JOIN told USING (dim) WHERE rank <= 5")
 def _(spark, d):
     return U.instructions(spark, _report(spark, d))
 
@@ -159,8 +157,7 @@ def _(spark, d):
 @query("high_risk_count", f"""{_RULES}, sa AS (SELECT doc_id, p_idx, count(*) FILTER (zone = 'ai') AS s FROM sem GROUP BY ALL)
 SELECT count(*) AS paragraphs, count(*) FILTER (CASE WHEN s IS NULL THEN level IN ('red', 'deep_red') ELSE ai_count + s >= 6 OR (ai_count + s < 3 AND level IN ('red', 'deep_red')) END) AS high_risk FROM cls LEFT JOIN sa USING (doc_id, p_idx)""")
 def _(spark, d):
-    par = talk(spark, d)
-    rows = U.fused(D.scanned(par, LATIN), V.semantic(par, LATIN))
+    rows = U.together(talk(spark, d), LATIN)
     return rows.agg(F.count(F.lit(1)).alias("paragraphs"), F.count_if(F.col("fused_level").isin("red", "deep_red")).alias("high_risk"))
 
 

@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.dimensions import listed
+
 LABELS = {"deep_red": "重度AI", "red": "疑似AI", "yellow": "轻微AI", "green": "正常"}
 _COLOURS = {"deep_red": "#b00020", "red": "#e53935", "yellow": "#f9a825", "green": "#2e7d32"}
 
@@ -18,13 +20,12 @@ def report_summary(levels: DataFrame) -> DataFrame:
     return levels.agg(F.count(F.lit(1)).alias("total_paragraphs"), of("red", "deep_red").alias("high_risk"), of("yellow").alias("suspicious"), of("green").alias("safe"))
 
 
-def json_rows(levels: DataFrame, gaps: DataFrame, preview: int = 200, rewrites: DataFrame | None = None) -> DataFrame:
-    """doc_id, p_idx, json: an object for each paragraph with preview, level, score, ranked gaps and, where there is one, its rewrite (doc_id, p_idx, rewrite)."""
-    item = F.struct("rank", F.col("dim").alias("dimension"), F.round("gap", 4).alias("gap"), "zone")
-    bare = lambda x: F.struct(x["dimension"].alias("dimension"), x["gap"].alias("gap"), x["zone"].alias("zone"))
-    own = gaps.groupBy("doc_id", "p_idx").agg(F.transform(F.sort_array(F.collect_list(item)), bare).alias("ranked_gaps"))
-    rows = levels.join(own, ["doc_id", "p_idx"], "left")
-    body = [F.col("p_idx").alias("index"), F.left("text", F.lit(preview)).alias("text_preview"), "level", F.round("comprehensive_score", 4).alias("comprehensive_score"), F.coalesce("ranked_gaps", F.array()).alias("ranked_gaps")]
+def json_rows(dims: DataFrame, preview: int = 200, rewrites: DataFrame | None = None) -> DataFrame:
+    """doc_id, p_idx, json: an object for each paragraph of a rule scan, with preview, level, score, ranked gaps and, where there is one, its rewrite (doc_id, p_idx, rewrite). The gaps come from the row itself."""
+    item = lambda x: F.struct((-x.gap).alias("k"), x.dim_ord.alias("o"), F.struct(x.dim.alias("dimension"), x.gap.alias("gap"), x.zone.alias("zone")).alias("x"))
+    ranked = F.transform(F.array_sort(F.transform(F.filter("_listed", lambda x: x.zone == "ai"), item)), lambda x: x.x)
+    rows = dims.withColumn("_listed", listed())
+    body = [F.col("p_idx").alias("index"), F.left("text", F.lit(preview)).alias("text_preview"), "level", F.round("comprehensive_score", 4).alias("comprehensive_score"), ranked.alias("ranked_gaps")]
     if rewrites is not None:
         rows = rows.join(rewrites.select("doc_id", "p_idx", "rewrite"), ["doc_id", "p_idx"], "left")
         body.append("rewrite")
@@ -40,14 +41,11 @@ def document_json(rows: DataFrame, levels: DataFrame) -> DataFrame:
     return counts.join(parts, "doc_id").select("doc_id", F.concat(F.lit('{"summary":'), summary, F.lit(',"paragraphs":['), F.array_join("parts", ","), F.lit("]}")).alias("json"))
 
 
-def fused_json(fused: DataFrame, gaps: DataFrame) -> DataFrame:
-    """doc_id, p_idx, json: an object for each paragraph of a fused scan, with its counts, scores, levels and the gaps of both layers in order."""
-    item = F.struct("rank", F.col("dim").alias("dimension"), "description", "value", "gap", "layer")
-    bare = lambda x: F.struct(*(x[k].alias(k) for k in ("dimension", "description", "value", "gap", "layer")))
-    own = gaps.groupBy("doc_id", "p_idx").agg(F.transform(F.sort_array(F.collect_list(item)), bare).alias("gaps"))
-    rows = fused.join(own, ["doc_id", "p_idx"], "left")
+def fused_json(rows: DataFrame) -> DataFrame:
+    """doc_id, p_idx, json: an object for each paragraph of fusion.together(), with its counts, scores, levels and the gaps of both layers in order."""
+    bare = lambda x: F.struct(x.dim.alias("dimension"), x.description.alias("description"), x.value.alias("value"), x.gap.alias("gap"), x.layer.alias("layer"))
     scores = [F.round(k, 4).alias(k) for k in ("rule_score", "combined_score")]
-    body = F.struct(F.col("p_idx").alias("paragraph_index"), "rule_level", "rule_ai_count", "rule_gray_count", "semantic_ai_count", "total_dimensions", "combined_ai_count", *scores, "fused_level", F.coalesce("gaps", F.array()).alias("gaps"))
+    body = F.struct(F.col("p_idx").alias("paragraph_index"), "rule_level", "rule_ai_count", "rule_gray_count", "semantic_ai_count", "total_dimensions", "combined_ai_count", *scores, "fused_level", F.transform("gaps", bare).alias("gaps"))
     return rows.select("doc_id", "p_idx", F.to_json(body).alias("json"))
 
 

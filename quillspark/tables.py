@@ -20,7 +20,7 @@ from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructType
 
 from .functions.packs import LATIN, ZH, Pack
-from .operators import dimensions, fusion, parse, semantic, sentences
+from .operators import dimensions, fusion, parse, sentences
 from .operators.kernels import STRIPPED, Kernel
 
 PACKS = {p.name: p for p in (ZH, LATIN)}
@@ -160,7 +160,7 @@ def views(spark: SparkSession, docs: DataFrame, pack: Pack = LATIN, id_col: str
         "paragraphs": par,
         "sentences": zones,
         "diagnosis": levels,
-        "fused": fusion.fused(levels, semantic.semantic(par, pack, make)),
+        "fused": fusion.together(par, pack, make).drop("text", "gaps"),
         "doc_summary": sentences.document_summary(sentences.propagated(zones)),
     }
     for name, df in found.items():
