@@ -78,6 +78,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         else:
             for r in rows.orderBy("doc_id", "p_idx").toLocalIterator():
                 print(r.json)
+    elif a.format == "html" and a.output:
+        sinks.write_html(levels, a.output)
     else:
         pieces = sinks.html_report(levels) if a.format == "html" else (line + "\n" for line in sinks.fused_report(fused, par, fusion.instructions(spark, gaps)))
         out = open(a.output, "w", encoding="utf-8") if a.output else sys.stdout

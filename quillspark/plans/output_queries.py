@@ -13,8 +13,8 @@ from ..operators import phrases
 from ..operators import scoring as C
 from ..operators import sentences as T
 from ..operators import spans as X
-from ..sources import readers, sinks
-from ..sources.stored import stored
+from ..sources import files, readers, sinks
+from ..sources.stored import place, stored
 from ..streaming import scan
 from . import sql as S
 from .paragraph_queries import PAR, TALK, ZPAR, documents, par, rounded, talk, zh_docs
@@ -70,6 +70,45 @@ def _(spark, d):
     return sinks.json_rows(D.scanned(par(spark, d), LATIN))
 
 
+_PARAGRAPH_OBJECTS = f"""{S.dims(LATIN)}, {S.classified()}, {S.unpivoted()}, g AS (SELECT doc_id, p_idx, {_GAP_LIST} AS ranked_gaps FROM lng WHERE zone = 'ai' GROUP BY ALL),
+jr AS (SELECT doc_id, p_idx, level, CAST(to_json({{'index': p_idx, 'text_preview': left(text, 200), 'level': level, 'comprehensive_score': round(comprehensive_score, 4), 'ranked_gaps': coalesce(ranked_gaps, [])}}) AS VARCHAR) AS json FROM cls LEFT JOIN g USING (doc_id, p_idx))"""
+
+
+@query("report_files", f"""WITH {TALK}, {_PARAGRAPH_OBJECTS} SELECT doc_id, '{{"summary":{{"total_paragraphs":' || count(*) || ',"high_risk":' || count(*) FILTER (level IN ('red', 'deep_red')) || ',"suspicious":' || count(*) FILTER (level = 'yellow') || ',"safe":' || count(*) FILTER (level = 'green') || '}},"paragraphs":[' || string_agg(json, ',' ORDER BY p_idx) || ']}}' AS json FROM jr GROUP BY doc_id""")
+def _(spark, d):
+    """Each conversation's report written as a file by tasks, published by a manifest, and read back."""
+    levels, path = stored(D.scanned(talk(spark, d), LATIN), "levels"), place(spark, "reports")
+    files.register(spark)
+    rows = sinks.document_json(sinks.json_rows(levels), levels)
+    rows.select(F.col("doc_id").cast("string").alias("name"), F.col("json").alias("text")).write.format("textfiles").option("extension", ".json").mode("append").save(path)
+    return spark.read.format("textfiles").load(path).filter("error IS NULL").select(F.col("name").cast("long").alias("doc_id"), F.col("text").alias("json"))
+
+
+@query("text_files", "SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents")
+def _(spark, d):
+    """All documents as text files and back, by the data source."""
+    path = place(spark, "texts")
+    files.register(spark)
+    documents(spark, d).select(F.col("doc_id").cast("string").alias("name"), "text").write.format("textfiles").mode("append").save(path)
+    return spark.read.format("textfiles").load(path).select(F.col("name").cast("long").alias("doc_id"), "text", "n_bytes")
+
+
+def _escaped_sql(x: str) -> str:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        x = f"replace({x}, {S.q(sign)}, {S.q(name)})"
+    return x
+
+
+_CASE = lambda pairs: "CASE level " + " ".join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in pairs.items()) + " END"
+_SECTION = f"'<section style=''border-left:4px solid ' || {_CASE(sinks.COLOURS)} || '''><h2>' || p_idx || ': ' || {_CASE(sinks.LABELS)} || ' (' || printf('%.4f', round(comprehensive_score, 4)) || ')</h2><p>' || {_escaped_sql('text')} || '</p></section>'"
+_HEAD = "'<!DOCTYPE html><html><head><meta charset=''utf-8''><title>Report</title></head><body><h1>Report ' || doc_id || '</h1>'"
+
+
+@query("html_documents", f"WITH {PAR}, {S.dims(LATIN)}, {S.classified()} SELECT doc_id, {_HEAD} || string_agg({_SECTION}, chr(10) ORDER BY p_idx) || '</body></html>' AS html FROM cls GROUP BY doc_id")
+def _(spark, d):
+    return sinks.html_documents(D.scanned(par(spark, d), LATIN))
+
+
 @query("rewrite_prompt", f"WITH {PAR}, {zones_sql(LATIN)}, {SPREAD} SELECT doc_id, p_idx, string_agg('[' || zp.zone || '] ' || zr.sentence, chr(10) ORDER BY s_idx) AS prompt FROM zp JOIN zr USING (doc_id, p_idx, s_idx) WHERE zp.zone <> 'green' GROUP BY ALL")
 def _(spark, d):
     return sinks.rewrite_prompt(T.propagated(T.zones_raw(par(spark, d), LATIN)))

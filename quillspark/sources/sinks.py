@@ -5,13 +5,14 @@ from __future__ import annotations
 import html
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.dimensions import listed
+from . import files
 
 LABELS = {"deep_red": "重度AI", "red": "疑似AI", "yellow": "轻微AI", "green": "正常"}
-_COLOURS = {"deep_red": "#b00020", "red": "#e53935", "yellow": "#f9a825", "green": "#2e7d32"}
+COLOURS = {"deep_red": "#b00020", "red": "#e53935", "yellow": "#f9a825", "green": "#2e7d32"}
 
 
 def report_summary(levels: DataFrame) -> DataFrame:
@@ -50,15 +51,42 @@ def fused_json(rows: DataFrame) -> DataFrame:
 
 
 def write_json(rows: DataFrame, path: str) -> None:
-    """One object a line."""
-    rows.select(F.col("json").alias("value")).write.text(path)
+    """One object a line, written by tasks with a manifest; see files.py."""
+    files.register(rows.sparkSession)
+    rows.select(F.col("json").alias("text")).write.format("textfiles").option("extension", ".json").mode("overwrite").save(path)
+
+
+def _escaped(text: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
+def html_documents(levels: DataFrame, title: str = "Report") -> DataFrame:
+    """doc_id, html: a page for each document, with its paragraphs in order. Texts are escaped."""
+    label, colour = (F.create_map(*(F.lit(x) for pair in m.items() for x in pair))[F.col("level")] for m in (LABELS, COLOURS))
+    section = F.concat(
+        F.lit("<section style='border-left:4px solid "), colour, F.lit("'><h2>"), F.col("p_idx").cast("string"), F.lit(": "), label, F.lit(" ("), F.format_string("%.4f", F.round("comprehensive_score", 4)), F.lit(")</h2><p>"),
+        _escaped(F.col("text")), F.lit("</p></section>"),
+    )
+    own = levels.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("p_idx", section.alias("s")))), lambda x: x["s"]).alias("s"))
+    name = html.escape(title)
+    head = F.concat(F.lit(f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{name}</title></head><body><h1>{name} "), _escaped(F.col("doc_id").cast("string")), F.lit("</h1>"))
+    return own.select("doc_id", F.concat(head, F.array_join("s", "\n"), F.lit("</body></html>")).alias("html"))
+
+
+def write_html(levels: DataFrame, path: str, title: str = "Report") -> None:
+    """A file for each document, written by tasks with a manifest; see files.py."""
+    files.register(levels.sparkSession)
+    pages = html_documents(levels, title).select(F.col("doc_id").cast("string").alias("name"), F.col("html").alias("text"))
+    pages.write.format("textfiles").option("extension", ".html").mode("overwrite").save(path)
 
 
 def html_report(levels: DataFrame, title: str = "Report") -> Iterator[str]:
     """The page piece by piece; paragraphs come one at a time, in order, so the driver never holds them all. Texts are escaped."""
     yield f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>\n"
     for r in levels.orderBy("doc_id", "p_idx").select("doc_id", "p_idx", "text", "level", F.round("comprehensive_score", 4).alias("score")).toLocalIterator():
-        yield f"<section style='border-left:4px solid {_COLOURS[r.level]}'><h2>{r.doc_id} / {r.p_idx}: {LABELS[r.level]} ({r.score})</h2><p>{html.escape(r.text)}</p></section>\n"
+        yield f"<section style='border-left:4px solid {COLOURS[r.level]}'><h2>{r.doc_id} / {r.p_idx}: {LABELS[r.level]} ({r.score})</h2><p>{html.escape(r.text)}</p></section>\n"
     yield "</body></html>\n"
 
 

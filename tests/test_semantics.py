@@ -16,7 +16,7 @@ from quillspark.operators import fusion as U
 from quillspark.operators import parse as P
 from quillspark.operators import sentences as T
 from quillspark.operators import spans as X
-from quillspark.sources import readers, sinks
+from quillspark.sources import files, readers, sinks
 from quillspark.streaming import scan
 
 
@@ -130,7 +130,10 @@ def test_reports(spark, tmp_path):
     assert "&lt;b&gt;" in page and "<b>" not in page.replace("</body>", "")
     assert [x.split("\t")[1] for x in sinks.terminal_report(rows)] == ["1", "1"]
     sinks.write_json(spark.createDataFrame([(1, 0, '{"a":1}')], "doc_id long, p_idx int, json string"), str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).collect()[0].a == 1
+    assert [r.value for r in files.lines(spark, str(tmp_path / "out")).collect()] == ['{"a":1}']
+    sinks.write_html(rows, str(tmp_path / "pages"))
+    (page,) = spark.read.format("textfiles").load(str(tmp_path / "pages")).collect()
+    assert page.name == "1" and page.text.count("<section") == 2 and "&lt;b&gt;" in page.text
 
 
 def test_stream_is_the_batch(spark, sf):
@@ -312,9 +315,11 @@ def test_job(spark, tmp_path, capsys):
         assert [r["paragraph_index"] for r in rows] == [0, 1, 2, 3, 4] and {r["total_dimensions"] for r in rows} == ({12} if more else {16})
         assert all(g["gap"] >= h["gap"] for r in rows for g, h in zip(r["gaps"], r["gaps"][1:]))
     assert job.main([str(tmp_path / "t.txt"), "--format", "html", "--output", str(tmp_path / "o.html")], spark) == 0
-    assert (tmp_path / "o.html").read_text(encoding="utf-8").count("<section") == 5
+    assert spark.read.format("textfiles").load(str(tmp_path / "o.html")).first().text.count("<section") == 5
     assert job.main([str(tmp_path / "t.txt")], spark) == 0 and "#5" in capsys.readouterr().out
     assert job.main(["短", "--format", "terminal"], spark) == 1
+    assert job.main([str(tmp_path / "t.txt"), "--format", "rates"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["verdict"] in ("high", "partial", "safe")
     assert job.main(["--status"]) == 0
 
 
