@@ -145,6 +145,17 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
 
 _HOLDERS = ["article", "main", "article.post", "div.content", "div.post", "div.entry-content", "div.article-body", "div#main", "section.story", "div.text", "div#content", "div", "main.page", "td.body"]
+#: What may stand inside an article and is none of it: words, holders, whether a list.
+_INSIDE = [
+    ("comment", ["section.comments", "div.comments", "div#comments", "ol.comment-list", "div.responses", "aside.comments", "div.discussion"], False),
+    ("side", ["aside.related", "aside", "div.related", "nav.toc", "div.tags", "div.more", "aside.sidebar", "section.recommended", "nav"], True),
+    ("side", ["aside.related", "aside", "div.teaser", "aside.infobox", "div.related"], False),
+    ("notice", ["div.notice", "div.cookie", "aside.newsletter", "div.subscribe", "div.paywall", "div.alert", "section.newsletter"], False),
+    ("form", ["form", "form.newsletter", "div.login", "form.comment-form"], False),
+    ("share", ["div.share", "ul.social", "div.share-buttons", "nav.share"], True),
+    ("ad", ["div.ad", "div.advert", "aside.promo", "div.banner", "div.sponsored"], False),
+    ("footer", ["footer", "footer.meta", "div.post-footer"], False),
+]
 _WORDS = {
     "nav": "home news about contact login search menu sport world start suche kontakt accueil recherche inicio buscar more next previous categories archive",
     "footer": "copyright © all rights reserved privacy terms imprint impressum datenschutz mentions légales aviso legal sitemap powered ·",
@@ -153,6 +164,7 @@ _WORDS = {
     "form": "name email password submit send comment your message search login register",
     "comment": "reply says like posted ago minutes hours report share thanks agree great comment antworten répondre responder",
     "side": "related popular recent posts tags trending most read recommended follow us archive",
+    "share": "share tweet facebook email print whatsapp link copy teilen partager compartir",
     "header": "welcome site blog magazine daily online edition subscribe",
 }
 
@@ -194,20 +206,31 @@ def made_page(rng: random.Random) -> list[tuple[str, int]]:
         tag("</ul>")
         tag(f"</{name}>")
 
-    def box(kind: str, holder: list[str], n: int, lo: int, hi: int, bare: float = 0.12) -> None:
+    def box(kind: str | None, holder: list[str], n: int, lo: int, hi: int, bare: float = 0.12) -> None:
         name = opened(rng.choice(holder), bare)
         for _ in range(rng.randint(1, n)):
             text = words(kind, lo, hi)
             out.append((rng.choice([text + " <br>", f"<p>{text}</p>", f"<div>{text}</div>", f"<p>{text}", f"<span>{text}</span><hr>", f'<p><a href="/y">{text}</a></p>']), 0))
         tag(f"</{name}>")
 
-    def article() -> None:
-        name = opened(rng.choice(_HOLDERS), 0.05)
-        depth = rng.randint(0, 1)
+    def inside(kinds: list = _INSIDE) -> None:
+        kind, holders, in_list = rng.choice(kinds)
+        if in_list:
+            listed(kind, holders, 1, 6)
+        elif rng.random() < 0.4:
+            # in words like those of the article: only where it stands tells it apart
+            box(None, holders, 4, 3, 60, 0.04)
+        else:
+            box(kind, holders, 5 if kind == "comment" else 3, 1 if kind == "form" else 3, 50, 0.04)
+
+    def article(holder: str | None) -> None:
+        name = opened(holder, 0.05) if holder else ""
+        depth = rng.randint(0, 1) if holder else 0
         for _ in range(depth):
             tag("<div>")
         if rng.random() < 0.8:
             out.append((f"<h1>{words(None, 1, 12)}</h1>", 1))
+        odds = rng.choice([0, 0, 0.05, 0.15, 0.3])
         for _ in range(rng.choice([1, 2, 4, 8, 12, 25])):
             text = words(None, *rng.choice([(1, 4), (5, 30), (20, 120)]))
             r = rng.random()
@@ -225,20 +248,49 @@ def made_page(rng: random.Random) -> list[tuple[str, int]]:
                 out.append((f"<p>{text} <a href='/z'>{words(None, 1, 5)}</a> {words(None, 1, 9)}", 1))
             else:
                 out.append((f"<div>{text}</div>", 1))
-            if rng.random() < 0.05:
-                box("ad", ["div.ad", "div.advert", "aside.promo", "div.banner"], 1, 2, 25, 0)
+            if rng.random() < odds:
+                inside()
+        if rng.random() < 0.25:
+            inside(_INSIDE[:1] if rng.random() < 0.6 else _INSIDE)
         for _ in range(depth):
             tag("</div>")
-        tag(f"</{name}>")
+        if holder:
+            tag(f"</{name}>")
+
+    def cells(make, spec: str) -> None:
+        opened(spec, 0.3)
+        make()
+        tag("</td>")
 
     tag("<html><body>")
+    if rng.random() < 0.15:
+        # a layout by tables: what is around the text stands in cells of its own
+        tag("<table>")
+        if rng.random() < 0.6:
+            tag("<tr>")
+            cells(lambda: box("header", ["div", "div#top", "b"], 2, 1, 10), "td.top")
+            tag("</tr>")
+        tag("<tr>")
+        if rng.random() < 0.8:
+            cells(lambda: listed("nav", ["div", "div.menu", "font", "div#nav"], 1, 9), rng.choice(["td.menu", "td.left", "td.nav"]))
+        cells(lambda: article(rng.choice([None, None, "div", "div.text", "font"])), rng.choice(["td.main", "td.body", "td.content", "td", "td"]))
+        if rng.random() < 0.4:
+            cells(lambda: listed("side", ["div", "div.box", "font"], 1, 6), rng.choice(["td.right", "td.side"]))
+        tag("</tr>")
+        if rng.random() < 0.7:
+            tag("<tr>")
+            cells(lambda: box("footer", ["div", "small", "div.footer"], 2, 2, 20), "td.bottom")
+            tag("</tr>")
+        tag("</table></body></html>")
+        return out
+    own = None if rng.random() < 0.1 else rng.choice(_HOLDERS)
     for part in (
         (0.5, lambda: box("header", ["header", "div.header", "div#top", "div.masthead"], 2, 1, 12)),
         (0.8, lambda: listed("nav", ["nav", "div.menu", "div#nav", "nav.main-menu", "div.breadcrumb"], 1, 9)),
         (0.2, lambda: box("notice", ["div.notice", "div.cookie-banner", "div.alert", "section.newsletter"], 2, 3, 40)),
         (0.5, lambda: box("ad", ["div.ad", "div.ads", "div.advert", "div.banner", "aside.sponsored"], 1, 2, 30)),
         (0.3, lambda: listed("side", ["aside", "div.sidebar", "div#sidebar", "div.related"], 1, 7)),
-        (1.0, article),
+        (1.0, lambda: article(own)),
         (0.3, lambda: box("comment", ["section.comments", "div.comment-list", "div#comments", "ol.comments"], 6, 3, 60)),
         (0.3, lambda: listed("side", ["aside", "div.sidebar", "div.related", "section.popular"], 1, 7)),
         (0.25, lambda: box("form", ["form", "form.search", "div.login"], 3, 1, 8)),

@@ -23,7 +23,7 @@ PATHS, WORDS, MEASURES = 128, 48, 10
 SIZE = PATHS + WORDS + MEASURES
 HIDDEN = 24
 #: Made-up pages, passes over them and pages in a step.
-PAGES, PASSES, STEP = 1000, 8, 16
+PAGES, PASSES, STEP = 1500, 8, 16
 #: Blocks that are labelled together. A page of more is read stretch by stretch, with the state handed on.
 TOGETHER = 4096
 

@@ -2,6 +2,7 @@ import html
 import random
 import re
 
+import hand_pages
 import numpy as np
 import pytest
 
@@ -109,6 +110,13 @@ def test_made_pages_that_it_has_not_seen():
     assert n > 2000 and wrong < 0.01 * n
 
 
+@pytest.mark.parametrize("k", range(len(hand_pages.PAGES)))
+def test_pages_written_by_hand(k):
+    """Comments, asides, notices, forms and adverts inside articles go; text in cells of a layout and on pages without holders stays."""
+    page, want = hand_pages.PAGES[k]
+    assert h.main_texts(h.trained(), [page]) == [want]
+
+
 def test_labels_do_not_depend_on_the_company():
     m = h.trained()
     pages = [h.features(b) for b, _ in p.labelled(7, 30) if b]
