@@ -4,7 +4,7 @@ Test strings are the windows of ten words of every benchmark item (or the whole
 of a shorter item). For test strings of one length, a table by the hash of a block of two words tells
 how far a search may move on when such a block ends the words under view; blocks
 that no test string has allow the longest move. Where the move is zero, the hash
-of the last words selects the bucket of test strings, and those are compared word by word.
+of the last block selects a bucket of test strings, and those of it that begin with the block that stands there are compared word by word.
 All texts of a batch are searched at once, each stretch with a cursor of its own.
 """
 
@@ -29,6 +29,8 @@ BLOCK = 2
 BITS = 20
 #: Words that one cursor searches.
 STRETCH = 512
+#: Places whose test strings are compared at once.
+CANDIDATES = 4096
 #: Bytes of benchmark text in one set of tables. Beyond, items are dealt into more sets, and the documents searched for one after another.
 SET_BYTES = 32 << 20
 
@@ -39,8 +41,12 @@ def _words(texts: list[str | None], place: int) -> tuple[Words, np.ndarray]:
     return Words(raw, at, NOT_ALNUM, place), raw
 
 
+def joined(raw: np.ndarray, words: Words, first: int, n: int) -> bytes:
+    return b" ".join(raw[s:e].tobytes() for s, e in zip(words.starts[first : first + n].tolist(), words.ends[first : first + n].tolist()))
+
+
 class Tables:
-    """Test strings of one length: shift table, and buckets by the hash of the last block of words.
+    """Test strings of one length: shift table, and buckets of test strings by the hash of their last block of words, in each by that of their first block.
 
     first: the first word of each test string among the benchmark's words; item: the number of its item; text: all words with one space between, and
     begin: where each begins there.
@@ -53,54 +59,77 @@ class Tables:
         blocks = windows(words.hash, self.block)
         for j in range(self.reach):
             self.shift[blocks[first + j] >> np.uint64(64 - BITS)] = self.reach - 1 - j
-        # equal test strings are one, with a list of items; ordered by the hash of all words, by which a bucket is searched
-        self.keys, one, group = np.unique(windows_at(words.hash, first, length), return_index=True, return_inverse=True)
-        self.suffix = blocks[first[one] + length - self.block]
-        self.text, self.begin, self.end = text, begin[first[one]], begin[first[one] + length] - 1
-        for k in np.setdiff1d(np.arange(len(first)), one).tolist():
-            if text[begin[first[k]] : begin[first[k] + length] - 1] != self.string(group[k]):
-                raise Collision
+        self.hash, self.text, self.edge = words.hash, text, begin
+        # equal test strings are one, with a list of items
+        one, group = self._distinct(windows_at(words.hash, first, length), first)
+        order = np.lexsort((blocks[first[one]], blocks[first[one] + length - self.block]))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.first, group = first[one][order], rank[group]
+        self.suffixes, bucket = np.unique(blocks[self.first + length - self.block], return_inverse=True)
+        self.places = self._place(bucket, blocks[self.first])
         order = np.lexsort((item, group))
         new = np.ones(len(order), bool)
         new[1:] = (group[order][1:] != group[order][:-1]) | (item[order][1:] != item[order][:-1])
         self.items = item[order][new]
-        self.at = np.searchsorted(group[order][new], np.arange(len(self.keys) + 1))
-
-    def string(self, k: int) -> bytes:
-        return self.text[self.begin[k] : self.end[k]]
-
-    def bucket(self, suffix: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """The one test string that may be there, by the hashes of the last block and of all words; -1 for none."""
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (self.suffix[at] == suffix), at, -1)
+        self.at = np.searchsorted(group[order][new], np.arange(len(self.first) + 1))
 
+    def _distinct(self, keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One of each group of equal test strings, and the group of each. Hashes bring them together; what then differs stays apart."""
+        _, one, group = np.unique(keys, return_index=True, return_inverse=True)
+        own = one.tolist()
+        for k in np.setdiff1d(np.arange(len(first)), one).tolist():
+            if self._string(first[k]) != self._string(first[own[group[k]]]):
+                group[k] = len(own)
+                own.append(k)
+        return np.array(own, np.int64), group
 
-class Collision(Exception):
-    """Two test strings share a hash."""
+    @staticmethod
+    def _place(bucket: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        """A number by which test strings are in order: their bucket, then their first block."""
+        return (bucket.astype(np.uint64) << np.uint64(32)) | (prefix >> np.uint64(32))
 
+    def _string(self, first: int) -> bytes:
+        return self.text[self.edge[first] : self.edge[first + self.length] - 1]
 
-def joined(raw: np.ndarray, words: Words, first: int, n: int) -> bytes:
-    return b" ".join(raw[s:e].tobytes() for s, e in zip(words.starts[first : first + n].tolist(), words.ends[first : first + n].tolist()))
+    def string(self, k: int) -> bytes:
+        return self._string(self.first[k])
+
+    def compared(self, words: Words, raw: np.ndarray, begin: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words from each place against all test strings of the bucket that the last block selects and that begin with its first block: places and test strings that are the same, word by word."""
+        suffix = blocks[begin + self.length - self.block]
+        bucket = np.minimum(np.searchsorted(self.suffixes, suffix), len(self.suffixes) - 1)
+        begin, bucket = begin[there := self.suffixes[bucket] == suffix], bucket[there]
+        own = self._place(bucket, blocks[begin])
+        low, high = np.searchsorted(self.places, own, "left"), np.searchsorted(self.places, own, "right")
+        found = []
+        for i in range(0, len(begin), CANDIDATES):
+            j, n = slice(i, i + CANDIDATES), (high - low)[i : i + CANDIDATES]
+            at = np.repeat(begin[j], n)
+            k = np.repeat(low[j], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            for w in range(self.length):
+                same = self.hash[self.first[k] + w] == words.hash[at + w]
+                at, k = at[same], k[same]
+            same = np.array([joined(raw, words, a, self.length) == self.string(x) for a, x in zip(at.tolist(), k.tolist(), strict=True)], bool)
+            found.append((at[same], k[same]))
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate([none, *(x[c] for x in found)]) for c in (0, 1))
 
 
 def compile_tables(texts: list[str | None], items: list[int], window: int = WINDOW) -> tuple[int, list[Tables]]:
-    """items: the number of each text's item. Words are hashed at a place drawn until no two test strings share a hash."""
-    while True:
-        place = draw()
-        words, raw = _words(texts, place)
-        size = np.minimum(words.counts(), window)
-        text = joined(raw, words, 0, len(words.hash))
-        begin = np.concatenate([[0], np.cumsum(words.ends - words.starts + 1)])
-        try:
-            out = []
-            for n in np.unique(size[size > 0]).tolist():
-                own = np.flatnonzero(size == n)
-                many = words.counts()[own] - n + 1
-                first = np.repeat(words.at[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                out.append(Tables(n, words, text, begin, first, np.repeat(np.array(items, np.int64)[own], many)))
-            return place, out
-        except Collision:
-            pass
+    """items: the number of each text's item. Words are hashed at a place drawn for this run, so that no texts can be made for which buckets are full."""
+    place = draw()
+    words, raw = _words(texts, place)
+    size = np.minimum(words.counts(), window)
+    text = joined(raw, words, 0, len(words.hash))
+    begin = np.concatenate([[0], np.cumsum(words.ends - words.starts + 1)])
+    out = []
+    for n in np.unique(size[size > 0]).tolist():
+        own = np.flatnonzero(size == n)
+        many = words.counts()[own] - n + 1
+        first = np.repeat(words.at[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        out.append(Tables(n, words, text, begin, first, np.repeat(np.array(items, np.int64)[own], many)))
+    return place, out
 
 
 def search(words: Words, raw: np.ndarray, table: Tables) -> tuple[np.ndarray, np.ndarray]:
@@ -129,24 +158,20 @@ def search(words: Words, raw: np.ndarray, table: Tables) -> tuple[np.ndarray, np
         cursor, stop = cursor[go], stop[go]
     if not hits:
         return none, none
-    begin = np.sort(np.concatenate(hits)) - m + 1
-    at = table.bucket(blocks[begin + m - table.block], windows_at(words.hash, begin, m))
-    begin, at = begin[at >= 0], at[at >= 0]
-    same = np.array([joined(raw, words, a, m) == table.string(k) for a, k in zip(begin.tolist(), at.tolist())], bool)
-    return begin[same], at[same]
+    return table.compared(words, raw, np.sort(np.concatenate(hits)) - m + 1, blocks)
 
 
 def _sets(benchmark: DataFrame, id_col: str, text_col: str, window: int, most: int) -> Iterator:
     """How many sets there are; then each as broadcast tables of bounded size, with the names of items."""
     spark = benchmark.sparkSession
-    rows = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    rows = benchmark.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     parts = max(1, -(-total // most))
     yield parts
     for k in range(parts):
         names: dict[str | None, int] = {}
         texts, items = [], []
-        for r in rows.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).toLocalIterator():
+        for r in rows.filter(F.pmod(F.xxhash64("text", "item"), F.lit(parts)) == k).toLocalIterator():
             texts.append(r.text)
             items.append(names.setdefault(r.item, len(names)))
         yield spark.sparkContext.broadcast((*compile_tables(texts, items, window), [x or "" for x in names]))
@@ -187,7 +212,9 @@ def decontaminate(
     small_batches(docs.sparkSession)
     sets = _sets(benchmark, item_col, item_text_col, window, set_bytes)
     parts = next(sets)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tk"))
+    # what several sets find is brought together by id and text
+    key = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) if parts > 1 else F.lit(None).cast("string")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), key.alias("tk"))
 
     def found(shared, every: bool):
         """Of each document (or each that has an item) id, key of the text, words, hit words, their places, items."""
@@ -209,7 +236,7 @@ def decontaminate(
                     yield out if every else out.filter(pa.array(hits > 0))
 
         names = ["id", "tk", "n_words", "n_hit", *([] if every else ["places"]), "items"]
-        kinds = {"places": "array<int>", "items": "array<string>"}
+        kinds = {"places": "array<int>", "items": "array<string>", "tk": "string"}
         return base.select("id", "text", "tk").mapInArrow(run, ", ".join(f"{x} {kinds.get(x, 'long')}" for x in names))
 
     if parts == 1:
@@ -232,7 +259,7 @@ def decontaminate(
                 n = [x for i, j in slices(at) for x in Words(LOWER[raw[at[i] : at[j]]], at[i : j + 1] - at[i], NOT_ALNUM, None).counts().tolist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["id", "tk", "n_words"])
 
-        counted = base.mapInArrow(count, "id long, tk long, n_words long")
+        counted = base.mapInArrow(count, "id long, tk string, n_words long")
         out = counted.join(hits, F.col("id").eqNullSafe(F.col("i")) & (F.col("tk") == F.col("k")), "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)), "items": F.coalesce("items", F.array().cast("array<string>"))})
     digest = F.sha2(F.concat_ws(",", "items"), 256)
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")

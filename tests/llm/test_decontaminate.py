@@ -1,6 +1,8 @@
 import hashlib
+import random
 import re
 
+import numpy as np
 import oracle
 from quillspark.llm import decontaminate as d
 
@@ -70,11 +72,36 @@ def test_words_of_equal_hash(spark):
     assert {r.doc_id: r.n_hit for r in got} == {0: 12, 1: 0}
 
 
-def test_a_shared_hash_draws_another_place(monkeypatch):
-    places = iter([0, 5])  # at 0 all words of one length agree
-    monkeypatch.setattr(d, "draw", lambda: next(places))
-    place, (table,) = d.compile_tables(["aa bb", "cc dd"], [0, 1], 2)
-    assert place == 5 and sorted(table.string(k) for k in range(2)) == [b"aa bb", b"cc dd"]
+def test_strings_that_share_all_hashes_stay_apart(monkeypatch):
+    """At place 0 all words of one length agree: buckets, first blocks and whole strings do; only the words tell them apart."""
+    monkeypatch.setattr(d, "draw", lambda: 0)
+    place, (table,) = d.compile_tables(["aa bb", "cc dd", "aa bb", "aa dd"], [0, 1, 2, 3], 2)
+    assert place == 0 and len(table.suffixes) == 1 and sorted(table.string(k) for k in range(len(table.first))) == [b"aa bb", b"aa dd", b"cc dd"]
+    words, raw = d._words(["xx aa dd yy cc dd", "aa bb"], place)
+    at, k = d.search(words, raw, table)
+    assert [(a, table.string(x)) for a, x in sorted(zip(at.tolist(), k.tolist()))] == [(1, b"aa dd"), (4, b"cc dd"), (6, b"aa bb")]
+    assert [sorted(table.items[table.at[x] : table.at[x + 1]].tolist()) for _, x in sorted(zip(at.tolist(), k.tolist()))] == [[3], [1], [0, 2]]
+
+
+def test_buckets_hold_several_strings():
+    """Test strings that end alike share a bucket; a place is compared with those that begin alike too."""
+    bench = [f"start off {w} of the" for w in ("one", "two", "three")] + ["other way one of the", "no such way end here"]
+    _, (table,) = d.compile_tables(bench, list(range(5)), 5)
+    assert len(table.suffixes) == 2 and len(table.first) == 5 and len(np.unique(table.places)) == 3
+    rng = random.Random(1)
+    vocabulary = ["start off", "one", "two", "three", "of the", "no", "such", "end", "here"]
+    texts = [" ".join([" ".join(rng.choices(vocabulary, k=60)), rng.choice(bench)]) for _ in range(200)]
+    place, (table,) = d.compile_tables(bench, list(range(5)), 5)
+    words, raw = d._words(texts, place)
+    at, k = d.search(words, raw, table)
+    got = sorted((int(a), table.string(x).decode()) for a, x in zip(at, k))
+    want, before = [], 0
+    for t in texts:
+        w = t.split()
+        want += [(before + i, s) for i in range(len(w) - 4) for s in bench if w[i : i + 5] == s.split()]
+        before += len(w)
+    want.sort()
+    assert got == want and len(got) >= 200
 
 
 def test_oracle(spark, sf):
