@@ -265,6 +265,37 @@ def decontaminate(
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items")
 
 
+def uncontaminated(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, set_bytes: int = SET_BYTES
+) -> DataFrame:
+    """The rows without any test string in their text, with all their columns. Each row is judged by itself, whatever its id; the rows pass the search and are not joined with its verdicts.
+
+    Of several sets of test strings each is searched for in what the one before has left.
+    """
+    small_batches(docs.sparkSession)
+    sets = _sets(benchmark, item_col, item_text_col, window, set_bytes)
+    parts, place = next(sets), docs.columns.index(text_col)
+    for k, shared in enumerate(sets):
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                raw_all, at_all = text_bytes(batch.column(place))
+                for i, j in slices(at_all):
+                    raw = LOWER[raw_all[at_all[i] : at_all[j]]]
+                    words = Words(raw, at_all[i : j + 1] - at_all[i], NOT_ALNUM, shared.value[0])
+                    hit = np.zeros(j - i, bool)
+                    for table in shared.value[1]:
+                        hit[np.searchsorted(words.at, search(words, raw, table)[0], "right") - 1] = True
+                    yield batch.slice(i, j - i).filter(pa.array(~hit))
+
+        docs = docs.mapInArrow(run, docs.schema)
+        if k + 1 < parts:
+            # so that no more than one set is in memory
+            docs = written(docs, "clean")
+            shared.destroy()
+    return docs
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("items")
 

@@ -63,6 +63,18 @@ def test_brute_force(spark):
     assert d.decontaminate(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def test_rows_without_passages(spark):
+    """Rows pass with all their columns, also where ids repeat or are null; in one set or several."""
+    docs = spark.createDataFrame([(*r, "z", [1, None]) for r in DOCS], "doc_id long, text string, items string, more array<int>")
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    want = sorted(((*r, "z", [1, None]) for r, b in zip(DOCS, brute(DOCS, BENCH)) if not b[5]), key=repr)
+    for most in (1 << 20, 60):
+        out = d.uncontaminated(docs, bench, set_bytes=most)
+        assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=repr) == want
+    assert d.uncontaminated(docs.limit(0), bench).count() == 0
+    assert d.uncontaminated(docs, bench.limit(0)).count() == len(DOCS)
+
+
 def test_words_of_equal_hash(spark):
     a, b = "a", "b"
     for _ in range(10):  # polynomials over their signs agree modulo 2^64 at every odd place

@@ -1,5 +1,8 @@
 """Each stage of the pipeline against brute force on what the stage before it kept."""
 
+import hashlib
+import re
+
 import corpus_pipeline as c
 import test_decontaminate as td
 import test_exact_dedup as te
@@ -16,6 +19,7 @@ def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = [(10**6, None, "en", "s", 0), (10**6 + 1, "", "en", "s", 0), (None, "one two three", "en", "s", 13), (10**6 + 2, None, None, None, None)]
     passage = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    extra += [(10**6 + 4, "Twice the same  text", "en", "s", 9), (10**6 + 4, "Twice the sametext", "en", "s", 9), (None, "Twice the same text", "en", "s", 9), (None, "all by itself here", "en", "s", 9), (None, "all by it self here", "en", "s", 9)]
     extra += [(None, f"so {passage} it is", "en", "s", 9), (10**6 + 3, "clean words under an id", "en", "s", 9), (10**6 + 3, f"other {passage} words", "en", "s", 9)]
     docs = docs.unionByName(spark.createDataFrame(extra, docs.schema)).withColumn("kept", F.lit("own")).repartition(4)
     assert [k for k, _ in c.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
@@ -33,7 +37,15 @@ def test_stages(spark, tmp_path):
         if name == "toxicity":
             bad = {r.doc_id for r in toxicity.toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).filter("predicted = 1").collect()}
         elif name == "exact_dedup":
-            bad = {r[0] for r in te.brute(before) if not r[3] and r[0] is not None}
+            # one of each group, whether ids repeat or are wanting
+            got = {}
+            for x, t in kept:
+                sha = hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", t or "").encode()).hexdigest()
+                assert sha not in got
+                got[sha] = x
+            assert got == {r[4]: r[1] for r in te.brute(before)} and set(kept) <= set(before)
+            docs = after
+            continue
         elif name == "near_dedup":
             bad = {r[0] for r in tn.brute(before) if not r[3]}
         else:
