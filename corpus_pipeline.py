@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import _shared
-from quillspark.llm.decontaminate import decontaminate
-from quillspark.llm.exact_dedup import exact_dedup
+from quillspark.llm.decontaminate import uncontaminated
+from quillspark.llm.exact_dedup import WHITE, exact_dedup
 from quillspark.llm.near_dedup import near_dedup
 from quillspark.llm.packing import pack
 from quillspark.llm.toxicity import THRESHOLD, fit, scored
@@ -36,13 +36,23 @@ def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below the threshold. The models learn from the labelled ones among `docs`."""
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, model, score_col="_toxicity").filter(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    model, score = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), max(docs.columns, key=len) + "_toxicity"
+    return scored(docs, model, score_col=score).filter(F.col(score) < THRESHOLD).drop(score)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _without(docs, exact_dedup(docs))
+    """One document of each group of equal texts; also where rows repeat an id or have none."""
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("odd"))
+    if odd.isEmpty():
+        return _without(docs, exact_dedup(docs))
+    # an id alone does not tell these rows apart: of those that the verdict keeps, one of each text stays
+    verdicts, name = _shared.written(exact_dedup(docs), "verdicts"), max(docs.columns, key=len)
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    keep = verdicts.filter("kept").select(F.col("doc_id").alias(f"{name}_id"), F.col("text_sha256").alias(f"{name}_sha")).distinct()
+    norm = F.regexp_replace(F.coalesce("text", F.lit("")), WHITE, "")
+    rows = docs.join(odd, same("doc_id", "odd"), "left_semi").withColumn(f"{name}_own", F.sha2(norm, 256))
+    rows = rows.join(keep, same("doc_id", f"{name}_id") & same(f"{name}_own", f"{name}_sha"), "left_semi").dropDuplicates([f"{name}_own"]).select(docs.columns)
+    return _without(docs.join(odd, same("doc_id", "odd"), "left_anti"), verdicts).unionByName(rows)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,11 +61,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage. Each row is judged by itself, also where ids are null or repeat."""
-    row = max(docs.columns, key=len) + "_row"
-    keyed = docs.withColumn(row, F.xxhash64(*docs.columns))
-    found = decontaminate(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=row)
-    return _gone(keyed, found.filter("contaminated").select(row).distinct(), row).select(docs.columns)
+    """Documents without a benchmark passage."""
+    return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
