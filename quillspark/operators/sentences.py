@@ -163,12 +163,17 @@ def _reasons(pack: Pack, given: set[str], learnt: bool) -> Column:
     return F.array_compact(F.array(*said))
 
 
-def sentence_rows(par: DataFrame, pack: Pack, extra: DataFrame | None = None, char_sim: DataFrame | None = None) -> DataFrame:
-    """Each sentence of five characters and more with what its signals and features come from; the parameters are those of zones_raw()."""
+def sentence_rows(par: DataFrame, pack: Pack, extra: DataFrame | None = None, char_sim: DataFrame | None = None, latch: bool = True) -> DataFrame:
+    """Each sentence of five characters and more with what its signals and features come from; the parameters are those of zones_raw().
+
+    Without `latch`, in_references is false for all, and each paragraph has a row of its own before its sentences, with s_idx -1, no sentence, and `starts`: whether it begins a list of references; a column `last` stays.
+    """
     given = set(extra.columns) if extra is not None else set()
     keep = {} if "own" in given else {"_told": foretold(F.col("text"), pack)}
-    levels = scanned(par, pack, compare=False, keep=keep).select("doc_id", "p_idx", "text", "level", *keep)
-    shared = reference_latch(paragraph_signals(levels, pack, "level", *keep), pack)
+    more = {} if latch else {"last": F.col("last")}
+    levels = scanned(par, pack, compare=False, keep=keep | more).select("doc_id", "p_idx", "text", "level", *keep, *more)
+    shared = paragraph_signals(levels, pack, "level", *keep, *more)
+    shared = reference_latch(shared, pack) if latch else shared.withColumns({"in_references": F.lit(False), "starts": strip(F.col("text")).rlike(pack.references)})
     if extra is not None:
         shared = shared.join(extra, ["doc_id", "p_idx"], "left")
     if keep:
@@ -176,15 +181,19 @@ def sentence_rows(par: DataFrame, pack: Pack, extra: DataFrame | None = None, ch
     for k in ("bigram", "own", "human", "uniform"):
         shared = shared.withColumn(k, F.coalesce(F.col(k), F.lit(0.0)) if k in shared.columns else F.lit(0.0))
     told_by = [k for k in ("avg_prob", "self_ppl", "human_sim", "intra_sim") if k in shared.columns]
-    columns = ["doc_id", "p_idx", "template", "parallel", "even", "spread", "level", "in_references", "bigram", "own", "human", "uniform", *told_by]
-    rows = shared.select(*columns, F.size("sents").alias("n_sents"), F.posexplode("sents").alias("s_idx", "sentence")).withColumn("chars", F.length("sentence")).filter("chars >= 5")
+    columns = ["doc_id", "p_idx", "template", "parallel", "even", "spread", "level", "in_references", "bigram", "own", "human", "uniform", *told_by, *([] if latch else ["starts", "last"])]
+    each = F.posexplode(F.col("sents") if latch else F.concat(F.array(F.lit(None).cast("string")), "sents")).alias("s_idx", "sentence")
+    rows = shared.select(*columns, F.size("sents").alias("n_sents"), each)
+    if not latch:
+        rows = rows.withColumn("s_idx", F.col("s_idx") - 1)
+    rows = rows.withColumn("chars", F.length("sentence")).filter("chars >= 5" if latch else "chars >= 5 OR s_idx < 0")
     rows = sentence_stats(rows, pack)
     if char_sim is not None:
         return rows.join(char_sim.select("doc_id", "p_idx", "s_idx", F.col("similarity").alias("_like")), ["doc_id", "p_idx", "s_idx"], "left")
     return rows.withColumn("_like", F.lit(None).cast("double"))
 
 
-def zones_raw(par: DataFrame, pack: Pack, extra: DataFrame | None = None, char_sim: DataFrame | None = None, model=None) -> DataFrame:
+def zones_raw(par: DataFrame, pack: Pack, extra: DataFrame | None = None, char_sim: DataFrame | None = None, model=None, latch: bool = True) -> DataFrame:
     """doc_id, p_idx, s_idx, sentence, chars, score, zone, signals, reasons, ai_dim_count: each sentence by itself; score not rounded.
 
     The paragraph's level is that of a paragraph with none before it. Sentences under five characters go; in a list of references all are green
@@ -192,8 +201,10 @@ def zones_raw(par: DataFrame, pack: Pack, extra: DataFrame | None = None, char_s
     and own count where their sum is above 0; what they come from (avg_prob, self_ppl, human_sim, intra_sim) is named in reasons. `char_sim` (doc_id, p_idx, s_idx, similarity) brings the likeness of sentences to known texts.
 
     `model` (a scoring.Detector) decides instead: a sentence's score is then the probability that it gives, and its zone the model's. Signals are those that the rules see.
+
+    Without `latch` no row looks beyond its paragraph, so that streams can be scanned: see sentence_rows() for what it adds.
     """
-    rows = sentence_rows(par, pack, extra, char_sim)
+    rows = sentence_rows(par, pack, extra, char_sim, latch)
     told_by = {k for k in ("avg_prob", "self_ppl", "human_sim", "intra_sim") if k in rows.columns}
     s = F.col("sentence")
     told = F.col("bigram") + F.col("own")
@@ -231,7 +242,21 @@ def zones_raw(par: DataFrame, pack: Pack, extra: DataFrame | None = None, char_s
     reasons = F.when(protected, F.array(F.lit("参考文献(保护)"))).otherwise(_reasons(pack, told_by, model is not None))
     rows = rows.withColumns({"zone": F.when(protected, "green").otherwise(zone), "score": F.when(protected, 0.0).otherwise(F.least("score", F.lit(1.0))), "reasons": reasons})
     rows = rows.withColumn("ai_dim_count", F.when(protected, 0).otherwise(F.size("reasons")))
-    return rows.select("doc_id", "p_idx", "s_idx", "sentence", "chars", "score", "zone", "signals", "reasons", "ai_dim_count")
+    return rows.select("doc_id", "p_idx", "s_idx", "sentence", "chars", "score", "zone", "signals", "reasons", "ai_dim_count", *([] if latch else ["starts", "last"]))
+
+
+def spread_step(before: str | None, zone: str, score: float, after: str | None) -> tuple[str, float]:
+    """Zone and score of a sentence by the zone of the one before it, as it has become, and that of the next, as it was; none at either end of a document: what propagated() does, one step at a time."""
+    if before is None or after is None:
+        return zone, score
+    near = {before, after}
+    if zone == "green":
+        for colour, to, least in (("red", "orange", 0.22), ("orange", "yellow", 0.10), ("yellow", "yellow", 0.08)):
+            if colour in near:
+                return to, max(score, least)
+    elif zone == "yellow" and "red" in near:
+        return "orange", max(score, 0.20)
+    return zone, score
 
 
 def propagated(rows: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators import sentences as T
 from ..operators import spans as X
 from ..sources import files, readers, sinks
 from ..sources.stored import place, stored
-from ..streaming import scan
+from ..streaming import paragraphs, scan
 from . import sql as S
 from .paragraph_queries import PAR, TALK, ZPAR, documents, par, rounded, talk, zh_docs
 from .sentence_queries import SPREAD, SUMMARY, TOLD, TOLD_JOINS, formula_sql, self_sql, sent_sql, shared_sql, starter_sql, stats_sql, told_by_models, zones_sql
@@ -245,6 +245,23 @@ def _(spark, d):
     return scan.drained(scan.levels(scan.table_stream(spark, d, "documents")))
 
 
+def _turn_stream(spark, d):
+    ends = spark.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg(F.max("turn").alias("end"))
+    return paragraphs.turns(scan.table_stream(spark, d, "conversations"), ends)
+
+
+@query("stream_sentence_zones", f"WITH {TALK}, {zones_sql(LATIN)}, {SPREAD} SELECT doc_id, p_idx, s_idx, chars, round(score, 6) AS score, zone FROM zp")
+def _(spark, d):
+    """Conversations as a stream of turns: latch and spread as state of each conversation."""
+    return scan.drained(paragraphs.zones(_turn_stream(spark, d))).withColumn("score", F.round("score", 6))
+
+
+@query("stream_paragraph_levels", f"WITH {TALK}, {S.scanned(LATIN)} SELECT doc_id, p_idx, ai_count, level, round(comprehensive_score, 6) AS comprehensive_score FROM cls")
+def _(spark, d):
+    """Conversations as a stream of turns: each turn's statistics with the turn before it as state."""
+    return scan.drained(paragraphs.levels(_turn_stream(spark, d))).withColumn("comprehensive_score", F.round("comprehensive_score", 6))
+
+
 @query("stream_event_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def _(spark, d):
     rows = scan.drained(scan.event_counts(scan.table_stream(spark, d, "events")), ("day", "event_type"))

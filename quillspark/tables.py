@@ -83,16 +83,8 @@ class SpreadZones:
         self.before, self.row = None, None  # the zone before, as it has become; and the row that waits for the next one
 
     def _done(self, after: str | None):
-        row, zone, score = self.row, self.row["zone"], self.row["score"]
-        if self.before is not None and after is not None:
-            near = {self.before, after}
-            if zone == "green":
-                for colour, to, least in (("red", "orange", 0.22), ("orange", "yellow", 0.10), ("yellow", "yellow", 0.08)):
-                    if colour in near:
-                        zone, score = to, max(score, least)
-                        break
-            elif zone == "yellow" and "red" in near:
-                zone, score = "orange", max(score, 0.20)
+        row = self.row
+        zone, score = sentences.spread_step(self.before, row["zone"], row["score"], after)
         self.before = zone
         return tuple(zone if name == "zone" else score if name == "score" else row[name] for name in row.__fields__)
 
