@@ -280,6 +280,23 @@ def _(spark, d):
     return compare.compared(before, D.scanned(P.paragraphs(again, LATIN), LATIN))
 
 
+_NEW = "Put in before all others by the one who wrote it again."
+_RANKS = "(VALUES ('green', 0), ('yellow', 1), ('red', 2), ('deep_red', 3))"
+
+
+@query("before_after_aligned", f"""WITH {PAR}, {S.scanned(LATIN)}, b AS (SELECT doc_id, p_idx, level FROM cls),
+a AS (SELECT doc_id, p_idx, level FROM (WITH {S.paragraphs(LATIN, f"(SELECT doc_id, {S.q(_NEW)} || chr(10) || coalesce(text, '') AS text FROM documents)")}, {S.scanned(LATIN)} SELECT * FROM cls)),
+m AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, b.p_idx AS p_before, a.p_idx AS p_after, b.level AS level_before, a.level AS level_after FROM b FULL JOIN a ON a.doc_id = b.doc_id AND a.p_idx = b.p_idx + 1)
+SELECT doc_id, p_before, p_after, level_before, level_after, CASE WHEN level_before IS NULL THEN 'added' WHEN level_after IS NULL THEN 'removed' WHEN y.k < x.k THEN 'better' WHEN y.k > x.k THEN 'worse' ELSE 'same' END AS change
+FROM m LEFT JOIN {_RANKS} x(z, k) ON x.z = level_before LEFT JOIN {_RANKS} y(z, k) ON y.z = level_after""")
+def _(spark, d):
+    """The documents against themselves with a paragraph put in before all others: it is added, and every other meets itself."""
+    docs = documents(spark, d)
+    again = docs.select("doc_id", F.concat(F.lit(_NEW + "\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    before = D.scanned(par(spark, d), LATIN).withColumnRenamed("level", "fused_level")
+    return compare.aligned(before, D.scanned(P.paragraphs(again, LATIN), LATIN))
+
+
 @query("refusals", f"""WITH {PAR}, h AS (SELECT DISTINCT doc_id FROM par) SELECT d.doc_id, CASE WHEN len(trim(coalesce(text, ''))) < 20 THEN '文本太短' WHEN h.doc_id IS NULL THEN '未检测到有效段落' END AS error FROM documents d LEFT JOIN h USING (doc_id)""")
 def _(spark, d):
     return sinks.refusals(documents(spark, d), par(spark, d))

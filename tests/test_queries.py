@@ -49,3 +49,10 @@ def test_statistics_move_no_rows(spark):
 def test_scans_read_only_what_they_need(spark):
     plan = registry.QUERIES["dims_wide"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_reports_count_each_text_once(spark):
+    """Rules and vectors are evaluated once each, the concepts read the texts a second time, and no scan meets itself."""
+    for name, evaluations, scans in (("fused_json", 2, 2), ("gap_report", 2, 2), ("top5_instructions", 2, 2), ("fused_levels", 2, 2), ("json_report", 1, 1), ("html_documents", 1, 1)):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+        assert plan.count("ArrowEvalPython [") <= evaluations and plan.count("FileScan parquet") <= scans, (name, plan.count("ArrowEvalPython ["), plan.count("FileScan parquet"))
