@@ -24,12 +24,6 @@ def words_array(phrases: Iterable[str]) -> Column:
     return F.array(*own) if own else F.array().cast("array<string>")
 
 
-def occurrences(text: Column, phrases: Iterable[str]) -> Column:
-    """How often the phrases occur, each counted by itself and without overlap."""
-    each = lambda p: (F.length(text) - F.length(F.replace(text, p, F.lit("")))) / F.length(p)
-    return F.aggregate(words_array(phrases), F.lit(0.0), lambda a, p: a + each(p)).cast("int")
-
-
 def hits(text: Column, phrases: Iterable[str]) -> Column:
     """How many of the distinct phrases occur: a search for each, or where there are many one automaton for all."""
     phrases = tuple(dict.fromkeys(phrases))
@@ -51,10 +45,6 @@ def deviation(numbers: Column) -> Column:
     return F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
 
 
-def characters(text: Column) -> Column:
-    return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
-
-
 def run_starts(ordered: Column) -> Column:
     """Positions, from 1, at which a new value begins. `ordered` must be a column of its own, or it is computed for each element."""
     n = F.size(ordered)
@@ -68,31 +58,5 @@ def run_lengths(starts: Column, n: Column) -> Column:
     return F.coalesce(F.zip_with(starts, ends, lambda a, b: b - a), F.array().cast("array<int>"))
 
 
-def entropy(counts: Column, n: Column) -> Column:
-    """Shannon entropy in bits; 0 without values."""
-    inner = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * F.log2(c.cast("double")))
-    return F.when(n > 0, F.greatest(F.log2(n.cast("double")) - inner / n, F.lit(0.0))).otherwise(0.0)
-
-
-def one_minus_r2(points: Column) -> Column:
-    """1 - R squared of a straight line through (x, y); 0 where y does not vary."""
-    zero = F.struct(*(F.lit(0.0).alias(k) for k in ("x", "y", "xx", "yy", "xy")))
-    add = lambda a, p: F.struct((a.x + p.x).alias("x"), (a.y + p.y).alias("y"), (a.xx + p.x * p.x).alias("xx"), (a.yy + p.y * p.y).alias("yy"), (a.xy + p.x * p.y).alias("xy"))
-
-    def done(s):
-        n = F.size(points)
-        vx, vy = n * s.xx - s.x * s.x, n * s.yy - s.y * s.y
-        return F.when((vy > 1e-12) & (vx > 1e-12), 1 - F.pow(n * s.xy - s.x * s.y, F.lit(2.0)) / (vx * vy)).otherwise(0.0)
-
-    return F.aggregate(points, zero, add, done)
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def grams(tokens: Column, n: int) -> Column:
-    """Runs of n tokens, joined by a sign that no token has. `tokens` must be a column of its own."""
-    k = F.size(tokens) - n + 1
-    join = lambda i: F.concat_ws("\u0001", *(F.element_at(tokens, i + j) for j in range(n)))
-    return F.when(k > 0, F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), join)).otherwise(F.array().cast("array<string>"))
