@@ -5,24 +5,26 @@ A vector is an array of numbers of length 1. An encoder makes them, a model's or
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.packs import Pack
 from ..functions.text import dot
 from ..functions.thresholds import SEMANTIC_DIMENSIONS, gap, zone
+from ..sources.stored import stored
 from .kernels import Kernel
 from .parse import sentences
 from .sentences import human_signal, uniform_signal
 
-#: Vectors in the pool of the query vec_pool_max.
-POOL = 500
 #: Characters of a paragraph that is held against known texts, at least.
 LEAST_HUMAN = 20
-#: Vectors of a pool that go to every task at once, about.
+#: Vectors of a pool that go to every task at most.
 POOL_BLOCK = 500
 
 
@@ -90,16 +92,102 @@ def intra_similarity(rows: DataFrame, vec: str = "vec", keys: tuple[str, ...] =
     return parts.groupBy(*keys).agg(F.when(n >= 2, (F.sum(F.col("s") * F.col("s")) - F.sum("q")) / (n * (n - 1))).otherwise(-1.0).alias("similarity"))
 
 
-def pool_similarity(rows: DataFrame, pool: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
-    """keys, similarity: the largest product with any vector of the pool, of any size; blocks of about POOL_BLOCK of them go to every task in turn."""
-    blocks = max(1, -(-pool.count() // POOL_BLOCK))
-    out = rows.select(*keys, vec, F.lit(None).cast("double").alias("similarity"))
-    for k in range(blocks):
-        # by value, so that equal vectors meet, of which one is enough
-        own = F.broadcast(pool.filter(F.pmod(F.xxhash64("ref"), F.lit(blocks)) == k).agg(F.collect_set("ref").alias("refs")))
-        best = F.array_max(F.transform("refs", lambda r: dot(F.col(vec), r)))
-        out = out.crossJoin(own).select(*keys, vec, F.greatest("similarity", best).alias("similarity"))
-    return out.select(*keys, "similarity")
+#: Pivots of a pool's cells at most, vectors that are compared with others at once, and how far rounding may take a bound.
+PIVOTS, BLOCK, SLACK = 1024, 512, 1e-9
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.array(column.to_pylist(), float)
+
+
+def pool_similarity(rows: DataFrame, pool: DataFrame, keys: list[str], vec: str = "vec", block: int = POOL_BLOCK) -> DataFrame:
+    """keys, similarity, compared: the largest product of each row's vector with any vector of the pool (a column ref), of any size, and with how many of the pool it was taken; null for rows without a
+    vector and for an empty pool.
+
+    Up to `block` vectors go to every task. A larger pool is dealt into cells around pivots of its own. A product with any vector of a cell is at most that with the pivot, and the vector's length
+    times the cell's radius, more; so a row goes to its best cell first, and then only to cells of which that bound is above what it has found. Cells and rows meet in blocks of bounded size. Vectors are all of one dimension.
+    """
+    spark = rows.sparkSession
+    refs = stored(pool.filter(F.col("ref").isNotNull()).select(F.col("ref").cast("array<double>").alias("ref")).distinct(), "pool")
+    n = refs.count()
+    asked = stored(rows.select(F.monotonically_increasing_id().alias("row"), *keys, F.col(vec).cast("array<double>").alias("vec")), "asked")
+    usable = asked.filter("vec IS NOT NULL").select("row", "vec")
+    if n <= block:
+        shared = spark.sparkContext.broadcast(np.array([r.ref for r in refs.toLocalIterator()], float))
+
+        def whole(batches):
+            for batch in batches:
+                best = (_matrix(batch.column(1)) @ shared.value.T).max(1) if batch.num_rows else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best), pa.array(np.full(len(best), n))], ["row", "similarity", "compared"])
+
+        found = usable.filter(F.lit(n > 0)).mapInArrow(whole, "row long, similarity double, compared long")
+    else:
+        found = _by_cells(usable, refs, n)
+    return asked.join(found, "row", "left").select(*keys, "similarity", "compared")
+
+
+def _by_cells(usable: DataFrame, refs: DataFrame, n: int) -> DataFrame:
+    spark = usable.sparkSession
+    many = min(PIVOTS, math.isqrt(n) + 1)
+    pivots = np.array([r.ref for r in refs.orderBy(F.xxhash64("ref"), "ref").limit(many).collect()], float)
+    centres = spark.sparkContext.broadcast(pivots)
+
+    def near(batches):
+        for batch in batches:
+            x, p = _matrix(batch.column(0)), centres.value
+            far = (x * x).sum(1)[:, None] - 2 * (x @ p.T) + (p * p).sum(1) if batch.num_rows else np.zeros((0, 1))
+            cell = far.argmin(1)
+            gone = np.sqrt(((x - p[cell]) ** 2).sum(1)) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column(0), pa.array(gone)], ["cell", "ref", "gone"])
+
+    cells = stored(refs.mapInArrow(near, "cell int, ref array<double>, gone double"), "cells")
+    radius, held = np.zeros(many), np.zeros(many, np.int64)
+    for r in cells.groupBy("cell").agg(F.max("gone").alias("radius"), F.count(F.lit(1)).alias("n")).collect():  # one a pivot
+        radius[r.cell], held[r.cell] = r.radius, r.n
+    wide = spark.sparkContext.broadcast((radius, held))
+
+    def dealt(best: bool):
+        """Rows to the cells that they must see: the one of the best pivot, or, with what was found there, all others whose bound is above it."""
+
+        def run(batches):
+            p, (radius, held) = centres.value, wide.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = _matrix(batch.column(1))
+                dots = x @ p.T
+                first = np.where(held > 0, dots, -np.inf).argmax(1)
+                if best:
+                    row, cell = np.arange(len(x)), first
+                else:
+                    above = dots + np.sqrt((x * x).sum(1))[:, None] * radius + SLACK > np.asarray(batch.column(2))[:, None]
+                    above[np.arange(len(x)), first] = False
+                    row, cell = np.nonzero(above & (held > 0))
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cell.astype(np.int32))], ["row", "vec", "cell"])
+
+        return lambda df: df.mapInArrow(run, "row long, vec array<double>, cell int")
+
+    def compare(table: pa.Table) -> pa.Table:
+        side = np.asarray(table.column("side"))
+        v = np.array(table.column("vec").to_pylist(), float)
+        ours, theirs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        best = (v[ours] @ v[theirs].T).max(1) if len(ours) and len(theirs) else np.zeros(0)
+        ours = ours[: len(best)]
+        return pa.table({"row": table.column("row").take(pa.array(ours)), "similarity": pa.array(best), "compared": pa.array(np.full(len(best), len(theirs)))})
+
+    def met(dealt_rows: DataFrame) -> DataFrame:
+        sizes = F.broadcast(dealt_rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("rows")).join(F.broadcast(cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("refs"))), "cell"))
+        place = lambda c, k: F.pmod(F.xxhash64(c), F.col(k)).cast("int")
+        every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+        left = dealt_rows.join(sizes, "cell").select("cell", place("row", "rows").alias("r"), every("refs").alias("k"), F.lit(0).alias("side"), "row", "vec")
+        right = cells.join(sizes, "cell").select("cell", every("rows").alias("r"), place("ref", "refs").alias("k"), F.lit(1).alias("side"), F.lit(-1).cast("long").alias("row"), F.col("ref").alias("vec"))
+        out = left.unionByName(right).groupBy("cell", "r", "k").applyInArrow(compare, "row long, similarity double, compared long")
+        return out.groupBy("row").agg(F.max("similarity").alias("similarity"), F.sum("compared").alias("compared"))
+
+    first = stored(met(stored(dealt(True)(usable), "dealt")), "first")
+    rest = stored(dealt(False)(usable.join(first, "row").select("row", "vec", "similarity")), "dealt")
+    return first.unionByName(met(rest)).groupBy("row").agg(F.max("similarity").alias("similarity"), F.sum("compared").alias("compared"))
 
 
 def signals(par: DataFrame, pack: Pack, known: DataFrame, make=None, least: int = 5) -> DataFrame:

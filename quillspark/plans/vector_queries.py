@@ -56,11 +56,12 @@ def _(spark, d):
     return V.intra_similarity(vectors(spark, d)).select("doc_id", *rounded("similarity"))
 
 
-@query("vec_pool_max", f"WITH {_E}, pool AS (SELECT v FROM e ORDER BY p_idx LIMIT {V.POOL}) SELECT e.p_idx AS vec_id, round(max(list_dot_product(e.v, pool.v)), 6) AS similarity FROM e, pool GROUP BY e.p_idx")
+@query("vec_pool_max", "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT e.vec_id, round(max(list_dot_product(e.v, p.v)), 6) AS similarity FROM e, e p WHERE e.label % 2 = 1 AND p.label % 2 = 0 GROUP BY e.vec_id")
 def _(spark, d):
-    rows = vectors(spark, d)
-    pool = rows.orderBy("p_idx").limit(V.POOL).select(F.col("vec").alias("ref"))
-    return V.pool_similarity(rows.withColumnRenamed("p_idx", "vec_id"), pool, ["vec_id"]).select("vec_id", *rounded("similarity"))
+    """The vectors of odd labels against the pool of all vectors of even ones, by its cells."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    pool = e.filter("label % 2 = 0").select(F.col("embedding").alias("ref"))
+    return V.pool_similarity(e.filter("label % 2 = 1"), pool, ["vec_id"], "embedding", block=64).select("vec_id", *rounded("similarity"))
 
 
 def _vector_sql(name: str, source: str, text: str) -> str:
