@@ -10,7 +10,10 @@ from ..operators import dimensions as D
 from ..operators import fusion as U
 from ..operators import semantic as V
 from ..operators import sentences as T
+from ..operators import vector_store
 from ..operators.kernels import BUCKETS
+from ..operators.vector_store import VectorStore
+from ..sources.stored import place
 from . import sql as S
 from .paragraph_queries import TALK, rounded, talk
 from .sentence_queries import SPREAD, zones_sql
@@ -162,6 +165,17 @@ def _(spark, d):
     return rows.agg(F.count(F.lit(1)).alias("paragraphs"), F.count_if(F.col("fused_level").isin("red", "deep_red")).alias("high_risk"))
 
 
+@query("dims_by_vectors", f"""WITH {TALK}, {S.dims(LATIN)}, {_vector_sql("pv", "par", "text")}, sv AS (SELECT a.doc_id, a.p_idx, sum(a.x * b.x) AS s FROM pv a JOIN pv b ON a.doc_id = b.doc_id AND b.p_idx = a.p_idx - 1 AND a.b = b.b GROUP BY ALL),
+dv AS (SELECT par.doc_id, par.p_idx, CASE WHEN prev = '' OR text = '' THEN 0.0::DOUBLE ELSE round(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, coalesce(s, 0))), 4) END AS v FROM par LEFT JOIN sv USING (doc_id, p_idx)),
+dx AS (SELECT dims.* REPLACE (v AS paragraph_similarity) FROM dims JOIN dv USING (doc_id, p_idx)), {S.classified().replace('FROM dims)', 'FROM dx)')}
+SELECT doc_id, p_idx, paragraph_similarity, ai_count, level FROM cls""")
+def _(spark, d):
+    """The twelve statistics with vectors, kept in a store, for the likeness of neighbouring paragraphs."""
+    rows, path = talk(spark, d), place(spark, "vectors")
+    store = VectorStore(spark, path, "lexical-1", V.lexical_encoder(LATIN))
+    return D.classified(vector_store.dimensions(rows, LATIN, store)).select("doc_id", "p_idx", "paragraph_similarity", "ai_count", "level")
+
+
 SENTENCE_VECTORS = f"""{_vector_sql("pv", "par", "text")}, {_vector_sql("sv0", "(SELECT doc_id, p_idx * 1000000 + s_idx AS p_idx, sentence AS text FROM sent WHERE chars >= 5)", "text")},
 sv AS (SELECT doc_id, p_idx // 1000000 AS p_idx, p_idx % 1000000 AS s_idx, b, x FROM sv0),
 sc AS (SELECT doc_id, p_idx, count(*) AS n FROM sent WHERE chars >= 5 GROUP BY ALL),
