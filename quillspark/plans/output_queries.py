@@ -308,7 +308,7 @@ _FUSED_OBJECT = """{'paragraph_index': p_idx, 'rule_level': level, 'rule_ai_coun
 
 
 @query("fused_json", f"""{GAPS}, sa AS (SELECT doc_id, p_idx, count(*) FILTER (zone = 'ai') AS s FROM sem GROUP BY ALL), {FUSED_LEVEL_SQL},
-gl AS (SELECT doc_id, p_idx, list({{'dimension': dim, 'description': description, 'value': value, 'gap': gap, 'layer': layer}} ORDER BY rank) AS gaps FROM gr GROUP BY ALL)
+gl AS (SELECT doc_id, p_idx, list({{'dimension': dim, 'description': description, 'value': round(value, 6), 'gap': round(gap, 6), 'layer': layer}} ORDER BY rank) AS gaps FROM gr GROUP BY ALL)
 SELECT doc_id, p_idx, CAST(to_json({_FUSED_OBJECT}) AS VARCHAR) AS json FROM cls JOIN fz USING (doc_id, p_idx) LEFT JOIN sa USING (doc_id, p_idx) LEFT JOIN gl USING (doc_id, p_idx)""")
 def _(spark, d):
     return sinks.fused_json(U.together(talk(spark, d), LATIN))

@@ -43,11 +43,13 @@ def document_json(rows: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def fused_json(rows: DataFrame) -> DataFrame:
-    """doc_id, p_idx, json: an object for each paragraph of fusion.together(), with its counts, scores, levels and the gaps of both layers in order."""
-    bare = lambda x: F.struct(x.dim.alias("dimension"), x.description.alias("description"), x.value.alias("value"), x.gap.alias("gap"), x.layer.alias("layer"))
-    scores = [F.round(k, 4).alias(k) for k in ("rule_score", "combined_score")]
+    """doc_id, p_idx, json: an object for each paragraph of fusion.together(), with its counts, scores, levels and the gaps of both layers in order. Numbers have up to six places and no exponents."""
+    plain = lambda c: F.round(c, 6).cast("decimal(18,6)")
+    bare = lambda x: F.struct(x.dim.alias("dimension"), x.description.alias("description"), plain(x.value).alias("value"), plain(x.gap).alias("gap"), x.layer.alias("layer"))
+    scores = [plain(F.round(k, 4)).alias(k) for k in ("rule_score", "combined_score")]
     body = F.struct(F.col("p_idx").alias("paragraph_index"), "rule_level", "rule_ai_count", "rule_gray_count", "semantic_ai_count", "total_dimensions", "combined_ai_count", *scores, "fused_level", F.transform("gaps", bare).alias("gaps"))
-    return rows.select("doc_id", "p_idx", F.to_json(body).alias("json"))
+    # zeros at the end go; the object has no text of a document in which such a number could stand
+    return rows.select("doc_id", "p_idx", F.regexp_replace(F.to_json(body), r"(:-?[0-9]+\.[0-9]+?)0+(?=[,}])", "$1").alias("json"))
 
 
 def write_json(rows: DataFrame, path: str) -> None:
