@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import nearest
 from ..operators.dimensions import listed
 from . import files
 
@@ -26,11 +27,16 @@ def json_rows(dims: DataFrame, preview: int = 200, rewrites: DataFrame | None =
     item = lambda x: F.struct((-x.gap).alias("k"), x.dim_ord.alias("o"), F.struct(x.dim.alias("dimension"), x.gap.alias("gap"), x.zone.alias("zone")).alias("x"))
     ranked = F.transform(F.array_sort(F.transform(F.filter("_listed", lambda x: x.zone == "ai"), item)), lambda x: x.x)
     rows = dims.withColumn("_listed", listed())
-    body = [F.col("p_idx").alias("index"), F.left("text", F.lit(preview)).alias("text_preview"), "level", F.round("comprehensive_score", 4).alias("comprehensive_score"), ranked.alias("ranked_gaps")]
+    # numbers are written apart from the text, as the engine gives those under a thousandth exponents
+    plain = lambda c: F.regexp_replace(nearest(c, 4).cast("decimal(18,4)").cast("string"), r"(\.[0-9]+?)0+$", "$1")
+    gap = lambda x: F.concat(F.lit('{"dimension":"'), x.dimension, F.lit('","gap":'), plain(x.gap), F.lit(',"zone":"'), x.zone, F.lit('"}'))
+    opened = lambda *columns: F.regexp_replace(F.to_json(F.struct(*columns)), r"\}$", "")
+    head = opened(F.col("p_idx").alias("index"), F.left("text", F.lit(preview)).alias("text_preview"), "level")
+    body = [head, F.lit(',"comprehensive_score":'), plain(F.col("comprehensive_score")), F.lit(',"ranked_gaps":['), F.array_join(F.transform(ranked, gap), ","), F.lit("]")]
     if rewrites is not None:
         rows = rows.join(rewrites.select("doc_id", "p_idx", "rewrite"), ["doc_id", "p_idx"], "left")
-        body.append("rewrite")
-    return rows.select("doc_id", "p_idx", F.to_json(F.struct(*body)).alias("json"))
+        body.append(F.when(F.col("rewrite").isNotNull(), F.concat(F.lit(","), F.substring(opened("rewrite"), 2, 2**31 - 1))).otherwise(""))
+    return rows.select("doc_id", "p_idx", F.concat(*body, F.lit("}")).alias("json"))
 
 
 def document_json(rows: DataFrame, levels: DataFrame) -> DataFrame:
@@ -44,9 +50,9 @@ def document_json(rows: DataFrame, levels: DataFrame) -> DataFrame:
 
 def fused_json(rows: DataFrame) -> DataFrame:
     """doc_id, p_idx, json: an object for each paragraph of fusion.together(), with its counts, scores, levels and the gaps of both layers in order. Numbers have up to six places and no exponents."""
-    plain = lambda c: F.round(c, 6).cast("decimal(18,6)")
+    plain = lambda c: nearest(c, 6).cast("decimal(18,6)")
     bare = lambda x: F.struct(x.dim.alias("dimension"), x.description.alias("description"), plain(x.value).alias("value"), plain(x.gap).alias("gap"), x.layer.alias("layer"))
-    scores = [plain(F.round(k, 4)).alias(k) for k in ("rule_score", "combined_score")]
+    scores = [plain(nearest(F.col(k), 4)).alias(k) for k in ("rule_score", "combined_score")]
     body = F.struct(F.col("p_idx").alias("paragraph_index"), "rule_level", "rule_ai_count", "rule_gray_count", "semantic_ai_count", "total_dimensions", "combined_ai_count", *scores, "fused_level", F.transform("gaps", bare).alias("gaps"))
     # zeros at the end go; the object has no text of a document in which such a number could stand
     return rows.select("doc_id", "p_idx", F.regexp_replace(F.to_json(body), r"(:-?[0-9]+\.[0-9]+?)0+(?=[,}])", "$1").alias("json"))
