@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.packs import Pack
+from ..functions.text import nearest
 from ..functions.thresholds import DESCRIPTIONS, RULE_DIMENSIONS, SEMANTIC_DIMENSIONS, SEMANTIC_KEYS
 
 # What to do about a dimension.
@@ -68,7 +69,7 @@ def together(par: DataFrame, pack: Pack, make=None, embedding: bool = True) -> D
     rows = scanned(par, pack).withColumn("listed", listed()).select("doc_id", "p_idx", "text", *columns)
     rows = evidence(rows, pack, make, columns) if embedding else rows.withColumn("evidence", F.lit(None).cast("array<struct<dim:string,dim_ord:int,value:double,zone:string,gap:double>>"))
     order = {d: 100 + k for k, d in enumerate(SEMANTIC_KEYS)}
-    item = lambda dim, ord_, layer, description, value, gap: F.struct((-F.round(gap, 6)).alias("k"), ord_.alias("o"), F.struct(*(c.alias(n) for c, n in zip((dim, layer, description, value, gap), _GAP, strict=True))).alias("x"))
+    item = lambda dim, ord_, layer, description, value, gap: F.struct((-nearest(gap, 6)).alias("k"), ord_.alias("o"), F.struct(*(c.alias(n) for c, n in zip((dim, layer, description, value, gap), _GAP, strict=True))).alias("x"))
     ai = lambda c: F.filter(F.coalesce(c, F.array()), lambda x: x.zone == "ai")
     rule = F.transform(ai(F.col("listed")), lambda x: item(x.dim, x.dim_ord, F.lit("rule"), x.description, x.value, x.gap))
     named = lambda pairs, x: _literal_map(pairs)[x.dim]
@@ -99,6 +100,6 @@ def number(value: Column) -> Column:
 def instructions(spark: SparkSession, report: DataFrame, most: int = 5) -> DataFrame:
     """doc_id, p_idx, rank, instruction for the largest gaps of each paragraph: by the dimension's name, with or without its prefix, or else a plain one."""
     table = _literal_map(INSTRUCTIONS)
-    plain = F.concat(F.lit("减少 "), F.col("description"), F.lit(" 的AI特征 (当前: "), number(F.col("value")), F.lit(", 差距: "), F.format_string("%.2f", F.round("gap", 2)), F.lit(")"))
+    plain = F.concat(F.lit("减少 "), F.col("description"), F.lit(" 的AI特征 (当前: "), number(F.col("value")), F.lit(", 差距: "), F.format_string("%.2f", nearest(F.col("gap"), 2)), F.lit(")"))
     told = F.coalesce(table[F.col("dim")], table[F.replace(F.col("dim"), F.lit("sem_"), F.lit(""))], plain)
     return report.filter(F.col("rank") <= most).select("doc_id", "p_idx", "rank", told.alias("instruction"))
