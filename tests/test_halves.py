@@ -14,7 +14,7 @@ from quillspark.sources import sinks
 
 
 def test_shares_of_halves_and_quarters_give_exact_bits():
-    assert [entropy(c, sum(c)) for c in ([6, 3, 3], [3, 3, 3, 3], [10, 5, 5], [7] * 8)] == [1.5, 2.0, 1.5, 3.0]
+    assert [entropy(c, sum(c)) for c in ([14, 7, 7], [5] * 4, [18, 9, 9], [7] * 8)] == [1.5, 2.0, 1.5, 3.0]
 
 
 def test_densities_at_a_bound():

@@ -41,3 +41,15 @@ def test_small_and_empty_pools(spark):
     assert {r.id: (r.similarity, r.compared) for r in V.pool_similarity(a, b, ["id"]).collect()} == {1: (3.0, 2), 2: (2.0, 2)}
     assert [r.similarity for r in V.pool_similarity(a, b.filter(F.lit(False)), ["id"]).collect()] == [None, None]
     assert V.pool_similarity(a.filter(F.lit(False)), b, ["id"]).count() == 0
+
+
+def test_tasks_hand_on_copies_in_pieces(spark, monkeypatch):
+    """Rows that no bound keeps from any cell are copied for each; never more than a piece of them stands in a task at once."""
+    monkeypatch.setattr(V, "HANDED", 50)
+    monkeypatch.setattr(V, "SLICE", 30)
+    rng = np.random.default_rng(2)
+    pool, rows = rng.normal(size=(400, 24)), rng.normal(size=(90, 24))
+    a, b = frames(spark, list(enumerate(rows)), list(pool))
+    got = {r.id: r.similarity for r in V.pool_similarity(a, b, ["id"], block=100).collect()}
+    want = (rows @ pool.T).max(1)
+    assert len(got) == 90 and all(abs(got[k] - want[k]) < 1e-12 for k in got)
