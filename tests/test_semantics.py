@@ -283,6 +283,30 @@ def test_matrix_and_join_match_alike(spark, sf):
     assert one == pytest.approx(two, abs=1e-9) and max(one.values()) > 0
 
 
+def test_matrix_and_walk_match_alike(spark, sf):
+    """Texts met by rows of one matrix, word by word, and n-gram by n-gram."""
+    from quillspark.operators import models as M
+
+    refs = spark.read.parquet(f"{sf}/benchmark.parquet")
+    odd = spark.createDataFrame([(-1, 0, None), (-1, 1, "short"), (-1, 2, "  \n\t          "), (-1, 3, "\u4e00" * 20)], "conv_id long, turn int, text string")
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").selectExpr("CAST(conv_id AS long) conv_id", "CAST(turn AS int) turn", "text").limit(80).unionByName(odd)
+    vocabulary, weights = M.char_model(refs, "item_id")
+    one, two = ({(r.conv_id, r.turn): r.similarity for r in M.best_match(rows, ["conv_id", "turn"], vocabulary, weights, entries=n).collect()} for n in (10**9, 0))
+    assert len(one) == 84 and one == pytest.approx(two, abs=1e-9) and max(one.values()) > 0
+
+
+def test_tables_are_dealt_by_their_rows(spark):
+    """Counting takes longer than bytes tell: a small file of many texts is more than a task a core, and rows dealt by a key stay there for windows."""
+    from quillspark.sources.readers import spread
+
+    rows = spark.range(0, 1000, 1, 1).selectExpr("id", "id % 90 AS conv_id")
+    assert spread(rows, most=20).rdd.getNumPartitions() == 50
+    dealt = spread(rows, "conv_id", most=20)
+    assert dealt.rdd.getNumPartitions() == 50 and dealt.count() == 1000
+    whole = dealt.selectExpr("conv_id", "row_number() OVER (PARTITION BY conv_id ORDER BY id) AS k")
+    assert whole._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
 def test_models_are_kept(spark, tmp_path):
     from quillspark.operators import models as M
 
