@@ -5,7 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,16 +106,22 @@ def aligned(before: DataFrame, after: DataFrame) -> DataFrame:
     before: doc_id, p_idx, text, fused_level; after: doc_id, p_idx, text, level. A document that is in one of the two only has all its paragraphs removed or added. A document's paragraphs meet in one task.
     """
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = (x.sort_values("p_idx", kind="stable") for x in (left, right))
-        pairs = align(left["text"].fillna("").tolist(), right["text"].fillna("").tolist())
-        met, there = {i for i, _ in pairs}, {j for _, j in pairs}
-        rows = [*pairs, *((i, None) for i in range(len(left)) if i not in met), *((None, j) for j in range(len(right)) if j not in there)]
-        p, q, u, v = left["p_idx"].tolist(), right["p_idx"].tolist(), left["fused_level"].tolist(), right["level"].tolist()
-        out = [(key[0], *(None if i is None else x[i] for x in (p, u)), *(None if j is None else x[j] for x in (q, v))) for i, j in rows]
-        return pd.DataFrame(out, columns=["doc_id", "p_before", "level_before", "p_after", "level_after"]).astype({"p_before": "Int32", "p_after": "Int32"})
-
-    kind = before.schema["doc_id"].dataType.simpleString()
-    a, b = before.select("doc_id", "p_idx", "text", "fused_level"), after.select("doc_id", "p_idx", "text", "level")
-    rows = a.groupBy("doc_id").cogroup(b.groupBy("doc_id")).applyInPandas(run, f"doc_id {kind}, p_before int, level_before string, p_after int, level_after string")
+    def run(lefts: pa.Array, rights: pa.Array) -> pa.Array:
+        found = []
+        for left, right in zip(lefts.to_pylist(), rights.to_pylist()):
+            x, y = left or [], right or []
+            pairs = align([r["text"] or "" for r in x], [r["text"] or "" for r in y])
+            met, there = {i for i, _ in pairs}, {j for _, j in pairs}
+            rows = [*pairs, *((i, None) for i in range(len(x)) if i not in met), *((None, j) for j in range(len(y)) if j not in there)]
+            found.append([{"i": i, "j": j} for i, j in rows])
+        return pa.array(found, pa.list_(pa.struct([("i", pa.int32()), ("j", pa.int32())])))
+
+    # each side's paragraphs of a document as one array in order, so that documents go over in batches and not one by one
+    whole = lambda df, level: df.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("p_idx", "text", level))).alias(level))
+    a, b = whole(before, "fused_level"), whole(after, "level").withColumnRenamed("doc_id", "_id")
+    both = a.join(b, F.col("doc_id").eqNullSafe(F.col("_id")), "full").withColumn("doc_id", F.coalesce("doc_id", "_id"))
+    # the outer form, as the engine's filter for the other one would align all a second time; every document has a row
+    each = both.withColumn("_m", F.explode_outer(F.arrow_udf(run, "array<struct<i: int, j: int>>")(F.transform("fused_level", lambda r: F.struct(r.text.alias("text"))), F.transform("level", lambda r: F.struct(r.text.alias("text"))))))
+    a, b = F.get("fused_level", F.col("_m.i")), F.get("level", F.col("_m.j"))
+    rows = each.select("doc_id", a.p_idx.cast("int").alias("p_before"), b.p_idx.cast("int").alias("p_after"), a.fused_level.alias("level_before"), b.level.alias("level_after"))
     return rows.select("doc_id", "p_before", "p_after", "level_before", "level_after", _change(F.col("level_before"), F.col("level_after")).alias("change"))

@@ -46,3 +46,12 @@ def test_an_inserted_paragraph_moves_no_other(spark):
     got = {(r.doc_id, r.p_before, r.p_after): r.change for r in C.aligned(before, after).collect()}
     assert got == {(1, None, 0): "added", (1, 0, 1): "better", (1, 1, 2): "same", (2, 0, None): "removed", (3, None, 0): "added", (4, 0, 0): "better"}
     assert [r.change for r in C.compared(before, after).filter("doc_id = 1").orderBy("p_idx").collect()] != ["better", "same", "added"]
+
+
+def test_documents_are_aligned_in_batches(spark):
+    """Documents in one scan only and one without an id are there; no document is a call of its own."""
+    rows = lambda own, level: spark.createDataFrame([(d, p, t, "red") for d, p, t in own], f"doc_id long, p_idx int, text string, {level} string")
+    got = C.aligned(rows([(1, 0, "one of all"), (2, 0, "here only"), (None, 0, "no id")], "fused_level"), rows([(1, 0, "put in"), (1, 1, "one of all"), (3, 0, None), (None, 0, "no id")], "level"))
+    assert set(map(tuple, got.select("doc_id", "p_before", "p_after", "change").collect())) == {(1, 0, 1, "same"), (1, None, 0, "added"), (2, 0, None, "removed"), (3, None, 0, "added"), (None, 0, 0, "same")}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and plan.count("ArrowEvalPython [") == 1
