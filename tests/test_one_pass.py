@@ -45,3 +45,8 @@ def test_a_scan_of_sentences_counts_once_and_deals_documents_before(spark):
         plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("ArrowEvalPython [") == 1 and "rlike" not in plan.lower().partition("window")[0], name
         assert plan.index("ArrowEvalPython [") < plan.index("Exchange hashpartitioning"), name
+
+
+def test_chinese_documents_stay_spread(spark):
+    """The grouping that puts turns together must not leave a small table to one task, as counting takes far longer than the bytes tell."""
+    assert zh_docs(spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
