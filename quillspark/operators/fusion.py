@@ -62,12 +62,14 @@ def together(par: DataFrame, pack: Pack, make=None, embedding: bool = True) -> D
 
     Texts are read once: rule results ride through the window of the vectors, and nothing is joined with itself. Vector dimensions go by the names that reports have for them. Without `embedding` only the rules count.
     """
-    from .dimensions import listed, scanned
-    from .semantic import evidence
+    from .dimensions import leveled, listed, scanned
+    from .semantic import judged, walked
 
     columns = ("level", "comprehensive_score", "ai_count", "gray_count", "listed")
-    rows = scanned(par, pack).withColumn("listed", listed()).select("doc_id", "p_idx", "text", *columns)
-    rows = evidence(rows, pack, make, columns) if embedding else rows.withColumn("evidence", F.lit(None).cast("array<struct<dim:string,dim_ord:int,value:double,zone:string,gap:double>>"))
+    # both layers are counted in one walk, and levels taken before rows move, so that what reports need of a text moves and the text does not
+    rows = leveled(walked(par, pack, make, rules=True), pack) if embedding else scanned(par, pack)
+    rows = rows.withColumn("listed", listed())
+    rows = judged(rows, columns) if embedding else rows.select("doc_id", "p_idx", "text", *columns).withColumn("evidence", F.lit(None).cast("array<struct<dim:string,dim_ord:int,value:double,zone:string,gap:double>>"))
     order = {d: 100 + k for k, d in enumerate(SEMANTIC_KEYS)}
     item = lambda dim, ord_, layer, description, value, gap: F.struct((-nearest(gap, 6)).alias("k"), ord_.alias("o"), F.struct(*(c.alias(n) for c, n in zip((dim, layer, description, value, gap), _GAP, strict=True))).alias("x"))
     ai = lambda c: F.filter(F.coalesce(c, F.array()), lambda x: x.zone == "ai")

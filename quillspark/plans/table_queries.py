@@ -63,7 +63,8 @@ def _(spark, d):
 
 @query("sql_fused", f"WITH {PAR}, {FUSED_SQL} SELECT fused_level, count(*) AS n FROM fz GROUP BY fused_level")
 def _(spark, d):
-    return _asked(spark, d, "SELECT fused_level, count(*) AS n FROM scan_fused GROUP BY fused_level")
+    # dealt by their ids before they are cut, so that the walk over a document moves no paragraph
+    return _asked(spark, d, "SELECT fused_level, count(*) AS n FROM scan_fused GROUP BY fused_level", documents(spark, d, "doc_id"))
 
 
 @query("sql_doc_summary", f"WITH {PAR}, {zones_sql(LATIN)}, {SPREAD} {SUMMARY}")
