@@ -8,6 +8,7 @@ from oracle import connect, same
 
 from quillspark.functions.packs import LATIN
 from quillspark.functions.thresholds import RULE_DIMENSIONS
+from quillspark.operators import semantic as V
 from quillspark.operators.kernels import Kernel
 from quillspark.plans import registry
 
@@ -50,3 +51,23 @@ def test_reasons_print_halves_as_sql_does(spark, tmp_path):
                 lines.append(" ".join(["word"] * often + [f"x{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(half - often)] + ["word"] * half))
     d = _documents(spark, tmp_path, lines)
     same(registry.QUERIES["sentence_reasons"](spark, d), registry.ORACLES["sentence_reasons"], connect(d))
+
+
+def test_likeness_to_a_pool_is_added_up_plainly(spark):
+    """Of short texts two or three entries meet, whose sum is the same in any order if each product is rounded, as in SQL; a matrix product need not round them."""
+    kernel, draw = Kernel(LATIN), random.Random(7)
+    words = ["a", "at", "one", "stone", "letter", "paper", "river", "is", "the"]
+    rows, refs = ([" ".join(draw.choices(words, k=draw.randint(1, 9))) for _ in range(n)] for n in (400, 60))
+    vectors = {t: kernel.vector(t) for t in {*rows, *refs}}
+    df = spark.createDataFrame([(k, vectors[t]) for k, t in enumerate(rows)], "id int, vec array<double>")
+    pool = spark.createDataFrame([(vectors[t],) for t in refs], "ref array<double>")
+
+    def plain(a, b):
+        total = 0.0
+        for x, y in zip(a, b, strict=True):
+            total += x * y
+        return total
+
+    want = [max(plain(vectors[t], vectors[r]) for r in refs) for t in rows]
+    for block in (500, 10):  # all to every task, and by cells
+        assert [r.similarity for r in V.pool_similarity(df, pool, ["id"], block=block).orderBy("id").collect()] == want, block
