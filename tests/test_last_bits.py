@@ -71,3 +71,16 @@ def test_likeness_to_a_pool_is_added_up_plainly(spark):
     want = [max(plain(vectors[t], vectors[r]) for r in refs) for t in rows]
     for block in (500, 10):  # all to every task, and by cells
         assert [r.similarity for r in V.pool_similarity(df, pool, ["id"], block=block).orderBy("id").collect()] == want, block
+
+
+def test_words_on_a_line_have_the_zones_of_sql(spark, tmp_path):
+    """Turns whose words stand as often as 1/rank tells: 1 - R squared is 0 but for its last bits, whose sign decides between the human zone, which begins at 0, and gray."""
+    words, turns = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"], []
+    for kinds in (3, 4, 6):
+        for many in range(1, 9):
+            counts = [math.lcm(*range(1, kinds + 1)) * many // r for r in range(1, kinds + 1)]
+            if sum(counts) >= 20:
+                turns.append(" ".join(w for w, c in zip(words, counts) for _ in range(c)))
+    path = tmp_path / "data"
+    spark.createDataFrame([(k // 4, k % 4, "user", t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{path}/conversations.parquet")
+    same(registry.QUERIES["fused_json"](spark, str(path)), registry.ORACLES["fused_json"], connect(path))
